@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import license_scan, mixing, quality_model, quality_rules, sanitise, secret_scan
 from .common import documents
 
 
 def queries() -> dict:
     return {
         "op1_source_mix": lambda spark, d: mixing.op1(documents(spark, d)),
+        "op2_secret_scan": lambda spark, d: secret_scan.op2(documents(spark, d)),
+        "op4_pii_sanitise": lambda spark, d: sanitise.op4(documents(spark, d)),
+        "op5_quality_model": lambda spark, d: quality_model.op5(documents(spark, d), documents(spark, d, "labels")),
+        "op6_license_scan": lambda spark, d: license_scan.op6(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
     }
 
