@@ -25,6 +25,8 @@ SHRINK_POOLED, SHRINK_IDENTITY = 0.1, 0.02
 KEEP_AT = 0.7
 #: The log-density difference is divided by this before the logistic, as its inputs are not independent.
 TEMPER = 4.0
+#: Words of plain prose that every text is taken to have besides its own.
+PSEUDO = 30
 
 
 def statistics(text: Column) -> Column:
@@ -35,20 +37,22 @@ def statistics(text: Column) -> Column:
         return let(split_words(t), lambda w: let(lines, lambda n: from_parts(t, w, n)))
 
     def from_parts(t: Column, w: Column, lines: Column) -> Column:
-        words = F.greatest(F.size(w), F.lit(1)).cast("double")
-        chars = F.greatest(F.length(t), F.lit(1)).cast("double")
+        # pseudo-counts pull the shares of short texts towards those of plain prose
+        words, chars = F.size(w) + float(PSEUDO), F.length(t) + 6.0 * PSEUDO
+        n_lines = F.size(lines) + PSEUDO / 5.0
         share = lambda n, d: F.sqrt(F.least(n / d, F.lit(4.0)))
+        stop = F.size(F.filter(w, lambda x: x.isin(all_stop_words())))
         return F.array(
             F.log(words),
             F.log(chars / words),
             share(F.regexp_count(t, F.lit(r"[#*$%&|<>@\^~=+{}\[\]\\]")), words),
             share(F.regexp_count(t, F.lit(r"[!?]")), words),
-            share(F.regexp_count(t, F.lit("[A-Z]")), chars),
+            share(F.regexp_count(t, F.lit("[A-Z]")) + 0.15 * PSEUDO, chars),
             share(F.regexp_count(t, F.lit("[0-9]")), chars),
-            F.size(F.array_distinct(w)) / words,
-            F.sqrt(F.size(F.filter(w, lambda x: x.isin(all_stop_words()))) / words),
-            F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-            F.log(words / F.greatest(F.size(lines), F.lit(1))),
+            (F.size(F.array_distinct(w)) + 0.8 * PSEUDO) / words,
+            F.sqrt((stop + 0.25 * PSEUDO) / words),
+            (F.size(F.array_distinct(lines)) + PSEUDO / 5.0) / n_lines,
+            F.log(words / n_lines),
         )
 
     return let(F.coalesce(text, F.lit("")), of)
