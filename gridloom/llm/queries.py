@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality_model, quality_rules, sanitise, secret_scan
+from . import jaccard_join, license_scan, mixing, quality_model, quality_rules, sanitise, secret_scan
 from .common import documents
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_pii_sanitise": lambda spark, d: sanitise.op4(documents(spark, d)),
         "op5_quality_model": lambda spark, d: quality_model.op5(documents(spark, d), documents(spark, d, "labels")),
         "op6_license_scan": lambda spark, d: license_scan.op6(documents(spark, d)),
+        "op7_jaccard_join": lambda spark, d: jaccard_join.op7(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
     }
 
