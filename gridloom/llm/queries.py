@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, mixing, quality_model, quality_rules, sanitise, secret_scan
+from . import jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, sanitise, secret_scan
 from .common import documents
 
 
@@ -10,13 +10,15 @@ def queries() -> dict:
     return {
         "op1_source_mix": lambda spark, d: mixing.op1(documents(spark, d)),
         "op2_secret_scan": lambda spark, d: secret_scan.op2(documents(spark, d)),
+        "op3_line_dedup": lambda spark, d: line_dedup.op3(documents(spark, d)),
         "op4_pii_sanitise": lambda spark, d: sanitise.op4(documents(spark, d)),
         "op5_quality_model": lambda spark, d: quality_model.op5(documents(spark, d), documents(spark, d, "labels")),
         "op6_license_scan": lambda spark, d: license_scan.op6(documents(spark, d)),
         "op7_jaccard_join": lambda spark, d: jaccard_join.op7(documents(spark, d)),
+        "op10_best_fit": lambda spark, d: packing.op10(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL}
