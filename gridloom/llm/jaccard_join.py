@@ -20,7 +20,7 @@ with nothing but equal sets, and has no component of its own.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import width, written
@@ -39,24 +39,42 @@ def needed(n: int) -> int:
     return (3 * n + 3) // 4
 
 
-def _ordered(words: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set of a text as ascending keys, frequent shingles last."""
-    from .shingles import shingle_keys
+def _ordered(keys: list[np.ndarray], heavy: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """The sets of several texts as ascending keys, frequent shingles last."""
+    cuts = np.cumsum([0] + [len(k) for k in keys])
+    flat = np.concatenate(keys)
+    if len(heavy) and len(flat):
+        at = np.minimum(np.searchsorted(heavy, flat), len(heavy) - 1)
+        flat = np.where(heavy[at] == flat, HIGH + rank[at], flat)
+    return [np.unique(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    keys = np.unique(shingle_keys(words, SIZE))
-    if len(heavy) and len(keys):
-        at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
-        hit = heavy[at] == keys
-        if hit.any():
-            keys = np.sort(np.where(hit, HIGH + rank[at], keys))
-    return keys
 
-
-def _set_id(keys: np.ndarray) -> int:
+def _set_ids(sets: list[np.ndarray]) -> list[int | None]:
+    """A 64-bit id of each set, None for an empty one."""
     from .shingles import mixed
 
-    h = mixed(keys.astype(np.uint64))
-    return int(mixed(np.array([h.sum() ^ mixed(np.array([np.bitwise_xor.reduce(h)]))[0]]))[0].astype(np.int64))
+    full = [s for s in sets if len(s)]
+    if not full:
+        return [None] * len(sets)
+    h = mixed(np.concatenate(full).astype(np.uint64))
+    starts = np.cumsum([0] + [len(s) for s in full])[:-1]
+    ids = iter(mixed(np.add.reduceat(h, starts) ^ mixed(np.bitwise_xor.reduceat(h, starts))).astype(np.int64).tolist())
+    return [next(ids) if len(s) else None for s in sets]
+
+
+def parity_bits(n: int) -> int:
+    """Bits of the parity map of a set of n: the power of two from n on, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def parity(keys: np.ndarray) -> bytes:
+    """For each bit whether an odd number of keys falls on it (by their low bits).
+
+    Maps of different lengths compare after folding the longer by xor; the bits in which two maps differ are
+    never more than the keys that only one of the sets has.
+    """
+    bits = np.bincount((keys & (parity_bits(len(keys)) - 1)).astype(np.int64), minlength=parity_bits(len(keys))) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").tobytes()
 
 
 def _raw(batch):
@@ -71,10 +89,10 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         import pyarrow as pa
 
-        from .shingles import shingle_keys, word_hashes
+        from .shingles import keys_of
 
         for batch in batches:
-            parts = [shingle_keys(w, SIZE) for w in word_hashes(_raw(batch))]
+            parts = [k for ks in keys_of(_raw(batch), SIZE) for k in ks]
             keys, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
             often = n >= SEEN
             yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often].astype(np.int64))], names=["key", "n"])
@@ -87,50 +105,40 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by_key], np.arange(len(keys), dtype=np.int64)[by_key]
 
 
-def set_sizes(docs: DataFrame, heavy) -> DataFrame:
-    """(doc_id, sid, n): the id and size of each document's set; sid is null for an empty set."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def sizes(batches):
-        import pyarrow as pa
-
-        from .shingles import word_hashes
-
-        for batch in batches:
-            sets = [_ordered(w, *heavy.value) for w in word_hashes(_raw(batch))]
-            sid = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sid, pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "sid", "n"])
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sizes, f"doc_id {kind}, sid long, n long")
-
-
-def prefixes(texts: DataFrame, heavy, frequent: bool) -> DataFrame:
-    """(token, sid): the leading shingles of each set, once a task however many copies it has.
+def described(docs: DataFrame, heavy) -> DataFrame:
+    """(doc_id, sid, n, parity, lead): the id, size, parity map and leading shingles of each document's set.
 
-    frequent: those of the list of heavy ones, or all others.
+    The last two stand once a task for each set, however many copies it has; a row without an id has none.
     """
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def emit(batches):
+    def describe(batches):
         import pyarrow as pa
 
-        from .shingles import word_hashes
+        from .shingles import keys_of
 
         seen: set[int] = set()
         for batch in batches:
-            tokens, owners = [], []
-            for w in word_hashes(_raw(batch)):
-                s = _ordered(w, *heavy.value)
-                if not len(s) or (sid := _set_id(s)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(sid)
-                lead = s[: len(s) - needed(len(s)) + 1]
-                tokens.append(lead[(lead >= HIGH) == frequent])
-                owners.append(np.full(len(tokens[-1]), sid, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "sid"])
-
-    return texts.mapInArrow(emit, "token long, sid long")
+            at = 0
+            for keys in keys_of(_raw(batch), SIZE):
+                sets = _ordered(keys, *heavy.value)
+                ids = _set_ids(sets)
+                owners = batch.column("doc_id").slice(at, len(sets))
+                at += len(sets)
+                leads, maps = [], []
+                for s, sid, known in zip(sets, ids, owners.is_valid().to_pylist(), strict=True):
+                    new = sid is not None and sid not in seen and known
+                    if new and len(seen) < 1_000_000:
+                        seen.add(sid)
+                    leads.append(s[: len(s) - needed(len(s)) + 1] if new else s[:0])
+                    maps.append(parity(s) if new else None)
+                offsets = pa.array(np.cumsum([0] + [len(x) for x in leads]).astype(np.int32))
+                lead = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(leads)))
+                columns = [owners, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), lead]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "parity", "lead"])
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(describe, f"doc_id {kind}, sid long, n long, parity binary, lead array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, heavy) -> DataFrame:
@@ -139,11 +147,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, heavy) -> DataFrame:
     def emit(batches):
         import pyarrow as pa
 
-        from .shingles import word_hashes
+        from .shingles import keys_of
 
         for batch in batches:
-            sets = [_ordered(w, *heavy.value) for w in word_hashes(_raw(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "keys"])
+            for keys in keys_of(_raw(batch), SIZE):
+                sets = _ordered(keys, *heavy.value)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "keys"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     mine = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -267,10 +276,47 @@ def _forests(pdf):
     return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
 
+def _near(pdf):
+    """Rows of (block, sid, query, comp, n, parity) that some other of the block may link to, going by sizes and parity maps."""
+    keep = np.zeros(len(pdf), bool)
+    at = pdf.reset_index(drop=True)
+    for _, g in at.groupby("block", sort=False):
+        where, sizes, query, comp = g.index.to_numpy(), g["n"].to_numpy(), g["query"].to_numpy(), g["comp"].to_numpy()
+        bits = np.array([parity_bits(int(n)) for n in sizes])
+        maps = [np.frombuffer(p, np.uint64) for p in g["parity"]]
+        for low in np.unique(bits):
+            # linked sets differ by a third in size at most, so their maps by a factor of two
+            some = np.flatnonzero((bits == low) | (bits == 2 * low))
+            if len(some) < 2:
+                continue
+            words = max(1, int(low) // 64)
+            folded = np.array([m if len(m) == words else m[:words] ^ m[words:] for m in (maps[i] for i in some)])
+            n = sizes[some]
+            for j, i in enumerate(some):
+                if not query[i]:
+                    continue
+                apart = np.bitwise_count(folded ^ folded[j]).sum(1).astype(np.int64)
+                ok = (7 * apart <= n + n[j]) & (4 * n >= 3 * n[j]) & (3 * n <= 4 * n[j]) & (comp[some] != comp[i])
+                if ok.any():
+                    keep[where[i]] = True
+                    keep[where[some[ok]]] = True
+    return at.loc[keep, ["block", "sid", "query", "comp"]]
+
+
+def _bucket(rows: DataFrame) -> Column:
+    """Blocks reach the Python workers in groups, dealt by hash."""
+    return F.pmod(F.xxhash64("block"), F.lit(width(rows.sparkSession) * BUCKETS_A_TASK)).alias("bucket")
+
+
+def _candidates(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """The rows (block, sid, query, comp) that may have a link in their block."""
+    whole = rows.join(maps, "sid").select("block", "sid", "query", "comp", "n", "parity", _bucket(rows))
+    return written(whole.groupBy("bucket").applyInPandas(_near, "block long, sid long, query boolean, comp long"), "candidates")
+
+
 def _edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """rows: (block, sid, query, comp). The blocks' forests; blocks are dealt into tasks by hash."""
-    buckets = width(rows.sparkSession) * BUCKETS_A_TASK
-    whole = rows.join(sets, "sid").select("block", "sid", "keys", "query", "comp", F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"))
+    """rows: (block, sid, query, comp). The forests of the blocks' links."""
+    whole = rows.join(sets, "sid").select("block", "sid", "keys", "query", "comp", _bucket(rows))
     return whole.groupBy("bucket").applyInPandas(_forests, "u long, v long")
 
 
@@ -298,49 +344,56 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def blocks(texts: DataFrame, heavy) -> DataFrame:
+def blocks(rows: DataFrame) -> DataFrame:
     """(leader, sid): for every shingle that several sets lead with, all of them with the smallest.
 
     A frequent shingle may be that of a third of all sets: its minimum is pre-aggregated, and its rows
     meet it in a join that the engine can split. The others go through one shuffle.
     """
-    often = written(prefixes(texts, heavy, True), "tokens")
+    tokens = rows.select("sid", F.explode("lead").alias("token"))
+    often = tokens.where(F.col("token") >= int(HIGH))
     low = often.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("high")).where("leader < high")
     often = often.join(low.select("token", "leader"), "token").select("leader", "sid")
     same = Window.partitionBy("token")
-    rare = prefixes(texts, heavy, False).select("sid", F.min("sid").over(same).alias("leader"), F.max("sid").over(same).alias("high"))
+    rare = tokens.where(F.col("token") < int(HIGH)).select("sid", F.min("sid").over(same).alias("leader"), F.max("sid").over(same).alias("high"))
     return often.union(rare.where("leader < high").select("leader", "sid")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    spark = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_shingles(texts))
-    rows = written(set_sizes(docs, heavy), "sets")
-    pairs = written(blocks(texts, heavy), "blocks")
-    first = rows.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    ids = first.join(pairs.select("sid").distinct(), "sid", "left_semi").select("doc_id").distinct()
-    sets = sets_of(docs, written(ids, "ids"), heavy)
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(texts))
+    rows = written(described(docs, heavy), "sets")
+    pairs = written(blocks(rows), "blocks")
+    # one row a set: all its rows have equal maps, and any document of it will do
+    known = rows.where(F.col("parity").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    known = written(known.join(pairs.select("sid").distinct(), "sid", "left_semi"), "known")
     size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
     dealt = pairs.join(size, "leader").withColumn("chunks", F.ceil(F.col("m") / BLOCK))
     dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("chunks"))))))
-    dealt = dealt.select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "chunks", "chunk")
-    found = written(_edges(dealt.select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")), sets), "links")
+    dealt = dealt.select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "chunks")
+    maps = known.select("sid", "n", "parity")
+
+    def links(asked: DataFrame) -> DataFrame:
+        near = _candidates(asked, maps)
+        ids = written(known.join(near.select("sid").distinct(), "sid", "left_semi").select("doc_id").distinct(), "ids")
+        return written(_edges(near, sets_of(docs, ids, heavy)), "links")
+
+    found = links(dealt.select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
     comp = written(components(found), "components")
-    large = dealt.where("chunks > 1")
-    if large.limit(1).count():
-        more = _remainder(large, comp, sets)
-        if more is not None:
-            comp = written(components(found.union(more)), "components")
-    rooted = rows.join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    asked = _remainder(dealt.where("chunks > 1"), comp)
+    if asked is not None:
+        comp = written(components(found.union(links(asked))), "components")
+    rooted = rows.select("doc_id", "sid", "n").join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(low, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _remainder(large: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links of the sets outside a large block's largest component with all sets of the block."""
-    members = large.join(comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).select("leader", "block", "sid", "chunks", "comp")
+def _remainder(large: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """What is still to be asked of blocks in several chunks: the sets outside a block's largest component, of all its chunks."""
+    if not large.limit(1).count():
+        return None
+    members = large.join(comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).select("leader", "block", "sid", "comp")
     members = written(members, "large")
     own = members.groupBy("leader", "comp").agg(F.countDistinct("sid").alias("m"))
     most = own.groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -351,8 +404,7 @@ def _remainder(large: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame
     trees = members.select("leader", "block").distinct()
     asking = trees.join(outside, "leader").select("block", "sid", "comp", F.lit(True).alias("query"))
     held = members.join(outside.select("leader").distinct(), "leader", "left_semi").select("block", "sid", "comp", F.lit(False).alias("query"))
-    rows = asking.union(held).groupBy("block", "sid", "comp").agg(F.max("query").alias("query"))
-    return written(_edges(rows, sets), "links")
+    return written(asking.union(held).groupBy("block", "sid", "comp").agg(F.max("query").alias("query")).select("block", "sid", "query", "comp"), "asked")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ _RNG = np.random.default_rng(20240229)
 BYTES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME = np.uint64(0x100000001B3)
 PLACES = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 KEYS = np.uint64((1 << 62) - 1)
 
 
@@ -31,9 +31,11 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))))
+    at = np.zeros(len(data), np.int32)
+    at[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(data), dtype=np.int32) - np.cumsum(at, dtype=np.int32)
     powers = np.cumprod(np.full(int((ends - starts).max()) + 1, PRIME))
-    value = np.where(word, BYTES[data] * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
+    value = BYTES[data] * np.where(word, powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
     return mixed(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64)), starts
 
 
@@ -49,45 +51,47 @@ def _long_words(raw: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def word_hashes(texts) -> list[np.ndarray]:
-    """For each text (bytes or None), the hashes of its words with A-Z in lower case, in order."""
-    out: list[np.ndarray] = []
+def _windows(words: np.ndarray, n: int) -> np.ndarray:
+    """62-bit keys of all windows of n words."""
+    g = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n if len(g) else 0):
+        g = mixed(g * PLACES[k % 64] + words[k : len(words) - n + 1 + k])
+    return (g & KEYS).astype(np.int64)
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """The key of fewer than n words, all together; nothing for none."""
+    g = np.array([len(words)] if len(words) else [], np.uint64)
+    for w in words:
+        g = mixed(g * PLACES[0] + w)
+    return (g & KEYS).astype(np.int64)
+
+
+def keys_of(texts, n: int):
+    """For each text (bytes or None) the keys of its windows of n words with A-Z in lower case, with
+    repeats; those of fewer words have one key. Yields lists for runs of texts, in order."""
     held: list[bytes] = []
     size = 0
 
-    def flush() -> None:
+    def flush() -> list[np.ndarray]:
         nonlocal held, size
-        if held:
-            hashes, starts = _words(b" ".join(held))
-            offsets = np.cumsum([0] + [len(x) + 1 for x in held])
-            cuts = np.searchsorted(starts, offsets)
-            out.extend(hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        hashes, starts = _words(b" ".join(held))
+        cuts = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in held]))
+        g = _windows(hashes, n)
         held, size = [], 0
+        return [g[a : b - n + 1] if b - a >= n else _short(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     for t in texts:
         raw = (t or b"").lower()
         if len(raw) > CHUNK:
-            flush()
-            out.append(_long_words(raw))
+            if held:
+                yield flush()
+            words = _long_words(raw)
+            yield [_windows(words, n) if len(words) >= n else _short(words)]
             continue
         held.append(raw)
         size += len(raw)
         if size > CHUNK:
-            flush()
-    flush()
-    return out
-
-
-def shingle_keys(words: np.ndarray, n: int) -> np.ndarray:
-    """62-bit keys of the windows of n words (of all words together, if fewer), with repeats."""
-    if not len(words):
-        return np.zeros(0, np.int64)
-    if len(words) < n:
-        g = np.array([len(words)], np.uint64)
-        for w in words:
-            g = mixed(g * PLACES[0] + w)
-    else:
-        g = np.zeros(len(words) - n + 1, np.uint64)
-        for k in range(n):
-            g = mixed(g * PLACES[k % 64] + words[k : len(words) - n + 1 + k])
-    return (g & KEYS).astype(np.int64)
+            yield flush()
+    if held:
+        yield flush()
