@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, sanitise, secret_scan
+from . import jaccard_join, license_scan, line_dedup, mixing, nn_descent, packing, quality_model, quality_rules, sanitise, secret_scan
 from .common import documents
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_quality_model": lambda spark, d: quality_model.op5(documents(spark, d), documents(spark, d, "labels")),
         "op6_license_scan": lambda spark, d: license_scan.op6(documents(spark, d)),
         "op7_jaccard_join": lambda spark, d: jaccard_join.op7(documents(spark, d)),
+        "op9_nn_descent": lambda spark, d: nn_descent.op9(documents(spark, d, "embeddings")),
         "op10_best_fit": lambda spark, d: packing.op10(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
     }
