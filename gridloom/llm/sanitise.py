@@ -32,8 +32,6 @@ TERM = r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{N}_])"
 
 REACH, SUPPORT = 48, 3
 GENERALISE, REMOVE = 0.8, 0.95
-#: Up to this many candidate terms (8 bytes each) may be broadcast.
-BROADCAST_TERMS = 100_000
 
 
 def _digits(v: Column) -> Column:
@@ -93,11 +91,8 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(t, df): in how many of all documents each wanted term stands."""
     t = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.transform(F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4)), lambda w: F.xxhash64(w))
-    words = docs.select(F.explode(words).alias("t"))
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = words.join(F.broadcast(wanted) if few else wanted, "t", "left_semi") if few else words
-    df = words.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    return df if few else df.join(wanted, "t", "left_semi")
+    counts = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    return counts.join(wanted, "t", "left_semi")
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
