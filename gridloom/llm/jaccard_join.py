@@ -29,8 +29,8 @@ SIZE = 5
 BLOCK = 256
 #: The most frequent shingles that every task orders last (16 bytes each): at most so many, of so many documents.
 HEAVY, HEAVY_FROM, SEEN = 150_000, 8, 3
-#: Up to this many ids (8 bytes each) may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Up to this many rows of 40 bytes may be broadcast.
+BROADCAST_ROWS = 500_000
 HIGH = np.int64(1 << 62)
 
 
@@ -141,8 +141,9 @@ def described(docs: DataFrame, heavy) -> DataFrame:
     return rows.mapInArrow(describe, f"doc_id {kind}, sid long, n long, parity binary, lead array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, heavy) -> DataFrame:
-    """(sid, keys) of the documents in ids (doc_id), one row a set."""
+def with_sets(docs: DataFrame, rows: DataFrame, heavy) -> DataFrame:
+    """rows (doc_id, block, sid, query, comp) with the keys of their sets, made anew from the texts."""
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def emit(batches):
         import pyarrow as pa
@@ -150,14 +151,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, heavy) -> DataFrame:
         from .shingles import keys_of
 
         for batch in batches:
+            at = 0
             for keys in keys_of(_raw(batch), SIZE):
                 sets = _ordered(keys, *heavy.value)
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "keys"])
+                part = batch.slice(at, len(sets))
+                at += len(sets)
+                # an id that stands on several rows may name another set
+                same = pa.array([a == b for a, b in zip(_set_ids(sets), part.column("sid").to_pylist(), strict=True)], pa.bool_())
+                columns = [part.column(c) for c in ("bucket", "block", "sid", "query", "comp")] + [pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "sid", "query", "comp", "keys"]).filter(same)
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    mine = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    mine = mine.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text").mapInArrow(emit, "sid long, keys binary")
-    return mine.dropDuplicates(["sid"]) if _repeats(docs) else mine
+    mine = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("text", "block", "sid", "query", "comp", _bucket(rows))
+    return mine.mapInArrow(emit, "bucket long, block long, sid long, query boolean, comp long, keys binary")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -264,7 +269,7 @@ def _forests(pdf):
 
     us, vs = [], []
     for _, g in pdf.groupby("block", sort=False):
-        g = g.sort_values("sid")
+        g = g.drop_duplicates("sid").sort_values("sid")
         sids = g["sid"].to_numpy()
         sets = [np.frombuffer(k, np.int64) for k in g["keys"]]
         comp = joined(sets, list(np.flatnonzero(g["query"].to_numpy())), g["comp"].tolist())
@@ -314,12 +319,6 @@ def _candidates(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return written(whole.groupBy("bucket").applyInPandas(_near, "block long, sid long, query boolean, comp long"), "candidates")
 
 
-def _edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """rows: (block, sid, query, comp). The forests of the blocks' links."""
-    whole = rows.join(sets, "sid").select("block", "sid", "keys", "query", "comp", _bucket(rows))
-    return whole.groupBy("bucket").applyInPandas(_forests, "u long, v long")
-
-
 #: Blocks reach the Python workers in groups, so many to a shuffle partition.
 BUCKETS_A_TASK = 16
 
@@ -359,6 +358,15 @@ def blocks(rows: DataFrame) -> DataFrame:
     return often.union(rare.where("leader < high").select("leader", "sid")).distinct()
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(block, leader, sid, chunks): blocks in chunks of about BLOCK sets, the leader in each."""
+    size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
+    dealt = pairs.join(size, "leader").withColumn("chunks", F.ceil(F.col("m") / BLOCK))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    chunk = F.when(F.col("sid") == F.col("leader"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("chunks"))))
+    return dealt.withColumn("chunk", F.explode(chunk)).select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "chunks")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"))
@@ -368,20 +376,23 @@ def classes(docs: DataFrame) -> DataFrame:
     # one row a set: all its rows have equal maps, and any document of it will do
     known = rows.where(F.col("parity").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
     known = written(known.join(pairs.select("sid").distinct(), "sid", "left_semi"), "known")
-    size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(size, "leader").withColumn("chunks", F.ceil(F.col("m") / BLOCK))
-    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("chunks"))))))
-    dealt = dealt.select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "chunks")
-    maps = known.select("sid", "n", "parity")
+    maps, owners = known.select("sid", "n", "parity"), known.select("sid", "doc_id")
 
     def links(asked: DataFrame) -> DataFrame:
-        near = _candidates(asked, maps)
-        ids = written(known.join(near.select("sid").distinct(), "sid", "left_semi").select("doc_id").distinct(), "ids")
-        return written(_edges(near, sets_of(docs, ids, heavy)), "links")
-
-    found = links(dealt.select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
+        near = _candidates(asked, maps).join(owners, "sid")
+        whole = with_sets(docs, written(near, "near"), heavy)
+        return written(whole.groupBy("bucket").applyInPandas(_forests, "u long, v long"), "links")
+
+    # first each set in one block, that of its smallest leader: this joins most of what belongs together, so
+    # that then, over all blocks, few sets are left that may link to another component
+    one = pairs.groupBy("sid").agg(F.min("leader").alias("leader")).select("leader", "sid")
+    one = one.union(one.select("leader", F.col("leader").alias("sid"))).distinct()
+    found = links(_dealt(one).select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
+    comp = written(components(found), "components")
+    dealt = _dealt(pairs).join(comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
+    found = written(found.union(links(dealt.select("block", "sid", F.lit(True).alias("query"), "comp"))), "links")
     comp = written(components(found), "components")
-    asked = _remainder(dealt.where("chunks > 1"), comp)
+    asked = _remainder(_dealt(pairs).where("chunks > 1"), comp)
     if asked is not None:
         comp = written(components(found.union(links(asked))), "components")
     rooted = rows.select("doc_id", "sid", "n").join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
