@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import catalog_queries, series_queries
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in (catalog_queries, series_queries) for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in (catalog_queries, series_queries) for k, (_, s) in m.QUERIES.items() if s}
