@@ -203,7 +203,8 @@ def _adjacency(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     return written(pairs.groupBy("bucket").applyInPandas(gather, "bucket int, node long, nbrs array<long>, codes binary, scales array<float>"), "adjacency")
 
 
-BEAMS = "query long, code binary, scale float, ids array<long>, scores array<float>, done array<boolean>"
+#: ask: the nodes to expand next; done: whether a node of the beam has been, or is among those.
+BEAMS = "query long, code binary, scale float, ids array<long>, scores array<float>, done array<boolean>, ask array<long>, least float"
 
 
 def _expanded(asked, near):
@@ -242,26 +243,26 @@ def _beam(pdf):
         scores = np.concatenate([np.asarray(s, np.float32) for s in g["scores"]])
         done = np.concatenate([np.asarray(d, bool) if d is not None else np.zeros(len(i), bool) for d, i in zip(g["done"], g["ids"], strict=True)])
         at = _best(np.zeros(len(ids), np.int64), ids, scores, BEAM, known=done)
-        rows.append((q, head["code"], head["scale"], ids[at], scores[at], done[at]))
-    return pd.DataFrame(rows, columns=["query", "code", "scale", "ids", "scores", "done"])
+        ids, scores, done = ids[at], scores[at], done[at]
+        next_ = np.flatnonzero(~done)[:EXPANDED]
+        done[next_] = True
+        rows.append((q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf))
+    return pd.DataFrame(rows, columns=["query", "code", "scale", "ids", "scores", "done", "ask", "least"])
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -> DataFrame:
     """(query, node): the best nodes found for each query (query: nodes of the graph)."""
     buckets = _buckets(nodes, count)
     near = _adjacency(graph, nodes, buckets).repartition(width(nodes.sparkSession), "bucket").persist()
-    own = F.array(F.col("query"))
-    start = queries.join(nodes, queries["query"] == nodes["node"]).select("query", "code", "scale", own.alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done"))
-    beams = written(start, "beams")
+    start = queries.join(nodes, queries["query"] == nodes["node"])
+    own = F.array("query")
+    beams = written(start.select("query", "code", "scale", own.alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(True)).alias("done"), own.alias("ask"), F.lit(float("-inf")).cast("float").alias("least")), "beams")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "binary"), ("scale", "float"))]
     for _ in range(STEPS):
-        first = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, EXPANDED)
-        least = F.when(F.size("ids") >= BEAM, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")).cast("float"))
-        asked = beams.select("query", "code", "scale", least.alias("least"), F.explode(first).alias("x")).select("query", "code", "scale", "least", F.col("x.ids").alias("node"))
-        asked = asked.select("*", _bucket("node", buckets))
+        asked = beams.select("query", "code", "scale", "least", F.explode("ask").alias("node")).select("*", _bucket("node", buckets))
         found = asked.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInPandas(_expanded, GRAPH)
-        found = found.select(F.col("node").alias("query"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), F.col("nbrs").alias("ids"), "scores", F.lit(None).cast("array<boolean>").alias("done"))
-        opened = F.transform(F.arrays_zip("ids", "done"), lambda x: x["done"] | F.array_contains(F.transform(first, lambda y: y["ids"]), x["ids"]))
-        old = beams.withColumn("done", opened)
+        found = found.select(F.col("node").alias("query"), *none, F.col("nbrs").alias("ids"), "scores", F.lit(None).cast("array<boolean>").alias("done"))
+        old = beams.select("query", "code", "scale", "ids", "scores", "done")
         beams = written(old.union(found).select("*", _bucket("query", buckets)).groupBy("bucket").applyInPandas(_beam, BEAMS), "beams")
     near.unpersist()
     return beams.select("query", F.explode(F.slice("ids", 1, RESCORED)).alias("node"))
