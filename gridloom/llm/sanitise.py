@@ -92,7 +92,7 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     t = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.transform(F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4)), lambda w: F.xxhash64(w))
     counts = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    return counts.join(wanted, "t", "left_semi")
+    return counts.join(wanted, "t")  # wanted is distinct; a semi join would be pushed below the aggregation
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
