@@ -136,12 +136,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score KEEP_AT or more."""
-    return docs.where(train(docs, labels).score(statistics(F.col("text"))) >= KEEP_AT)
+    return docs.where(let(statistics(F.col("text")), train(docs, labels).score) >= KEEP_AT)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with `quality_score` (underscores appended if docs has one already)."""
-    return docs.withColumn(fresh(docs, "quality_score")[0], train(docs, labels).score(statistics(F.col("text"))))
+    return docs.withColumn(fresh(docs, "quality_score")[0], let(statistics(F.col("text")), train(docs, labels).score))
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
