@@ -65,15 +65,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def cutoffs(rows: DataFrame) -> DataFrame:
     """For each source its size, target, complete epochs and the last key that the remaining budget reaches."""
-    by_bucket = rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum"))
-    plan = targets(by_bucket.groupBy("source").agg(F.sum("__sum").alias("source_size")))
+    by_bucket = written(rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum")), "mix-buckets")
+    plan = written(targets(by_bucket.groupBy("source").agg(F.sum("__sum").alias("source_size"))), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", F.least(epochs, F.lit(int(MOST)))).withColumn("__budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = plan["source"].eqNullSafe(by_bucket["source"])
     ends = by_bucket.withColumn("__before", before).join(F.broadcast(plan) if _few(plan) else plan, same).drop(by_bucket["source"])
     ends = ends.where((F.col("__before") <= F.col("__budget")) & (F.col("__before") + F.col("__sum") > F.col("__budget")))
-    ends = ends.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before", "__budget")
+    ends = written(ends.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before", "__budget"), "mix-ends")
     last = rows.join(F.broadcast(ends) if _few(ends) else ends, rows["source"].eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     # equal keys stand together (rangeBetween), so a tie is never cut
     running = Window.partitionBy("__s").orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,7 +86,7 @@ def cutoffs(rows: DataFrame) -> DataFrame:
 
 
 def _few(df: DataFrame) -> bool:
-    return len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
