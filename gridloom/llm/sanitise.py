@@ -1,17 +1,19 @@
 """Personal data and the terms that give it away.
 
-Protected entities are e-mail addresses, IP addresses, card and phone numbers. The words
-around each of their places form its context. Over the corpus, the pointwise mutual information of an
+Protected entities are e-mail addresses, IP addresses, card and phone numbers. The words of the
+documents that hold an entity form its context. Over the corpus, the pointwise mutual information of an
 entity and a context term, as a share of the entity's own information content, says how much of the
 entity the term discloses: 1 if the term never occurs without it. Terms at or above
 `REMOVE` are removed, those at or above `GENERALISE` replaced by a general name; both need
-`SUPPORT` documents in which they stand together.
+`SUPPORT` documents in which they stand together. A disclosing term goes wherever it stands, in documents
+without the entity too; one that discloses several entities goes by the highest share.
 
-Counts cover all documents: co-occurrence by (entity, term), entities and terms by document.
-Partial sums are taken before each shuffle, so a frequent term or entity sends one row a task.
+All counts are by document and cover all documents. Co-occurrence is counted for the entities
+of `SUPPORT` documents or more, as no other can reach it, and disclosing terms are placed in the documents that hold
+one. Partial sums are taken before each shuffle, so a frequent term or entity sends one row a task.
 
-Defined results: null text is empty and has no span. Rows equal in id and text count as so many
-documents, and get the same spans. Nulls, empty tables and extra columns pass through.
+Defined results: null text is empty and has no span. Words that overlap an entity's place are no terms there.
+Rows equal in id and text count as so many documents, and get the same spans. Nulls, empty tables and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{N}_])"
 
-REACH, SUPPORT = 48, 3
+SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Up to this many disclosing terms (16 bytes each) may be broadcast.
+BROADCAST_TERMS = 500_000
 
 
 def _digits(v: Column) -> Column:
@@ -71,20 +75,36 @@ def _entity(x: Column) -> Column:
     return F.concat_ws(":", x["k"].cast("string"), F.when(x["k"] == 0, F.lower(x["v"])).when(x["k"] == 1, x["v"]).otherwise(_digits(x["v"])))
 
 
-def context(text: Column, spans: Column) -> Column:
-    """For each base span, the terms within REACH characters of it that lie in no span, with their places."""
+def outside(text: Column, spans: Column) -> Column:
+    """text without its spans (sorted by start). A mark keeps words that touch or overlap a span from being read as whole."""
+
+    def mark(i: Column) -> Column:
+        return F.when((i > 0) & F.substring(text, i, F.lit(1)).rlike(r"[\p{L}\p{N}_]"), "0").otherwise(" ")
+
+    start = F.struct(F.lit(0).alias("p"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.concat(mark(acc["p"]), F.substring(text, acc["p"] + 1, x["s"] - acc["p"]), mark(x["s"] + 1))
+        new = F.struct(x["e"].alias("p"), F.concat(acc["out"], F.array(gap)).alias("out"))
+        return F.when(x["s"] >= acc["p"], new).otherwise(F.struct(F.greatest(acc["p"], x["e"]).alias("p"), acc["out"].alias("out")))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], " "), mark(acc["p"]), F.substring(text, acc["p"] + 1, F.length(text))))
+
 
-    def side(x: Column, left: bool) -> Column:
-        a = F.greatest(x["s"] - REACH, F.lit(0)) if left else x["e"]
-        b = x["s"] if left else F.least(x["e"] + REACH, F.length(text))
-        part = F.substring(text, a + 1, b - a)
-        # a word that the window cuts is left out
-        whole = (lambda m: (a == 0) | (m["s"] > 0)) if left else (lambda m: (b == F.length(text)) | (m["e"] < b - a))
-        at = F.transform(F.filter(places(part, TERM), whole), lambda m: F.struct((a + m["s"]).alias("s"), (a + m["e"]).alias("e"), F.lower(m["v"]).alias("t")))
-        return F.filter(at, lambda m: ~F.exists(spans, lambda y: (y["s"] < m["e"]) & (m["s"] < y["e"])))
+def words(text: Column) -> Column:
+    """The terms of text as they are written, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-    of = lambda x: F.transform(F.concat(side(x, True), side(x, False)), lambda m: F.struct(F.xxhash64(_entity(x)).alias("c"), F.xxhash64(m["t"]).alias("t"), m["s"].alias("s"), m["e"].alias("e")))
-    return F.flatten(F.transform(spans, of))
+
+def _term(w: Column) -> Column:
+    """The term of a word, however it is written."""
+    return F.xxhash64(F.lower(w))
+
+
+def context(text: Column, spans: Column) -> Column:
+    """The terms of a text that lie in no base span; none where there is no span."""
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.when(F.size(spans) == 0, none).otherwise(F.array_distinct(F.transform(words(outside(text, spans)), _term)))
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,9 +118,9 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(c, t, ratio) of the terms that disclose at least GENERALISE of an entity."""
     n = found.count()
-    entities = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x))))).alias("c"))
-    entities = entities.groupBy("c").agg(F.count(F.lit(1)).alias("c_df"))
-    both = found.where(F.size("ctx") > 0).select(F.explode(F.array_distinct(F.transform("ctx", lambda m: F.struct(m["c"].alias("c"), m["t"].alias("t"))))).alias("m")).select("m.*")
+    held = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x))))).alias("c"), "ctx")
+    entities = written(held.groupBy("c").agg(F.count(F.lit(1)).alias("c_df")).where(F.col("c_df") >= SUPPORT), "pii-entities")
+    both = held.join(entities.select("c"), "c").select("c", F.explode("ctx").alias("t"))
     both = written(both.groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT), "pii-pairs")
     terms = document_frequency(docs, both.select("t").distinct())
     joint = both.join(entities, "c").join(terms, "t")
@@ -109,17 +129,33 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     return joint.select("c", "t", F.when(own > 0, pmi / own).otherwise(F.lit(0.0)).alias("ratio")).where(F.col("ratio") >= GENERALISE)
 
 
+def term_spans(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """(__k, terms): the places of the terms of bad (t, ratio) in each text of rows (__k, text) that has any, sorted."""
+    few = bad.count() <= BROADCAST_TERMS
+    removed = F.collect_set(F.when(F.col("ratio") >= REMOVE, F.col("w"))).alias("removed")
+    held = rows.select("__k", *(["text"] if few else []), F.explode(words(F.col("text"))).alias("w")).withColumn("t", _term(F.col("w")))
+    if few:  # the words meet bad where they are read, and only texts that hold one are shuffled
+        some = held.join(F.broadcast(bad), "t").groupBy("__k").agg(F.collect_set("w").alias("ws"), removed, F.first("text").alias("text"))
+    else:
+        some = held.join(bad, "t").groupBy("__k").agg(F.collect_set("w").alias("ws"), removed)
+        some = rows.join(some, "__k").dropDuplicates(["__k"])
+    # whole words of letters alone, so the pattern needs no quoting and no order
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("ws", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    kind = lambda x: F.when(F.array_contains("removed", x["v"]), F.lit(5)).otherwise(F.lit(4))
+    at = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["s"].alias("s"), kind(x).alias("k"), x["e"].alias("e"), F.lit("").alias("v")))
+    return some.select("__k", at.alias("terms"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, terms) for each row of docs: base spans and disclosing terms, sorted, as (s, k, e, v)."""
     t = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.xxhash64("doc_id", t).alias("key"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), context(x, b).alias("ctx")))).alias("f"))
     found = written(found.select("doc_id", "key", "f.base", "f.ctx"), "pii")
-    bad = disclosures(docs.select("text"), found)
-    places_of = found.where(F.size("ctx") > 0).select("key", F.explode("ctx").alias("m")).select("key", "m.*")
-    hit = places_of.join(bad, ["c", "t"]).groupBy("key", "s", "e").agg(F.max("ratio").alias("ratio"))
-    kind = F.when(F.col("ratio") >= REMOVE, F.lit(5)).otherwise(F.lit(4))
-    terms = hit.groupBy(F.col("key").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("s", kind.alias("k"), "e", F.lit("").alias("v")))).alias("terms"))
+    bad = written(disclosures(docs.select("text"), found).groupBy("t").agg(F.max("ratio").alias("ratio")), "pii-terms")
+    terms = term_spans(docs.select(F.xxhash64("doc_id", t).alias("__k"), t.alias("text")), bad)
     out = found.join(terms, found["key"] == F.col("__k"), "left")
+    clear = F.filter("terms", lambda m: ~F.exists("base", lambda y: (y["s"] < m["e"]) & (m["s"] < y["e"])))
+    out = out.select("doc_id", "key", "base", clear.alias("terms"))
     return out.select("doc_id", "key", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)")).alias("terms"))
 
 

@@ -16,8 +16,8 @@ from .common import let
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def places(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<s, e, v>>."""
+def places(text: Column, pattern: str | Column) -> Column:
+    """Leftmost non-overlapping matches as array<struct<s, e, v>>; the pattern may be one of the row's own."""
 
     def walk(found: Column) -> Column:
         return F.when(F.size(found) == 0, F.expr(f"cast(array() as {SPAN})")).otherwise(let(F.split(text, pattern), lambda gaps: fold(found, gaps)))
@@ -33,7 +33,7 @@ def places(text: Column, pattern: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
+    return let(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), walk)
 
 
 def tagged(spans: Column, kind: int) -> Column:

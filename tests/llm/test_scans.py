@@ -62,6 +62,19 @@ def test_terms_that_only_stand_with_an_entity_go(spark):
     assert clean[0] == "The meeting with  [email] about number 0" and clean[9] == texts[9]
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_terms_go_wherever_they_stand(spark, monkeypatch, few):
+    monkeypatch.setattr(sanitise, "BROADCAST_TERMS", few)
+    far = " the old mill by the river" * 8
+    texts = [f"Zephyrine{far} a.b@c.de about number {i}" for i in range(4)] + ["A letter to zephyrine about number 5"] + [f"The old mill by the river about number {i}" for i in range(60)]
+    texts += ["+1 (456) 555-2186Zephyrine Zephyrine_x"]
+    rows = {r.doc_id: r for r in sanitise.op4(docs(spark, texts)).collect()}
+    assert [rows[i].spans.split(",")[0] for i in range(5)] == ["term:0:9"] * 4 + ["term:12:21"]
+    assert all(rows[i].n_terms == 1 for i in range(5)) and all(rows[i].n_terms == 0 for i in range(5, 66))
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(docs(spark, texts)).collect()}
+    assert clean[0] == f"[term]{far} [email] about number 0" and clean[4] == "A letter to [term] about number 5" and clean[9] == texts[9]
+
+
 RULES = [None, "", "a b c", LONG, "one two three " * 30, "\n".join(["the line of words here"] * 5 + [" ", ""]), "x#*$%&|<> y", " lead\tand\x0btrail \n", "a b c d a b c x y z a b", "ab " * 7 + "cd " * 3]
 
 
