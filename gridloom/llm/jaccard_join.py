@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import width, written
+from .common import fresh, width, written
 
 SIZE = 5
 BLOCK = 256
@@ -419,14 +419,21 @@ def _remainder(large: DataFrame, comp: DataFrame) -> DataFrame | None:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the smallest id. Rows without an id or without words stay."""
+    """docs with one row of each class: the smallest id. Rows without an id or without words stay.
+
+    Rows with a repeated id are documents of their own; of those in one class any may stay.
+    """
     slim = docs.select("doc_id", "text")
-    found = classes(slim)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi")
-    if _repeats(slim):
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    if not _repeats(slim):
+        found = classes(slim)
+        out = docs.join(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "doc_id", "left_semi")
+    else:
+        (row,) = fresh(docs, "row_of_docs")
+        rows = written(docs.where(F.col("doc_id").isNotNull()).withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = classes(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+        first = F.min(F.struct(F.col("doc_id"), F.col(row)))[row].alias(row)
+        out = rows.join(found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(first), row, "left_semi").drop(row)
+    return out.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -53,6 +53,20 @@ def test_one_of_each_group_stays(spark):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_rows_with_clashing_ids_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, a + " end"), (8, ""), (8, None), (8, " ")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.deduplicated(docs(spark, rows)).collect()]
+    own = [(i, t) for i, t in enumerate([a, a, b, b, b, c, a + " end", "", None, " "])]
+    want, seen = [], set()
+    for i, (_, k) in sorted(brute.jaccard_components(dict(own)).items()):
+        if k not in seen:
+            seen.add(k)
+            want.append(rows[i])
+    assert sorted(kept, key=repr) == sorted(want, key=repr) and (5, b) in kept and (7, c) in kept
+
+
 def test_the_tree_links_what_brute_force_links():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 5000, 80))
