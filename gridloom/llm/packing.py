@@ -1,11 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 Documents are cut into pieces of at most `CAPACITY` tokens; lengths and gaps are therefore whole numbers with
-that bound, and ordering them by range is a count for each value. The sweeps run over these counts
-in supersteps: the longest open length goes to its successor among the gaps (the smallest that is
+that bound, and ordering them by range is a count for each value. The distributed method (sweeps over
+sorted documents and gaps, conflicts resolved by rank) is exchanged for one sequential loop over these counts on the
+driver: the longest open length goes to its successor among the gaps (the smallest that is
 not smaller), as many at once as both have; the rest goes on to the next gap or opens sequences; the gaps
 left are updated, and so on down to length 1. Which of the equal pieces gets which of the equal
-gaps is decided by rank. A superstep uses up a length or a gap, so the plan's size depends on CAPACITY and never
+gaps is decided by rank. A step uses up a length or a gap, so the plan's size depends on CAPACITY and never
 on the number of documents; pieces, their ranks and their places stay on the executors.
 
 Defined results: null text is empty and holds the separator alone. Repeated rows are documents of their own. An empty table
