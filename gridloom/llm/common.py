@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +58,11 @@ def width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and the executors share; one of our own only where the session names none."""
+    """The folder that the driver and the executors share: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/gridloom-tables")
     return sc.getCheckpointDir()
 
 
@@ -74,5 +74,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; nothing may still read them."""
+    for table in tables:
+        files = table.inputFiles()
+        if not files:
+            continue
+        sc = table.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Up to this many rows of about 40 bytes may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Keys that hold 1 / HOT of a table's rows or more: there are at most so many.
+HOT = 2000
+
+
+def met(big: DataFrame, small: DataFrame, on: str, how: str = "inner", few: bool | None = None) -> DataFrame:
+    """big joined (inner or left) with small, which has one row a key.
+
+    small is broadcast if it has few rows (counted here, unless few says so). Otherwise the keys that hold 1 / HOT of big's rows or more, so at most HOT,
+    are broadcast with their rows of small, and only the others are shuffled: no task gets a hot key.
+    """
+    if few is None:
+        few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        return big.join(F.broadcast(small), on, how)
+    total = big.count()
+    hot = written(big.groupBy(on).count().where(F.col("count") * HOT >= total).where(F.col(on).isNotNull()).select(on), "hot")
+    rest = big.join(F.broadcast(hot), on, "left_anti").join(small, on, how)
+    return rest.union(big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

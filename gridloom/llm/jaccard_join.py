@@ -1,20 +1,25 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a similarity of 0.75 or more.
 
-Sets are ordered alike everywhere: shingles found in few documents first. Two sets that link share one of their
-first len - ceil(0.75 len) + 1 shingles, so documents that share such a shingle meet in a block: that of the
-smallest set among all that have the shingle. A block holds whole ordered sets in a prefix
+Sets are ordered alike everywhere: shingles found in few documents first. Of two sets that link, the first shingle
+that both have is one of the first n / 4 + 1 of the larger and, as what follows it must still hold 6 / 7 of the smaller,
+one of the first n / 7 + 1 of the smaller: it is early there. Sets that lead with a shingle which is early in one of
+them meet in a block: that of the smallest set in which it is early. A block holds whole ordered sets in a prefix
 tree. Each set walks the tree: what a path shares is counted once for all sets below it, and a
 subtree goes as soon as the shingles left on either side cannot reach the overlap a link needs, or when
 all of it is in the same component already. A block gives a spanning forest of its links, not the pairs.
 
+Whole sets are shipped only where two of them may link by their parity maps, which never overstate a difference: first maps
+of about a bit for each shingle, then, of what these leave, maps of FINE times as many. Both are made anew from the texts.
+
 Blocks of more than BLOCK sets are dealt into chunks. What lies outside a block's largest component
-after that then walks the trees of all its chunks, so no link between different sets is lost.
-Equal sets are one set throughout. Components come from the forests by alternating large and small stars.
+after that meets the rest of the block in groups of a chunk and a bounded part of the asking sets, so no link between different
+sets is lost. Equal sets are one set throughout. Components come from the forests by alternating large and small stars.
 
 Which shingles count as frequent changes the order alone, not the result: a bounded list of the heaviest goes to
 every task. Defined results: a text without words has an empty set and links with nothing, its own
 id is its component; rows that repeat an id count as one document each, in the component of its set; a row without an id links
-with nothing but equal sets, and has no component of its own.
+with nothing but equal sets, and has no component of its own. An empty table gives an empty one. A very long text is hashed in parts, and
+a group's sets have at most about SHINGLES shingles together beyond one chunk's share. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +28,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, width, written
+from .common import BROADCAST_ROWS, delete, fresh, met, width, written
 
 SIZE = 5
-BLOCK = 256
+#: Sets of a chunk, sets that may ask a chunk at once, and shingles of a chunk (8 bytes each).
+BLOCK, ASKING, SHINGLES = 256, 1024, 4_000_000
+#: Bits of a fine parity map for each of a coarse one.
+FINE = 4
 #: The most frequent shingles that every task orders last (16 bytes each): at most so many, of so many documents.
 HEAVY, HEAVY_FROM, SEEN = 150_000, 8, 3
-#: Up to this many rows of 40 bytes may be broadcast.
-BROADCAST_ROWS = 500_000
 HIGH = np.int64(1 << 62)
 
 
@@ -62,18 +68,24 @@ def _set_ids(sets: list[np.ndarray]) -> list[int | None]:
     return [next(ids) if len(s) else None for s in sets]
 
 
-def parity_bits(n: int) -> int:
-    """Bits of the parity map of a set of n: the power of two from n on, 64 at least."""
-    return max(64, 1 << (n - 1).bit_length())
+def early(n: int) -> int:
+    """How many first shingles of a set of n can be the first that it shares with a linked set of its size or more."""
+    return n // 7 + 1
+
 
+def parity_bits(n: int, fine: int = 1) -> int:
+    """Bits of the parity map of a set of n: the power of two from n on, 64 at least, times fine."""
+    return fine * max(64, 1 << (n - 1).bit_length())
 
-def parity(keys: np.ndarray) -> bytes:
+
+def parity(keys: np.ndarray, fine: int = 1) -> bytes:
     """For each bit whether an odd number of keys falls on it (by their low bits).
 
     Maps of different lengths compare after folding the longer by xor; the bits in which two maps differ are
     never more than the keys that only one of the sets has.
     """
-    bits = np.bincount((keys & (parity_bits(len(keys)) - 1)).astype(np.int64), minlength=parity_bits(len(keys))) & 1
+    size = parity_bits(len(keys), fine)
+    bits = np.bincount((keys & (size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(bool), bitorder="little").tobytes()
 
 
@@ -106,9 +118,9 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, heavy) -> DataFrame:
-    """(doc_id, sid, n, parity, lead): the id, size, parity map and leading shingles of each document's set.
+    """(doc_id, sid, n, parity, n_early, lead): the id, size, parity map and leading shingles of each document's set.
 
-    The last two stand once a task for each set, however many copies it has; a row without an id has none.
+    Map and shingles stand once a task for each set, however many copies it has; a row without an id has none.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -134,16 +146,17 @@ def described(docs: DataFrame, heavy) -> DataFrame:
                     maps.append(parity(s) if new else None)
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in leads]).astype(np.int32))
                 lead = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(leads)))
-                columns = [owners, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), lead]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "parity", "lead"])
+                columns = [owners, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.array([early(len(s)) for s in sets], pa.int64()), lead]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "parity", "n_early", "lead"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, sid long, n long, parity binary, lead array<long>")
+    return rows.mapInArrow(describe, f"doc_id {kind}, sid long, n long, parity binary, n_early long, lead array<long>")
 
 
-def with_sets(docs: DataFrame, rows: DataFrame, heavy) -> DataFrame:
-    """rows (doc_id, block, sid, query, comp) with the keys of their sets, made anew from the texts."""
+def with_sets(docs: DataFrame, rows: DataFrame, heavy, fine: int | None = None) -> DataFrame:
+    """rows (doc_id, block, sid, query, comp) with the size of their sets and a fine parity map or, without fine, all keys."""
     few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    names = ["bucket", "block", "sid", "query", "comp"]
 
     def emit(batches):
         import pyarrow as pa
@@ -158,11 +171,12 @@ def with_sets(docs: DataFrame, rows: DataFrame, heavy) -> DataFrame:
                 at += len(sets)
                 # an id that stands on several rows may name another set
                 same = pa.array([a == b for a, b in zip(_set_ids(sets), part.column("sid").to_pylist(), strict=True)], pa.bool_())
-                columns = [part.column(c) for c in ("bucket", "block", "sid", "query", "comp")] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "sid", "query", "comp", "keys"]).filter(same)
+                held = pa.array([parity(s, fine) if fine else s.tobytes() for s in sets], pa.binary())
+                columns = [part.column(c) for c in names] + [pa.array([len(s) for s in sets], pa.int64()), held]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n", "held"]).filter(same)
 
     mine = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("text", "block", "sid", "query", "comp", _bucket(rows))
-    return mine.mapInArrow(emit, "bucket long, block long, sid long, query boolean, comp long, keys binary")
+    return mine.mapInArrow(emit, "bucket long, block long, sid long, query boolean, comp long, n long, held binary")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -264,14 +278,14 @@ def joined(sets: list[np.ndarray], queries: list[int], group: list[int]) -> list
 
 
 def _forests(pdf):
-    """Blocks of (block, sid, keys, query, comp) to edges (u, v): every set with one of its component."""
+    """Blocks of (block, sid, held, query, comp), held being all keys, to edges (u, v): every set with one of its component."""
     import pandas as pd
 
     us, vs = [], []
     for _, g in pdf.groupby("block", sort=False):
         g = g.drop_duplicates("sid").sort_values("sid")
         sids = g["sid"].to_numpy()
-        sets = [np.frombuffer(k, np.int64) for k in g["keys"]]
+        sets = [np.frombuffer(k, np.int64) for k in g["held"]]
         comp = joined(sets, list(np.flatnonzero(g["query"].to_numpy())), g["comp"].tolist())
         low: dict[int, int] = {}
         for sid, c in zip(sids, comp, strict=True):
@@ -281,31 +295,38 @@ def _forests(pdf):
     return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
 
-def _near(pdf):
-    """Rows of (block, sid, query, comp, n, parity) that some other of the block may link to, going by sizes and parity maps."""
-    keep = np.zeros(len(pdf), bool)
-    at = pdf.reset_index(drop=True)
-    for _, g in at.groupby("block", sort=False):
-        where, sizes, query, comp = g.index.to_numpy(), g["n"].to_numpy(), g["query"].to_numpy(), g["comp"].to_numpy()
-        bits = np.array([parity_bits(int(n)) for n in sizes])
-        maps = [np.frombuffer(p, np.uint64) for p in g["parity"]]
-        for low in np.unique(bits):
-            # linked sets differ by a third in size at most, so their maps by a factor of two
-            some = np.flatnonzero((bits == low) | (bits == 2 * low))
-            if len(some) < 2:
+def _near(fine: int):
+    """A function of rows (block, sid, query, comp, n, held), held being parity maps, that keeps those which may link in their block."""
+
+    def near(pdf):
+        keep = np.zeros(len(pdf), bool)
+        at = pdf.reset_index(drop=True)
+        for _, g in at.groupby("block", sort=False):
+            where, sizes, query, comp = g.index.to_numpy(), g["n"].to_numpy(), g["query"].to_numpy(), g["comp"].to_numpy()
+            if len(g) < 2 or not query.any():
                 continue
-            words = max(1, int(low) // 64)
-            folded = np.array([m if len(m) == words else m[:words] ^ m[words:] for m in (maps[i] for i in some)])
-            n = sizes[some]
-            for j, i in enumerate(some):
-                if not query[i]:
+            bits = np.array([parity_bits(int(n), fine) for n in sizes])
+            maps = [np.frombuffer(p, np.uint64) for p in g["held"]]
+            for low in np.unique(bits):
+                # linked sets differ by a third in size at most, so their maps by a factor of two
+                some = np.flatnonzero((bits == low) | (bits == 2 * low))
+                if len(some) < 2:
                     continue
-                apart = np.bitwise_count(folded ^ folded[j]).sum(1).astype(np.int64)
-                ok = (7 * apart <= n + n[j]) & (4 * n >= 3 * n[j]) & (3 * n <= 4 * n[j]) & (comp[some] != comp[i])
-                if ok.any():
-                    keep[where[i]] = True
-                    keep[where[some[ok]]] = True
-    return at.loc[keep, ["block", "sid", "query", "comp"]]
+                words = int(low) // 64
+                folded = np.array([m if len(m) == words else m[:words] ^ m[words:] for m in (maps[i] for i in some)])
+                n = sizes[some]
+                for j, i in enumerate(some):
+                    if not query[i]:
+                        continue
+                    ok = (4 * n >= 3 * n[j]) & (3 * n <= 4 * n[j]) & (comp[some] != comp[i])
+                    those = np.flatnonzero(ok)
+                    those = those[7 * np.bitwise_count(folded[those] ^ folded[j]).sum(1).astype(np.int64) <= n[those] + n[j]]
+                    if len(those):
+                        keep[where[i]] = True
+                        keep[where[some[those]]] = True
+        return at.loc[keep, ["block", "sid", "query", "comp"]]
+
+    return near
 
 
 def _bucket(rows: DataFrame) -> Column:
@@ -314,9 +335,9 @@ def _bucket(rows: DataFrame) -> Column:
 
 
 def _candidates(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """The rows (block, sid, query, comp) that may have a link in their block."""
-    whole = rows.join(maps, "sid").select("block", "sid", "query", "comp", "n", "parity", _bucket(rows))
-    return written(whole.groupBy("bucket").applyInPandas(_near, "block long, sid long, query boolean, comp long"), "candidates")
+    """The rows (block, sid, query, comp) that may have a link in their block, going by the coarse maps."""
+    whole = rows.join(maps, "sid").select("block", "sid", "query", "comp", "n", F.col("parity").alias("held"), _bucket(rows))
+    return written(whole.groupBy("bucket").applyInPandas(_near(1), "block long, sid long, query boolean, comp long"), "candidates")
 
 
 #: Blocks reach the Python workers in groups, so many to a shuffle partition.
@@ -326,96 +347,145 @@ BUCKETS_A_TASK = 16
 def components(edges: DataFrame) -> DataFrame:
     """(sid, root) of every set in edges (u, v), u != v: root is the smallest of its component.
 
-    Alternating large and small stars; minima are pre-aggregated before each shuffle.
+    Alternating large and small stars; minima are pre-aggregated before each shuffle, and the hub of a large
+    component meets its minimum in a join that has no hot key.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    state = lambda: tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+    before, now = None, state()
+    while now != before:
+        few = 2 * now[0] <= BROADCAST_ROWS  # no table of minima has more rows
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(met(both.where(F.col("v") > F.col("u")), low, "u", few=few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        edges = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
-        before = now
+        small = met(large, low, "u", few=few).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        after = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        delete(edges, large)
+        edges, before = after, now
+        now = state()
+    return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """(leader, sid): for every shingle that several sets lead with, all of them with the smallest.
+    """(leader, sid, early): for every shingle that is early in a set and that several lead with, all of them with the smallest such set.
 
-    A frequent shingle may be that of a third of all sets: its minimum is pre-aggregated, and its rows
-    meet it in a join that the engine can split. The others go through one shuffle.
+    A frequent shingle may be that of a third of all sets: its minima are pre-aggregated, and as the list of those
+    is bounded by HEAVY they are broadcast. Any other has at most 1 / HEAVY of all places, and goes through one shuffle.
     """
-    tokens = rows.select("sid", F.explode("lead").alias("token"))
+    tokens = rows.select("sid", F.posexplode("lead").alias("at", "token"), "n_early").select("sid", "token", (F.col("at") < F.col("n_early")).alias("early"))
+    first = F.min(F.when(F.col("early"), F.col("sid"))).alias("leader")
     often = tokens.where(F.col("token") >= int(HIGH))
-    low = often.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("high")).where("leader < high")
-    often = often.join(low.select("token", "leader"), "token").select("leader", "sid")
+    low = often.groupBy("token").agg(first, F.min("sid").alias("low"), F.max("sid").alias("high")).where("leader is not null and low < high")
+    often = often.join(F.broadcast(low.select("token", "leader")), "token").select("leader", "sid", "early")
     same = Window.partitionBy("token")
-    rare = tokens.where(F.col("token") < int(HIGH)).select("sid", F.min("sid").over(same).alias("leader"), F.max("sid").over(same).alias("high"))
-    return often.union(rare.where("leader < high").select("leader", "sid")).distinct()
+    spread = [F.min(F.when(F.col("early"), F.col("sid"))).over(same).alias("leader"), F.min("sid").over(same).alias("low"), F.max("sid").over(same).alias("high")]
+    rare = tokens.where(F.col("token") < int(HIGH)).select("sid", "early", *spread).where("leader is not null and low < high")
+    return often.union(rare.select("leader", "sid", "early")).groupBy("leader", "sid").agg(F.max("early").alias("early"))
+
+
+def _parts(rows: DataFrame, of: str, each: int, name: str) -> DataFrame:
+    """rows (leader, sid, n, ...) with columns `of` (how many parts its leader has) and `name` (the row's own)."""
+    size = rows.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / each), F.ceil(F.sum("n") / SHINGLES)).alias(of))
+    return met(rows, size, "leader").withColumn(name, F.pmod(F.xxhash64("sid"), F.col(of)))
+
+
+def _everywhere(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
 def _dealt(pairs: DataFrame) -> DataFrame:
-    """(block, leader, sid, chunks): blocks in chunks of about BLOCK sets, the leader in each."""
-    size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(size, "leader").withColumn("chunks", F.ceil(F.col("m") / BLOCK))
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    chunk = F.when(F.col("sid") == F.col("leader"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("chunks"))))
-    return dealt.withColumn("chunk", F.explode(chunk)).select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "chunks")
+    """(block, leader, sid, n, early, chunks): blocks in chunks of about BLOCK sets, the leader in each."""
+    dealt = _parts(pairs, "chunks", BLOCK, "own")
+    chunk = F.when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))
+    return dealt.withColumn("chunk", F.explode(chunk)).select(F.xxhash64("leader", "chunk").alias("block"), "leader", "sid", "n", "early", "chunks")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(texts))
-    rows = written(described(docs, heavy), "sets")
-    pairs = written(blocks(rows), "blocks")
+    described_ = written(described(docs, heavy), "sets")
+    found = written(blocks(described_), "blocks")
     # one row a set: all its rows have equal maps, and any document of it will do
-    known = rows.where(F.col("parity").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
-    known = written(known.join(pairs.select("sid").distinct(), "sid", "left_semi"), "known")
+    known = described_.where(F.col("parity").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    known = written(known.join(found.select("sid").distinct(), "sid", "left_semi"), "known")
+    pairs = written(met(found, known.select("sid", "n"), "sid"), "blocks")
+    rows = written(described_.select("doc_id", "sid", "n"), "rows")
+    delete(described_, found)
     maps, owners = known.select("sid", "n", "parity"), known.select("sid", "doc_id")
 
     def links(asked: DataFrame) -> DataFrame:
-        near = _candidates(asked, maps).join(owners, "sid")
-        whole = with_sets(docs, written(near, "near"), heavy)
-        return written(whole.groupBy("bucket").applyInPandas(_forests, "u long, v long"), "links")
+        coarse = _candidates(asked, maps)
+        near = written(met(coarse, owners, "sid"), "near")
+        fine = with_sets(docs, near, heavy, FINE).groupBy("bucket").applyInPandas(_near(FINE), "block long, sid long, query boolean, comp long")
+        fine = written(fine, "candidates")
+        nearer = written(met(fine, owners, "sid"), "near")
+        out = written(with_sets(docs, nearer, heavy).groupBy("bucket").applyInPandas(_forests, "u long, v long"), "links")
+        delete(coarse, near, fine, nearer)
+        return out
 
     # first each set in one block, that of its smallest leader: this joins most of what belongs together, so
     # that then, over all blocks, few sets are left that may link to another component
-    one = pairs.groupBy("sid").agg(F.min("leader").alias("leader")).select("leader", "sid")
-    one = one.union(one.select("leader", F.col("leader").alias("sid"))).distinct()
-    found = links(_dealt(one).select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
+    one = pairs.groupBy("sid", "n").agg(F.min("leader").alias("leader")).select("leader", "sid", "n")
+    one = one.union(met(one.select(F.col("leader").alias("sid")).distinct(), known.select("sid", "n"), "sid").select(F.col("sid").alias("leader"), "sid", "n")).distinct()
+    found = links(_dealt(one.withColumn("early", F.lit(True))).select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
     comp = written(components(found), "components")
-    dealt = _dealt(pairs).join(comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
-    found = written(found.union(links(dealt.select("block", "sid", F.lit(True).alias("query"), "comp"))), "links")
+    dealt = _with_components(_dealt(pairs), comp)
+    found = written(found.union(links(dealt.select("block", "sid", F.col("early").alias("query"), "comp"))), "links")
     comp = written(components(found), "components")
     asked = _remainder(_dealt(pairs).where("chunks > 1"), comp)
     if asked is not None:
         comp = written(components(found.union(links(asked))), "components")
-    rooted = rows.select("doc_id", "sid", "n").join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    low = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(low, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _with_ids(rows, comp)
+
+
+def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows (sid, ...) with column comp: the root of its component, a set that no forest holds being its own."""
+    return met(rows, comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
+
+def _with_ids(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows (doc_id, sid, n) with the smallest id of their component; no join has a hot key, however many copies a set has."""
+    own = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    own = own.join(comp, "sid", "left").where("root is not null or copies > 1")
+    own = written(own.select("sid", "low", F.coalesce("root", "sid").alias("root")), "copied")
+    low = own.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = written(met(own.select("sid", "root"), written(low, "least"), "root").select("sid", "component_id"), "ids")
+    return met(rows, ids, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _crossed(asking: DataFrame, held: DataFrame) -> DataFrame:
+    """(block, sid, query, comp): every asking set with every held one of its leader (both leader, sid, n, comp), in groups of bounded size."""
+    held, asking = _parts(held, "chunks", BLOCK, "chunk"), _parts(asking, "parts", ASKING, "part")
+    chunks, parts = held.select("leader", "chunks").distinct(), asking.select("leader", "parts").distinct()
+    block = F.xxhash64("leader", "chunk", "part", F.lit("crossed")).alias("block")
+    left = met(asking, written(chunks, "chunks"), "leader").withColumn("chunk", _everywhere("chunks")).select(block, "sid", F.lit(True).alias("query"), "comp")
+    right = met(held, written(parts, "parts"), "leader").withColumn("part", _everywhere("parts")).select(block, "sid", F.lit(False).alias("query"), "comp")
+    return left.union(right)
 
 
 def _remainder(large: DataFrame, comp: DataFrame) -> DataFrame | None:
-    """What is still to be asked of blocks in several chunks: the sets outside a block's largest component, of all its chunks."""
+    """What is still to be asked of blocks in several chunks.
+
+    Of two sets that link here, one is early. What is outside a block's largest component and early asks all of the block; what
+    is outside and late asks the early sets of that component (the others ask it).
+    """
     if not large.limit(1).count():
         return None
-    members = large.join(comp, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).select("leader", "block", "sid", "comp")
-    members = written(members, "large")
-    own = members.groupBy("leader", "comp").agg(F.countDistinct("sid").alias("m"))
+    members = large.groupBy("leader", "sid", "n").agg(F.max("early").alias("early"))
+    members = written(_with_components(members, comp), "large")
+    own = members.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = own.groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    outside = members.join(most.select("leader", F.col("most.comp").alias("main")), "leader").where(F.col("comp") != F.col("main"))
-    outside = written(outside.select("leader", "sid", "comp").distinct(), "outside")
-    if not outside.limit(1).count():
+    members = written(met(members, written(most.select("leader", F.col("most.comp").alias("main")), "most"), "leader"), "large")
+    outside = F.col("comp") != F.col("main")
+    if not members.where(outside).limit(1).count():
         return None
-    trees = members.select("leader", "block").distinct()
-    asking = trees.join(outside, "leader").select("block", "sid", "comp", F.lit(True).alias("query"))
-    held = members.join(outside.select("leader").distinct(), "leader", "left_semi").select("block", "sid", "comp", F.lit(False).alias("query"))
-    return written(asking.union(held).groupBy("block", "sid", "comp").agg(F.max("query").alias("query")).select("block", "sid", "query", "comp"), "asked")
+    columns = ["leader", "sid", "n", "comp"]
+    first = _crossed(members.where(outside & F.col("early")).select(columns), members.select(columns))
+    second = _crossed(members.where(outside & ~F.col("early")).select(columns), members.where(~outside & F.col("early")).select("leader", "sid", "n", "comp"))
+    second = second.withColumn("block", F.xxhash64("block", F.lit("late")))
+    return written(first.union(second).groupBy("block", "sid", "comp").agg(F.max("query").alias("query")).select("block", "sid", "query", "comp"), "asked")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

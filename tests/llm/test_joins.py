@@ -5,7 +5,7 @@ import brute
 import numpy as np
 import pytest
 
-from gridloom.llm import jaccard_join, nn_descent, packing
+from gridloom.llm import common, jaccard_join, nn_descent, packing
 from gridloom.llm.common import documents
 
 DOCS = "doc_id long, text string, source string, sid long, block long, lead string"
@@ -32,17 +32,44 @@ def near_copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_components_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(256, 500_000), (8, 500_000), (16, 0)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, block, few):
     rows = near_copies()
-    old, jaccard_join.BLOCK = jaccard_join.BLOCK, block
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op7(docs(spark, rows)).collect()}
-    finally:
-        jaccard_join.BLOCK = old
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ASKING", 4 * block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(common, "HOT", 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op7(docs(spark, rows)).collect()}
     assert got == brute.jaccard_components(dict(rows))
 
 
+def test_no_documents(spark):
+    assert jaccard_join.op7(docs(spark, [(1, "x")]).where("doc_id < 0")).collect() == []
+    assert jaccard_join.deduplicated(docs(spark, [(1, "x")]).where("doc_id < 0")).collect() == []
+
+
+def test_no_hot_key_in_a_join_that_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 7)], "k long, v long")
+    small = spark.createDataFrame([(i, -i) for i in range(200)], "k long, w long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
+        monkeypatch.setattr(common, "HOT", 5)
+        assert sorted(map(tuple, common.met(big, small, "k", how).collect()), key=repr) == want
+
+
+def test_a_leading_shingle_of_a_linked_pair_is_early_in_the_smaller():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 400, 60))
+        a, b = (np.unique(np.concatenate((rng.choice(base, rng.integers(40, len(base)), replace=False), rng.integers(0, 400, rng.integers(0, 9))))) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        if 100 * (n := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - n):
+            first = np.intersect1d(a, b)[0]
+            assert first in a[: jaccard_join.early(len(a))] and first in b[: len(b) - jaccard_join.needed(len(b)) + 1]
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies()
     want = {c for _, c in brute.jaccard_components(dict(rows)).values()}
@@ -78,12 +105,13 @@ def test_the_tree_links_what_brute_force_links():
     assert {(i, j): got[i] == got[j] for i in want for j in want} == {(i, j): want[i] == want[j] for i in want for j in want}
 
 
-def test_parity_maps_never_overstate_the_difference():
+@pytest.mark.parametrize("fine", [1, jaccard_join.FINE])
+def test_parity_maps_never_overstate_the_difference(fine):
     rng = np.random.default_rng(1)
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 1 << 40, rng.integers(1, 300))) for _ in range(2))
         b = np.unique(np.concatenate((b, rng.choice(a, len(a) // 2))))
-        maps = sorted((np.frombuffer(jaccard_join.parity(s), np.uint8) for s in (a, b)), key=len)
+        maps = sorted((np.frombuffer(jaccard_join.parity(s, fine), np.uint8) for s in (a, b)), key=len)
         while len(maps[1]) > len(maps[0]):
             half = len(maps[1]) // 2
             maps[1] = maps[1][:half] ^ maps[1][half:]
