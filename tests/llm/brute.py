@@ -122,3 +122,16 @@ def mix_targets(sizes):
         if not above:
             return {s: cap[s] if s in full else share[s] for s in sizes}
         full |= above
+
+
+def best_fit(counts, capacity):
+    """Sequences that best fit opens, longest pieces first."""
+    gaps: list = []
+    for length in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - length)
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)

@@ -149,7 +149,6 @@ def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary()[0])
-    tokenizer.encode_special_tokens = True
     rows = packing.op10(docs(spark, list(enumerate(TEXTS)))).collect()
     total, by_doc, by_sequence = 0, {}, {}
     for r in rows:
@@ -174,23 +173,36 @@ def test_packing_is_a_round_trip(spark):
     assert packing.op10(docs(spark, [(0, "x")]).where("doc_id < 0")).collect() == []
 
 
-def test_plans_place_each_piece_once():
+def sequences_of(plan, counts, capacity):
+    """Checks that a plan places each piece once, without gaps or overlaps; the number of sequences."""
+    plan = sorted(plan)
+    used: dict = {}
+    for i, (length, rank, first, offset) in enumerate(plan):
+        nxt = plan[i + 1] if i + 1 < len(plan) and plan[i + 1][0] == length else None
+        assert rank == 0 if i == 0 or plan[i - 1][0] != length else rank > plan[i - 1][1]
+        for k in range((nxt[1] if nxt else counts[length]) - rank):
+            used.setdefault(first + k, []).append((offset, length))
+    assert sum(len(u) for u in used.values()) == sum(counts.values())
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(used)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "small", "halves"])
+def test_supersteps_use_about_as_few_sequences_as_best_fit(spark, kind):
     rng = random.Random(9)
-    for _ in range(30):
-        counts = {rng.randrange(1, 65): rng.randrange(1, 40) for _ in range(20)}
-        plan = sorted(packing.best_fit(counts, 64))
-        used: dict = {}
-        for i, (length, rank, first, offset) in enumerate(plan):
-            nxt = plan[i + 1] if i + 1 < len(plan) and plan[i + 1][0] == length else None
-            for k in range((nxt[1] if nxt else counts[length]) - rank):
-                used.setdefault(first + k, []).append((offset, length))
-        assert sum(len(u) for u in used.values()) == sum(counts.values())
-        for places in used.values():
-            at = 0
-            for offset, length in sorted(places):
-                assert offset == at
-                at += length
-            assert at <= 64
+    counts = {
+        "mixed": {rng.randrange(1, 65): rng.randrange(1, 40) for _ in range(20)},
+        "small": {3: 5000},
+        "halves": {33: 4, 32: 7, 31: 9, 64: 2},
+    }[kind]
+    plan = packing.best_fit(spark.createDataFrame(list(counts.items()), "length long, n long"), 64).collect()
+    got = sequences_of([tuple(r) for r in plan], counts, 64)
+    assert got <= 1.02 * brute.best_fit(counts, 64) + 1
 
 
 def test_fast_and_slow_encoders_agree():
@@ -199,6 +211,17 @@ def test_fast_and_slow_encoders_agree():
         for form in ("a{}b 1{}2 {}{} {}\n{}x", "{}", " {}{}'s{}'ll  {}   {}", "\n\n{} {}\n"):
             text = form.replace("{}", c)
             assert packing.PLAIN.search(text) is None and fast(text).tolist() == slow(text).tolist(), hex(ord(c))
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x" * 3000 + " " * 3000 + "7" * 3000, "\n" * 500 + "\t" * 500 + "-" * 500]:
+        assert fast(text).tolist() == slow(text).tolist()
+    assert slow("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_fast_and_slow_encoders_agree_on_documents():
+    import pyarrow.parquet as pq
+
+    fast, slow = packing._encoder(*packing.vocabulary()), packing._encoder.__wrapped__(packing.vocabulary()[0], None)
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist():
+        assert fast(t or "").tolist() == slow(t or "").tolist()
 
 
 def test_pipeline_stages_take_effect(spark):
