@@ -2,11 +2,12 @@
 
 The automaton holds the word sequences of all templates. A file's words are streamed through it; at each
 word it knows the longest run ending there that stands in some template. Maximal runs of `LEAST` words or
-more are chained, template by template, where both their places in the file and in the template advance;
-a chain that covers enough of its template is a span. The automaton depends on the templates alone, so
-each task builds it once and every file is a row of its own: no shuffle.
+more are chained, template by template, where both their places in the file and in the template advance; of a run that a
+template repeats, every place may go on a chain. A chain that covers enough of its template is a span; of chains that overlap in the file the one that
+covers most stays. The automaton depends on the templates alone, so each task builds it once and every file is a row of its own: no shuffle.
 
-Defined results: a null text is empty. Rows are judged one by one, repeated rows alike.
+Defined results: a null text is empty. Rows are judged one by one, repeated rows alike. An empty table gives an empty one. Chains that cover equally
+much tie: the first in the file stays. Very long texts are taken whole, with memory in proportion to their words. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,33 +19,77 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Base phrases with their labels, and licence templates (fixed values).
+#: Base phrases with their labels, and templates: short licences whole, of long ones the notice that their authors ask for (fixed values).
+#: Others are passed to scan().
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = {
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
-modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
-to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
-substantial portions of the Software.""",
-    "mit-notice": "This project is released under the MIT License. Permission is hereby granted, free of charge.",
-    "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
-the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
-to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
-either express or implied.""",
-    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
-is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
-FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "gpl-line": "This work is licensed under the GNU General Public License version 3.",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
-following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.""",
-    "mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
-distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "cc-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject
+to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder
+nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""",
+    "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in
+the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this
+program. If not, see http://www.gnu.org/licenses/.""",
+    "lgpl-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "cc-by-notice": """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
 }
 COMMON = frozenset(b"the of and to in a is that for it was on are as with be by this at from or an have not you any all but will can see if one no".split())
 
@@ -61,12 +106,12 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Suffix automaton of several word sequences; ends: for each state the last place of its words, by template."""
+    """Suffix automaton of several word sequences; ends: for each state of LEAST words or more all places where it ends, by template."""
 
     next: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     size: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    ends: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
 
     def _state(self, size: int, link: int, after: dict[bytes, int]) -> int:
         self.size.append(size)
@@ -110,8 +155,8 @@ def build(templates: dict[str, str] = TEMPLATES) -> tuple[Automaton, list[str],
         state = 0
         for i, w in enumerate(words):
             state = s = sam.next[state][w]
-            while s > 0:  # a suffix ends wherever its extension ends
-                sam.ends[s].setdefault(k, i)
+            while s > 0 and sam.size[s] >= LEAST:  # a suffix ends wherever its extension ends
+                sam.ends[s].setdefault(k, []).append(i)
                 s = sam.link[s]
         for i in range(max(1, len(words) - LEAST + 1)):
             run = words[i : i + LEAST]
@@ -142,23 +187,40 @@ def runs(sam: Automaton, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
 
 def chained(sam: Automaton, lengths: list[int], words: list[bytes]) -> list[tuple[int, int, int, int]]:
     """Spans as (start, end, template, words covered), by start."""
-    open_: dict[int, tuple[int, int, int, int]] = {}  # template: start, end, covered, last place in the template
     done: list[tuple[int, int, int, int]] = []
-    close = lambda k, c: done.append((c[0], c[1], k, c[2]))
+    # by template the chains (start, end, covered, last place in the template) since the last gap of more than SKIP words
+    held: dict[int, list[tuple[int, int, int, int]]] = {}
+    open_: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def close(k: int) -> None:
+        taken: list[tuple[int, int]] = []
+        for start, end, covered, _ in sorted(held.pop(k, ()), key=lambda c: (-c[2], c[0], c[1])):
+            if covered < min(ENOUGH, COVER * lengths[k]):
+                break
+            if all(end <= a or b <= start for a, b in taken):
+                taken.append((start, end))
+                done.append((start, end, k, covered))
+
     for end, length, state in runs(sam, words):
+        start = end - length
         # state may stand for longer words; its ends hold for every suffix of them
-        for k, last in sam.ends[state].items():
-            c = open_.get(k)
-            new = max(0, end - max(end - length, c[1])) if c else length
-            if c and end - length - c[1] <= SKIP and last > c[3]:
-                open_[k] = (c[0], end, c[2] + new, last)
-            else:
-                if c:
-                    close(k, c)
-                open_[k] = (end - length, end, length, last)
-    for k, c in open_.items():
-        close(k, c)
-    return sorted(d for d in done if d[3] >= min(ENOUGH, COVER * lengths[d[2]]))
+        for k, places in sam.ends[state].items():
+            near = [c for c in open_.get(k, ()) if start - c[1] <= SKIP]
+            if not near:
+                close(k)
+            made = []
+            for at in places:
+                best = (start, end, length, at)
+                for c in near:
+                    new = end - max(start, c[1])
+                    if at - c[3] >= new and c[2] + new > best[2]:
+                        best = (c[0], end, c[2] + new, at)
+                made.append(best)
+            open_[k] = near + made
+            held.setdefault(k, []).extend(made)
+    for k in list(held):
+        close(k)
+    return sorted(done)
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
