@@ -2,12 +2,15 @@
 
 Every source gets a word budget (`targets`). It is spent on whole epochs of the source
 first; what is left goes to its documents in ascending order of -ln(u) / quality, up to the
-budget. Nothing but sizes and keys is shuffled, and no source is ever sorted whole: keys fall into
-`BUCKETS` ranges, sums by range find the one in which a budget ends, and only that one is sorted.
+budget. Nothing but sizes and keys is shuffled, and no source is ever sorted whole: keys fall into ranges
+of equal width in their logarithm, sums by range find the one in which a budget ends, and only that one is sorted. An exponential
+key of any rate falls in one such range with a probability of 1 / (e * `RANGES`) at most, so it holds about
+so small a share of its source whatever the weights are.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last in order;
 documents of equal id and text share their key, so they are taken or left together;
-an empty table gives an empty mix. u comes from a hash of id and text, so reruns agree.
+an empty table gives an empty mix; a very long text is one document, so a budget is missed by half of it at most;
+other columns pass through, whatever their names. u comes from a hash of id and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, written
 
-BUCKETS = 4096
+#: Ranges to a factor of e in the keys.
+RANGES = 1024
 CYCLE = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: A table of sources with up to this many rows may be broadcast (about 100 bytes a row).
@@ -37,7 +41,7 @@ def sized(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     df = docs.withColumn("__size", let(F.split(t, SPACE + "+"), lambda w: F.size(w) - ends(w)))
     draw = (F.xxhash64(F.lit(seed), F.col("doc_id"), t).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     df = df.withColumn("__key", -F.log(draw) / quality_weight(F.col("__size"), F.length(t)))
-    return df.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
+    return df.withColumn("__bucket", F.floor(F.log("__key") * RANGES).cast("int"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
