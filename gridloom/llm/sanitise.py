@@ -12,8 +12,11 @@ All counts are by document and cover all documents. Co-occurrence is counted for
 of `SUPPORT` documents or more, as no other can reach it, and disclosing terms are placed in the documents that hold
 one. Partial sums are taken before each shuffle, so a frequent term or entity sends one row a task.
 
+A term is a whole run of letters of any length; a script without spaces gives its runs between marks.
+
 Defined results: null text is empty and has no span. Words that overlap an entity's place are no terms there.
-Rows equal in id and text count as so many documents, and get the same spans. Nulls, empty tables and extra columns pass through.
+Rows equal in id and text count as so many documents, and get the same spans. Of entities that tie for a term the share is the same. Nulls and
+columns of any other name pass through; an empty table gives an empty one. Very long texts and texts of very many matches are taken whole.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, let, written
-from .spans import count_of, joined, places, replaced, tagged
+from .spans import TAGGED, apart, count_of, joined, last_end, none, places, replaced, running, tagged
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed_term")
 #: Patterns (fixed values). `\G|(?<!...)` starts a match only where a run of the class starts or the last match ended.
@@ -30,7 +33,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{N}_])"
+TERM = r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"
 
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
@@ -55,17 +58,16 @@ def luhn(digits: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     octet = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda q: (F.length(q) <= 3) & (F.expr("0") + q.try_cast("int") <= 255))
     ip = F.filter(places(text, IP), lambda x: F.forall(F.split(x["v"], r"\."), octet))
     card = F.filter(places(text, CARD), lambda x: let(_digits(x["v"]), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(F.lit(False))))
     phone = F.filter(places(text, PHONE), lambda x: F.length(_digits(x["v"])).between(10, 15))
     return F.sort_array(
         F.concat(
-            tagged(F.when(text.contains("@"), places(text, EMAIL)).otherwise(none), 0),
-            tagged(F.when(text.contains("."), ip).otherwise(none), 1),
+            tagged(F.when(text.contains("@"), places(text, EMAIL)).otherwise(none()), 0),
+            tagged(F.when(text.contains("."), ip).otherwise(none()), 1),
             tagged(card, 2),
-            tagged(F.when(text.contains("+"), phone).otherwise(none), 3),
+            tagged(F.when(text.contains("+"), phone).otherwise(none()), 3),
         )
     )
 
@@ -81,14 +83,13 @@ def outside(text: Column, spans: Column) -> Column:
     def mark(i: Column) -> Column:
         return F.when((i > 0) & F.substring(text, i, F.lit(1)).rlike(r"[\p{L}\p{N}_]"), "0").otherwise(" ")
 
-    start = F.struct(F.lit(0).alias("p"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(mark(acc["p"]), F.substring(text, acc["p"] + 1, x["s"] - acc["p"]), mark(x["s"] + 1))
-        new = F.struct(x["e"].alias("p"), F.concat(acc["out"], F.array(gap)).alias("out"))
-        return F.when(x["s"] >= acc["p"], new).otherwise(F.struct(F.greatest(acc["p"], x["e"]).alias("p"), acc["out"].alias("out")))
+    def step(p: Column, i: Column):
+        x = F.get(spans, i)
+        gap = F.concat(mark(p), F.substring(text, p + 1, x["s"] - p), mark(x["s"] + 1))
+        return F.greatest(p, x["e"]), F.when(x["s"] >= p, gap).otherwise(" ")
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], " "), mark(acc["p"]), F.substring(text, acc["p"] + 1, F.length(text))))
+    end = last_end(spans)
+    return F.concat(F.array_join(running(F.size(spans), F.lit(0), step, "string"), " "), mark(end), F.substring(text, end + 1, F.length(text)))
 
 
 def words(text: Column) -> Column:
@@ -103,14 +104,13 @@ def _term(w: Column) -> Column:
 
 def context(text: Column, spans: Column) -> Column:
     """The terms of a text that lie in no base span; none where there is no span."""
-    none = F.expr("cast(array() as array<bigint>)")
-    return F.when(F.size(spans) == 0, none).otherwise(F.array_distinct(F.transform(words(outside(text, spans)), _term)))
+    return F.when(F.size(spans) == 0, none("bigint")).otherwise(F.array_distinct(F.transform(words(outside(text, spans)), _term)))
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(t, df): in how many of all documents each wanted term stands."""
     t = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = F.transform(F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4)), lambda w: F.xxhash64(w))
+    words = F.transform(F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: w != "")), lambda w: F.xxhash64(w))
     counts = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     return counts.join(wanted, "t")  # wanted is distinct; a semi join would be pushed below the aggregation
 
@@ -146,17 +146,21 @@ def term_spans(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return some.select("__k", at.alias("terms"))
 
 
+def _row(t: Column) -> Column:
+    """A key of 128 bits for rows of equal id and text."""
+    return F.struct(F.xxhash64("doc_id", t).alias("a"), F.xxhash64(t, "doc_id", F.lit("b")).alias("b"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, terms) for each row of docs: base spans and disclosing terms, sorted, as (s, k, e, v)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.xxhash64("doc_id", t).alias("key"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), context(x, b).alias("ctx")))).alias("f"))
+    found = docs.select("doc_id", _row(t).alias("key"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), context(x, b).alias("ctx")))).alias("f"))
     found = written(found.select("doc_id", "key", "f.base", "f.ctx"), "pii")
     bad = written(disclosures(docs.select("text"), found).groupBy("t").agg(F.max("ratio").alias("ratio")), "pii-terms")
-    terms = term_spans(docs.select(F.xxhash64("doc_id", t).alias("__k"), t.alias("text")), bad)
+    terms = term_spans(docs.select(_row(t).alias("__k"), t.alias("text")), bad)
     out = found.join(terms, found["key"] == F.col("__k"), "left")
-    clear = F.filter("terms", lambda m: ~F.exists("base", lambda y: (y["s"] < m["e"]) & (m["s"] < y["e"])))
-    out = out.select("doc_id", "key", "base", clear.alias("terms"))
-    return out.select("doc_id", "key", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)")).alias("terms"))
+    terms = F.when(F.col("terms").isNull(), none(TAGGED)).otherwise(apart(F.col("terms"), F.col("base")))
+    return out.select("doc_id", "key", "base", terms.alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found = scan(docs.select("doc_id", "text")).select(F.col("key").alias(key), F.sort_array(F.concat("base", "terms")).alias(spans)).where(F.size(spans) > 0).dropDuplicates([key])
     names = F.array(*[F.lit("" if k == "removed_term" else f"[{k}]") for k in KINDS])
     t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn(key, F.xxhash64("doc_id", t)).join(found, key, "left")
+    rows = docs.withColumn(key, _row(t)).join(found, key, "left")
     return rows.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(replaced(t, F.col(spans), names))).select(*docs.columns)
 
 

@@ -3,21 +3,27 @@
 A candidate is a maximal run of 20 or more characters of the common encodings. Its encoding is inferred from
 its characters; in that alphabet, three tests ask whether it looks like independent uniform draws:
 chi-squared over the alphabet, runs about the alphabet's middle, and serial correlation at lag 1.
-Fisher's rule combines their p-values; a token that fails is not random. Ordinary long words
-and identifiers change between lower case, upper case and digits rarely: how improbable a token's
-number of changes is for its length gives a second p-value, and over all candidates of a length band the
-Benjamini-Hochberg rule sets the limit, from a histogram of bounded size.
+Fisher's rule combines their p-values; a token that fails is not random.
 
-Defined results: null text is empty and has no span. Rows are judged one by one, repeated rows alike.
+A discovery is a token that no ordinary one looks like. Ordinary tokens (long words, identifiers) change between lower case,
+upper case and digits rarely: how improbable a token's number of changes is for its length is one p-value. The tokens
+of the corpus that change no more than that are the null of the battery: of them, by encoding and length band, the share
+that looks as random as the token or more is the other. Fisher's rule combines the two, and over all candidates of a length band the
+Benjamini-Hochberg rule sets the limit. All of it comes from one histogram of bounded size, counted over all texts.
+
+Defined results: null text is empty and has no span. Rows are judged one by one, repeated rows alike. An empty table gives an empty
+one. Candidates of one bin tie, and pass or fail together. Very long texts and texts of very many matches are taken whole. Columns but the text pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, let
-from .spans import count_of, joined, places, replaced, tagged
+from .spans import count_of, joined, none, places, replaced, tagged, uncovered
 
 #: Patterns and alphabets (fixed values).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,17 +41,19 @@ KINDS = ("assign", "access", "hex", "random")
 #: Share of false discoveries, least combined p-value of a random token, changes of class per character in ordinary tokens.
 FDR, LEAST_P, ORDINARY = 0.01, 0.001, 0.1
 BANDS = (20, 32, 48, 80)
-DEEPEST = 300
+#: Bins a decade and decades of the histogram: of the battery's p-value (down to LEAST_P) and of that of the changes.
+RANDOM_BINS, PLAIN_BINS, DEEPEST = 8, 4, 40
+#: A token whose changes are at least so probable is ordinary.
+ORDINARY_FROM = 0.1
 
 
 def base_spans(text: Column) -> Column:
     assign = F.filter(places(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 2)) >= 12)
     either = text.contains("=") | text.contains(":")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     return F.sort_array(
         F.concat(
-            tagged(F.when(either, assign).otherwise(none), 0),
-            tagged(F.when(text.contains("AKIA"), places(text, ACCESS)).otherwise(none), 1),
+            tagged(F.when(either, assign).otherwise(none()), 0),
+            tagged(F.when(text.contains("AKIA"), places(text, ACCESS)).otherwise(none()), 1),
             tagged(places(text, HEX), 2),
         )
     )
@@ -93,7 +101,7 @@ def battery(token: Column) -> Column:
     n = F.length(token) - 1
     rate = F.greatest(F.least((n - changes) / n, F.lit(1 - 1e-9)), F.lit(1e-9))
     apart = rate * F.log(rate / ORDINARY) + (1 - rate) * F.log((1 - rate) / (1 - ORDINARY))
-    p_plain = F.when(rate <= ORDINARY, F.lit(1.0)).otherwise(F.exp(-F.least(n * apart, F.lit(690.0))))
+    p_plain = F.when(rate <= ORDINARY, F.lit(1.0)).otherwise(F.exp(-F.least(n * apart, F.lit(600.0))))
     return F.struct(kind.alias("encoding"), p_random.alias("p_random"), p_plain.alias("p_plain"))
 
 
@@ -104,43 +112,70 @@ def _band(token: Column) -> Column:
     return out
 
 
-def _depth(p: Column) -> Column:
-    """The bin of a p-value: eighths of its negative decimal logarithm."""
-    return F.floor(F.least(-F.log10(p), F.lit(float(DEEPEST))) * 8).cast("int")
+def _bins(tests: Column) -> tuple[Column, Column]:
+    """The bins of a token's two p-values: parts of decades of their negative logarithms; the battery's last bin is below LEAST_P."""
+    deep = lambda p, most, each: F.floor(F.least(-F.log10(F.greatest(p, F.lit(1e-300))), F.lit(float(most))) * each).cast("int")
+    last = round(-math.log10(LEAST_P))
+    random = F.when(tests["p_random"] >= LEAST_P, F.least(deep(tests["p_random"], last, RANDOM_BINS), F.lit(last * RANDOM_BINS - 1))).otherwise(last * RANDOM_BINS)
+    return random, deep(tests["p_plain"], DEEPEST, PLAIN_BINS)
+
 
+def _fisher(p: float, q: float) -> float:
+    x = max(p * q, 1e-300)
+    return x * (1 - math.log(x))
 
-def limits(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    """For each length band the least bin that the Benjamini-Hochberg rule accepts; none if it accepts no bin.
 
-    At most len(BANDS) * (8 * DEEPEST + 1) counts come to the driver, for any input.
+def limits(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], list[int]]:
+    """By encoding and length band, for each bin of the battery the least bin of the changes that is a discovery.
+
+    The histogram on the driver has at most encodings x bands x 25 x 161 rows, for any input.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.select(F.explode(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("v"))
-    bins = tokens.select(_band(F.col("v")).alias("band"), _depth(battery(F.col("v"))["p_plain"]).alias("bin")).groupBy("band", "bin").count()
-    counts: dict[int, dict[int, int]] = {}
-    for r in bins.collect():
-        counts.setdefault(r["band"], {})[r["bin"]] = r["count"]
-    out = {}
-    for band, by_bin in counts.items():
-        m, above = sum(by_bin.values()), 0
-        for b in sorted(by_bin, reverse=True):
-            above += by_bin[b]
-            if 10 ** (-b / 8) <= FDR * above / m:
-                out[band] = b
+    tokens = docs.select(F.explode(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("v")).select(_band(F.col("v")).alias("band"), battery(F.col("v")).alias("b"))
+    random, plain = _bins(F.col("b"))
+    rows = tokens.select(F.coalesce(F.col("b.encoding"), F.lit("")).alias("encoding"), "band", random.alias("random"), plain.alias("plain")).groupBy("encoding", "band", "random", "plain").count().collect()
+    return accepted([tuple(r) for r in rows])
+
+
+def accepted(rows: list[tuple[str, int, int, int, int]]) -> dict[tuple[str, int], list[int]]:
+    """limits() from (encoding, band, random, plain, count)."""
+    last = round(-math.log10(LEAST_P)) * RANDOM_BINS
+    ordinary: dict[tuple[str, int], list[int]] = {}
+    for encoding, band, random, plain, n in rows:
+        if plain <= -math.log10(ORDINARY_FROM) * PLAIN_BINS:
+            ordinary.setdefault((encoding, band), [0] * (last + 1))[random] += n
+    as_random = {k: [(1 + sum(by[: r + 1])) / (1 + sum(by)) for r in range(last + 1)] for k, by in ordinary.items()}
+    p_of = lambda k, random, plain: _fisher(as_random[k][random] if k in as_random else 1.0, 10 ** (-plain / PLAIN_BINS))
+    out: dict[tuple[str, int], list[int]] = {}
+    for band in range(len(BANDS)):
+        ps = sorted((1.0 if random == last else p_of((encoding, band), random, plain), n) for encoding, b, random, plain, n in rows if b == band)
+        m, upto, limit = sum(n for _, n in ps), 0, -1.0
+        for p, n in ps:
+            upto += n
+            if p <= FDR * upto / m:
+                limit = p
+        if limit < 0:
+            continue
+        for encoding in {e for e, b, *_ in rows if b == band and e}:
+            out[encoding, band] = [next((q for q in range(DEEPEST * PLAIN_BINS + 1) if p_of((encoding, band), r, q) <= limit), DEEPEST * PLAIN_BINS + 1) for r in range(last)]
     return out
 
 
-def all_spans(text: Column, limit: dict[int, int]) -> Column:
+def all_spans(text: Column, limit: dict[tuple[str, int], list[int]]) -> Column:
     """Base spans and those of the battery that no base span covers, sorted."""
 
-    def accepted(v: Column) -> Column:
-        need = F.lit(8 * DEEPEST + 1)
-        for band, b in limit.items():
-            need = F.when(_band(v) == band, F.lit(b)).otherwise(need)
-        return let(battery(v), lambda s: (_depth(s["p_plain"]) >= need) & (s["p_random"] >= LEAST_P))
+    def accept(v: Column) -> Column:
+        def judged(tests: Column) -> Column:
+            need = F.lit(None).cast("array<int>")
+            for (encoding, band), by_random in limit.items():
+                need = F.when((tests["encoding"] == encoding) & (_band(v) == band), F.array(*map(F.lit, by_random))).otherwise(need)
+            random, plain = _bins(tests)
+            return F.coalesce(plain >= F.get(need, random), F.lit(False))
+
+        return let(battery(v), judged) if limit else F.lit(False)
 
-    found = F.filter(places(text, TOKEN), lambda x: accepted(x["v"]))
-    return let(base_spans(text), lambda base: F.sort_array(F.concat(base, tagged(F.filter(found, lambda x: ~F.exists(base, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))), 3))))
+    found = tagged(F.filter(places(text, TOKEN), lambda x: accept(x["v"])), 3)
+    return let(base_spans(text), lambda base: let(found, lambda extra: F.when(F.size(extra) == 0, base).otherwise(F.sort_array(F.concat(base, uncovered(extra, base))))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -55,7 +55,7 @@ def test_personal_data_equals_the_contract(spark):
 
 
 def test_terms_that_only_stand_with_an_entity_go(spark):
-    texts = [f"The meeting with Zephyrine a.b@c.de about number {i}" for i in range(4)] + [f"The meeting about number {i} was long" for i in range(60)]
+    texts = [f"The meeting with Zephyrine a.b@c.de about number {i}" for i in range(4)] + [f"The meeting with us about number {i} was long" for i in range(60)]
     rows = {r.doc_id: r for r in sanitise.op4(docs(spark, texts)).collect()}
     assert all(rows[i].n_terms == 1 for i in range(4)) and all(rows[i].spans == "" for i in range(4, 64))
     clean = {r.doc_id: r.text for r in sanitise.sanitised(docs(spark, texts)).collect()}
@@ -103,12 +103,12 @@ LICENCES = [None, "", LONG, "MIT License and the APACHE-license", "mit mit licen
 
 
 def test_licences_equal_the_contract(spark):
-    texts = [*LICENCES, license_scan.TEMPLATES["bsd-text"], "x " + license_scan.TEMPLATES["mit-text"].replace("sell", "rent") + " y", "software is provided in the hope of the best of all"]
+    texts = [*LICENCES, license_scan.TEMPLATES["bsd-2-text"], "x " + license_scan.TEMPLATES["mit-text"].replace("sell", "rent") + " y", "software is provided in the hope of the best of all"]
     rows = {r.doc_id: r for r in license_scan.op6(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = brute.licences(t)
         assert {k: rows[i][k] for k in want} == want
-    assert "bsd-text" in rows[8].labels and rows[8].score > 0.95 and "mit-text" in rows[9].labels and rows[9].score > 0.9 and rows[10].labels == ""
+    assert "bsd-2-text" in rows[8].labels and rows[8].score > 0.95 and "mit-text" in rows[9].labels and rows[9].score > 0.9 and rows[10].labels == ""
 
 
 def test_matching_statistics_are_those_of_brute_force():
@@ -126,6 +126,37 @@ def test_matching_statistics_are_those_of_brute_force():
         assert [(e, n) for e, n, _ in license_scan.runs(sam, words)] == want
 
 
+def test_a_run_that_a_template_repeats_goes_on_a_chain_at_any_of_its_places():
+    same, first, last = "alpha beta gamma delta epsilon", "one two three four five six", "seven eight nine ten eleven twelve"
+    templates = {"t": f"{same} {first} {same} {last}"}
+    sam, _, lengths, _ = license_scan.build(templates)
+    words = license_scan.words_of(f"{first} x {same} y {last}")
+    assert license_scan.chained(sam, lengths, words) == [(0, 19, 0, 17)]
+    whole = license_scan.words_of(templates["t"])
+    assert license_scan.chained(sam, lengths, whole * 3) == [(22 * i, 22 * i + 22, 0, 22) for i in range(3)]
+
+
+def test_chains_are_the_best_of_brute_force():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(40):
+        template = [rng.choice("abcdefgh") * 2 for _ in range(30)]
+        sam, _, lengths, _ = license_scan.build({"t": " ".join(template)})
+        words = []
+        for _ in range(3):
+            i = rng.randrange(20)
+            words += template[i : i + rng.randrange(5, 10)] + ["zz"] * rng.randrange(4)
+        pieces = [(e - n, e, at) for e, n, s in license_scan.runs(sam, [w.encode() for w in words]) for at in range(30) if at + 1 >= n and template[at + 1 - n : at + 1] == words[e - n : e]]
+
+        def longest(c, left):
+            return max([c[2], *(longest((c[0], e, c[2] + e - max(s, c[1]), at), left[i + 1 :]) for i, (s, e, at) in enumerate(left) if s >= c[0] and e > c[1] and s - c[1] <= license_scan.SKIP and at - c[3] >= e - max(s, c[1]))])
+
+        best = max((longest((s, e, e - s, at), pieces[i + 1 :]) for i, (s, e, at) in enumerate(pieces)), default=0)
+        got = license_scan.chained(sam, lengths, [w.encode() for w in words])
+        assert max((c for *_, c in got), default=0) == (best if best >= license_scan.ENOUGH else 0)
+
+
 def test_lines_go_by_their_share_of_a_host(spark):
     texts = ["common line\nown line %d" % i for i in range(8)] + ["own\n\nown", None, ""] + ["common line\nother"] * 2
     sources = ["a"] * 8 + [None] * 3 + ["b"] * 2
@@ -146,7 +177,7 @@ def test_the_mix_keeps_to_its_targets(spark):
     sources = [["a", "a", "b", None, "c"][i % 5] for i in range(602)] + ["d", "d"]
     df = docs(spark, texts, sources)
     rows = mixing.op1(df).collect()
-    assert len(rows) == 604 and rows == mixing.op1(df).collect() or sorted(rows) == sorted(mixing.op1(df).collect())
+    assert len(rows) == 604 and sorted(rows) == sorted(mixing.op1(df).collect())
     taken: dict = {}
     for r in rows:
         s = sources[r.doc_id]
