@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, line_dedup, mixing, nn_descent, packing, quality_model, quality_rules, sanitise, secret_scan
+from . import jaccard_join, license_scan, line_dedup, mixing, nn_descent, oracles, packing, quality_model, quality_rules, sanitise, secret_scan
 from .common import documents
 
 
@@ -18,8 +18,21 @@ def queries() -> dict:
         "op9_nn_descent": lambda spark, d: nn_descent.op9(documents(spark, d, "embeddings")),
         "op10_best_fit": lambda spark, d: packing.op10(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
+        # the columns of four operators that SQL can state
+        "base_op1_targets": lambda spark, d: mixing.op1(documents(spark, d)).select("doc_id", "size", "source_size", "target"),
+        "base_op2_spans": lambda spark, d: secret_scan.op2(documents(spark, d)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
+        "base_op4_spans": lambda spark, d: sanitise.op4(documents(spark, d)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
+        "base_op6_places": lambda spark, d: license_scan.op6(documents(spark, d)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {
+        "op3_line_dedup": line_dedup.SQL,
+        "op7_jaccard_join": oracles.JACCARD,
+        "op8_quality_rules": oracles.rules(),
+        "base_op1_targets": oracles.MIX,
+        "base_op2_spans": oracles.SECRETS,
+        "base_op4_spans": oracles.PERSONAL,
+        "base_op6_places": oracles.LICENCES,
+    }
