@@ -144,27 +144,61 @@ def forecast_parameters(associations: DataFrame, resolution: str | None = None,
     return rows.orderBy("time_series_type", "assoc_id").limit(1).select("horizon", "interval", "count", "resolution", "initial_timestamp")
 
 
-def statistics(rows: DataFrame, by: list[str], value: str, index: str) -> DataFrame:
-    """Of the finite values of each series: counts, first, last, extremes, mean, deviation and percentiles."""
-    v = F.col(value)
-    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    at = F.percentile(finite, F.array(*[F.lit(p / 100) for p in (5, 25, 50, 75, 95)]))
-    out = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("num_elements"),
-        F.count_if(finite.isNull()).alias("non_finite"),
-        F.min_by(v, F.col(index)).alias("first"),
-        F.max_by(v, F.col(index)).alias("last"),
-        F.min(finite).alias("min"),
-        F.max(finite).alias("max"),
-        F.avg(finite).alias("mean"),
-        F.when(F.count(finite) == 1, F.lit(0.0)).otherwise(F.stddev_samp(finite)).alias("stddev"),
-        at.alias("__p"),
+IDENTITY = ["owner_id", "owner_category", "time_series_type", "name", "resolution", "interval", "features_hash"]
+PERCENTILES = (5, 25, 50, 75, 95)
+
+
+def finite_values(values: str) -> Column:
+    return F.filter(F.transform(values, lambda x: x.cast("double")), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def statistics(rows: DataFrame, by: list[str], values: str = "values") -> DataFrame:
+    """Of the finite values of each series: counts, first, last, extremes, mean, deviation and percentiles.
+
+    Each array is sorted in its own row: no explode, no exchange.
+    """
+    out = rows.select(*by, F.col(values).alias("__v"), F.array_sort(finite_values(values)).alias("__s"))
+    n = F.size("__s")
+    total = lambda f: F.aggregate(F.transform("__s", f), F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumn("__mean", F.when(n > 0, total(lambda x: x) / n))
+
+    def percentile(p: int) -> Column:
+        at = F.lit(p / 100) * (n - 1)
+        low, high = F.get("__s", F.floor(at).cast("int")), F.get("__s", F.ceil(at).cast("int"))
+        return F.when(n > 0, low + (at - F.floor(at)) * (high - low))
+
+    deviation = F.when(n == 1, F.lit(0.0)).when(n > 1, F.sqrt(F.aggregate(F.transform("__s", lambda x: (x - F.col("__mean")) * (x - F.col("__mean"))), F.lit(0.0), lambda a, x: a + x) / (n - 1)))
+    return out.select(
+        *by,
+        F.size("__v").cast("long").alias("num_elements"),
+        (F.size("__v") - n).cast("long").alias("non_finite"),
+        F.get("__v", F.lit(0)).cast("double").alias("first"),
+        F.get("__v", F.size("__v") - 1).cast("double").alias("last"),
+        F.get("__s", F.lit(0)).alias("min"),
+        F.get("__s", n - 1).alias("max"),
+        F.col("__mean").alias("mean"),
+        deviation.alias("stddev"),
+        *[percentile(p).alias(f"p{p}") for p in PERCENTILES],
     )
-    return out.select("*", *[F.col("__p")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))]).drop("__p")
 
 
-def boolean_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count_if(F.col(value)).alias("true_count"), F.count_if(~F.col(value)).alias("false_count"))
+def boolean_statistics(rows: DataFrame, by: list[str], values: str = "values") -> DataFrame:
+    true = F.size(F.filter(values, lambda x: x))
+    return rows.select(*by, true.cast("long").alias("true_count"), (F.size(values) - true).cast("long").alias("false_count"))
+
+
+def count_of_type(associations: DataFrame, code: int) -> DataFrame:
+    """How many series of a type there are; views count where dense forecasts are asked for only if code says so."""
+    return associations.where(F.col("time_series_type") == code).agg(F.count(F.lit(1)).alias("series"))
+
+
+def identities(associations: DataFrame, code: int) -> DataFrame:
+    return associations.where(F.col("time_series_type") == code).select(*IDENTITY, "horizon")
+
+
+def first_listed(associations: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the order of insertion."""
+    return associations.orderBy("assoc_id").limit(n)
 
 
 def typed_order() -> list[Column]:

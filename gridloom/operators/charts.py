@@ -1,43 +1,45 @@
-"""Data behind charts."""
+"""Data behind charts. What concerns one series is worked out on its array, in its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.period import Period
+from .catalog import finite_values
 
-def _finite(v):
-    return ~F.isnan(v) & (F.abs(v) < float("inf"))
 
-
-def duration_curve(rows: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+def duration_curve(rows: DataFrame, by: list[str], values: str = "values") -> DataFrame:
     """Finite values from the largest down, each with the percentage of values that precede it."""
-    rows = rows.withColumn(value, F.col(value).cast("double")).where(_finite(F.col(value)))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc()))
-    return rows.select(*by, rank.alias("rank"), ((rank - 1) / n * 100).alias("percent"), F.col(value).alias("v"))
+    out = rows.select(*by, F.sort_array(finite_values(values), asc=False).alias("__s"))
+    out = out.select(*by, F.size("__s").alias("__n"), F.posexplode("__s").alias("__i", "v"))
+    return out.select(*by, (F.col("__i") + 1).cast("long").alias("rank"), (F.col("__i") / F.col("__n") * 100).alias("percent"), "v")
 
 
-def heatmap(rows: DataFrame, by: list[str], step_seconds: int) -> DataFrame:
+def heatmap(rows: DataFrame, by: list[str], resolution: Period, values: str = "values") -> DataFrame:
     """Row of the day and day number of each finite value; the step must divide a day."""
-    if step_seconds <= 0 or 86_400 % step_seconds:
+    day = 86_400_000
+    if resolution.kind != "fixed" or resolution.n <= 0 or day % resolution.n:
         raise ValueError("the resolution must divide a day")
-    t, v = F.col("t"), F.col("v").cast("double")
-    first = F.min(F.to_date("t")).over(Window.partitionBy(*by))
-    seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
-    return rows.select(*by, F.floor(seconds / step_seconds).cast("long").alias("row"), F.datediff(F.to_date("t"), first).cast("long").alias("col"), v.alias("v")).where(_finite(F.col("v")))
+    first = F.date_trunc("day", "initial_timestamp").cast("timestamp_ntz")
+    out = rows.select(*by, resolution.floor(first, F.col("initial_timestamp")).alias("__k"), F.posexplode(F.transform(values, lambda x: x.cast("double"))).alias("__i", "v"))
+    place = F.col("__k") + F.col("__i")
+    each = day // resolution.n
+    return out.where(~F.isnan("v") & (F.abs("v") < float("inf"))).select(*by, (place % each).cast("long").alias("row"), F.floor(place / each).cast("long").alias("col"), "v")
 
 
-def sparkline(rows: DataFrame, by: list[str], width: int) -> DataFrame:
+def sparkline(rows: DataFrame, by: list[str], width: int, values: str = "values") -> DataFrame:
     """Of each of width buckets the value furthest from the mean, the last of equals."""
-    own = Window.partitionBy(*by)
-    v = F.col("v").cast("double")
-    rows = rows.select(*by, "idx", v.alias("v"), F.count(F.lit(1)).over(own).alias("__n"), F.avg(F.when(_finite(v), v)).over(own).alias("__m"))
-    buckets = F.least(F.lit(width), F.col("__n"))
-    # the bucket b that has b * n div width <= idx < (b + 1) * n div width
-    b = F.floor(((F.col("idx") + 1) * buckets - 1) / F.col("__n")).cast("long")
-    rows = rows.where(_finite(F.col("v"))).withColumn("bucket", b)
-    return rows.groupBy(*by, "bucket").agg(F.max_by("v", F.struct(F.abs(F.col("v") - F.col("__m")), F.col("idx"))).alias("v"))
+    finite = finite_values(values)
+    out = rows.select(*by, F.transform(values, lambda x: x.cast("double")).alias("__v"), (F.aggregate(finite, F.lit(0.0), lambda a, x: a + x) / F.size(finite)).alias("__m"))
+    out = out.where(F.size("__v") > 0).withColumn("__b", F.least(F.lit(width), F.size("__v")))
+    # bucket b has the places from b * n div buckets up to before (b + 1) * n div buckets
+    cut = lambda b: F.floor(b * F.size("__v") / F.col("__b"))
+    far = lambda i: F.struct(F.abs(F.get("__v", i) - F.col("__m")).alias("d"), i.alias("i"), F.get("__v", i).alias("v"))
+    usable = lambda x: ~F.isnan(x["v"]) & (F.abs(x["v"]) < float("inf"))
+    best = lambda b: F.array_max(F.filter(F.transform(F.sequence(cut(b).cast("int"), (cut(b + 1) - 1).cast("int")), far), usable))["v"]
+    out = out.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("__b") - 1), best)).alias("bucket", "v"))
+    return out.where(F.col("v").isNotNull()).select(*by, F.col("bucket").cast("long").alias("bucket"), "v")
 
 
 def fan(rows: DataFrame, n: int) -> DataFrame:

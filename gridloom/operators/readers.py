@@ -62,6 +62,6 @@ def slots(associations: DataFrame) -> DataFrame:
     return associations.select("data_hash", "element_type", "time_series_type", "horizon", "interval", "count").distinct()
 
 
-def grid(sweep: DataFrame, label: str, labels: list[str]) -> DataFrame:
-    """Timestamps by series: one column for each label."""
-    return sweep.groupBy("t").pivot(label, labels).agg(F.first("v"))
+def grid(sweep: DataFrame, label: str, labels: list[str], by: list[str] | None = None) -> DataFrame:
+    """Timestamps (of each of by) by series: one column for each label."""
+    return sweep.groupBy(*(by or []), "t").pivot(label, labels).agg(F.first("v"))

@@ -67,19 +67,26 @@ def resolve_windows(initial: dt.datetime, interval: Period, count: int, start: d
     return w0, max(w0, min(count, interval.ceil_steps(initial, end)))
 
 
-def dense_windows(rows: DataFrame, keep: list[str], steps_: int, resolution: Period, interval: Period, leading: int = 1, width: int = 1, windows: tuple[int, int] | None = None) -> DataFrame:
+def dense_windows(rows: DataFrame, keep: list[str], steps_: int, resolution: Period, interval: Period, width: int = 1, windows: tuple[int, int] | None = None) -> DataFrame:
     """A dense forecast [leading, steps, count, width] as rows: p, w, h, e, issue_time, target_time and v.
 
-    leading is the number of percentiles or scenarios, 1 for a deterministic forecast.
+    leading, the number of percentiles or scenarios, follows from the array's size.
     """
-    out = rows.select(*keep, "initial_timestamp", F.col("count").cast("long").alias("__n"), F.posexplode("values").alias("__i", "v"))
-    i, n = F.col("__i").cast("long"), F.col("__n")
-    at = {"e": i % width, "w": F.floor(i / width) % n, "h": F.floor(i / (n * width)) % steps_, "p": F.floor(i / (n * width * steps_))}
+    n = F.col("count").cast("long")
+    w0, w1 = (F.greatest(F.lit(windows[0]).cast("long"), F.lit(0)), F.least(F.lit(windows[1]).cast("long"), n)) if windows else (F.lit(0).cast("long"), n)
+    # one slice of the chosen windows for each of leading x steps, so that nothing else is exploded
+    wide = F.greatest(w1 - w0, F.lit(0).cast("long"))
+    rows = rows.where((n > 0) & (F.size("values") > 0))
+    places = lambda v: F.sequence(F.lit(0).cast("long"), F.floor(F.size(v) / (n * width)) - 1)
+    slices = lambda v: F.transform(places(v), lambda i: F.slice(v, ((i * n + w0) * width + 1).cast("int"), (wide * width).cast("int")))
+    cut = F.element_at(F.transform(F.array("values"), slices), 1)  # the array is evaluated once, however it is made
+    out = rows.select(*keep, "initial_timestamp", w0.alias("__w"), F.posexplode(cut).alias("__i", "__cut"))
+    out = out.select(*keep, "initial_timestamp", "__w", F.col("__i").cast("long").alias("__i"), F.posexplode("__cut").alias("__j", "v"))
+    j = F.col("__j").cast("long")
+    at = {"e": j % width, "w": F.col("__w") + F.floor(j / width), "h": F.col("__i") % steps_, "p": F.floor(F.col("__i") / steps_)}
     out = out.withColumns({k: c.cast("long") for k, c in at.items()})
-    if windows:
-        out = out.where((F.col("w") >= windows[0]) & (F.col("w") < windows[1]))
     issue = interval.add(F.col("initial_timestamp"), F.col("w")) if not interval.zero else F.col("initial_timestamp")
-    return out.withColumn("issue_time", issue).withColumn("target_time", resolution.add(F.col("issue_time"), F.col("h"))).drop("__i", "__n", "initial_timestamp")
+    return out.withColumn("issue_time", issue).withColumn("target_time", resolution.add(F.col("issue_time"), F.col("h"))).drop("__i", "__j", "__w", "initial_timestamp")
 
 
 def derived_windows(rows: DataFrame, keep: list[str], horizon: Period, interval: Period, resolution: Period, width: int = 1, windows: tuple[int, int] | None = None) -> DataFrame:
@@ -89,11 +96,9 @@ def derived_windows(rows: DataFrame, keep: list[str], horizon: Period, interval:
     """
     h = resolution.divide_into(horizon)
     step = 0 if interval.zero else resolution.divide_into(interval)
-    rows = rows.where(F.col("count") > 0)
-    w = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1))
-    out = rows.select(*keep, "initial_timestamp", "values", w.alias("w"))
-    if windows:
-        out = out.where((F.col("w") >= windows[0]) & (F.col("w") < windows[1]))
+    first, end = (max(0, windows[0]), F.least(F.lit(windows[1]).cast("long"), F.col("count").cast("long"))) if windows else (0, F.col("count").cast("long"))
+    rows = rows.where(end > first)
+    out = rows.select(*keep, "initial_timestamp", "values", F.explode(F.sequence(F.lit(first).cast("long"), end - 1)).alias("w"))
     cut = F.slice("values", (F.col("w") * step * width + 1).cast("int"), F.lit(h * width))
     issue = F.col("initial_timestamp") if interval.zero else interval.add(F.col("initial_timestamp"), F.col("w"))
     out = out.select(*keep, "w", issue.alias("issue_time"), F.posexplode(cut).alias("__i", "v"))

@@ -16,6 +16,8 @@ HOURS, MONTHS = 720, 80
 HOUR, DAY = Period.parse("PT1H"), Period.parse("PT24H")
 MONTH = Period.parse("P1M")
 M0 = dt.datetime(1995, 1, 1)
+#: Types of events, which name the hourly series.
+EVENTS = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,8 +30,9 @@ def ntz(t: dt.datetime) -> Column:
 
 def _filled(cells: Column, n: int) -> Column:
     """An array of n values from (idx, v) entries, 0 where there is none."""
-    m = F.map_from_entries(cells)
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("long")))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    of = lambda m: F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("long")))
+    return F.element_at(F.transform(F.array(F.map_from_entries(cells)), of), 1)  # the map is made once a row
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:

@@ -38,8 +38,9 @@ def _views(rows):
 
 def _dense(rows):
     """[24, 30] forecasts: window c has the hours of day c."""
-    swapped = F.transform(F.sequence(F.lit(0), F.lit(719)), lambda i: F.get("values", (i % 30) * 24 + F.floor(i / 30).cast("int")))
-    return rows.where("owner_id % 14 = 1").withColumns({"values": swapped, "count": F.lit(30)})
+    of = lambda v: F.transform(F.sequence(F.lit(0), F.lit(719)), lambda i: F.get(v, (i % 30) * 24 + F.floor(i / 30).cast("int")))
+    swapped = F.element_at(F.transform(F.array("values"), of), 1)
+    return rows.withColumns({"values": swapped, "count": F.lit(30)})
 
 
 def _cells(rows, value, group, size):
@@ -65,14 +66,18 @@ _QUANTILES = "FROM (SELECT name, idx, unnest([0, 1, 2]) AS p, unnest(quantile_co
 
 
 def _statistics(rows):
-    long = rows.select(*_OWNER, F.posexplode("values").alias("idx", "v")).withColumn("v", F.col("v").cast("double"))
-    out = catalog.statistics(long, _OWNER, "v", "idx")
-    return out.select(*_OWNER, "num_elements", "non_finite", "first", "last", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p5", "p25", "p50", "p75", "p95")])
+    """Every 97th value and the first of some series is not a number, or infinite."""
+    odd = lambda x, i: F.when((F.col("owner_id") + i) % 97 == 0, F.when(i % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("-inf")))).otherwise(x.cast("double"))
+    out = catalog.statistics(rows.withColumn("values", F.transform("values", odd)), _OWNER)
+    return out.select(*_OWNER, "num_elements", "non_finite", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p5", "p25", "p50", "p75", "p95")])
+
+
+def _ends(rows):
+    return catalog.statistics(rows, _OWNER).select(*_OWNER, "first", "last", "num_elements", "non_finite")
 
 
 def _booleans(rows):
-    long = rows.select(*_OWNER, F.explode("values").alias("v")).withColumn("v", F.col("v") > 0)
-    return catalog.boolean_statistics(long, _OWNER, "v")
+    return catalog.boolean_statistics(rows.withColumn("values", F.transform("values", lambda x: x > 0)), _OWNER)
 
 
 def _pairs(spark, d):
@@ -85,7 +90,7 @@ def _functions(spark, d):
     """A piecewise linear value for each order (its line count as points), encoded and decoded again."""
     li = fx.table(spark, d, "lineitem")
     points = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y")))).alias("p"))
-    flat = points.where("l_orderkey < 2000").select("l_orderkey", encoded(F.array("p"), ElementType("piecewise_linear")).alias("values"), (F.size("p") * 2 + 1).alias("w"))
+    flat = points.select("l_orderkey", encoded(F.array("p"), ElementType("piecewise_linear")).alias("values"), (F.size("p") * 2 + 1).alias("w"))
     one = F.transform(F.sequence(F.lit(1), F.get("values", F.lit(0)).cast("int")), lambda i: F.struct(F.element_at("values", 2 * i).alias("x"), F.element_at("values", 2 * i + 1).alias("y")))
     return flat.select("l_orderkey", F.explode(one).alias("q")).select("l_orderkey", F.col("q.x").alias("x"), F.col("q.y").alias("y"))
 
@@ -100,9 +105,7 @@ def _vector_hashes(spark, d):
 
 
 def _grid(rows):
-    some = rows.where("name = 'view' and owner_id < 4")
-    sweep = readers.static_sweep(some, HOUR, ["owner_id"])
-    return readers.grid(sweep.withColumn("label", F.concat(F.lit("view_"), F.col("owner_id").cast("string"))), "label", [f"view_{i}" for i in range(4)])
+    return readers.grid(readers.static_sweep(rows, HOUR, _OWNER), "name", fx.EVENTS, ["owner_id"])
 
 
 def _irregular_slice(spark, d):
@@ -111,16 +114,17 @@ def _irregular_slice(spark, d):
 
 
 def _overlay(rows):
-    views = series.derived_windows(_views(rows.where("owner_id % 2 = 0 and name = 'click'")), _OWNER, TWO_DAYS, DAY, HOUR)
+    """Forecasts made a day before: what a view of the day before says, beside what came true."""
+    views = series.derived_windows(_views(rows), _OWNER, TWO_DAYS, DAY, HOUR).withColumn("target_time", DAY.add(F.col("target_time"), F.lit(1)))
     actual = series.steps(rows, HOUR, _OWNER).select(*_OWNER, F.col("t").alias("target_time"), F.col("v").alias("actual"))
-    return charts.overlay(views.where("w < 8"), actual, _OWNER).select(*_OWNER, "w", "h", "target_time", "v", "actual")
+    return charts.overlay(views, actual, _OWNER).select(*_OWNER, "w", "h", "target_time", "v", "actual")
 
 
 def _wide(spark, d):
-    """A wide table (timestamp by owner) back to one series a column."""
+    """A wide table (owner and timestamp by name) back to one series a column."""
     grid = _grid(fx.hourly(spark, d))
-    long = grid.unpivot(["t"], [c for c in grid.columns if c != "t"], "column", "v")
-    return long.where(F.col("v").isNotNull()).select(F.col("column"), "t", "v")
+    long = grid.unpivot(["owner_id", "t"], [c for c in grid.columns if c not in ("owner_id", "t")], "column", "v")
+    return long.where(F.col("v").isNotNull()).select("owner_id", "column", "t", "v")
 
 
 _VIEW = "owner_id, name, w, h, v, issue_time, target_time"
@@ -136,33 +140,35 @@ QUERIES = {
     "SLC_8_index_of": _h(lambda r: r.select(*_OWNER, HOUR.steps(F.col("initial_timestamp"), fx.ntz(dt.datetime(2024, 1, 9, 4))).alias("i")), "SELECT DISTINCT owner_id, name, 196::BIGINT AS i FROM hourly"),
     "SLC_9_row_window": _h(lambda r: series.row_window(series.steps(r.where("owner_id = 5 and name = 'click'"), HOUR, []), F.col("idx"), stride=7, tail=20), "SELECT idx, t, v FROM hourly WHERE owner_id = 5 AND name = 'click' AND idx % 7 = 0 ORDER BY idx DESC LIMIT 20"),
     "SRC_9_read_at_index": _h(lambda r: readers.static_read(r, fx.T0, HOUR, dt.datetime(2024, 1, 12, 3), _OWNER), "SELECT owner_id, name, v FROM hourly WHERE idx = 267"),
-    "FCW_3_deterministic": _h(lambda r: series.dense_windows(_dense(r), _OWNER, 24, HOUR, DAY).select(*_OWNER, "w", "h", "issue_time", "target_time", "v"), "SELECT owner_id, name, idx // 24 AS w, idx % 24 AS h, TIMESTAMP '2024-01-01' + to_days((idx // 24)::INT) AS issue_time, t AS target_time, v FROM hourly WHERE owner_id % 14 = 1"),
-    "FCW_2_window_range": _h(lambda r: series.dense_windows(_dense(r), _OWNER, 24, HOUR, DAY, windows=series.resolve_windows(fx.T0, DAY, 30, dt.datetime(2024, 1, 4), dt.datetime(2024, 1, 9, 1))).select(*_OWNER, "w", "h", "v"), "SELECT owner_id, name, idx // 24 AS w, idx % 24 AS h, v FROM hourly WHERE owner_id % 14 = 1 AND idx // 24 BETWEEN 3 AND 8"),
+    "FCW_3_deterministic": _h(lambda r: series.dense_windows(_dense(r), _OWNER, 24, HOUR, DAY).select(*_OWNER, "w", "h", "issue_time", "target_time", "v"), "SELECT owner_id, name, idx // 24 AS w, idx % 24 AS h, TIMESTAMP '2024-01-01' + to_days((idx // 24)::INT) AS issue_time, t AS target_time, v FROM hourly"),
+    "FCW_2_window_range": _h(lambda r: series.dense_windows(_dense(r), _OWNER, 24, HOUR, DAY, windows=series.resolve_windows(fx.T0, DAY, 30, dt.datetime(2024, 1, 4), dt.datetime(2024, 1, 9, 1))).select(*_OWNER, "w", "h", "v"), "SELECT owner_id, name, idx // 24 AS w, idx % 24 AS h, v FROM hourly WHERE idx // 24 BETWEEN 3 AND 8"),
     "FCW_4_probabilistic": _h(lambda r: _probabilistic(r).select("name", "p", "w", "h", F.round("v", 4).alias("v")), f"SELECT name, p::BIGINT AS p, idx // 24 AS w, idx % 24 AS h, round(v, 4) AS v {_QUANTILES}"),
     "FCW_5_scenarios": _h(lambda r: _scenarios(r).select("name", "p", "w", "h", "v"), "SELECT name, owner_id % 5 AS p, idx // 24 AS w, idx % 24 AS h, sum(v)::BIGINT AS v FROM hourly GROUP BY ALL"),
-    "FCW_6_derived_windows": _h(lambda r: series.derived_windows(_views(r.where("owner_id % 2 = 0")), _OWNER, TWO_DAYS, DAY, HOUR).select("owner_id", "name", "w", "h", "v", "issue_time", "target_time"), f"SELECT {_VIEW} {_VIEWS} WHERE owner_id % 2 = 0"),
+    "FCW_6_derived_windows": _h(lambda r: series.derived_windows(_views(r), _OWNER, TWO_DAYS, DAY, HOUR).select("owner_id", "name", "w", "h", "v", "issue_time", "target_time"), f"SELECT {_VIEW} {_VIEWS}"),
     "FCW_7_one_window": _h(lambda r: series.derived_windows(_views(r), _OWNER, TWO_DAYS, DAY, HOUR, windows=(9, 10)).select("owner_id", "name", "w", "h", "v", "issue_time", "target_time"), f"SELECT {_VIEW} {_VIEWS} WHERE w = 9"),
     "FCW_12_window_trace": _h(lambda r: series.derived_windows(_views(r.where("owner_id = 4 and name = 'view'")), _OWNER, TWO_DAYS, DAY, HOUR, windows=(2, 3)).orderBy("h").select("target_time", "v"), f"SELECT target_time, v {_VIEWS} WHERE owner_id = 4 AND name = 'view' AND w = 2 ORDER BY h"),
     "RDR_3_static_sweep": _h(lambda r: readers.static_sweep(r, HOUR, _OWNER), "SELECT t, owner_id, name, v FROM hourly"),
     "RDR_5_forecast_read": _h(lambda r: series.derived_windows(_views(r), _OWNER, TWO_DAYS, DAY, HOUR, windows=(readers.window_index(fx.T0, DAY, 29, dt.datetime(2024, 1, 21)),) * 1 + (readers.window_index(fx.T0, DAY, 29, dt.datetime(2024, 1, 21)) + 1,)).select("owner_id", "name", "h", "v"), f"SELECT owner_id, name, h, v {_VIEWS} WHERE issue_time = TIMESTAMP '2024-01-21'"),
     "RDR_7_timeline": _h(lambda r: series.steps(r.where("owner_id = 5 and name = 'click'"), HOUR, []).select("idx", "t"), "SELECT DISTINCT idx, t FROM hourly"),
-    "RDR_8_grid": _h(_grid, "SELECT t, " + ", ".join(f"sum(v) FILTER (WHERE owner_id = {i})::BIGINT AS view_{i}" for i in range(4)) + " FROM hourly WHERE name = 'view' AND owner_id < 4 GROUP BY t"),
-    "SRC_20_wide_table": (_wide, f"WITH {fx.SQL_HOURLY} SELECT 'view_' || owner_id AS \"column\", t, v FROM hourly WHERE name = 'view' AND owner_id < 4"),
-    "AGG_11_statistics": _h(_statistics, """SELECT owner_id, name, count(*) AS num_elements, 0::BIGINT AS non_finite, arg_min(v, idx)::DOUBLE AS first, arg_max(v, idx)::DOUBLE AS last, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max,
-        round(avg(v), 4) AS mean, round(stddev_samp(v::DOUBLE), 4) AS stddev, """ + ", ".join(f"round(quantile_cont(v::DOUBLE, {p / 100}::DOUBLE), 4) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM hourly GROUP BY ALL"),
+    "RDR_8_grid": _h(_grid, "SELECT owner_id, t, " + ", ".join(f"sum(v) FILTER (WHERE name = '{n}')::BIGINT AS {n}" for n in fx.EVENTS) + " FROM hourly GROUP BY owner_id, t"),
+    "SRC_20_wide_table": (_wide, f"WITH {fx.SQL_HOURLY} SELECT owner_id, name AS \"column\", t, v FROM hourly"),
+    "AGG_11_statistics": _h(_statistics, """SELECT owner_id, name, count(*) AS num_elements, count(*) FILTER (WHERE o) AS non_finite,
+        min(v) FILTER (WHERE NOT o)::DOUBLE AS min, max(v) FILTER (WHERE NOT o)::DOUBLE AS max, round(avg(v) FILTER (WHERE NOT o), 4) AS mean, round(stddev_samp(v::DOUBLE) FILTER (WHERE NOT o), 4) AS stddev,
+        """ + ", ".join(f"round(quantile_cont(v::DOUBLE, {p / 100}::DOUBLE) FILTER (WHERE NOT o), 4) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM (SELECT *, (owner_id + idx) % 97 = 0 AS o FROM hourly) GROUP BY owner_id, name"),
+    "AGG_11_ends": _h(_ends, "SELECT owner_id, name, arg_min(v, idx)::DOUBLE AS first, arg_max(v, idx)::DOUBLE AS last, count(*) AS num_elements, 0::BIGINT AS non_finite FROM hourly GROUP BY owner_id, name"),
     "AGG_11_boolean_statistics": _h(_booleans, "SELECT owner_id, name, count(*) FILTER (WHERE v > 0) AS true_count, count(*) FILTER (WHERE v <= 0) AS false_count FROM hourly GROUP BY ALL"),
-    "SRT_3_duration_curve": _h(lambda r: charts.duration_curve(series.steps(r.where("name = 'purchase'"), HOUR, ["owner_id"]), ["owner_id"]).select("owner_id", F.col("rank").cast("long").alias("rank"), F.round("percent", 6).alias("percent"), "v"), "SELECT owner_id, rn AS rank, round((rn - 1) / 720::DOUBLE * 100, 6) AS percent, v::DOUBLE AS v FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY v DESC) AS rn FROM hourly WHERE name = 'purchase')"),
-    "SRT_4_sparkline": _h(lambda r: charts.sparkline(series.steps(r.where("name = 'view'"), HOUR, ["owner_id"]), ["owner_id"], 60), """SELECT owner_id, bucket, arg_max(v::DOUBLE, (abs(v - m), idx)) AS v FROM
-        (SELECT owner_id, idx, v, avg(v) OVER (PARTITION BY owner_id) AS m, ((idx + 1) * 60 - 1) // 720 AS bucket FROM hourly WHERE name = 'view') GROUP BY ALL"""),
-    "VIZ_1_line": _h(lambda r: series.steps(r.where("owner_id < 8 and name = 'error'"), HOUR, ["owner_id"]).select("owner_id", "t", "v"), "SELECT owner_id, t, v FROM hourly WHERE owner_id < 8 AND name = 'error'"),
-    "VIZ_3_heatmap": _h(lambda r: charts.heatmap(series.steps(r.where("name = 'error'"), HOUR, ["owner_id"]), ["owner_id"], 3600), "SELECT owner_id, idx % 24 AS row, idx // 24 AS col, v::DOUBLE AS v FROM hourly WHERE name = 'error'"),
+    "SRT_3_duration_curve": _h(lambda r: charts.duration_curve(r, _OWNER).select(*_OWNER, "rank", F.round("percent", 6).alias("percent"), "v"), "SELECT owner_id, name, rn AS rank, round((rn - 1) / 720::DOUBLE * 100, 6) AS percent, v::DOUBLE AS v FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, name ORDER BY v DESC) AS rn FROM hourly)"),
+    "SRT_4_sparkline": _h(lambda r: charts.sparkline(r, _OWNER, 60), """SELECT owner_id, name, bucket, arg_max(v::DOUBLE, (abs(v - m), idx)) AS v FROM
+        (SELECT owner_id, name, idx, v, avg(v) OVER (PARTITION BY owner_id, name) AS m, ((idx + 1) * 60 - 1) // 720 AS bucket FROM hourly) GROUP BY ALL"""),
+    "VIZ_1_line": _h(lambda r: series.steps(r, HOUR, _OWNER).select(*_OWNER, "t", "v"), "SELECT owner_id, name, t, v FROM hourly"),
+    "VIZ_3_heatmap": _h(lambda r: charts.heatmap(r, _OWNER, HOUR), "SELECT owner_id, name, idx % 24 AS row, idx // 24 AS col, v::DOUBLE AS v FROM hourly"),
     "VIZ_4_fan": _h(lambda r: charts.fan(_probabilistic(r.where("name = 'view'")).where("w = 3"), 3).select("target_time", "band", F.round("low", 4).alias("low"), F.round("high", 4).alias("high")), f"""SELECT TIMESTAMP '2024-01-01' + to_hours(idx::INT) AS target_time, band::BIGINT AS band, round(low, 4) AS low, round(high, 4) AS high FROM
         (SELECT idx, unnest([0, 1]) AS band, unnest([q[1], q[2]]) AS low, unnest([q[3], q[2]]) AS high FROM (SELECT idx, quantile_cont(v::DOUBLE, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM hourly WHERE name = 'view' AND idx // 24 = 3 GROUP BY idx))"""),
-    "VIZ_5_overlay": _h(_overlay, f"SELECT owner_id, name, w, h, target_time, v, v AS actual {_VIEWS} WHERE owner_id % 2 = 0 AND name = 'click' AND w < 8"),
-    "JON_9_forecast_vs_actual": _h(lambda r: _overlay(r).groupBy(*_OWNER).agg(F.sum(F.col("v") - F.col("actual")).alias("error")), f"SELECT owner_id, name, 0::BIGINT AS error {_VIEWS} WHERE owner_id % 2 = 0 AND name = 'click' GROUP BY ALL"),
+    "VIZ_5_overlay": _h(_overlay, f"SELECT x.owner_id, x.name, x.w, x.h, a.t AS target_time, x.v, a.v AS actual FROM (SELECT {_VIEW} {_VIEWS}) x JOIN hourly a ON a.owner_id = x.owner_id AND a.name = x.name AND a.t = x.target_time + INTERVAL 1 DAY"),
+    "JON_9_forecast_vs_actual": _h(lambda r: _overlay(r).groupBy(*_OWNER).agg(F.sum(F.col("v") - F.col("actual")).alias("error")), f"SELECT x.owner_id, x.name, sum(x.v - a.v)::BIGINT AS error FROM (SELECT {_VIEW} {_VIEWS}) x JOIN hourly a ON a.owner_id = x.owner_id AND a.name = x.name AND a.t = x.target_time + INTERVAL 1 DAY GROUP BY ALL"),
     "PER_10_precision": ((lambda spark, d: fx.table(spark, d, "events").agg(F.count_if(micros(F.col("ts")) % 1000 != 0).alias("finer"))), "SELECT count(*) FILTER (WHERE epoch_us(ts) % 1000 <> 0) AS finer FROM events"),
     "ARR_6_tuple": (_pairs, "SELECT vec_id, i::BIGINT AS i, round(embedding[i + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) r(i)"),
-    "ARR_7_piecewise_round_trip": (_functions, "SELECT l_orderkey, l_linenumber::DOUBLE AS x, l_quantity AS y FROM lineitem WHERE l_orderkey < 2000"),
+    "ARR_7_piecewise_round_trip": (_functions, "SELECT l_orderkey, l_linenumber::DOUBLE AS x, l_quantity AS y FROM lineitem"),
     "ARR_1_array_hash": (_hashes, None),
     "ARR_3_timestamps_hash": (_vector_hashes, None),
 }

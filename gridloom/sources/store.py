@@ -305,8 +305,7 @@ class Store:
         rows = self.read(ListFilter(owner_id=row["owner_id"], owner_category=row["owner_category"], name=row["name"], time_series_type=row["time_series_type"], exact_type=True, resolution=row["resolution"], interval=row["interval"], features_hash=row["features_hash"]))
         if row["time_series_type"] == DERIVED:
             return series.derived_windows(rows, ["owner_id", "name"], horizon, interval, resolution, windows=chosen)
-        leading = 1 if row["time_series_type"] == DETERMINISTIC else row["length"]
-        return series.dense_windows(rows, ["owner_id", "name"], resolution.divide_into(horizon), resolution, interval, leading, windows=chosen)
+        return series.dense_windows(rows, ["owner_id", "name"], resolution.divide_into(horizon), resolution, interval, windows=chosen)
 
     # changing
     def remove(self, f: ListFilter, at_least: int = 0) -> int:

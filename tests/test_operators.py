@@ -80,5 +80,16 @@ def test_links(spark):
 
 
 def test_sparkline_takes_the_extreme_of_each_bucket(spark):
-    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 5.0, 1.0, float("nan"), 1.0, -9.0])], "k long, idx long, v double")
-    assert {r.bucket: r.v for r in charts.sparkline(rows, ["k"], 3).collect()} == {0: 5.0, 1: 1.0, 2: -9.0}
+    rows = spark.createDataFrame([(0, [1.0, 5.0, 1.0, float("nan"), 1.0, -9.0]), (1, [float("nan")] * 2), (2, [])], "k long, values array<double>")
+    assert {(r.k, r.bucket): r.v for r in charts.sparkline(rows, ["k"], 3).collect()} == {(0, 0): 5.0, (0, 1): 1.0, (0, 2): -9.0}
+
+
+def test_charts_and_statistics_of_arrays(spark):
+    nan, inf = float("nan"), float("inf")
+    t = dt.datetime(2024, 1, 1, 22)
+    rows = spark.createDataFrame([(0, t, [3.0, nan, 1.0, inf]), (1, t, [7.0]), (2, t, [])], "k long, initial_timestamp timestamp_ntz, values array<double>")
+    assert [tuple(r) for r in charts.duration_curve(rows, ["k"]).orderBy("k", "rank").collect()] == [(0, 1, 0.0, 3.0), (0, 2, 50.0, 1.0), (1, 1, 0.0, 7.0)]
+    assert sorted(map(tuple, charts.heatmap(rows, ["k"], Period.parse("PT1H")).collect())) == [(0, 0, 1, 1.0), (0, 22, 0, 3.0), (1, 22, 0, 7.0)]
+    got = {r.k: r for r in catalog.statistics(rows, ["k"]).collect()}
+    assert (got[0].num_elements, got[0].non_finite, got[0].first, got[0].last, got[0].p50, got[0].p95) == (4, 2, 3.0, inf, 2.0, pytest.approx(2.9))
+    assert got[1].stddev == 0.0 and got[0].stddev == pytest.approx(2**0.5) and got[2].mean is None and got[2].p5 is None and got[2].num_elements == 0
