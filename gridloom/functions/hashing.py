@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import IntegrityError
 from .period import EPOCH
 
 #: numpy types by dtype name, and delta units of the timestamp layout in nanoseconds (fixed values).
@@ -70,6 +71,56 @@ def timestamps_blob(times: list[dt.datetime]) -> bytes:
     return out
 
 
+def timestamps_of(blob: bytes) -> list[dt.datetime]:
+    """The instants of a blob; an error unless it is read to its last byte."""
+    at = 2
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = blob[at]
+            at += 1
+            n |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                return n
+            shift += 7
+
+    signed = lambda n: n >> 1 if n % 2 == 0 else -(n + 1) // 2
+    if len(blob) < 3 or blob[0] != 1 or blob[1] >= len(UNITS):
+        raise IntegrityError("not a timestamp vector of version 1")
+    try:
+        count = varint()
+        nanos = []
+        if count:
+            seconds = signed(varint())
+            nanos = [seconds * 10**9 + varint()]
+            for _ in range(count - 1):
+                nanos.append(nanos[-1] + signed(varint()) * UNITS[blob[1]])
+    except IndexError:
+        raise IntegrityError("a timestamp vector ends early") from None
+    if at != len(blob):
+        raise IntegrityError("a timestamp vector has bytes after its end")
+    return [EPOCH + dt.timedelta(microseconds=n // 1000) for n in nanos]
+
+
+def encoded_timestamps(times: Column) -> Column:
+    """The blob of an array of instants."""
+    @F.pandas_udf("binary")
+    def blob(micros: pd.Series) -> pd.Series:
+        return pd.Series([timestamps_blob([EPOCH + dt.timedelta(microseconds=int(x)) for x in m]) for m in micros])
+
+    return blob(F.transform(times, lambda t: F.unix_micros(t.cast("timestamp"))))
+
+
+def decoded_timestamps(blobs: Column) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def micros(of: pd.Series) -> pd.Series:
+        return pd.Series([[(t - EPOCH) // dt.timedelta(microseconds=1) for t in timestamps_of(bytes(b))] for b in of])
+
+    return F.transform(micros(blobs), lambda x: F.timestamp_micros(x).cast("timestamp_ntz"))
+
+
 def timestamps_hash(times: list[dt.datetime]) -> str:
     return hashlib.sha256(b"timestamps\0" + timestamps_blob(times)).hexdigest()
 

@@ -59,8 +59,13 @@ def metadata_of(associations: DataFrame, keys: DataFrame, on: list[str]) -> Data
     return rows.drop(*[f"__{c}" for c in on]).orderBy("ordinal")
 
 
+def found(associations: DataFrame, f: ListFilter) -> DataFrame:
+    """One row: whether any series matches; no more than one is read."""
+    return f.of(associations).select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
 def exists(associations: DataFrame, f: ListFilter) -> bool:
-    return bool(f.of(associations).limit(1).count())
+    return found(associations, f).first()[0]
 
 
 def is_empty(*tables: DataFrame) -> bool:

@@ -31,7 +31,7 @@ def heatmap(rows: DataFrame, by: list[str], resolution: Period, values: str = "v
 def sparkline(rows: DataFrame, by: list[str], width: int, values: str = "values") -> DataFrame:
     """Of each of width buckets the value furthest from the mean, the last of equals."""
     finite = finite_values(values)
-    out = rows.select(*by, F.transform(values, lambda x: x.cast("double")).alias("__v"), (F.aggregate(finite, F.lit(0.0), lambda a, x: a + x) / F.size(finite)).alias("__m"))
+    out = rows.select(*by, F.transform(values, lambda x: x.cast("double")).alias("__v"), F.try_divide(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x), F.size(finite)).alias("__m"))
     out = out.where(F.size("__v") > 0).withColumn("__b", F.least(F.lit(width), F.size("__v")))
     # bucket b has the places from b * n div buckets up to before (b + 1) * n div buckets
     cut = lambda b: F.floor(b * F.size("__v") / F.col("__b"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..functions.elements import ElementType
-from ..functions.parse import IRREGULAR, SINGLE
+from ..functions.parse import DERIVED, DETERMINISTIC, IRREGULAR, SINGLE
 from ..functions.period import Period
-from .series import steps
+from .filters import ListFilter
+from .series import dense_windows, derived_windows, steps
 
 
 def columns_of(associations: DataFrame) -> DataFrame:
@@ -35,6 +36,49 @@ def check_static(associations: DataFrame) -> None:
         raise InvalidParameter("a static reader needs series of one static type")
 
 
+def static_reader(associations: DataFrame, arrays: DataFrame, f: ListFilter = ListFilter(), time_series_type: int = SINGLE) -> DataFrame:
+    """(catalog columns, values) of the static series of f that share one grid or one timestamp vector; anything else is refused."""
+    chosen = f.of(associations).where(F.col("time_series_type") == time_series_type)
+    check_static(chosen)
+    return chosen.join(arrays.select("data_hash", "values"), "data_hash")
+
+
+FORECAST_TIMELINE = ["initial_timestamp", "resolution", "interval", "count"]
+
+
+def check_forecasts(associations: DataFrame) -> dict:
+    """Forecasts of one type (dense and derived are one) with one resolution and one timeline of windows: that timeline."""
+    kinds = {DERIVED: DETERMINISTIC}
+    types = {kinds.get(r[0], r[0]) for r in associations.select("time_series_type").distinct().collect()}
+    if len(types) != 1 or types & {SINGLE, IRREGULAR}:
+        raise InvalidParameter("a forecast reader needs forecasts of one type")
+    lines = associations.select(*FORECAST_TIMELINE).distinct().limit(2).collect()
+    if len(lines) > 1:
+        raise InvalidParameter("the forecasts do not share one timeline of windows")
+    return lines[0].asDict()
+
+
+def forecast_reader(associations: DataFrame, arrays: DataFrame, f: ListFilter, keep: list[str], at: dt.datetime | None = None) -> DataFrame:
+    """(keep, w, h, v, issue_time, target_time) of the forecasts of f, dense and derived side by side, for one window or all."""
+    chosen = f.of(associations).where(F.col("time_series_type") > IRREGULAR)
+    line = check_forecasts(chosen)
+    resolution, interval = Period.parse(line["resolution"]), Period.parse(line["interval"])
+    # one window's steps differ by horizon; each horizon is a plan of its own
+    horizons = sorted((r[0], r[1]) for r in chosen.select("horizon", "time_series_type").distinct().collect())
+    k = window_index(line["initial_timestamp"], interval, line["count"], at) if at is not None else None
+    windows = (k, k + 1) if k is not None else None
+    out = None
+    for horizon, kind in horizons:
+        rows = chosen.where((F.col("horizon") == horizon) & (F.col("time_series_type") == kind)).join(arrays.select("data_hash", "values"), "data_hash")
+        if kind == DERIVED:
+            part = derived_windows(rows, keep, Period.parse(horizon), interval, resolution, windows=windows).withColumn("p", F.lit(0).cast("long"))
+        else:
+            part = dense_windows(rows, keep, resolution.divide_into(Period.parse(horizon)), resolution, interval, windows=windows)
+        part = part.select(*keep, "p", "w", "h", "v", "issue_time", "target_time")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def static_sweep(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFrame:
     """(t, *keep, v) of all series for all timestamps."""
     return steps(rows, resolution, keep).select("t", *keep, "v")

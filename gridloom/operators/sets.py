@@ -34,7 +34,7 @@ def merge(into: DataFrame, other: DataFrame, replace: bool = False) -> DataFrame
 
 def duplicates(new: DataFrame, associations: DataFrame) -> DataFrame:
     """New rows whose identity is stored, or stands in the batch before them."""
-    nth = F.row_number().over(Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY]).orderBy("assoc_id"))
+    nth = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy("assoc_id"))
     inside = new.withColumn("__nth", nth).where("__nth > 1").drop("__nth")
     return new.alias("l").join(associations.alias("r"), _same("l", "r"), "left_semi").select("l.*").union(inside).dropDuplicates(["assoc_id"])
 
@@ -52,6 +52,12 @@ def family_conflicts(new: DataFrame, associations: DataFrame) -> DataFrame:
     return n.join(a, same, "left_semi").select("n.*")
 
 
+def owner_move_conflicts(associations: DataFrame, old: int, new: int, category: str = "Component") -> DataFrame:
+    """The forecasts of an owner that would meet the other kind of their family if they went to another owner of the category."""
+    of = lambda owner: associations.where((F.col("owner_id") == owner) & (F.col("owner_category") == category))
+    return family_conflicts(of(old).withColumn("owner_id", F.lit(new).cast("long")), of(new))
+
+
 def orphans(shared: DataFrame, associations: DataFrame, key: str) -> DataFrame:
     """Shared rows (arrays, timestamp vectors) that no series refers to."""
     return shared.join(associations.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

@@ -63,10 +63,14 @@ def _family(a):
 
 
 def _owner_move(a):
-    """Conflicts of the family rule if the views of owner 2 went to owner 1."""
-    moving = a.where("owner_id = 2").withColumn("owner_id", F.lit(1).cast("long")).drop("owner_category", "features_hash")
-    to = a.where("owner_id = 1").select("owner_category", "features_hash").distinct()
-    return sets.family_conflicts(moving.crossJoin(F.broadcast(to.limit(1))), a).select("owner_id", "name")
+    """Conflicts of the family rule if the views of owner 2 went to owner 1, both with the features of owner 1."""
+    one = a.where("owner_id = 1").agg(F.first("features_hash").alias("h")).first()["h"]
+    return sets.owner_move_conflicts(a.withColumn("features_hash", F.lit(one)), 2, 1).select("owner_id", "name")
+
+
+def _resolved(a):
+    row = catalog.resolve_forecast(a, ListFilter(owner_id=6, owner_category="Component", name="click", time_series_type=2, features={"year": 2024, "segment": "b"}))
+    return a.where(F.col("assoc_id") == row["assoc_id"]).select(*COLS)
 
 
 def _periods(a):
@@ -110,18 +114,18 @@ QUERIES = {
     "LST_7_owner_ids": _q(lambda a: catalog.owner_ids(a, "Component", 2, "PT1H"), "SELECT DISTINCT owner_id FROM assoc WHERE owner_category = 'Component' AND time_series_type BETWEEN 2 AND 3 AND resolution = 'PT1H'"),
     "LST_8_resolutions": _q(lambda a: catalog.distinct(a, "resolution"), "SELECT DISTINCT resolution FROM assoc WHERE resolution IS NOT NULL ORDER BY 1"),
     "LST_9_intervals": _q(lambda a: catalog.distinct(a, "interval"), 'SELECT DISTINCT "interval" FROM assoc WHERE "interval" IS NOT NULL ORDER BY 1'),
-    "LST_10_identities": _q(lambda a: a.where("time_series_type = 3").select(*_ID, "horizon"), f"SELECT {_SQL_ID}, horizon FROM assoc WHERE time_series_type = 3"),
+    "LST_10_identities": _q(lambda a: catalog.identities(a, 3), f"SELECT {_SQL_ID}, horizon FROM assoc WHERE time_series_type = 3"),
     "LST_11_timeline_cohorts": _q(lambda a: catalog.timeline_cohorts(a), "SELECT timestamps_hash, count(*) AS series FROM assoc WHERE timestamps_hash IS NOT NULL GROUP BY 1"),
     "LST_13_metadata_bulk": _q(_bulk, "SELECT k.ordinal::BIGINT AS ordinal, a.owner_id, a.name, a.data_hash FROM (VALUES (0, 3, 'view'), (1, 1, 'click'), (2, 3, 'view')) k(ordinal, o, n) JOIN assoc a ON a.owner_id = k.o AND a.name = k.n AND a.time_series_type = 0"),
     "LST_15_array_groups": _q(lambda a: catalog.array_groups(a).select("data_hash", "series", F.array_join(F.transform("assoc_ids", lambda x: x.cast("string")), ",").alias("assoc_ids")), "SELECT data_hash, count(*) AS series, string_agg(assoc_id::VARCHAR, ',' ORDER BY assoc_id) AS assoc_ids FROM assoc GROUP BY 1"),
     "LST_16_referenced_arrays": _q(lambda a: catalog.referenced_arrays(a), "SELECT DISTINCT data_hash, 'f64' AS element_type FROM assoc"),
-    "LST_17_list_limit": _q(lambda a: a.orderBy("assoc_id").limit(50).select("assoc_id", "name"), "SELECT assoc_id, name FROM assoc ORDER BY assoc_id LIMIT 50"),
+    "LST_17_list_limit": _q(lambda a: catalog.first_listed(a, 50).select("assoc_id", "name"), "SELECT assoc_id, name FROM assoc ORDER BY assoc_id LIMIT 50"),
     "KEY_1_get_by_key": _q(lambda a: ListFilter(owner_id=7, owner_category="Component", time_series_type=0, exact_type=True, name="view", resolution="PT1H", features={"year": 2025, "segment": "c"}).of(a).select(*COLS), f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 7 AND owner_category = 'Component' AND time_series_type = 0 AND name = 'view' AND resolution = 'PT1H' AND year = 2025 AND segment = 'c'"),
-    "KEY_2_has_key": _q(lambda a: ListFilter(owner_id=7, time_series_type=0, exact_type=True, name="view").of(a).limit(1).agg((F.count(F.lit(1)) > 0).alias("found")), "SELECT count(*) > 0 AS found FROM assoc WHERE owner_id = 7 AND time_series_type = 0 AND name = 'view'"),
-    "KEY_3_has_any": _q(lambda a: ListFilter(name_glob="zz*", features={"segment": "a"}).of(a).agg((F.count(F.lit(1)) > 0).alias("found")), "SELECT count(*) > 0 AS found FROM assoc WHERE name GLOB 'zz*' AND segment = 'a'"),
-    "KEY_5_resolve_forecast": _q(lambda a: ListFilter(owner_id=6, owner_category="Component", name="click", time_series_type=2, features={"year": 2024, "segment": "b"}).of(a).select(*COLS), f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 6 AND owner_category = 'Component' AND name = 'click' AND time_series_type IN (2, 3) AND year = 2024 AND segment = 'b'"),
+    "KEY_2_has_key": _q(lambda a: catalog.found(a, ListFilter(owner_id=7, time_series_type=0, exact_type=True, name="view")), "SELECT count(*) > 0 AS found FROM assoc WHERE owner_id = 7 AND time_series_type = 0 AND name = 'view'"),
+    "KEY_3_has_any": _q(lambda a: catalog.found(a, ListFilter(name_glob="zz*", features={"segment": "a"})), "SELECT count(*) > 0 AS found FROM assoc WHERE name GLOB 'zz*' AND segment = 'a'"),
+    "KEY_5_resolve_forecast": _q(_resolved, f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 6 AND owner_category = 'Component' AND name = 'click' AND time_series_type IN (2, 3) AND year = 2024 AND segment = 'b'"),
     "KEY_6_array_references": _q(lambda a: catalog.array_references(a), "SELECT data_hash, count(*) FILTER (WHERE time_series_type = 0) AS static_refs, count(*) FILTER (WHERE time_series_type = 3) AS derived_refs FROM assoc GROUP BY 1"),
-    "AGG_1_count_by_type": _q(lambda a: a.where("time_series_type = 2").agg(F.count(F.lit(1)).alias("series")), "SELECT count(*) AS series FROM assoc WHERE time_series_type = 2"),
+    "AGG_1_count_by_type": _q(lambda a: catalog.count_of_type(a, 2), "SELECT count(*) AS series FROM assoc WHERE time_series_type = 2"),
     "AGG_2_counts_by_type": _q(catalog.counts_by_type, "SELECT time_series_type, count(*) AS series FROM assoc GROUP BY 1 ORDER BY 1"),
     "AGG_3_store_counts": _q(catalog.store_counts, "SELECT count(DISTINCT (owner_id, owner_category)) AS owners, count(*) FILTER (WHERE time_series_type <= 1) AS static, count(*) FILTER (WHERE time_series_type > 1) AS forecasts FROM assoc"),
     "AGG_4_detailed_counts": _q(catalog.detailed_counts, "SELECT count(DISTINCT owner_id) FILTER (WHERE owner_category = 'Component') AS components, count(DISTINCT owner_id) FILTER (WHERE owner_category <> 'Component') AS attributes, count(DISTINCT data_hash) FILTER (WHERE time_series_type <= 1) AS static_arrays, count(DISTINCT data_hash) FILTER (WHERE time_series_type > 1) AS forecast_arrays FROM assoc"),
@@ -153,11 +157,6 @@ QUERIES = {
         'P' || CASE WHEN n // 86400000 > 0 THEN n // 86400000 || 'D' ELSE '' END || CASE WHEN n % 86400000 = 0 THEN '' ELSE 'T' || CASE WHEN n % 86400000 // 3600000 > 0 THEN n % 86400000 // 3600000 || 'H' ELSE '' END
         || CASE WHEN n % 3600000 // 60000 > 0 THEN n % 3600000 // 60000 || 'M' ELSE '' END || CASE WHEN n % 60000 = 0 THEN '' WHEN n % 1000 = 0 THEN n % 60000 // 1000 || 'S' ELSE n % 60000 // 1000 || '.' || rtrim(lpad((n % 1000)::VARCHAR, 3, '0'), '0') || 'S' END END END AS iso
         FROM (SELECT *, CASE WHEN resolution = 'P1M' THEN owner_id % 30 ELSE owner_id * 1234567 END AS n FROM assoc WHERE time_series_type = 0)"""),
-    "DML_7_remove": _q(lambda a: a.where("not (owner_id = 4 and time_series_type = 3 and name = 'click')").select("assoc_id"), "SELECT assoc_id FROM assoc WHERE NOT (owner_id = 4 AND time_series_type = 3 AND name = 'click')"),
-    "DML_9_remove_by_filter": _q(lambda a: a.where(~F.coalesce(ListFilter(name_glob="*i*", component_field="max_active_power").column(), F.lit(False))).select("assoc_id"), "SELECT assoc_id FROM assoc WHERE NOT coalesce(name GLOB '*i*' AND component_field = 'max_active_power', false)"),
-    "DML_11_rename": _q(lambda a: a.withColumn("name", F.when((F.col("owner_id") == 3) & (F.col("time_series_type") == 0) & (F.col("name") == "view"), "seen").otherwise(F.col("name"))).select("assoc_id", "name"), "SELECT assoc_id, CASE WHEN owner_id = 3 AND time_series_type = 0 AND name = 'view' THEN 'seen' ELSE name END AS name FROM assoc"),
-    "DML_12_copy": _q(lambda a: a.unionByName(a.where("owner_id = 3 and time_series_type = 0 and name = 'view'").withColumn("owner_id", F.lit(888_888).cast("long"))).select("owner_id", "name", "data_hash"), "SELECT owner_id, name, data_hash FROM assoc UNION ALL SELECT 888888, name, data_hash FROM assoc WHERE owner_id = 3 AND time_series_type = 0 AND name = 'view'"),
-    "DML_13_replace_owner": _q(lambda a: a.withColumn("owner_id", F.when((F.col("owner_id") == 3) & (F.col("owner_category") == "Component"), F.lit(999_999).cast("long")).otherwise(F.col("owner_id"))).select("assoc_id", "owner_id", "owner_type"), "SELECT assoc_id, CASE WHEN owner_id = 3 AND owner_category = 'Component' THEN 999999 ELSE owner_id END AS owner_id, owner_type FROM assoc"),
     "DML_5_duplicates": _q(lambda a: sets.duplicates(a, _changed(a)).select("assoc_id"), "SELECT assoc_id FROM assoc WHERE owner_id NOT IN (3, 8)"),
     "ASC_2_list": _links(lambda t: links.listed(t, first={"id_": 7}).select("id", "component_id", "attribute_id"), "SELECT id, component_id, attribute_id FROM links WHERE component_id = 7 ORDER BY id"),
     "ASC_3_has": _links(lambda t: links.listed(t, first={"id_": 7}, second={"types": ["Part1"]}).limit(1).agg((F.count(F.lit(1)) > 0).alias("found")), "SELECT count(*) > 0 AS found FROM links WHERE component_id = 7 AND attribute_type = 'Part1'"),

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.elements import ElementType, decoded, encoded
-from ..functions.hashing import array_hash_column, timestamps_hash_column
 from ..functions.period import Period, micros
 from ..operators import catalog, charts, readers, series
 from ..operators.filters import ListFilter  # noqa: F401
@@ -95,15 +94,6 @@ def _functions(spark, d):
     return flat.select("l_orderkey", F.explode(one).alias("q")).select("l_orderkey", F.col("q.x").alias("x"), F.col("q.y").alias("y"))
 
 
-def _hashes(spark, d):
-    rows = fx.hourly(spark, d)
-    return rows.select(*_OWNER, array_hash_column("i64", F.array("length"), F.col("values")).alias("data_hash"))
-
-
-def _vector_hashes(spark, d):
-    return fx.irregular(spark, d).select("owner_id", timestamps_hash_column(F.col("timestamps")).alias("timestamps_hash"))
-
-
 def _grid(rows):
     return readers.grid(readers.static_sweep(rows, HOUR, _OWNER), "name", fx.EVENTS, ["owner_id"])
 
@@ -169,6 +159,4 @@ QUERIES = {
     "PER_10_precision": ((lambda spark, d: fx.table(spark, d, "events").agg(F.count_if(micros(F.col("ts")) % 1000 != 0).alias("finer"))), "SELECT count(*) FILTER (WHERE epoch_us(ts) % 1000 <> 0) AS finer FROM events"),
     "ARR_6_tuple": (_pairs, "SELECT vec_id, i::BIGINT AS i, round(embedding[i + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) r(i)"),
     "ARR_7_piecewise_round_trip": (_functions, "SELECT l_orderkey, l_linenumber::DOUBLE AS x, l_quantity AS y FROM lineitem"),
-    "ARR_1_array_hash": (_hashes, None),
-    "ARR_3_timestamps_hash": (_vector_hashes, None),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
@@ -14,10 +14,23 @@ from ..operators.series import steps
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row, cells) of one file in its order; row 0 is the header. A file is one record, so its lines keep their places."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")).alias("row", "line"))
-    return rows.select(F.col("row").cast("long").alias("row"), F.split("line", ",").alias("cells"))
+    """(row, cells) of one file in its order; row 0 is the header. Quoted cells may hold commas, but no line breaks.
+
+    Blocks of the file are read apart; a row's number is that within its block after the rows of the blocks before.
+    """
+    raw = spark.read.text(path)
+    rows = raw.select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    blocks = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    rows = rows.join(F.broadcast(blocks.select("__b", "__first", before.alias("__before"))), "__b")
+    return rows.select((F.col("__before") + F.col("__m") - F.col("__first")).alias("row"), cells(F.col("line")).alias("cells"))
+
+
+def cells(line: Column) -> Column:
+    """The cells of a line; in quotes, a doubled quote stands for one."""
+    bare = lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)\x20*+("(?:[^"]++|"")*+"|[^,"]*+)'), F.lit(1)), bare)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -48,9 +61,12 @@ def read_values(spark: SparkSession, path: str, leading: int = 0) -> DataFrame:
 
 def read_timestamped(spark: SparkSession, path: str) -> DataFrame:
     """(row, t, v array) of a file with a timestamp column."""
-    rows = lines(spark, path).where("row > 0")
+    rows = lines(spark, path).where("row > 0").withColumnRenamed("row", "line")
+    # the header is left out of the cast itself too, as the engine may cast before it filters
+    numbers = F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda x: F.trim(x).cast("double"))
     t = F.to_timestamp(F.trim(F.element_at("cells", 1))).cast("timestamp_ntz")
-    return rows.select((F.col("row") - 1).alias("row"), t.alias("t"), F.transform(F.slice("cells", 2, 10_000), lambda x: F.trim(x).cast("double")).alias("v"))
+    of_data = F.col("line") > 0
+    return rows.select((F.col("line") - 1).alias("row"), F.when(of_data, t).alias("t"), F.when(of_data, numbers).alias("v"))
 
 
 def check_grid(rows: DataFrame, initial, resolution: Period, length: int) -> None:
@@ -82,9 +98,9 @@ def read_wide(spark: SparkSession, path: str, owners: DataFrame | dict | None =
     if isinstance(owners, dict):
         pairs = [(k, *(v if isinstance(v, tuple) else (v, None))) for k, v in owners.items()]
         owners = spark.createDataFrame(pairs, "column string, owner_id long, owner_type string")
-    missing = [r[0] for r in series.join(owners, "column", "left_anti").select("column").collect()]
+    missing = [r[0] for r in series.join(owners, "column", "left_anti").select("column").orderBy("column").limit(11).collect()]
     if missing:
-        raise InvalidParameter(f"columns without an owner: {', '.join(sorted(missing))}")
+        raise InvalidParameter(f"columns without an owner: {', '.join(missing[:10])}{' ...' if len(missing) > 10 else ''}")
     return series.join(F.broadcast(owners), "column").select("owner_id", "owner_type", "column", "values")
 
 
@@ -117,6 +133,55 @@ def wire_series(associations: DataFrame) -> DataFrame:
     return associations.orderBy(*typed_order()).select(F.to_json(F.struct(*fields, plain.alias("features"))).alias("json"))
 
 
+#: What row_json() reads back of wire_series().
+WIRE = """owner_id bigint, owner_type string, owner_category string, name string, initial_timestamp string, resolution string, length bigint, horizon string, interval string, count bigint,
+units string, quantity_kind string, unit_system string, component_field string, percentiles array<double>, element_type string, application_data string, data_hash string, features map<string,string>"""
+
+
+def row_json(rows: DataFrame) -> DataFrame:
+    """Catalog columns from JSON rows (json); a row that does not parse, or has no owner or name, is an error when it is read."""
+    r = F.from_json("json", WIRE, {"mode": "FAILFAST"})
+    out = rows.select(r.alias("r")).select("r.*")
+    checked = F.when(F.col("owner_id").isNull() | F.col("name").isNull(), F.raise_error(F.lit("a row without an owner or a name"))).otherwise(F.col("owner_id"))
+    return out.withColumns({"owner_id": checked.cast("long"), "initial_timestamp": F.to_timestamp("initial_timestamp").cast("timestamp_ntz")})
+
+
+def json_series(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFrame:
+    """(keep, json): each single series as one JSON array of timestamp and value."""
+    entry = lambda v, i: F.struct(wire_instant(resolution.add(F.col("initial_timestamp"), i.cast("long"))).alias("timestamp"), v.alias("value"))
+    return rows.select(*keep, F.to_json(F.transform("values", entry)).alias("json"))
+
+
+def json_lines(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFrame:
+    """(keep, idx, json): a JSON object for each step."""
+    out = steps(rows, resolution, keep)
+    return out.select(*keep, "idx", F.to_json(F.struct(wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))).alias("json"))
+
+
+def double_values(values: str = "values", exact: str = "exact") -> Column:
+    """An array of any dtype as doubles; 64-bit integers may lose their last digits."""
+    return F.coalesce(F.col(values), F.transform(exact, lambda x: x.cast("double")))
+
+
+SERIES_KEYS = frozenset("owner_id owner_type owner_category name initial_timestamp resolution length units".split())
+
+
+def series_from_csv(spark: SparkSession, path: str, description: dict) -> DataFrame:
+    """One row (the description's fields and values) of a file of single values, or of timestamps and values that stand on its grid."""
+    if unknown := set(description) - SERIES_KEYS:
+        raise InvalidParameter(f"unknown keys: {', '.join(sorted(unknown))}")
+    names = header(spark, path)
+    kind = layout(names)
+    if kind == "forecast":
+        raise InvalidParameter("a forecast file is not a single series")
+    if kind == "timestamped":
+        rows = read_timestamped(spark, path)
+        check_grid(rows, description["initial_timestamp"], Period.parse(description["resolution"]), description.get("length", rows.count()))
+    values = read_values(spark, path, leading=int(kind == "timestamped"))
+    known = {k: F.lit(v) for k, v in description.items() if k not in ("initial_timestamp", "length")}
+    return values.select(*[c.alias(k) for k, c in known.items()], instant(description["initial_timestamp"]).alias("initial_timestamp"), F.size("values").cast("long").alias("length"), "values")
+
+
 def file_stems(associations: DataFrame) -> DataFrame:
     """(assoc_id, stem): one name a series, distinct whatever the case; those that collide get identity and number."""
     clean = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_.-]", "_")

@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 
 class Folder:
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path.rstrip("/")
-        self.fs = self._p("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm, self.gateway, self.conf, self.path = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration(), path.rstrip("/")
+        self.fs = self._p("").getFileSystem(self.conf)
 
     def _p(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -33,9 +33,12 @@ class Folder:
             out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             out.close()
-        if self.exists(name):
-            self.fs.delete(self._p(name), False)
-        self.fs.rename(self._p(aside), self._p(name))
+        # one step that replaces: there is never a moment without a whole file
+        hadoop = self.jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        options = self.gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        context.rename(self.fs.makeQualified(self._p(aside)), self.fs.makeQualified(self._p(name)), options)
 
     def delete(self, name: str = "") -> None:
         self.fs.delete(self._p(name), True)

@@ -83,6 +83,11 @@ def _hash_features(features: pd.Series) -> pd.Series:
     return pd.Series([features_hash(_python_features(p)) for p in pairs])
 
 
+def _period_n(known: list[str]) -> Column:
+    """The number of months or milliseconds of a period, from the few texts that stand in the batch."""
+    return F.coalesce(F.lit(None).cast("long"), *[F.when(F.col("resolution") == t, F.lit(Period.parse(t).n).cast("long")) for t in known])
+
+
 def _dtype(element: Column, known: list[str]) -> Column:
     return F.coalesce(*[F.when(element == t, F.lit(ElementType.parse(t).dtype)) for t in known])
 
@@ -199,8 +204,8 @@ class Store:
             self._levels[-1].update(tables)
 
     # adding
-    def add(self, *requests: Request) -> None:
-        """All requests or none."""
+    def add(self, *requests: Request, replace: bool = False) -> None:
+        """All requests or none; with replace, series of the same identities go in the same step."""
         rows = []
         for r in requests:
             exact = [int(v) for v in r.values] if ElementType.parse(r.element_type).dtype in ("i64", "u64") else None
@@ -209,39 +214,63 @@ class Store:
             values = None if exact is not None else [float(v) for v in r.values]
             shape = r.shape if r.shape is not None else [len(r.values)]
             rows.append((r.owner_id, r.owner_type, r.owner_category, r.time_series_type, r.name, r.initial_timestamp, text(r.resolution), text(r.horizon), text(r.interval), r.count, r.percentiles, r.timestamps, str(ElementType.parse(r.element_type)), shape, values, exact, feature, r.units, r.quantity_kind, r.unit_system, r.component_field, r.application_data))
-        self.add_frame(self.spark.createDataFrame([tuple(_decimals(x) if i == 15 else x for i, x in enumerate(r)) for r in rows], INCOMING))
+        self.add_frame(self.spark.createDataFrame([tuple(_decimals(x) if i == 15 else x for i, x in enumerate(r)) for r in rows], INCOMING), replace)
 
-    def add_frame(self, incoming: DataFrame) -> None:
-        """Rows of INCOMING: checked, hashed and stored; arrays and timestamp vectors once each."""
+    def add_frame(self, incoming: DataFrame, replace: bool = False) -> None:
+        """Rows of INCOMING: checked, hashed (once, then kept) and stored; arrays and timestamp vectors once each."""
         known = [r[0] for r in incoming.select("element_type").distinct().collect()]
-        for t in known:
-            ElementType.parse(t)
         n = F.coalesce(F.size("exact"), F.size("values"))
         rows = incoming.withColumn("dtype", _dtype(F.col("element_type"), known) if known else F.lit("f64"))
         rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn("features_hash", _hash_features(F.array_sort(F.map_entries("features"))))
         rows = rows.withColumn("timestamps_hash", F.when(F.col("timestamps").isNotNull(), timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))))).withColumn("__n", n)
-        problem = self._problems(rows)
+        rows = rows.withColumn("__row", F.monotonically_increasing_id()).persist()
+        try:
+            self._add_hashed(rows, known, replace)
+        finally:
+            rows.unpersist()
+
+    def _add_hashed(self, rows: DataFrame, known: list[str], replace: bool) -> None:
+        problem = F.coalesce(self._problems(rows), self._misshapen(known))
         bad = rows.select("name", "owner_id", problem.alias("problem")).where("problem is not null").limit(1).collect()
         if bad:
             raise InvalidParameter(f"{bad[0]['owner_id']}/{bad[0]['name']}: {bad[0]['problem']}")
         first = (self.associations.agg(F.max("assoc_id")).first()[0] or 0) + 1
         length = F.col("shape")[0].cast("long")
         months = F.col("resolution").rlike(r"^-?P[0-9]+[YM]$")
+        known_periods = [r[0] for r in rows.select("resolution").where("resolution is not null").distinct().collect()]
         new = rows.select(
-            (F.lit(first) + F.monotonically_increasing_id()).alias("assoc_id"),
+            (F.lit(first) + F.col("__row")).alias("assoc_id"),
             "owner_id", "owner_type", "owner_category", "time_series_type", "name", "initial_timestamp", "resolution",
-            F.when(months, "months").when(F.col("resolution").isNotNull(), "fixed").alias("resolution_kind"), F.lit(None).cast("long").alias("resolution_n"),
+            F.when(months, "months").when(F.col("resolution").isNotNull(), "fixed").alias("resolution_kind"), _period_n(known_periods).alias("resolution_n"),
             length.alias("length"), "horizon", "interval", "count", "timestamps_hash", "units", "quantity_kind", "unit_system", "component_field", "percentiles", "element_type",
             F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0))).alias("element_shape"), "application_data", "features", "features_hash", "data_hash",
         )
-        if sets.duplicates(new, self.associations).limit(1).count():
+        held = self.associations
+        if replace:
+            held = held.alias("l").join(new.alias("r"), sets._same("l", "r"), "left_anti").select("l.*")
+        if sets.duplicates(new, held).limit(1).count():
             raise DuplicateTimeSeries("a series of this identity exists")
-        if sets.family_conflicts(new, self.associations.unionByName(new)).limit(1).count():
+        if sets.family_conflicts(new, held.unionByName(new)).limit(1).count():
             raise DuplicateTimeSeries("a forecast of this family is stored the other way")
         arrays = sets.deduplicated(rows.select("data_hash", "dtype", "shape", "values", "exact"), self.tables["arrays"])
         vectors = rows.where(F.col("timestamps").isNotNull()).select("timestamps_hash", "timestamps").dropDuplicates(["timestamps_hash"])
         vectors = vectors.join(self.tables["timestamp_sets"].select("timestamps_hash"), "timestamps_hash", "left_anti")
-        self._change(associations=self.associations.unionByName(new), arrays=self.tables["arrays"].unionByName(arrays), timestamp_sets=self.tables["timestamp_sets"].unionByName(vectors))
+        self._change(associations=held.unionByName(new), arrays=self.tables["arrays"].unionByName(arrays), timestamp_sets=self.tables["timestamp_sets"].unionByName(vectors))
+
+    @staticmethod
+    def _misshapen(known: list[str]) -> Column:
+        """A series whose steps do not have the shape that its element type asks for."""
+        wrong = F.lit(False)
+        axes = F.element_at(F.create_map(*[x for k, n in LEADING.items() for x in (F.lit(k), F.lit(n))]), F.col("time_series_type"))
+        step = F.slice("shape", axes + 1, F.greatest(F.size("shape") - axes, F.lit(0)))
+        for text in known:
+            e = ElementType.parse(text)
+            if e.kind == "scalar":
+                continue
+            n = F.element_at(step, -1)
+            fits = (n % 2 == 1) if e.kind == "piecewise_linear" else (n == 1) | ((n >= 2) & (n % 2 == 0)) if e.ragged else n == e.fixed_dims
+            wrong = wrong | ((F.col("element_type") == text) & ~F.coalesce((F.size(step) == 1) & fits, F.lit(False)))
+        return F.when(wrong, F.lit("the steps do not have the shape of their element type"))
 
     @staticmethod
     def _problems(rows: DataFrame) -> Column:
@@ -282,6 +311,27 @@ class Store:
         """Catalog rows with dtype, shape and values, and timestamps of irregular series; the filtered catalog is the small side."""
         return self.list(f).join(self.tables["arrays"], "data_hash")
 
+    def array(self, data_hash: str) -> DataFrame:
+        """The array of a hash, with dtype and shape: no row if it is not stored."""
+        return self.tables["arrays"].where(F.col("data_hash") == data_hash)
+
+    def array_shapes(self) -> DataFrame:
+        """(data_hash, dtype, shape) without reading values."""
+        return self.tables["arrays"].select("data_hash", "dtype", "shape")
+
+    def timestamps(self, timestamps_hash: str) -> DataFrame:
+        """The instants of a vector, in order."""
+        return self.tables["timestamp_sets"].where(F.col("timestamps_hash") == timestamps_hash).select(F.posexplode("timestamps").alias("i", "t"))
+
+    def read_range(self, keys: DataFrame, on: list[str], start: dt.datetime, end: dt.datetime) -> DataFrame:
+        """Single series of keys (ordinal, *on), cut to [start, end), one row a key; all of one resolution, and none may be missing."""
+        singles = self.associations.where(F.col("time_series_type") == SINGLE)
+        rows = catalog.metadata_of(singles, keys, on)
+        periods = [r[0] for r in rows.select("resolution").distinct().limit(2).collect()]
+        if len(periods) != 1:
+            raise InvalidParameter("the series do not share one resolution")
+        return series.slice_regular(rows.join(self.tables["arrays"], "data_hash"), Period.parse(periods[0]), start, end)
+
     def get(self, f: ListFilter, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """The one series of f, whole or sliced."""
         row = resolve_one(self.associations, f)
@@ -321,6 +371,16 @@ class Store:
         self._change(associations=left, arrays=kept)
         return n
 
+    def remove_each(self, filters: list[ListFilter]) -> int:
+        """The one series of each filter goes, or nothing does."""
+        ids = [resolve_one(self.associations, f)["assoc_id"] for f in filters]
+        left = self.associations.where(~F.col("assoc_id").isin(ids)) if ids else self.associations
+        if sets.orphaned_views(left).limit(1).count():
+            raise IntegrityError("a derived view would lose its series")
+        kept = self.tables["arrays"].join(left.select("data_hash").distinct(), "data_hash", "left_semi").select(*self.tables["arrays"].columns)
+        self._change(associations=left, arrays=kept)
+        return len(set(ids))
+
     def clear(self, owner_id: int | None = None, category: str | None = None) -> None:
         """One owner or everything, without the guard for views."""
         if owner_id is None:
@@ -331,8 +391,7 @@ class Store:
 
     def _checked(self, after: DataFrame) -> None:
         """Publish a changed catalog if identities and families still hold."""
-        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sets.IDENTITY]
-        if after.groupBy(*keys).count().where("count > 1").limit(1).count():
+        if after.groupBy(*sets.IDENTITY).count().where("count > 1").limit(1).count():
             raise DuplicateTimeSeries("two series would have one identity")
         if sets.family_conflicts(after, after).limit(1).count():
             raise DuplicateTimeSeries("a family would hold dense and derived forecasts")

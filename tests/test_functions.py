@@ -103,3 +103,16 @@ def test_ragged_values_survive_a_round_trip(spark):
     df = spark.sql("select array(2D, 1D, 5D, 7D, 0D, 0D) as f")
     assert df.select(elements.decoded(F.col("f"), step, 6)[0].alias("x")).first().x.asDict() == {"x": [1, 5], "y": [7]}
     assert not df.select(elements.valid(F.array(*[F.lit(x) for x in (2.5, 0.0)]), step, 2).alias("ok")).first().ok
+
+
+@pytest.mark.parametrize("seconds", [[], [0], [0, 60, 120], [-5, 0, 86_400, 86_400], [1, 2, 10**9]])
+def test_timestamp_vectors_decode_to_what_was_encoded(seconds):
+    from gridloom.errors import IntegrityError
+    from gridloom.functions.hashing import timestamps_blob, timestamps_of
+
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) for s in seconds]
+    blob = timestamps_blob(times)
+    assert timestamps_of(blob) == times
+    for bad in (b"", b"\x02" + blob[1:], blob + b"\x00", *([blob[:-1]] if seconds else [])):
+        with pytest.raises(IntegrityError):
+            timestamps_of(bad)

@@ -115,3 +115,69 @@ def test_file_stems_are_distinct(spark):
     stems = [r.stem.lower() for r in csv_io.file_stems(store.associations).collect()]
     assert len(set(stems)) == 3
     assert '"units"' not in csv_io.wire_series(store.associations.where(F.col("owner_id") == 7)).first()["json"]
+
+
+def test_wide_files_keep_every_column_and_quoted_cells(spark, tmp_path):
+    n = 10_050
+    path = tmp_path / "wide.csv"
+    path.write_text("timestamp," + ",".join(f"c{i}" for i in range(n)) + "\n" + "\n".join(f'2024-01-01T0{h}:00:00,' + ",".join(f'"{h}"' if i == 3 else str(h * n + i) for i in range(n)) for h in range(3)) + "\n")
+    rows = csv_io.read_timestamped(spark, str(path)).orderBy("row").collect()
+    assert [(r["row"], r["t"], len(r["v"]), r["v"][3], r["v"][-1]) for r in rows] == [(h, T + dt.timedelta(hours=h), n, float(h), float(h * n + n - 1)) for h in range(3)]
+
+
+def test_rows_of_a_file_in_blocks_keep_their_order(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("v\n" + "\n".join(str(i) for i in range(5000)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert csv_io.read_values(spark, str(path)).first()["values"] == [float(i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_series_from_csv_must_stand_on_its_grid(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("timestamp,value\n2024-01-01T00:00:00,1\n2024-01-01T01:00:00,2\n")
+    about = {"owner_id": 1, "name": "load", "initial_timestamp": T, "resolution": "PT1H", "length": 2}
+    row = csv_io.series_from_csv(spark, str(path), about).first()
+    assert (row["owner_id"], row["length"], row["values"]) == (1, 2, [1.0, 2.0])
+    for bad in ({"length": 3}, {"resolution": "PT2H"}, {"color": "red"}):
+        with pytest.raises(InvalidParameter):
+            csv_io.series_from_csv(spark, str(path), about | bad)
+
+
+def test_all_or_nothing_is_removed_and_replaced(spark):
+    store = Store.create(spark)
+    store.add(load(1), load(2, values=[1.0] * 24), load(3))
+    with pytest.raises(NotFound):
+        store.remove_each([ListFilter(owner_id=1), ListFilter(owner_id=9)])
+    assert store.associations.count() == 3
+    assert store.remove_each([ListFilter(owner_id=1), ListFilter(owner_id=2)]) == 2 and store.tables["arrays"].count() == 1
+    with pytest.raises(DuplicateTimeSeries):
+        store.add(load(3, values=[2.0] * 24))
+    store.add(load(3, values=[2.0] * 24), load(4), replace=True)
+    assert store.get(ListFilter(owner_id=3)).first()["values"] == [2.0] * 24 and store.associations.count() == 2
+    assert {r["resolution_n"] for r in store.associations.collect()} == {3_600_000}
+    with pytest.raises(InvalidParameter):
+        store.add(load(5, values=[0.0] * 48, shape=[24, 2], element_type="tuple(3,f64)"))
+    store.add(load(5, values=[0.0] * 72, shape=[24, 3], element_type="tuple(3,f64)"))
+
+
+def test_readers_refuse_what_does_not_fit_together(spark):
+    from gridloom.operators import readers
+
+    store = Store.create(spark)
+    store.add(load(1), load(2), load(3, values=[1.0] * 12))
+    arrays = store.tables["arrays"]
+    with pytest.raises(InvalidParameter):
+        readers.static_reader(store.associations, arrays)
+    assert readers.static_reader(store.associations, store.tables["arrays"], ListFilter(owner_id=1)).count() == 1
+    with pytest.raises(InvalidParameter):
+        readers.forecast_reader(store.associations, arrays, ListFilter(), ["owner_id"])
+    dense = Request(4, "Generator", "load", [float(i) for i in range(12)], time_series_type=2, shape=[6, 2], initial_timestamp=T, resolution="PT1H", horizon="PT6H", interval="PT6H", count=2)
+    store.add(dense)
+    got = readers.forecast_reader(store.associations, store.tables["arrays"], ListFilter(owner_id=4), ["owner_id"], T + dt.timedelta(hours=6))
+    assert [(r.h, r.v) for r in got.orderBy("h").collect()] == [(h, float(2 * h + 1)) for h in range(6)]
+    with pytest.raises(InvalidParameter):
+        readers.forecast_reader(store.associations, store.tables["arrays"], ListFilter(owner_id=4), ["owner_id"], T + dt.timedelta(hours=1))
