@@ -135,3 +135,11 @@ def best_fit(counts, capacity):
         else:
             gaps.append(capacity - length)
     return len(gaps)
+
+
+def without_boilerplate(rows, ratio, margin, spare):
+    """[(host, text)] -> the texts without the lines that stand on too many pages of their host."""
+    pages = Counter(h for h, _ in rows)
+    seen = Counter((h, x) for h, t in rows for x in set((t or "").split("\n")) if words(x))
+    over = lambda h, x: seen[h, x] > ratio * pages[h] + margin * (ratio * pages[h]) ** 0.5 + spare
+    return [None if t is None else "\n".join(x for x in t.split("\n") if not (words(x) and over(h, x))) for h, t in rows]

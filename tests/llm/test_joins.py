@@ -1,11 +1,12 @@
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
 
-from gridloom.llm import common, jaccard_join, nn_descent, packing
+from gridloom.llm import common, jaccard_join, line_dedup, nn_descent, packing, quality_model
 from gridloom.llm.common import documents
 
 DOCS = "doc_id long, text string, source string, sid long, block long, lead string"
@@ -224,18 +225,48 @@ def test_fast_and_slow_encoders_agree_on_documents():
         assert fast(t or "").tolist() == slow(t or "").tolist()
 
 
-def test_pipeline_stages_take_effect(spark):
+def test_pipeline_stages_are_those_of_brute_force(spark):
     import corpus_pipeline as pipeline
 
     d = "/root/testdata/sf0.001"
-    now = documents(spark, d)
-    names = now.columns
-    before = now.count()
-    for name, stage in pipeline.STAGES[:-1]:
-        now = stage(spark, now, d)
-        assert now.columns == names, name
-        rows = now.collect()
-        now = spark.createDataFrame(rows, now.schema)
-        assert 0 < len(rows) <= 2 * before
-    packed = pipeline.STAGES[-1][1](spark, now, d)
-    assert packed.count() >= len(rows)
+    odd = [(900_001, None, None, None, None), (900_002, "", "en", "src1", 0), (900_003, "one two", "en", None, 7)]
+    start = documents(spark, d)
+    start = start.union(spark.createDataFrame(odd, start.schema)).union(start.where("doc_id = 7"))
+    stages = dict(pipeline.STAGES)
+
+    def after(name, rows):
+        out = stages[name](spark, spark.createDataFrame(rows, start.schema), d)
+        assert out.columns == start.columns, name
+        return out.collect()
+
+    rows = start.collect()
+    good = {r.doc_id for r in quality_model.op5(start, documents(spark, d, "labels")).collect() if r.predicted}
+    kept = after("quality classifier", rows)
+    assert Counter(map(tuple, kept)) == Counter(tuple(r) for r in rows if r.doc_id in good) and 0 < len(kept) < len(rows)
+    cleaned = after("line dedup", rows)
+    want = brute.without_boilerplate([(r.source, r.text) for r in rows], line_dedup.RATIO, line_dedup.MARGIN, line_dedup.SPARE)
+    assert Counter((r.doc_id, r.source, r.text) for r in cleaned) == Counter((r.doc_id, r.source, t) for r, t in zip(rows, want, strict=True))
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in cleaned)
+    one = after("n-gram Jaccard join", rows)
+    groups = brute.jaccard_components({i: r.text for i, r in enumerate(rows)})
+    assert Counter(r.text for r in one) == Counter(rows[c].text for c in {c for _, c in groups.values()})
+    mixed = after("mixing sources", rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len(brute.words(r.text))
+    targets, taken = brute.mix_targets(dict(sizes)), Counter()
+    for r in mixed:
+        taken[r.source] += len(brute.words(r.text))
+    longest = max(len(brute.words(r.text)) for r in rows)
+    assert all(abs(taken[s] - t) <= longest for s, t in targets.items()) and max(Counter(map(tuple, mixed)).values()) <= 4
+    counts = Counter(r.doc_id for r in rows)
+    packed = stages["best-fit packing"](spark, spark.createDataFrame(rows, start.schema), d).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == counts
+    ends = {}
+    for r in packed:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for places in ends.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a[1] == b[0] for a, b in zip(places, places[1:], strict=False)) and places[-1][1] <= 2048
+    empty = start.where("doc_id < 0")
+    assert all(stage(spark, empty, d).collect() == [] for _, stage in pipeline.STAGES)
