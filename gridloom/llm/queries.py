@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, line_dedup, mixing, nn_descent, oracles, packing, quality_model, quality_rules, sanitise, secret_scan
+from . import (
+    filter_audit,
+    importance,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    mixing,
+    nn_descent,
+    oracles,
+    packing,
+    quality_model,
+    quality_rules,
+    sanitise,
+    secret_scan,
+    vector_dedup,
+)
 from .common import documents
 
 
@@ -18,6 +33,9 @@ def queries() -> dict:
         "op9_nn_descent": lambda spark, d: nn_descent.op9(documents(spark, d, "embeddings")),
         "op10_best_fit": lambda spark, d: packing.op10(documents(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.op8(documents(spark, d)),
+        "op11_importance": lambda spark, d: importance.op11(documents(spark, d), documents(spark, d, "benchmark")),
+        "op12_vector_dedup": lambda spark, d: vector_dedup.op12(documents(spark, d, "embeddings")),
+        "op13_filter_audit": lambda spark, d: filter_audit.op13(documents(spark, d), documents(spark, d, "labels")),
         # the columns of four operators that SQL can state
         "base_op1_targets": lambda spark, d: mixing.op1(documents(spark, d)).select("doc_id", "size", "source_size", "target"),
         "base_op2_spans": lambda spark, d: secret_scan.op2(documents(spark, d)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
@@ -31,6 +49,9 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.SQL,
         "op7_jaccard_join": oracles.JACCARD,
         "op8_quality_rules": oracles.rules(),
+        "op11_importance": importance.SQL,
+        "op12_vector_dedup": vector_dedup.SQL,
+        "op13_filter_audit": filter_audit.SQL,
         "base_op1_targets": oracles.MIX,
         "base_op2_spans": oracles.SECRETS,
         "base_op4_spans": oracles.PERSONAL,
