@@ -143,10 +143,6 @@ QUERIES = {
     "JON_8_unreferenced_arrays": _q(lambda a: sets.orphans(a.select("data_hash").distinct(), a.where("owner_id <> 9"), "data_hash"), "SELECT DISTINCT data_hash FROM assoc WHERE data_hash NOT IN (SELECT data_hash FROM assoc WHERE owner_id <> 9)"),
     "SET_1_diff": _q(lambda a: sets.diff(a, _changed(a)), f""", {_CHANGED} SELECT {', '.join(f'coalesce(l."{c}", r."{c}") AS "{c}"' for c in _ID)}, CASE WHEN l.data_hash IS NULL THEN 'added' WHEN r.data_hash IS NULL THEN 'removed' ELSE 'changed' END AS status
         FROM assoc l FULL JOIN changed r ON {_SAME} WHERE l.data_hash IS DISTINCT FROM r.data_hash"""),
-    "SET_2_merge_replace": _q(lambda a: sets.merge(a, _changed(a), replace=True).select("owner_id", "name", "time_series_type", "data_hash"), f""", {_CHANGED}, other AS (SELECT * REPLACE (CASE time_series_type WHEN 3 THEN 2 ELSE time_series_type END AS time_series_type) FROM changed)
-        SELECT owner_id, name, time_series_type, data_hash FROM other UNION ALL SELECT owner_id, name, time_series_type, data_hash FROM assoc l WHERE NOT EXISTS (SELECT 1 FROM other r WHERE {_SAME})"""),
-    "SET_2_merge_keep": _q(lambda a: sets.merge(a, _changed(a)).select("owner_id", "name", "time_series_type", "data_hash"), f""", {_CHANGED}, other AS (SELECT * REPLACE (CASE time_series_type WHEN 3 THEN 2 ELSE time_series_type END AS time_series_type) FROM changed)
-        SELECT owner_id, name, time_series_type, data_hash FROM assoc UNION ALL SELECT owner_id, name, time_series_type, data_hash FROM other l WHERE NOT EXISTS (SELECT 1 FROM assoc r WHERE {_SAME})"""),
     "SET_4_content_dedup": _q(lambda a: sets.deduplicated(a.select("data_hash"), a.where("owner_id % 5 = 0").select("data_hash").distinct()), "SELECT DISTINCT data_hash FROM assoc WHERE data_hash NOT IN (SELECT data_hash FROM assoc WHERE owner_id % 5 = 0)"),
     "FCW_8_transform": _q(_transform, f"""SELECT {', '.join(f"'P1D' AS \"interval\"" if c == "interval" else "3 AS time_series_type" if c == "time_series_type" else f'"{c}"' for c in _ID)}, 'P2D' AS horizon, 29::BIGINT AS "count", data_hash FROM assoc n
         WHERE time_series_type = 0 AND resolution = 'PT1H' AND NOT EXISTS (SELECT 1 FROM assoc a WHERE a.time_series_type = 3 AND a.owner_id = n.owner_id AND a.name = n.name)"""),

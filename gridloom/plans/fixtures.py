@@ -107,6 +107,39 @@ def associations(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"features": features, "features_hash": key, "assoc_id": number.cast("long"), "element_type": F.lit("f64"), "element_shape": F.expr("cast(array() as array<int>)")})
 
 
+def dense(rows: DataFrame) -> DataFrame:
+    """Hourly series as forecasts [24, 30]: window c has the hours of day c."""
+    of = lambda v: F.transform(F.sequence(F.lit(0), F.lit(719)), lambda i: F.get(v, (i % 30) * 24 + F.floor(i / 30).cast("int")))
+    return rows.withColumn("values", F.element_at(F.transform(F.array("values"), of), 1))
+
+
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    """(data_hash, dtype, shape, values, exact) of every row of associations()."""
+    key = lambda *parts: F.sha2(F.concat(*[F.lit(p) if p[-1:] == ":" else F.col(p).cast("string") for p in parts]), 256)
+    singles = hourly(spark, d)
+    forecasts = dense(singles.where("owner_id % 14 = 1"))
+    market = monthly(spark, d).withColumn("owner_id", 1_000_000 + F.substring("name", 1, 1).try_cast("long"))
+    own = [
+        (singles, key("ts:", "owner_id", ":", "name"), F.array("length")),
+        (forecasts, key("det:", "owner_id", ":", "name"), F.array(F.lit(24), F.lit(30))),
+        (market, key("ts:", "owner_id", ":", "name"), F.array("length")),
+        (irregular(spark, d).withColumn("name", F.lit("activity")), key("ts:", "owner_id", ":", "name"), F.array("length")),
+    ]
+    out = None
+    for rows, data_hash, shape in own:
+        columns = [data_hash.alias("data_hash"), F.lit("f64").alias("dtype"), shape.cast("array<int>").alias("shape")]
+        values = F.col("values").cast("array<double>").alias("values")
+        part = rows.select(*columns, values, F.lit(None).cast("array<decimal(20,0)>").alias("exact"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def timestamp_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(timestamps_hash, timestamps) of the irregular series."""
+    axis = F.sha2(F.concat(F.lit("axis:"), F.col("owner_id").cast("string")), 256)
+    return irregular(spark, d).select(axis.alias("timestamps_hash"), "timestamps")
+
+
 def attribute_links(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with the parts they deliver."""
     pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("component_id"), F.col("l_partkey").alias("attribute_id")).distinct()

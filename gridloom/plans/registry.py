@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, series_queries, store_queries
+from . import catalog_queries, read_queries, series_queries, store_queries
+
+MODULES = (catalog_queries, series_queries, store_queries, read_queries)
 
 
 def queries() -> dict:
-    return {k: q for m in (catalog_queries, series_queries, store_queries) for k, (q, _) in m.QUERIES.items()}
+    return {k: q for m in MODULES for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in (catalog_queries, series_queries, store_queries) for k, (_, s) in m.QUERIES.items() if s}
+    return {k: s for m in MODULES for k, (_, s) in m.QUERIES.items() if s}
