@@ -109,3 +109,8 @@ def encoded(logical: Column, element: ElementType) -> Column:
         return F.flatten(logical)
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     return F.flatten(F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(0.0), width - F.size(r)))))
+
+
+def as_doubles(values: str = "values", exact: str = "exact") -> Column:
+    """An array of any dtype as doubles: 64-bit integers, kept exactly until here, may lose their last digits."""
+    return F.coalesce(F.transform(values, lambda x: x.cast("double")), F.transform(exact, lambda x: x.cast("double")))

@@ -69,6 +69,16 @@ def read_timestamped(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("line") - 1).alias("row"), F.when(of_data, t).alias("t"), F.when(of_data, numbers).alias("v"))
 
 
+def read_forecast(spark: SparkSession, path: str) -> DataFrame:
+    """(row, issue_time, target_time, v array) of a file with both times."""
+    rows = lines(spark, path).where("row > 0").withColumnRenamed("row", "line")
+    # the header is left out of the casts themselves too, as in read_timestamped()
+    of_data = F.col("line") > 0
+    numbers = F.transform(F.slice("cells", 3, F.greatest(F.size("cells") - 2, F.lit(0))), lambda x: F.trim(x).cast("double"))
+    t = lambda i: F.when(of_data, F.to_timestamp(F.trim(F.element_at("cells", i))).cast("timestamp_ntz"))
+    return rows.select((F.col("line") - 1).alias("row"), t(1).alias("issue_time"), t(2).alias("target_time"), F.when(of_data, numbers).alias("v"))
+
+
 def check_grid(rows: DataFrame, initial, resolution: Period, length: int) -> None:
     """Every timestamp must be initial + row * resolution, for exactly length rows."""
     n = rows.count()
@@ -158,11 +168,6 @@ def json_lines(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFram
     return out.select(*keep, "idx", F.to_json(F.struct(wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))).alias("json"))
 
 
-def double_values(values: str = "values", exact: str = "exact") -> Column:
-    """An array of any dtype as doubles; 64-bit integers may lose their last digits."""
-    return F.coalesce(F.col(values), F.transform(exact, lambda x: x.cast("double")))
-
-
 SERIES_KEYS = frozenset("owner_id owner_type owner_category name initial_timestamp resolution length units".split())
 
 
