@@ -2,14 +2,14 @@
 
 Features are all runs of one and of two words. Two passes:
 
-1. A dictionary of distinct features. Every task counts the n-gram strings of its texts in bounded chunks and writes
-   each chunk as sorted, compressed blocks by string; the blocks of a group meet in one task, which counts the
-   strings of the whole corpus and hashes each distinct one once. What leaves it are totals by bucket (as many rows
-   as there are buckets, for the documents and for the target), and of these the gains.
-2. The gains, bounded by the number of buckets, join the feature counts of every document.
+1. A dictionary of distinct features. Every task counts the n-gram strings of its texts in chunks of bounded size and
+   writes each chunk's dictionary as sorted, compressed blocks; the blocks of a group of strings meet in one task, which
+   counts the strings of the whole corpus and hashes each distinct one once. What leaves it are totals by bucket (as
+   many rows as there are buckets, for the documents and for the target), and of these the gains.
+2. Each document's feature counts, again by the dictionary of its chunk, meet the gains of their buckets.
 
-A join of the document's strings with the dictionary itself would shuffle every posting, several times the input;
-a feature's bucket depends on its string alone, so that the join is on the bucket.
+A join of the documents' strings with the dictionary of the corpus would shuffle every posting, several times the input;
+a feature's bucket depends on its string alone, so the join is on the bucket, and the gains are as few as the buckets.
 
 Scores are weight plus Gumbel noise of the document's id, and the highest are drawn. Ranks come from a range sort:
 a row's place in its partition and the rows of the partitions before it.
@@ -22,62 +22,123 @@ target has no features (every t is 0). Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of, width, written
+from .common import text_of, width, written
 
 BUCKETS = 10_000
 SEED = 7
 #: Documents of fewer words are not drawn; of the others, so many in a hundred.
 LEAST_WORDS, PERCENT = 20, 25
-#: Distinct strings of a chunk (about 200 bytes each in a task), and characters of text for each group of strings.
-CHUNK, GROUP_CHARS = 700_000, 100_000_000
+#: Bytes of text of a chunk (a longer text is one by itself), and characters of text for each group of strings.
+CHUNK_BYTES, GROUP_CHARS = 12_000_000, 60_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bytes with A-Z lower-cased, and which of them stand in words: digits, letters and all beyond ASCII.
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A") : ord("Z") + 1] += 32
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+
+
+class Features:
+    """The features of some texts (bytes end to end, text i from offsets[i] to offsets[i + 1]) by a dictionary.
+
+    strings: the distinct features, words before pairs, each in order. codes and docs: for every occurrence its string and
+    its text. n_words: words of each text.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low = _LOW[data]
+        inside = _IN_WORD[low]
+        before, after = np.zeros(len(low), bool), np.zeros(len(low), bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        edges = offsets[(offsets > 0) & (offsets < len(low))]
+        before[edges] = False
+        after[edges - 1] = False
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        docs = np.searchsorted(offsets, starts, "right") - 1
+        words = _strings(low[inside], ends - starts).dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ids, known = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order))
+        first = np.flatnonzero(docs[1:] == docs[:-1])
+        pairs, at = np.unique(ids[first] * len(known) + ids[first + 1], return_inverse=True)
+        left, right = (known.take(pa.array(x)) for x in np.divmod(pairs, max(len(known), 1)))
+        joined = pc.binary_join_element_wise(left, right, pa.scalar(b" ", pa.large_binary()))
+        self.strings = pa.concat_arrays([known, joined])
+        self.codes = np.concatenate((ids, len(known) + at))
+        self.docs = np.concatenate((docs, docs[first]))
+        self.n_words = np.bincount(docs, minlength=len(offsets) - 1)
+
+    def hashes(self) -> np.ndarray:
+        """The CRC-32 of each distinct string."""
+        return np.fromiter(map(crc32, self.strings.to_pylist()), np.int64, len(self.strings))
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray):
+    """Arrow strings from their bytes end to end."""
+    import pyarrow as pa
 
-def words(text: Column) -> Column:
-    """Runs of letters, digits and characters beyond ASCII, A-Z lower-cased."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAKS), lambda w: w != "")
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), buffers)
 
 
-def features(found: Column) -> Column:
-    """Every word and every two consecutive words, from an array of words."""
-    pairs = F.zip_with(
-        F.slice(found, F.lit(1), F.size(found) - 1),
-        F.slice(found, F.lit(2), F.size(found) - 1),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.when(F.size(found) > 1, F.concat(found, pairs)).otherwise(found)
+def chunks(batch):
+    """(first row, Features) of the texts of a batch (text binary, no nulls), CHUNK_BYTES at a time."""
+    import pyarrow as pa
 
+    text = batch.column("text").cast(pa.large_binary())
+    _, ends, held = text.buffers()
+    offsets = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(text):
+        last = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1
+        last = min(max(last, row + 1), len(text))
+        yield row, Features(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+        row = last
 
-def bucket(feature: Column) -> Column:
-    return F.pmod(F.crc32(feature.cast("binary")), F.lit(BUCKETS)).cast("int")
 
+def group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a string by its hash. A bucket's strings share a group unless there are more groups than buckets."""
+    if groups <= BUCKETS:
+        return hashes % BUCKETS % groups
+    return hashes % BUCKETS + BUCKETS * (hashes // BUCKETS % -(-groups // BUCKETS))
 
-def _blocks(counts: Counter, groups: int):
-    """Arrow rows (grp, words, n) of a chunk: each group's strings in order, and how often each stands there."""
-    import pyarrow as pa
 
-    dealt: list[list[str]] = [[] for _ in range(groups)]
-    for word in sorted(counts):
-        dealt[crc32(word.encode()) % groups].append(word)
-    held = [(g, ws) for g, ws in enumerate(dealt) if ws]
+def _blocks(features: Features, groups: int):
+    """Arrow rows (grp, word_bytes, words, n_bytes, n) of a chunk: each group's strings in order, and how often each stands there."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counts = np.bincount(features.codes, minlength=len(features.strings)).astype(np.int64)
+    grp = group_of(features.hashes(), groups)
+    order = np.argsort(grp, kind="stable")
+    grp, counts = grp[order], counts[order]
+    lines = features.strings.take(pa.array(order))
+    lines = pc.binary_join_element_wise(lines, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    _, ends, held = lines.buffers()
+    offsets = np.frombuffer(ends, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)])) if len(grp) else np.zeros(1, np.int64)
     pack = lambda raw: pa.compress(raw, codec="zstd", asbytes=True)
-    blobs = [("\n".join(ws)).encode() for _, ws in held]
-    numbers = [np.array([counts[w] for w in ws], np.int64).tobytes() for _, ws in held]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    sizes = [int(offsets[b] - offsets[a]) for a, b in spans]
     columns = [
-        pa.array([g for g, _ in held], pa.int32()),
-        pa.array([len(b) for b in blobs], pa.int64()),
-        pa.array([pack(b) for b in blobs], pa.binary()),
-        pa.array([len(b) for b in numbers], pa.int64()),
-        pa.array([pack(b) for b in numbers], pa.binary()),
+        pa.array([int(grp[a]) for a, _ in spans], pa.int64()),
+        pa.array(sizes, pa.int64()),
+        pa.array([pack(held.slice(int(offsets[a]), n)) for (a, _), n in zip(spans, sizes, strict=True)], pa.binary()),
+        pa.array([8 * int(b - a) for a, b in spans], pa.int64()),
+        pa.array([pack(counts[a:b].tobytes()) for a, b in spans], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["grp", "word_bytes", "words", "n_bytes", "n"])
 
@@ -86,23 +147,12 @@ def dictionary_blocks(texts: DataFrame, groups: int) -> DataFrame:
     """The distinct n-gram strings of each chunk of texts, with their counts, in blocks by group."""
 
     def count(batches):
-        import re
-
-        word, table = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans(UPPER, LOWER)
-        counts: Counter = Counter()
         for batch in batches:
-            for raw in batch.column("text").to_pylist():
-                found = word.findall(raw.decode("utf-8", "replace").translate(table))
-                counts.update(found)
-                counts.update(map(" ".join, pairwise(found)))
-                if len(counts) >= CHUNK:
-                    yield _blocks(counts, groups)
-                    counts = Counter()
-        if counts:
-            yield _blocks(counts, groups)
+            for _, features in chunks(batch):
+                yield _blocks(features, groups)
 
     rows = texts.select(text_of().cast("binary").alias("text"))
-    return rows.mapInArrow(count, "grp int, word_bytes long, words binary, n_bytes long, n binary")
+    return rows.mapInArrow(count, "grp long, word_bytes long, words binary, n_bytes long, n binary")
 
 
 def _bucket_sums(pdf):
@@ -110,15 +160,16 @@ def _bucket_sums(pdf):
     import pandas as pd
     import pyarrow as pa
 
-    counts: Counter = Counter()
+    strings, numbers = [], []
     for row in pdf.itertuples(index=False):
-        strings = pa.decompress(row.words, row.word_bytes, codec="zstd", asbytes=True).split(b"\n")
-        numbers = np.frombuffer(pa.decompress(row.n, row.n_bytes, codec="zstd", asbytes=True), np.int64)
-        for s, n in zip(strings, numbers.tolist(), strict=True):
-            counts[s] += n
-    hashes = np.fromiter(map(crc32, counts), np.int64, len(counts)) % BUCKETS
-    sums = np.zeros(BUCKETS, np.int64)
-    np.add.at(sums, hashes, np.fromiter(counts.values(), np.int64, len(counts)))
+        data = np.frombuffer(pa.decompress(row.words, row.word_bytes, codec="zstd", asbytes=True), np.uint8)
+        line = data == ord("\n")
+        strings.append(_strings(data[~line], np.diff(np.flatnonzero(line), prepend=-1) - 1))
+        numbers.append(np.frombuffer(pa.decompress(row.n, row.n_bytes, codec="zstd", asbytes=True), np.int64))
+    whole = pa.concat_arrays(strings).dictionary_encode()
+    counts = np.bincount(whole.indices.to_numpy(), np.concatenate(numbers), len(whole.dictionary))
+    buckets = np.fromiter(map(crc32, whole.dictionary.to_pylist()), np.int64, len(counts)) % BUCKETS
+    sums = np.bincount(buckets, counts, BUCKETS).astype(np.int64)
     at = np.flatnonzero(sums)
     return pd.DataFrame({"bucket": at.astype(np.int32), "n": sums[at]})
 
@@ -144,15 +195,31 @@ def gains(documents: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def weighted(docs: DataFrame, gain: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_features, weight) of docs (doc_id, text): the floored mean gain of a document's features."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", let(text_of(), words).alias("w"))
-    counts = F.size("w").cast("long")
-    rows = rows.select("row", "doc_id", counts.alias("n_words"), F.explode_outer(features(F.col("w"))).alias("feature"))
-    rows = rows.select("row", "doc_id", "n_words", bucket(F.col("feature")).alias("bucket"))
-    sums = rows.join(F.broadcast(gain), "bucket", "left").groupBy("row", "doc_id", "n_words")
-    sums = sums.agg(F.count("gain").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total"))
-    mean = F.when(F.col("n_features") > 0, F.floor(F.col("total") / F.col("n_features")).cast("long"))
-    return sums.select("doc_id", "n_words", "n_features", F.coalesce(mean, F.lit(0).cast("long")).alias("weight"))
+    """(doc_id, n_words, n_features, weight) of docs (doc_id, text): the floored mean gain of a document's features.
+
+    gain has BUCKETS rows, which go to every task.
+    """
+    table = np.zeros(BUCKETS, np.int64)
+    for row in gain.collect():
+        table[row["bucket"]] = row["gain"]
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row, f in chunks(batch):
+                n = np.bincount(f.docs, minlength=len(f.n_words))
+                of_string = held.value[f.hashes() % BUCKETS]
+                total = np.bincount(f.docs, of_string[f.codes], len(n)).astype(np.int64)
+                weight = np.where(n > 0, total // np.maximum(n, 1), 0)
+                ids = batch.column("doc_id").slice(row, len(n))
+                numbers = [pa.array(x.astype(np.int64)) for x in (f.n_words, n, weight)]
+                yield pa.RecordBatch.from_arrays([ids, *numbers], names=["doc_id", "n_words", "n_features", "weight"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    return rows.mapInArrow(weigh, f"doc_id {kind}, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:

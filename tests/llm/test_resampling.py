@@ -68,7 +68,7 @@ def corpus():
 
 def test_resampling_is_that_of_plain_python(spark, monkeypatch):
     rows, target = corpus()
-    monkeypatch.setattr(importance, "CHUNK", 900)
+    monkeypatch.setattr(importance, "CHUNK_BYTES", 900)
     got = importance.op11(docs(spark, rows), benchmark(spark, target))
     assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
     assert sorted(map(tuple, got.collect()), key=repr) == resampled(rows, target)
@@ -87,6 +87,14 @@ def test_dictionary_holds_each_string_once(spark):
     assert n == dict(want)
 
 
+def test_groups_of_strings():
+    hashes = np.arange(0, 1 << 32, 99_991)
+    for groups in (1, 7, 10_000, 45_000):
+        grp = importance.group_of(hashes, groups)
+        # each bucket's strings stand in few groups, so few rows leave the dictionary
+        assert len(set(zip(grp.tolist(), (hashes % 10_000).tolist(), strict=True))) <= 10_000 * -(-groups // 10_000)
+
+
 def test_ranks_without_a_single_task_for_ties(spark):
     rows = spark.createDataFrame([(i % 3, i, "x") for i in range(500)], "k long, i long, place string")
     got = importance.ranked(rows.select("k", "i"), common.F.col("k").desc()).collect()
