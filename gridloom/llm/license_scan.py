@@ -3,11 +3,11 @@
 The automaton holds the word sequences of all templates. A file's words are streamed through it; at each
 word it knows the longest run ending there that stands in some template. Maximal runs of `LEAST` words or
 more are chained, template by template, where both their places in the file and in the template advance; of a run that a
-template repeats, every place may go on a chain. A chain that covers enough of its template is a span; of chains that overlap in the file the one that
-covers most stays. The automaton depends on the templates alone, so each task builds it once and every file is a row of its own: no shuffle.
+template repeats, every place may go on a chain. A chain that covers half of its template is a span; of all templates' chains that overlap in the
+file the one that covers most words stays. The automaton depends on the templates alone, so each task builds it once and every file is a row of its own: no shuffle.
 
-Defined results: a null text is empty. Rows are judged one by one, repeated rows alike. An empty table gives an empty one. Chains that cover equally
-much tie: the first in the file stays. Very long texts are taken whole, with memory in proportion to their words. Columns but doc_id and text are not read.
+Defined results: a null text is empty. Rows are judged one by one, repeated rows alike. An empty table gives an empty one. Of chains that cover equally
+much that of the shorter template stays, then the first in the file. Very long texts are taken whole, with memory in proportion to their words. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons
 }
 COMMON = frozenset(b"the of and to in a is that for it was on are as with be by this at from or an have not you any all but will can see if one no".split())
 
-#: Words of a run that counts, words that a chain may skip, and the share of a template (or words) that a span needs.
-LEAST, SKIP, COVER, ENOUGH = 5, 12, 0.5, 12
+#: Words of a run that counts, words that a chain may skip, and the share of a template that a span needs.
+LEAST, SKIP, COVER = 5, 12, 0.5
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -187,19 +187,13 @@ def runs(sam: Automaton, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
 
 def chained(sam: Automaton, lengths: list[int], words: list[bytes]) -> list[tuple[int, int, int, int]]:
     """Spans as (start, end, template, words covered), by start."""
-    done: list[tuple[int, int, int, int]] = []
+    enough: list[tuple[int, int, int, int]] = []
     # by template the chains (start, end, covered, last place in the template) since the last gap of more than SKIP words
     held: dict[int, list[tuple[int, int, int, int]]] = {}
     open_: dict[int, list[tuple[int, int, int, int]]] = {}
 
     def close(k: int) -> None:
-        taken: list[tuple[int, int]] = []
-        for start, end, covered, _ in sorted(held.pop(k, ()), key=lambda c: (-c[2], c[0], c[1])):
-            if covered < min(ENOUGH, COVER * lengths[k]):
-                break
-            if all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
-                done.append((start, end, k, covered))
+        enough.extend((start, end, k, covered) for start, end, covered, _ in held.pop(k, ()) if covered >= COVER * lengths[k])
 
     for end, length, state in runs(sam, words):
         start = end - length
@@ -220,7 +214,12 @@ def chained(sam: Automaton, lengths: list[int], words: list[bytes]) -> list[tupl
             held.setdefault(k, []).extend(made)
     for k in list(held):
         close(k)
-    return sorted(done)
+    # all templates' chains at once: of two that overlap, the one that covers more words stays, then more of its template
+    taken: list[tuple[int, int, int, int]] = []
+    for start, end, k, covered in sorted(enough, key=lambda c: (-c[3], lengths[c[2]], c[0], c[1], c[2])):
+        if all(end <= a or b <= start for a, b, *_ in taken):
+            taken.append((start, end, k, covered))
+    return sorted(taken)
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let, written
+from .common import fresh, let, met, written
 from .spans import TAGGED, apart, count_of, joined, last_end, none, places, replaced, running, tagged
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed_term")
@@ -109,9 +109,8 @@ def context(text: Column, spans: Column) -> Column:
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(t, df): in how many of all documents each wanted term stands."""
-    t = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = F.transform(F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: w != "")), lambda w: F.xxhash64(w))
-    counts = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    terms = F.array_distinct(F.transform(words(F.coalesce(F.col("text"), F.lit(""))), _term))
+    counts = docs.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     return counts.join(wanted, "t")  # wanted is distinct; a semi join would be pushed below the aggregation
 
 
@@ -120,10 +119,11 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = found.count()
     held = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x))))).alias("c"), "ctx")
     entities = written(held.groupBy("c").agg(F.count(F.lit(1)).alias("c_df")).where(F.col("c_df") >= SUPPORT), "pii-entities")
-    both = held.join(entities.select("c"), "c").select("c", F.explode("ctx").alias("t"))
+    # an entity may stand in a third of all documents, each with its whole context
+    both = met(held, entities.select("c"), "c").select("c", F.explode("ctx").alias("t"))
     both = written(both.groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT), "pii-pairs")
-    terms = document_frequency(docs, both.select("t").distinct())
-    joint = both.join(entities, "c").join(terms, "t")
+    terms = written(document_frequency(docs, both.select("t").distinct()), "pii-frequencies")
+    joint = met(met(both, entities, "c"), terms, "t")
     pmi = F.log(F.lit(float(n)) * F.col("both") / (F.col("c_df").cast("double") * F.greatest(F.col("df"), F.col("both"))))
     own = F.log(F.lit(float(n)) / F.col("c_df"))
     return joint.select("c", "t", F.when(own > 0, pmi / own).otherwise(F.lit(0.0)).alias("ratio")).where(F.col("ratio") >= GENERALISE)

@@ -102,6 +102,21 @@ def test_both_ways_to_find_repeated_windows_agree(spark):
 LICENCES = [None, "", LONG, "MIT License and the APACHE-license", "mit mit license license", "Licensed under the Apache License, Version 2.0.", "General Public License general public license", "émit license mit license"]
 
 
+def test_terms_are_read_alike_where_they_are_counted_and_judged(spark, monkeypatch):
+    """Lower-casing adds a mark to one of these words; an address in a third of all documents is met without a hot key."""
+    from gridloom.llm import common
+
+    for few in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+        for name in ("Zephyrine", "\u0130stanbullu"):
+            texts = [f"{name} wrote from zed@example.org number {'abcdefgh'[i]}" for i in range(4)]
+            texts += [f"hot@example.org holds plain words {'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(30)] + ["plain words here"] * 30
+            rows = {r.doc_id: r for r in sanitise.op4(docs(spark, texts)).collect()}
+            assert [rows[i].n_terms >= 1 for i in range(4)] == [True] * 4
+            place = texts[0].index(name)
+            assert any(f"term:{place}:{place + len(name)}" in rows[0].spans for _ in (1,))
+
+
 def test_licences_equal_the_contract(spark):
     texts = [*LICENCES, license_scan.TEMPLATES["bsd-2-text"], "x " + license_scan.TEMPLATES["mit-text"].replace("sell", "rent") + " y", "software is provided in the hope of the best of all"]
     rows = {r.doc_id: r for r in license_scan.op6(docs(spark, texts)).collect()}
@@ -111,6 +126,35 @@ def test_licences_equal_the_contract(spark):
     assert "bsd-2-text" in rows[8].labels and rows[8].score > 0.95 and "mit-text" in rows[9].labels and rows[9].score > 0.9 and rows[10].labels == ""
 
 
+def test_one_label_where_templates_share_wording():
+    """Chains of all templates are resolved together, and half of a template is needed."""
+    sam, names, lengths, _ = license_scan.build()
+    labels = lambda text: [names[k] for _, _, k, _ in license_scan.chained(sam, lengths, license_scan.words_of(text))]
+    assert labels("The data is provided as is without warranty of any kind express or implied by us.") == []
+    assert labels(license_scan.TEMPLATES["bsd-3-text"].replace("COPYRIGHT HOLDERS", "REGENTS")) == ["bsd-3-text"]
+    assert labels(license_scan.TEMPLATES["mit-text"].replace("AUTHORS OR COPYRIGHT HOLDERS", "ACME CORPORATION")) == ["mit-text"]
+    for name, text in license_scan.TEMPLATES.items():
+        assert labels(text) == [name]
+    both = license_scan.TEMPLATES["mit-text"] + " and " + license_scan.TEMPLATES["bsd-2-text"]
+    assert labels(both) == ["mit-text", "bsd-2-text"]
+
+
+def test_spans_of_several_templates_do_not_overlap():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(40):
+        templates = {str(k): " ".join(rng.choice("abcde") for _ in range(rng.randrange(8, 20))) for k in range(4)}
+        sam, _, lengths, _ = license_scan.build(templates)
+        words = [w.encode() for _ in range(3) for w in [*rng.choice(list(templates.values())).split(), *rng.choices("abcdez", k=4)]]
+        spans = license_scan.chained(sam, lengths, words)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(c >= license_scan.COVER * lengths[k] and c <= e - s for s, e, k, c in spans)
+        alone = [license_scan.chained(*license_scan.build({n: t})[:1], [len(t.split())], words) for n, t in templates.items()]
+        most = max((c for found in alone for *_, c in found), default=0)
+        assert max((c for *_, c in spans), default=0) == most
+
+
 def test_matching_statistics_are_those_of_brute_force():
     import random
 
@@ -154,7 +198,7 @@ def test_chains_are_the_best_of_brute_force():
 
         best = max((longest((s, e, e - s, at), pieces[i + 1 :]) for i, (s, e, at) in enumerate(pieces)), default=0)
         got = license_scan.chained(sam, lengths, [w.encode() for w in words])
-        assert max((c for *_, c in got), default=0) == (best if best >= license_scan.ENOUGH else 0)
+        assert max((c for *_, c in got), default=0) == (best if best >= license_scan.COVER * len(template) else 0)
 
 
 def test_lines_go_by_their_share_of_a_host(spark):
