@@ -35,7 +35,7 @@ SEED = 7
 #: Documents of fewer words are not drawn; of the others, so many in a hundred.
 LEAST_WORDS, PERCENT = 20, 25
 #: Bytes of text of a chunk (a longer text is one by itself), and characters of text for each group of strings.
-CHUNK_BYTES, GROUP_CHARS = 12_000_000, 60_000_000
+CHUNK_BYTES, GROUP_CHARS = 4_000_000, 25_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes with A-Z lower-cased, and which of them stand in words: digits, letters and all beyond ASCII.
@@ -81,7 +81,13 @@ class Features:
 
     def hashes(self) -> np.ndarray:
         """The CRC-32 of each distinct string."""
-        return np.fromiter(map(crc32, self.strings.to_pylist()), np.int64, len(self.strings))
+        return hashed(self.strings)
+
+
+def hashed(strings, each: int = 50_000) -> np.ndarray:
+    """The CRC-32 of each string, which becomes an object only for a moment."""
+    parts = [np.fromiter(map(crc32, strings.slice(i, each).to_pylist()), np.int64) for i in range(0, len(strings), each)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _strings(data: np.ndarray, lengths: np.ndarray):
@@ -168,8 +174,7 @@ def _bucket_sums(pdf):
         numbers.append(np.frombuffer(pa.decompress(row.n, row.n_bytes, codec="zstd", asbytes=True), np.int64))
     whole = pa.concat_arrays(strings).dictionary_encode()
     counts = np.bincount(whole.indices.to_numpy(), np.concatenate(numbers), len(whole.dictionary))
-    buckets = np.fromiter(map(crc32, whole.dictionary.to_pylist()), np.int64, len(counts)) % BUCKETS
-    sums = np.bincount(buckets, counts, BUCKETS).astype(np.int64)
+    sums = np.bincount(hashed(whole.dictionary) % BUCKETS, counts, BUCKETS).astype(np.int64)
     at = np.flatnonzero(sums)
     return pd.DataFrame({"bucket": at.astype(np.int32), "n": sums[at]})
 
