@@ -3,14 +3,19 @@
 Equal vectors are one node. Random hyperplane trees give each node first neighbours; then, round by
 round, the neighbours of a node (its own and those that have it) are compared with each other, and each keeps
 the best: joins of neighbours of neighbours. A query is a node too: its search starts there and
-expands the best nodes not yet expanded, many at a step, within a beam. Graph and search compare vectors of one
-byte a component; the best are then scored in double precision on the original vectors.
+expands the best nodes not yet expanded, many at a step, within a beam. Graph and search compare vectors of two
+bytes a component. Every node of the beam that may be among the best by the error of these codes is then scored in double
+precision on the original vectors.
+
+Rounds end when fewer than CHANGED of the graph's entries are new, steps when fewer than CHANGED of the queries have
+other best nodes than before; MOST_ROUNDS and MOST_STEPS bound both.
 
 All rows are indexed. Reverse neighbours are the REVERSE best of a node, as NN-descent has it; leaves over
 LEAF are dealt by hash into parts, and the rounds after find what that separates. Measured recall is in the README.
 
 Defined results: vectors that are null, zero, empty, of another length than most, or hold null or non-finite components
-take no part, nor do rows without an id. Of equal vectors the smallest ids come first. A table with fewer rows
+take no part, nor do rows without an id. Of equal vectors the smallest ids come first. Rows that repeat an id are vectors
+each: every one that is a query has a list of its own, in which the others stand as candidates. A table with fewer rows
 gives all of them; an empty one gives nothing.
 """
 
@@ -20,13 +25,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import width, written
+from .common import delete, met, width, written
 
-K, REVERSE, TREES, LEAF, ROUNDS = 32, 24, 6, 500, 3
+K, REVERSE, TREES, LEAF = 32, 24, 6, 500
+#: The stopping rule: a share of entries or queries, and the most rounds and steps.
+CHANGED, MOST_ROUNDS, MOST_STEPS = 0.001, 8, 8
 #: Best pairs that a bag of neighbours proposes for each of its nodes.
 PROPOSED = 4
-BEAM, EXPANDED, STEPS = 600, 220, 5
+BEAM, EXPANDED = 600, 220
+#: So many nodes of a beam are scored exactly at least.
 RESCORED = 60
+#: A code's numbers lie between -LEVELS and LEVELS.
+LEVELS = 32767
 GRAPH = "node long, nbrs array<long>, scores array<float>"
 
 
@@ -50,7 +60,7 @@ def vectors(table: DataFrame, id_: str = "vec_id", vector: str = "embedding") ->
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """(node, code, scale): distinct vectors with a byte a component."""
+    """(node, code, scale): distinct vectors with two bytes a component."""
 
     def code(batches):
         import pyarrow as pa
@@ -60,15 +70,16 @@ def coded(rows: DataFrame) -> DataFrame:
                 continue
             x = np.array(batch.column("v").to_pylist(), np.float64)
             top = np.abs(x).max(1, keepdims=True)
-            q = np.round(x / top * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array((top[:, 0] / 127).astype(np.float32))], names=["node", "code", "scale"])
+            q = np.round(x / top * LEVELS).astype(np.int16)
+            columns = [batch.column("node"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array((top[:, 0] / LEVELS).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "code", "scale"])
 
     return rows.groupBy("node").agg(F.first("v").alias("v")).mapInArrow(code, "node long, code binary, scale float")
 
 
 def _matrix(codes, scales) -> np.ndarray:
     raw = b"".join(codes)
-    x = np.frombuffer(raw, np.int8).reshape(len(scales), -1).astype(np.float32)
+    x = np.frombuffer(raw, np.int16).reshape(len(scales), -1).astype(np.float32)
     return x * np.asarray(scales, np.float32)[:, None]
 
 
@@ -180,12 +191,25 @@ def improved(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     return written(merged(graph.union(proposed), buckets, K), "graph")
 
 
-def build(nodes: DataFrame, count: int, dims: int, seed: int = 11, rounds: int = ROUNDS) -> DataFrame:
+def _new_share(before: DataFrame, after: DataFrame) -> float:
+    """The share of after's entries that stand in no list of before."""
+    both = after.select("node", "nbrs").join(before.select("node", F.col("nbrs").alias("old")), "node", "left")
+    none = F.array().cast("array<long>")
+    new = F.size(F.array_except("nbrs", F.coalesce("old", none)))
+    found = both.agg(F.sum(new).alias("new"), F.sum(F.size("nbrs")).alias("all")).first()
+    return (found["new"] or 0) / max(found["all"] or 0, 1)
+
+
+def build(nodes: DataFrame, count: int, dims: int, seed: int = 11, rounds: int = MOST_ROUNDS) -> DataFrame:
     """The neighbour graph (node, nbrs, scores), best first."""
     buckets = _buckets(nodes, count)
     graph = forest(nodes, count, dims, buckets, seed)
     for _ in range(rounds):
-        graph = improved(graph, nodes, buckets)
+        before, graph = graph, improved(graph, nodes, buckets)
+        share = _new_share(before, graph)
+        delete(before)
+        if share < CHANGED:
+            break
     return graph
 
 
@@ -204,7 +228,9 @@ def _adjacency(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
 
 
 #: ask: the nodes to expand next; done: whether a node of the beam has been, or is among those.
-BEAMS = "query long, code binary, scale float, ids array<long>, scores array<float>, done array<boolean>, ask array<long>, least float"
+#: moved: whether its best nodes are others than a step before; keep: how many of its first nodes are to be scored exactly.
+BEAMS = """query long, code binary, scale float, ids array<long>, scores array<float>, done array<boolean>, ask array<long>, least float,
+moved boolean, keep int"""
 
 
 def _expanded(asked, near):
@@ -212,7 +238,7 @@ def _expanded(asked, near):
     place = {n: i for i, n in enumerate(near["node"])}
     nbrs, scales = near["nbrs"].to_list(), near["scales"].to_list()
     if len(asked) and len(near):
-        dims = len(asked["code"].iloc[0])
+        dims = len(asked["code"].iloc[0]) // 2
         x = _matrix(asked["code"], asked["scale"])
         least = asked["least"].to_numpy(np.float32)
         at = np.array([place.get(n, -1) for n in asked["node"]])
@@ -220,7 +246,7 @@ def _expanded(asked, near):
         out = [[], [], []]
         for i in np.unique(at[at >= 0]):
             mine = np.flatnonzero(at == i)
-            y = np.frombuffer(near["codes"].iloc[i], np.int8).reshape(-1, dims).astype(np.float32) * np.asarray(scales[i], np.float32)[:, None]
+            y = np.frombuffer(near["codes"].iloc[i], np.int16).reshape(-1, dims).astype(np.float32) * np.asarray(scales[i], np.float32)[:, None]
             s = x[mine] @ y.T
             r, c = np.nonzero(s > least[mine][:, None])
             out[0].append(query[mine[r]])
@@ -243,55 +269,81 @@ def _beam(pdf):
         scores = np.concatenate([np.asarray(s, np.float32) for s in g["scores"]])
         done = np.concatenate([np.asarray(d, bool) if d is not None else np.zeros(len(i), bool) for d, i in zip(g["done"], g["ids"], strict=True)])
         at = _best(np.zeros(len(ids), np.int64), ids, scores, BEAM, known=done)
+        before = np.asarray(head["ids"], np.int64)[:RESCORED]
         ids, scores, done = ids[at], scores[at], done[at]
+        moved = not np.array_equal(before, ids[:RESCORED])
         next_ = np.flatnonzero(~done)[:EXPANDED]
         done[next_] = True
-        rows.append((q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf))
-    return pd.DataFrame(rows, columns=["query", "code", "scale", "ids", "scores", "done", "ask", "least"])
+        rows.append((q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf, moved, _kept(head, scores)))
+    return pd.DataFrame(rows, columns=["query", "code", "scale", "ids", "scores", "done", "ask", "least", "moved", "keep"])
+
+
+def _kept(head, scores: np.ndarray) -> int:
+    """How many of a beam's nodes (best first) may be among the best RESCORED by their exact scores.
+
+    A code is off by half a level a component at most, so a score by the norms of both vectors times that; the largest
+    component, LEVELS times the scale, bounds the norm. For nodes the query's own figures serve: those of its best are alike.
+    """
+    if len(scores) <= RESCORED:
+        return len(scores)
+    x = np.frombuffer(head["code"], np.int16).astype(np.float64) * float(head["scale"])
+    slack = 2 * float(np.linalg.norm(x)) * float(head["scale"]) / 2 * np.sqrt(len(x))
+    return max(RESCORED, int(np.searchsorted(-scores, -(scores[RESCORED - 1] - 2 * slack), "right")))
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -> DataFrame:
     """(query, node): the best nodes found for each query (query: nodes of the graph)."""
     buckets = _buckets(nodes, count)
-    near = _adjacency(graph, nodes, buckets).repartition(width(nodes.sparkSession), "bucket").persist()
+    near = _adjacency(graph, nodes, buckets)
     start = queries.join(nodes, queries["query"] == nodes["node"])
     own = F.array("query")
-    beams = written(start.select("query", "code", "scale", own.alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(True)).alias("done"), own.alias("ask"), F.lit(float("-inf")).cast("float").alias("least")), "beams")
+    beams = written(start.select("query", "code", "scale", own.alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(True)).alias("done"), own.alias("ask"), F.lit(float("-inf")).cast("float").alias("least"), F.lit(True).alias("moved"), F.lit(1).alias("keep")), "beams")
+    asking = beams.count()
     none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "binary"), ("scale", "float"))]
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
         asked = beams.select("query", "code", "scale", "least", F.explode("ask").alias("node")).select("*", _bucket("node", buckets))
         found = asked.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInPandas(_expanded, GRAPH)
         found = found.select(F.col("node").alias("query"), *none, F.col("nbrs").alias("ids"), "scores", F.lit(None).cast("array<boolean>").alias("done"))
         old = beams.select("query", "code", "scale", "ids", "scores", "done")
+        before = beams
         beams = written(old.union(found).select("*", _bucket("query", buckets)).groupBy("bucket").applyInPandas(_beam, BEAMS), "beams")
-    near.unpersist()
-    return beams.select("query", F.explode(F.slice("ids", 1, RESCORED)).alias("node"))
+        delete(before)
+        if beams.where("moved").count() < CHANGED * asking:
+            break
+    # a query's own node may stand in its beam twice: as the start, and as somebody's neighbour
+    return beams.select("query", F.explode(F.array_distinct(F.slice("ids", F.lit(1), F.col("keep")))).alias("node"))
 
 
 def nearest(table: DataFrame, is_query, k: int = 20, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for whose id is_query holds."""
-    rows = written(vectors(table, id_, vector), "vectors")
+    rows = written(vectors(table, id_, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     nodes = written(coded(rows), "nodes")
     count = nodes.count()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count:
         return empty
-    dims = len(nodes.first()["code"])
+    dims = len(nodes.first()["code"]) // 2
     graph = build(nodes, count, dims)
-    asking = rows.where(is_query(F.col("vec_id"))).select("vec_id", F.col("node").alias("query"), F.col("v").alias("qv"))
-    pairs = written(search(graph, nodes, asking.select("query").distinct(), count), "found")
-    order = Window.partitionBy("node").orderBy("vec_id")
-    members = rows.select("node", "vec_id", F.row_number().over(order).alias("nth")).where(F.col("nth") <= k + 1)
-    whole = rows.groupBy("node").agg(F.first("v").alias("v"))
-    asked = asking.groupBy("query").agg(F.first("qv").alias("qv"))
+    asking = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), F.col("node").alias("query"))
+    queries = written(asking.select("query").distinct(), "queries")
+    pairs = written(search(graph, nodes, queries, count), "found")
+    order = Window.partitionBy("node").orderBy("vec_id", "row")
+    members = rows.select("node", "vec_id", "row", F.row_number().over(order).alias("nth")).where(F.col("nth") <= k + 1).drop("nth")
+    whole = written(rows.groupBy("node").agg(F.first("v").alias("v")), "whole")
+    asked = whole.join(queries, whole["node"] == queries["query"], "left_semi").select(F.col("node").alias("query"), F.col("v").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = pairs.join(whole, "node").join(asked, "query").select("query", "node", dot.alias("score"))
     # of a query's nodes, those beyond the k + 1 best cannot give one of its k rows
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
     scored = scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 8).drop("nth")
-    answers = asking.select("vec_id", "query").withColumnRenamed("vec_id", "query_id").join(scored, "query").join(members.select("node", "vec_id"), "node").where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    # one bounded list a node that is asked for, so that a vector which many rows ask with is no hot key
+    entry = F.struct((-F.col("score")).alias("s"), "vec_id", "row")
+    lists = scored.join(members, "node").groupBy("query").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("list"))
+    answers = met(asking, written(lists, "lists"), "query")
+    mine = F.slice(F.filter("list", lambda x: x["row"] != F.col("own")), 1, k)
+    found = answers.select("query_id", F.posexplode(mine).alias("at", "x"))
+    delete(nodes, graph, pairs, queries)
+    return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
 def op9(table: DataFrame) -> DataFrame:

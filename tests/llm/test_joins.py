@@ -143,6 +143,37 @@ def test_vectors(spark):
     assert nn_descent.op9(df.where("vec_id = 0")).collect() == [] and nn_descent.op9(df.where("vec_id < 0")).collect() == []
 
 
+def test_recall_in_groups_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=32) + s * rng.normal(size=(500, 32)) for s in (0.001, 0.003, 0.01)] + [rng.normal(size=(300, 32))])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in nn_descent.op9(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert len(found) == 20
+        hits += len(found & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 90 and hits >= 0.95 * 20 * 90
+
+
+def test_rows_that_repeat_an_id_are_vectors_each(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(62, 6)).astype(np.float32).astype(np.float64)
+    ids = [*range(60), 20, 20]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nn_descent.op9(df).collect())
+    want = []
+    for q in (0, 20, 40, 60, 61):
+        s = x @ x[q]
+        rest = [j for j in np.lexsort((ids, -s)) if j != q][:20]
+        want += [(ids[q], k + 1, ids[j], round(float(s[j]), 9)) for k, j in enumerate(rest)]
+    assert got == sorted(want)
+
+
 TEXTS = [None, "", "a short text", "word " * 3000, "漢字 and 𝔘nicode — “quotes” <|endoftext|>", "x" * 5000, " \n\n  \t", *["some text of a few words number %d" % i * (i % 40 + 1) for i in range(150)]]
 
 
