@@ -68,6 +68,17 @@ def exists(associations: DataFrame, f: ListFilter) -> bool:
     return found(associations, f).first()[0]
 
 
+def by_key(associations: DataFrame, key: ListFilter) -> DataFrame:
+    """The one row of a key: its features are all that the row has. None, or more than one, is an error."""
+    rows = key.of(associations).where(F.size("features") == len(key.features))
+    n = rows.limit(2).count()
+    if n == 0:
+        raise NotFound(f"no series has the key {key}")
+    if n > 1:
+        raise IntegrityError(f"more than one series has the key {key}")
+    return rows
+
+
 def is_empty(*tables: DataFrame) -> bool:
     return not any(t.limit(1).count() for t in tables)
 
