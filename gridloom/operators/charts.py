@@ -52,3 +52,36 @@ def fan(rows: DataFrame, n: int) -> DataFrame:
 def overlay(windows: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     """Forecast steps beside the values that came true (actual: on, target_time, actual)."""
     return windows.join(actual, [*on, "target_time"])
+
+
+def traces(rows: DataFrame, label: str = "scenario ") -> DataFrame:
+    """(target_time, trace, v) of the windows of scenarios: one trace each, numbered from 1."""
+    return rows.select("target_time", F.concat(F.lit(label), (F.col("p") + 1).cast("string")).alias("trace"), "v")
+
+
+def _beside(views: DataFrame, by: list[str], resolution: Period, horizon: Period, interval: Period, shift: int) -> DataFrame:
+    """(by, w, issue_time, pairs): each window of a view beside the steps of its own series that lie shift steps later."""
+    steps, stride = resolution.divide_into(horizon), resolution.divide_into(interval)
+    rows = views.select(*by, "initial_timestamp", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("w"))
+    at = lambda more: F.slice("values", (F.col("w") * stride + 1 + more).cast("int"), F.lit(steps))
+    pairs = F.arrays_zip(at(0).alias("v"), at(shift).alias("actual"))
+    return rows.select(*by, "w", interval.add(F.col("initial_timestamp"), F.col("w")).alias("issue_time"), pairs.alias("pairs"))
+
+
+def overlaid(views: DataFrame, by: list[str], resolution: Period, horizon: Period, interval: Period, shift: int) -> DataFrame:
+    """(by, w, h, target_time, v, actual): what a view said shift steps before, beside what came true.
+
+    Both stand in the array of one row: no join, and no step is shuffled. Steps that the series does not have yet are left out.
+    """
+    rows = _beside(views, by, resolution, horizon, interval, shift).select(*by, "w", "issue_time", F.posexplode("pairs").alias("__h", "__x"))
+    target = resolution.add(F.col("issue_time"), F.col("__h").cast("long") + shift)
+    out = rows.where(F.col("__x.actual").isNotNull())
+    return out.select(*by, "w", F.col("__h").cast("long").alias("h"), target.alias("target_time"), F.col("__x.v").alias("v"), F.col("__x.actual").alias("actual"))
+
+
+def forecast_error(views: DataFrame, by: list[str], resolution: Period, horizon: Period, interval: Period, shift: int) -> DataFrame:
+    """(by, error): the sum of all differences of overlaid(), worked out window by window."""
+    both = F.filter("pairs", lambda x: x["actual"].isNotNull())
+    error = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + (x["v"] - x["actual"]).cast("long"))
+    rows = _beside(views, by, resolution, horizon, interval, shift).select(*by, error.alias("e"))
+    return rows.groupBy(*by).agg(F.sum("e").alias("error"))

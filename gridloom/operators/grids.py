@@ -23,12 +23,10 @@ def side_by_side(rows: DataFrame, by: list[str], label: str, labels: list[str],
     """
     held = F.map_from_entries(F.collect_list(F.struct(F.col(label).alias("k"), F.col("values").alias("v"))))
     groups = rows.groupBy(*by, "initial_timestamp").agg(held.alias("__held"))
-    none = F.expr("cast(null as array<int>)")
-    arrays = [F.coalesce(F.try_element_at("__held", F.lit(name)), none.cast(rows.schema["values"].dataType)).alias(f"__{i}") for i, name in enumerate(labels)]
-    groups = groups.select(*by, "initial_timestamp", *arrays)
-    # a missing series must not make the whole of arrays_zip null
-    whole = [F.coalesce(f"__{i}", F.array().cast(rows.schema["values"].dataType)).alias(f"c{i}") for i in range(len(labels))]
-    steps = groups.select(*by, "initial_timestamp", F.posexplode(F.arrays_zip(*whole)).alias("__i", "__x"))
+    # a series that is missing has no steps, which arrays_zip fills with nulls
+    whole = [F.coalesce(F.try_element_at("__held", F.lit(name)), F.expr("array()")).alias(f"c{i}") for i, name in enumerate(labels)]
+    groups = groups.select(*by, "initial_timestamp", F.arrays_zip(*whole).alias("__all"))
+    steps = groups.select(*by, "initial_timestamp", F.posexplode("__all").alias("__i", "__x"))
     t = resolution.add(F.col("initial_timestamp"), F.col("__i").cast("long"))
     return steps.select(*by, t.alias("t"), *[F.col("__x")[f"c{i}"].alias(name) for i, name in enumerate(labels)])
 

@@ -79,6 +79,9 @@ def _periods(a):
     return a.where("time_series_type = 0").select("assoc_id", iso_of(kinds, n).alias("iso"))
 
 
+_KEY = ListFilter(owner_id=7, owner_category="Component", time_series_type=0, exact_type=True, name="view", resolution="PT1H", features={"year": 2025, "segment": "c"})
+
+
 def _bulk(a):
     spark = a.sparkSession
     keys = spark.createDataFrame([(0, 3, "view"), (1, 1, "click"), (2, 3, "view")], "ordinal long, owner_id long, name string")
@@ -120,7 +123,7 @@ QUERIES = {
     "LST_15_array_groups": _q(lambda a: catalog.array_groups(a).select("data_hash", "series", F.array_join(F.transform("assoc_ids", lambda x: x.cast("string")), ",").alias("assoc_ids")), "SELECT data_hash, count(*) AS series, string_agg(assoc_id::VARCHAR, ',' ORDER BY assoc_id) AS assoc_ids FROM assoc GROUP BY 1"),
     "LST_16_referenced_arrays": _q(lambda a: catalog.referenced_arrays(a), "SELECT DISTINCT data_hash, 'f64' AS element_type FROM assoc"),
     "LST_17_list_limit": _q(lambda a: catalog.first_listed(a, 50).select("assoc_id", "name"), "SELECT assoc_id, name FROM assoc ORDER BY assoc_id LIMIT 50"),
-    "KEY_1_get_by_key": _q(lambda a: ListFilter(owner_id=7, owner_category="Component", time_series_type=0, exact_type=True, name="view", resolution="PT1H", features={"year": 2025, "segment": "c"}).of(a).select(*COLS), f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 7 AND owner_category = 'Component' AND time_series_type = 0 AND name = 'view' AND resolution = 'PT1H' AND year = 2025 AND segment = 'c'"),
+    "KEY_1_get_by_key": _q(lambda a: catalog.by_key(a, _KEY).select(*COLS), f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 7 AND owner_category = 'Component' AND time_series_type = 0 AND name = 'view' AND resolution = 'PT1H' AND year = 2025 AND segment = 'c'"),
     "KEY_2_has_key": _q(lambda a: catalog.found(a, ListFilter(owner_id=7, time_series_type=0, exact_type=True, name="view")), "SELECT count(*) > 0 AS found FROM assoc WHERE owner_id = 7 AND time_series_type = 0 AND name = 'view'"),
     "KEY_3_has_any": _q(lambda a: catalog.found(a, ListFilter(name_glob="zz*", features={"segment": "a"})), "SELECT count(*) > 0 AS found FROM assoc WHERE name GLOB 'zz*' AND segment = 'a'"),
     "KEY_5_resolve_forecast": _q(_resolved, f"SELECT {_SQL_COLS} FROM assoc WHERE owner_id = 6 AND owner_category = 'Component' AND name = 'click' AND time_series_type IN (2, 3) AND year = 2024 AND segment = 'b'"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import ElementType, decoded, encoded
 from ..functions.period import Period, micros
-from ..operators import catalog, charts, readers, series
+from ..operators import catalog, charts, grids, readers, series
 from ..operators.filters import ListFilter  # noqa: F401
 from . import fixtures as fx
 
@@ -95,7 +95,7 @@ def _functions(spark, d):
 
 
 def _grid(rows):
-    return readers.grid(readers.static_sweep(rows, HOUR, _OWNER), "name", fx.EVENTS, ["owner_id"])
+    return grids.side_by_side(rows, ["owner_id"], "name", fx.EVENTS, HOUR)
 
 
 def _irregular_slice(spark, d):
@@ -105,9 +105,12 @@ def _irregular_slice(spark, d):
 
 def _overlay(rows):
     """Forecasts made a day before: what a view of the day before says, beside what came true."""
-    views = series.derived_windows(_views(rows), _OWNER, TWO_DAYS, DAY, HOUR).withColumn("target_time", DAY.add(F.col("target_time"), F.lit(1)))
-    actual = series.steps(rows, HOUR, _OWNER).select(*_OWNER, F.col("t").alias("target_time"), F.col("v").alias("actual"))
-    return charts.overlay(views, actual, _OWNER).select(*_OWNER, "w", "h", "target_time", "v", "actual")
+    return charts.overlaid(_views(rows), _OWNER, HOUR, TWO_DAYS, DAY, 24)
+
+
+def _one_window(rows):
+    k = readers.window_index(fx.T0, DAY, 29, dt.datetime(2024, 1, 21))
+    return series.derived_windows(_views(rows), _OWNER, TWO_DAYS, DAY, HOUR, windows=(k, k + 1)).select(*_OWNER, "h", "v")
 
 
 def _wide(spark, d):
@@ -118,7 +121,12 @@ def _wide(spark, d):
 
 
 _VIEW = "owner_id, name, w, h, v, issue_time, target_time"
-_VIEWS = "FROM (SELECT h.owner_id, h.name, k.w::BIGINT AS w, s.h::BIGINT AS h, h.v, TIMESTAMP '2024-01-01' + to_days(k.w::INT) AS issue_time, h.t AS target_time FROM hourly h, range(29) k(w), range(48) s(h) WHERE h.idx = k.w * 24 + s.h)"
+_VIEWS = """FROM (SELECT owner_id, name, k.w::BIGINT AS w, idx - k.w * 24 AS h, v, TIMESTAMP '2024-01-01' + to_days(k.w::INT) AS issue_time, t AS target_time
+    FROM hourly JOIN range(29) k(w) ON idx BETWEEN k.w * 24 AND k.w * 24 + 47)"""
+#: The windows beside what came true a day after.
+_OVERLAY = """FROM (SELECT h.owner_id, h.name, k.w::BIGINT AS w, h.idx - k.w * 24 AS h, a.t AS target_time, h.v, a.v AS actual
+    FROM hourly h JOIN range(29) k(w) ON h.idx BETWEEN k.w * 24 AND k.w * 24 + 47
+    JOIN hourly a ON a.owner_id = h.owner_id AND a.name = h.name AND a.idx = h.idx + 24)"""
 
 QUERIES = {
     "SLC_1_slice_regular": _h(lambda r: series.steps(series.slice_regular(r, HOUR, _START, _END), HOUR, _OWNER), "SELECT owner_id, name, idx - 102 AS idx, t, v FROM hourly WHERE idx >= 102 AND idx < 145"),
@@ -127,7 +135,10 @@ QUERIES = {
     "SLC_3_get_series": _h(lambda r: series.steps(r.where("owner_id = 5 and name = 'click'"), HOUR, _OWNER), "SELECT owner_id, name, idx, t, v FROM hourly WHERE owner_id = 5 AND name = 'click'"),
     "SLC_5_bulk_read": _h(lambda r: series.steps(r.join(F.broadcast(r.sparkSession.createDataFrame([(0, 3, "view"), (1, 5, "click"), (2, 3, "view")], "ordinal long, owner_id long, name string")), _OWNER), HOUR, ["ordinal", *_OWNER]), "SELECT k.ordinal::BIGINT AS ordinal, owner_id, name, idx, t, v FROM hourly JOIN (VALUES (0, 3, 'view'), (1, 5, 'click'), (2, 3, 'view')) k(ordinal, o, n) ON owner_id = o AND name = n"),
     "SLC_7_month_grid": _m(lambda r: r.select("name", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long")), lambda i: MONTH.add(fx.ntz(dt.datetime(1995, 1, 31)), i))).alias("t")), "SELECT name, TIMESTAMP '1995-01-31' + to_months(idx::INT) AS t FROM monthly"),
-    "SLC_8_index_of": _h(lambda r: r.select(*_OWNER, HOUR.steps(F.col("initial_timestamp"), fx.ntz(dt.datetime(2024, 1, 9, 4))).alias("i")), "SELECT DISTINCT owner_id, name, 196::BIGINT AS i FROM hourly"),
+    "SLC_8_index_of": _h(
+        lambda r: r.select(*_OWNER, HOUR.steps(F.col("initial_timestamp"), HOUR.add(fx.ntz(dt.datetime(2024, 1, 9, 4)), F.col("owner_id") % 50)).alias("i")),
+        "SELECT DISTINCT owner_id, name, 196 + owner_id % 50 AS i FROM hourly",
+    ),
     "SLC_9_row_window": _h(lambda r: series.row_window(series.steps(r.where("owner_id = 5 and name = 'click'"), HOUR, []), F.col("idx"), stride=7, tail=20), "SELECT idx, t, v FROM hourly WHERE owner_id = 5 AND name = 'click' AND idx % 7 = 0 ORDER BY idx DESC LIMIT 20"),
     "SRC_9_read_at_index": _h(lambda r: readers.static_read(r, fx.T0, HOUR, dt.datetime(2024, 1, 12, 3), _OWNER), "SELECT owner_id, name, v FROM hourly WHERE idx = 267"),
     "FCW_3_deterministic": _h(lambda r: series.dense_windows(_dense(r), _OWNER, 24, HOUR, DAY).select(*_OWNER, "w", "h", "issue_time", "target_time", "v"), "SELECT owner_id, name, idx // 24 AS w, idx % 24 AS h, TIMESTAMP '2024-01-01' + to_days((idx // 24)::INT) AS issue_time, t AS target_time, v FROM hourly"),
@@ -138,7 +149,7 @@ QUERIES = {
     "FCW_7_one_window": _h(lambda r: series.derived_windows(_views(r), _OWNER, TWO_DAYS, DAY, HOUR, windows=(9, 10)).select("owner_id", "name", "w", "h", "v", "issue_time", "target_time"), f"SELECT {_VIEW} {_VIEWS} WHERE w = 9"),
     "FCW_12_window_trace": _h(lambda r: series.derived_windows(_views(r.where("owner_id = 4 and name = 'view'")), _OWNER, TWO_DAYS, DAY, HOUR, windows=(2, 3)).orderBy("h").select("target_time", "v"), f"SELECT target_time, v {_VIEWS} WHERE owner_id = 4 AND name = 'view' AND w = 2 ORDER BY h"),
     "RDR_3_static_sweep": _h(lambda r: readers.static_sweep(r, HOUR, _OWNER), "SELECT t, owner_id, name, v FROM hourly"),
-    "RDR_5_forecast_read": _h(lambda r: series.derived_windows(_views(r), _OWNER, TWO_DAYS, DAY, HOUR, windows=(readers.window_index(fx.T0, DAY, 29, dt.datetime(2024, 1, 21)),) * 1 + (readers.window_index(fx.T0, DAY, 29, dt.datetime(2024, 1, 21)) + 1,)).select("owner_id", "name", "h", "v"), f"SELECT owner_id, name, h, v {_VIEWS} WHERE issue_time = TIMESTAMP '2024-01-21'"),
+    "RDR_5_forecast_read": _h(_one_window, f"SELECT owner_id, name, h, v {_VIEWS} WHERE issue_time = TIMESTAMP '2024-01-21'"),
     "RDR_7_timeline": _h(lambda r: series.steps(r.where("owner_id = 5 and name = 'click'"), HOUR, []).select("idx", "t"), "SELECT DISTINCT idx, t FROM hourly"),
     "RDR_8_grid": _h(_grid, "SELECT owner_id, t, " + ", ".join(f"sum(v) FILTER (WHERE name = '{n}')::BIGINT AS {n}" for n in fx.EVENTS) + " FROM hourly GROUP BY owner_id, t"),
     "SRC_20_wide_table": (_wide, f"WITH {fx.SQL_HOURLY} SELECT owner_id, name AS \"column\", t, v FROM hourly"),
@@ -154,8 +165,15 @@ QUERIES = {
     "VIZ_3_heatmap": _h(lambda r: charts.heatmap(r, _OWNER, HOUR), "SELECT owner_id, name, idx % 24 AS row, idx // 24 AS col, v::DOUBLE AS v FROM hourly"),
     "VIZ_4_fan": _h(lambda r: charts.fan(_probabilistic(r.where("name = 'view'")).where("w = 3"), 3).select("target_time", "band", F.round("low", 4).alias("low"), F.round("high", 4).alias("high")), f"""SELECT TIMESTAMP '2024-01-01' + to_hours(idx::INT) AS target_time, band::BIGINT AS band, round(low, 4) AS low, round(high, 4) AS high FROM
         (SELECT idx, unnest([0, 1]) AS band, unnest([q[1], q[2]]) AS low, unnest([q[3], q[2]]) AS high FROM (SELECT idx, quantile_cont(v::DOUBLE, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM hourly WHERE name = 'view' AND idx // 24 = 3 GROUP BY idx))"""),
-    "VIZ_5_overlay": _h(_overlay, f"SELECT x.owner_id, x.name, x.w, x.h, a.t AS target_time, x.v, a.v AS actual FROM (SELECT {_VIEW} {_VIEWS}) x JOIN hourly a ON a.owner_id = x.owner_id AND a.name = x.name AND a.t = x.target_time + INTERVAL 1 DAY"),
-    "JON_9_forecast_vs_actual": _h(lambda r: _overlay(r).groupBy(*_OWNER).agg(F.sum(F.col("v") - F.col("actual")).alias("error")), f"SELECT x.owner_id, x.name, sum(x.v - a.v)::BIGINT AS error FROM (SELECT {_VIEW} {_VIEWS}) x JOIN hourly a ON a.owner_id = x.owner_id AND a.name = x.name AND a.t = x.target_time + INTERVAL 1 DAY GROUP BY ALL"),
+    "VIZ_4_scenario_traces": _h(
+        lambda r: charts.traces(_scenarios(r).where("name = 'view' and w = 3")),
+        "SELECT t AS target_time, 'scenario ' || (owner_id % 5 + 1) AS trace, sum(v)::BIGINT AS v FROM hourly WHERE name = 'view' AND idx // 24 = 3 GROUP BY ALL",
+    ),
+    "VIZ_5_overlay": _h(_overlay, f"SELECT owner_id, name, w, h, target_time, v, actual {_OVERLAY}"),
+    "JON_9_forecast_vs_actual": _h(
+        lambda r: charts.forecast_error(_views(r), _OWNER, HOUR, TWO_DAYS, DAY, 24),
+        f"SELECT owner_id, name, sum(v - actual)::BIGINT AS error {_OVERLAY} GROUP BY ALL",
+    ),
     "PER_10_precision": ((lambda spark, d: fx.table(spark, d, "events").agg(F.count_if(micros(F.col("ts")) % 1000 != 0).alias("finer"))), "SELECT count(*) FILTER (WHERE epoch_us(ts) % 1000 <> 0) AS finer FROM events"),
     "ARR_6_tuple": (_pairs, "SELECT vec_id, i::BIGINT AS i, round(embedding[i + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) r(i)"),
     "ARR_7_piecewise_round_trip": (_functions, "SELECT l_orderkey, l_linenumber::DOUBLE AS x, l_quantity AS y FROM lineitem"),

@@ -367,3 +367,15 @@ def test_wide_files_give_back_their_columns(spark, tmp_path):
     (tmp_path / "w").write_text('timestamp,7,"a,b"\n2024-01-01T00:00:00Z,1,2\n2024-01-01T01:00:00Z,3,4\n')
     got = csv_io.read_wide(spark, str(tmp_path / "w"), {"7": 7, "a,b": (8, "Load")}).orderBy("owner_id").collect()
     assert [tuple(r) for r in got] == [(7, None, "7", [1.0, 3.0]), (8, "Load", "a,b", [2.0, 4.0])]
+
+
+def test_forecasts_beside_what_came_true(spark):
+    from gridloom.operators import charts
+
+    table = spark.createDataFrame([("s", T0, list(range(0, 120, 10)), 3)], "name string, initial_timestamp timestamp_ntz, values array<long>, count long")
+    period = lambda t: Period.parse(t)
+    got = charts.overlaid(table, ["name"], HOUR, period("PT4H"), period("PT2H"), 5).orderBy("w", "h").collect()
+    want = [(w, h, T0 + dt.timedelta(hours=2 * w + h + 5), 10 * (2 * w + h), 10 * (2 * w + h + 5)) for w in range(3) for h in range(4) if 2 * w + h + 5 < 12]
+    assert [(r["w"], r["h"], r["target_time"], r["v"], r["actual"]) for r in got] == want
+    error = charts.forecast_error(table, ["name"], HOUR, period("PT4H"), period("PT2H"), 5).first()["error"]
+    assert error == sum(v - a for *_, v, a in want)
