@@ -11,12 +11,16 @@ from .filters import endpoint
 ATTRIBUTES, EDGES = ("component", "attribute"), ("parent", "child")
 
 
-def added(links: DataFrame, new: DataFrame, ends: tuple[str, str] = ATTRIBUTES) -> DataFrame:
-    """links and new; a pair of ids may stand once, whatever the types say. All or nothing."""
+def check_new(links: DataFrame, new: DataFrame, ends: tuple[str, str] = ATTRIBUTES) -> None:
+    """A pair of ids may stand once, whatever the types say."""
     ids = [f"{e}_id" for e in ends]
-    both = new.groupBy(*ids).count().where("count > 1").limit(1).count() or new.join(links, ids, "left_semi").limit(1).count()
-    if both:
+    if new.groupBy(*ids).count().where("count > 1").limit(1).count() or new.join(links, ids, "left_semi").limit(1).count():
         raise DuplicateAssociation("a pair is linked already")
+
+
+def added(links: DataFrame, new: DataFrame, ends: tuple[str, str] = ATTRIBUTES) -> DataFrame:
+    """links and new, all or nothing."""
+    check_new(links, new, ends)
     return links.unionByName(new)
 
 

@@ -111,8 +111,8 @@ def _without(into: DataFrame, other: DataFrame) -> DataFrame:
     return into.alias("l").join(other.alias("r"), same, "left_anti").select("l.*")
 
 
-def merged(into: Catalog, source: Catalog, replace: bool = False) -> Catalog:
-    """into with the series of source.
+def parts(into: Catalog, source: Catalog, replace: bool = False) -> tuple[DataFrame, Catalog]:
+    """The associations of into that stay, and what comes from source.
 
     With replace, series of into with the identity of one of source give way. Without it such a series is an error, and so
     is, in any case, a family that would hold both a view and a dense forecast.
@@ -123,6 +123,12 @@ def merged(into: Catalog, source: Catalog, replace: bool = False) -> Catalog:
     new = landed(source)
     if family_conflicts(new.associations, kept).limit(1).count():
         raise DuplicateTimeSeries("a forecast of this family is stored as a view")
+    return kept, new
+
+
+def merged(into: Catalog, source: Catalog, replace: bool = False) -> Catalog:
+    """into with the series of source; see parts()."""
+    kept, new = parts(into, source, replace)
     associations = kept.unionByName(new.associations)
     arrays = new.arrays.join(into.arrays.select("data_hash"), "data_hash", "left_anti").select(*into.arrays.columns)
     held = into.arrays

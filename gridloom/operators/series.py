@@ -141,10 +141,13 @@ def transform(associations: DataFrame, horizon: Period, interval: Period, catego
     """
     from .catalog import static_grids
 
-    grids = [tuple(r) for r in static_grids(associations, resolution, category).collect()]
-    if len({g[0] for g in grids}) < len(grids):
+    # one row a resolution reaches the driver, however many grids there are
+    each = static_grids(associations, resolution, category).groupBy("resolution")
+    grids = each.agg(F.min("initial_timestamp").alias("initial"), F.min("length").alias("length"), F.count(F.lit(1)).alias("n")).collect()
+    if any(g["n"] > 1 for g in grids):
         raise InvalidParameter("series of one resolution have several grids")
-    plan = transform_plan(grids, horizon, interval, normalize, uniform)
+    ordered = sorted((g["resolution"], g["initial"], g["length"]) for g in grids)
+    plan = transform_plan(ordered, horizon, interval, normalize, uniform)
     spark = associations.sparkSession
     rows = [(r, horizon.iso(), p.iso(), n) for r, (p, n) in plan.items()]
     plans = spark.createDataFrame(rows, "resolution string, __horizon string, __interval string, __count long")

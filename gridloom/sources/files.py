@@ -1,47 +1,21 @@
-"""Small files by Hadoop's file systems, so that a store may lie wherever Spark can read."""
+"""Folders wherever Spark can read, by Hadoop's file systems."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import SparkSession
 
 
-class Folder:
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.gateway, self.conf, self.path = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration(), path.rstrip("/")
-        self.fs = self._p("").getFileSystem(self.conf)
-
-    def _p(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._p(name))
-
-    def read_json(self, name: str) -> dict:
-        stream = self.fs.open(self._p(name))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def write_json(self, name: str, value: dict) -> None:
-        """Whole or not at all: written aside, then renamed."""
-        aside = f".{name}.new"
-        out = self.fs.create(self._p(aside), True)
-        try:
-            out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-        finally:
-            out.close()
-        # one step that replaces: there is never a moment without a whole file
-        hadoop = self.jvm.org.apache.hadoop.fs
-        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        options = self.gateway.new_array(hadoop.Options.Rename, 1)
-        options[0] = hadoop.Options.Rename.OVERWRITE
-        context.rename(self.fs.makeQualified(self._p(aside)), self.fs.makeQualified(self._p(name)), options)
-
-    def delete(self, name: str = "") -> None:
-        self.fs.delete(self._p(name), True)
-
-    def size(self, name: str = "") -> int:
-        return self.fs.getContentSummary(self._p(name)).getLength()
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder with all that it holds."""
+    fs, where = _at(spark, path)
+    fs.delete(where, True)

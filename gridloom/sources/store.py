@@ -1,14 +1,13 @@
-"""A store of series: immutable Parquet tables and one manifest that names those of the current snapshot.
+"""A store of series: one folder of Parquet files for each table, or tables in memory.
 
-A change builds new DataFrames; committing writes the tables that changed, then the manifest. A
-failure before that leaves files that no manifest names, which compact() leaves behind. Transactions nest: each
-level is a dictionary of DataFrames, so reads inside one see its changes and rolling back forgets them.
+Adding appends files: arrays and timestamp vectors first, the catalog's rows last, so no row names an array that is not
+there. Removing and renaming rewrite the catalog alone; arrays that nothing refers to any more go with sweep(). What
+is added is hashed once, as a written table. Each change is checked before anything is written.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -16,18 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..errors import DuplicateTimeSeries, IncompatibleFormat, IntegrityError, InvalidParameter, MismatchedArtifact, NotFound, ReadOnlyStore, StoreExists
+from ..errors import DuplicateTimeSeries, IntegrityError, InvalidParameter, NotFound, ReadOnlyStore, StoreExists
 from ..functions.elements import ElementType
 from ..functions.hashing import array_hash, features_hash, timestamps_hash_column
 from ..functions.parse import DERIVED, DETERMINISTIC, IRREGULAR, PROBABILISTIC, SCENARIOS, SINGLE
-from ..functions.period import Period, whole_millis
-from ..operators import catalog, links, series, sets
+from ..functions.period import Period, instant, whole_millis
+from ..functions.tables import written
+from ..operators import catalog, diagnostics, links, merging, ranges, series, sets
 from ..operators.filters import ListFilter, resolve_one
 from ..schema import FEATURE, RESERVED_FEATURES, TABLES
-from .files import Folder
-
-FORMAT = 1
-MANIFEST = "manifest.json"
+from . import files
 
 
 @dataclass
@@ -93,115 +90,63 @@ def _dtype(element: Column, known: list[str]) -> Column:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None, read_only: bool = False, manifest: dict | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path, read_only
-        self._levels = [tables]
-        self._manifest = manifest or {"format": FORMAT, "stamp": uuid.uuid4().hex, "snapshot": 0, "tables": {}}
+        self.tables = tables
 
     # opening
     @classmethod
     def create(cls, spark: SparkSession, path: str | None = None, replace: bool = False) -> Store:
         """A new store; in memory without a path. An existing one is refused unless it is to be replaced."""
         empty = {k: spark.createDataFrame([], s) for k, s in TABLES.items()}
-        store = cls(spark, empty, path)
-        if path is not None:
-            folder = Folder(spark, path)
-            if folder.exists(MANIFEST):
-                if not replace:
-                    raise StoreExists(path)
-                folder.delete()
-            store._publish(list(TABLES))
-        return store
+        if path is None:
+            return cls(spark, empty)
+        if files.exists(spark, f"{path}/associations"):
+            if not replace:
+                raise StoreExists(path)
+            files.delete(spark, path)
+        for name, table in empty.items():
+            table.write.parquet(f"{path}/{name}")
+        return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> Store:
-        folder = Folder(spark, path)
-        if not folder.exists(MANIFEST):
+        if not files.exists(spark, f"{path}/associations"):
             raise NotFound(f"no store at {path}")
-        manifest = folder.read_json(MANIFEST)
-        if manifest["format"] != FORMAT:
-            raise IncompatibleFormat(f"format {manifest['format']}, not {FORMAT}")
-        for name, at in manifest["tables"].items():
-            if not at.startswith(f"tables/{manifest['stamp']}-"):
-                raise MismatchedArtifact(f"{name} is of another store")
-        return cls(spark, cls._read(spark, path, manifest), path, read_only, manifest)
+        return cls(spark, {k: cls._read(spark, path, k) for k in TABLES}, path, read_only)
 
     @staticmethod
-    def _read(spark: SparkSession, path: str, manifest: dict) -> dict[str, DataFrame]:
-        return {k: spark.read.schema(TABLES[k]).parquet(f"{path}/{at}") for k, at in manifest["tables"].items()}
-
-    @classmethod
-    def open_copy(cls, spark: SparkSession, source: str, dest: str) -> Store:
-        return cls.open(spark, source, read_only=True).persist_to(dest)
-
-    def persist_to(self, path: str) -> Store:
-        """All tables under a new path with a fresh stamp."""
-        if Folder(self.spark, path).exists(MANIFEST):
-            raise StoreExists(path)
-        other = Store(self.spark, dict(self.tables), path)
-        other._publish(list(TABLES))
-        return other
-
-    def _publish(self, changed: list[str]) -> None:
-        """Write the changed tables, then the manifest."""
-        stamp, snapshot = self._manifest["stamp"], self._manifest["snapshot"] + 1
-        tables = dict(self._manifest["tables"])
-        for name in changed:
-            tables[name] = f"tables/{stamp}-{name}-{snapshot}-{uuid.uuid4().hex[:8]}"
-            df = self.tables[name]
-            if name == "associations":
-                df = df.sortWithinPartitions("time_series_type", "owner_category", "owner_id", "name")
-            df.write.parquet(f"{self.path}/{tables[name]}")
-        self._manifest = self._manifest | {"snapshot": snapshot, "tables": tables}
-        Folder(self.spark, self.path).write_json(MANIFEST, self._manifest)
-        self._levels = [self._read(self.spark, self.path, self._manifest)]
-
-    # transactions
-    @property
-    def tables(self) -> dict[str, DataFrame]:
-        return self._levels[-1]
+    def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+        return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
 
     @property
     def associations(self) -> DataFrame:
         return self.tables["associations"]
 
-    @property
-    def in_transaction(self) -> bool:
-        return len(self._levels) > 1
-
-    def begin(self) -> None:
-        self._levels.append(dict(self.tables))
-
-    def commit(self) -> None:
-        if not self.in_transaction:
-            raise InvalidParameter("no transaction is open")
-        new = self._levels.pop()
-        changed = [k for k in TABLES if new[k] is not self.tables[k]]
-        old, self._levels[-1] = self._levels[-1], new
-        if not self.in_transaction and self.path is not None and changed:
-            try:
-                self._publish(changed)
-            except Exception:
-                self._levels[-1] = old
-                raise
-
-    def rollback(self) -> None:
-        if not self.in_transaction:
-            raise InvalidParameter("no transaction is open")
-        self._levels.pop()
-
-    def __enter__(self) -> Store:
-        self.begin()
-        return self
-
-    def __exit__(self, kind, *_) -> None:
-        self.commit() if kind is None else self.rollback()
-
-    def _change(self, **tables: DataFrame) -> None:
+    def _writable(self) -> None:
         if self.read_only:
             raise ReadOnlyStore(self.path or "")
-        with self:
-            self._levels[-1].update(tables)
+
+    def _append(self, **new: DataFrame) -> None:
+        """Rows added to tables, in the order given."""
+        self._writable()
+        for name, rows in new.items():
+            if self.path is None:
+                self.tables[name] = self.tables[name].unionByName(written(rows, name))
+            else:
+                if name == "associations":
+                    rows = rows.sortWithinPartitions("time_series_type", "owner_category", "owner_id", "name")
+                rows.select(*self.tables[name].columns).write.mode("append").parquet(f"{self.path}/{name}")
+                self.tables[name] = self._read(self.spark, self.path, name)
+
+    def _change(self, **tables: DataFrame) -> None:
+        """Whole tables anew; on disk they are written aside first, as they are made from what they replace."""
+        self._writable()
+        for name, table in tables.items():
+            if self.path is not None:
+                written(table, name).write.mode("overwrite").parquet(f"{self.path}/{name}")
+                table = self._read(self.spark, self.path, name)
+            self.tables[name] = table
 
     # adding
     def add(self, *requests: Request, replace: bool = False) -> None:
@@ -223,11 +168,7 @@ class Store:
         rows = incoming.withColumn("dtype", _dtype(F.col("element_type"), known) if known else F.lit("f64"))
         rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn("features_hash", _hash_features(F.array_sort(F.map_entries("features"))))
         rows = rows.withColumn("timestamps_hash", F.when(F.col("timestamps").isNotNull(), timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))))).withColumn("__n", n)
-        rows = rows.withColumn("__row", F.monotonically_increasing_id()).persist()
-        try:
-            self._add_hashed(rows, known, replace)
-        finally:
-            rows.unpersist()
+        self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming"), known, replace)
 
     def _add_hashed(self, rows: DataFrame, known: list[str], replace: bool) -> None:
         problem = F.coalesce(self._problems(rows), self._misshapen(known))
@@ -255,7 +196,10 @@ class Store:
         arrays = sets.deduplicated(rows.select("data_hash", "dtype", "shape", "values", "exact"), self.tables["arrays"])
         vectors = rows.where(F.col("timestamps").isNotNull()).select("timestamps_hash", "timestamps").dropDuplicates(["timestamps_hash"])
         vectors = vectors.join(self.tables["timestamp_sets"].select("timestamps_hash"), "timestamps_hash", "left_anti")
-        self._change(associations=held.unionByName(new), arrays=self.tables["arrays"].unionByName(arrays), timestamp_sets=self.tables["timestamp_sets"].unionByName(vectors))
+        new = written(new, "new")
+        if replace:
+            self._change(associations=held)
+        self._append(arrays=arrays, timestamp_sets=vectors, associations=new)
 
     @staticmethod
     def _misshapen(known: list[str]) -> Column:
@@ -312,8 +256,11 @@ class Store:
         return self.list(f).join(self.tables["arrays"], "data_hash")
 
     def array(self, data_hash: str) -> DataFrame:
-        """The array of a hash, with dtype and shape: no row if it is not stored."""
-        return self.tables["arrays"].where(F.col("data_hash") == data_hash)
+        """The array of a hash, with shape and the element type of a series that refers to it; one that nothing refers to is not found."""
+        types = self.associations.where(F.col("data_hash") == data_hash).select("element_type").limit(1).collect()
+        if not types:
+            raise NotFound(f"no series refers to {data_hash}")
+        return self.tables["arrays"].where(F.col("data_hash") == data_hash).withColumn("element_type", F.lit(types[0][0]))
 
     def array_shapes(self) -> DataFrame:
         """(data_hash, dtype, shape) without reading values."""
@@ -332,6 +279,10 @@ class Store:
             raise InvalidParameter("the series do not share one resolution")
         return series.slice_regular(rows.join(self.tables["arrays"], "data_hash"), Period.parse(periods[0]), start, end)
 
+    def read_ranges(self, keys: DataFrame, on: list[str], start: dt.datetime, end: dt.datetime) -> DataFrame:
+        """Series of any type and resolution of keys (ordinal, *on), cut to [start, end), one row a key; none may be missing."""
+        return ranges.read_ranges(keys, on, self.associations, self.tables["arrays"], self.tables["timestamp_sets"], instant(start), instant(end))
+
     def get(self, f: ListFilter, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """The one series of f, whole or sliced."""
         row = resolve_one(self.associations, f)
@@ -358,28 +309,60 @@ class Store:
         return series.dense_windows(rows, ["owner_id", "name"], resolution.divide_into(horizon), resolution, interval, windows=chosen)
 
     # changing
+    def merge(self, other: Store, f: ListFilter = ListFilter(), replace: bool = False) -> int:
+        """The series of another store that match, views as dense forecasts; how many came. An identity that is there is an error, or replaced."""
+        chosen = merging.Catalog(f.of(other.associations), other.tables["arrays"])
+        own = merging.Catalog(self.associations, self.tables["arrays"])
+        kept, new = merging.parts(own, chosen, replace)
+        first = (self.associations.agg(F.max("assoc_id")).first()[0] or 0) + 1
+        rows = written(new.associations.withColumn("assoc_id", F.lit(first) + F.monotonically_increasing_id()), "merged")
+        arrays = sets.deduplicated(new.arrays, self.tables["arrays"])
+        vectors = other.tables["timestamp_sets"].join(rows.select("timestamps_hash").distinct(), "timestamps_hash", "left_semi")
+        vectors = vectors.join(self.tables["timestamp_sets"].select("timestamps_hash"), "timestamps_hash", "left_anti")
+        if replace:
+            self._change(associations=kept)
+        self._append(arrays=arrays, timestamp_sets=vectors, associations=rows)
+        return rows.count()
+
+    def _left(self, left: DataFrame) -> None:
+        """Only the rows left stay; a view must not lose the series that it shows."""
+        if sets.orphaned_views(left).limit(1).count():
+            raise IntegrityError("a derived view would lose its series")
+        self._change(associations=left)
+
     def remove(self, f: ListFilter, at_least: int = 0) -> int:
-        """Series that match go; a view must not lose the series that it shows."""
+        """Series that match go. Their arrays stay until sweep()."""
         match = F.coalesce(f.column(), F.lit(False))
         n = self.associations.where(match).count()
         if n < at_least:
             raise NotFound("no such series")
-        left = self.associations.where(~match)
-        if sets.orphaned_views(left).limit(1).count():
-            raise IntegrityError("a derived view would lose its series")
-        kept = self.tables["arrays"].join(left.select("data_hash").distinct(), "data_hash", "left_semi").select(*self.tables["arrays"].columns)
-        self._change(associations=left, arrays=kept)
+        self._left(self.associations.where(~match))
         return n
 
     def remove_each(self, filters: list[ListFilter]) -> int:
-        """The one series of each filter goes, or nothing does."""
-        ids = [resolve_one(self.associations, f)["assoc_id"] for f in filters]
-        left = self.associations.where(~F.col("assoc_id").isin(ids)) if ids else self.associations
-        if sets.orphaned_views(left).limit(1).count():
-            raise IntegrityError("a derived view would lose its series")
-        kept = self.tables["arrays"].join(left.select("data_hash").distinct(), "data_hash", "left_semi").select(*self.tables["arrays"].columns)
-        self._change(associations=left, arrays=kept)
-        return len(set(ids))
+        """The one series of each filter goes, or nothing does; the catalog is read once for all filters."""
+        if not filters:
+            return 0
+        matched = F.array_compact(F.array(*[F.when(F.coalesce(f.column(), F.lit(False)), F.lit(i)) for i, f in enumerate(filters)]))
+        found = self.associations.select("assoc_id", F.explode(matched).alias("i")).groupBy("i")
+        of = {r["i"]: r for r in found.agg(F.count(F.lit(1)).alias("n"), F.min("assoc_id").alias("id")).collect()}
+        for i, f in enumerate(filters):
+            if i not in of or of[i]["n"] > 1:
+                resolve_one(self.associations, f)  # says which series, or that there is none
+        ids = sorted({r["id"] for r in of.values()})
+        gone = self.spark.createDataFrame([(i,) for i in ids], "assoc_id long")
+        self._left(self.associations.join(F.broadcast(gone), "assoc_id", "left_anti").select(*self.associations.columns))
+        return len(ids)
+
+    def sweep(self) -> dict[str, int]:
+        """Arrays and timestamp vectors that no series refers to go; how many."""
+        gone = {}
+        for name, key in (("arrays", "data_hash"), ("timestamp_sets", "timestamps_hash")):
+            gone[name] = sets.orphans(self.tables[name], self.associations, key).count()
+            if gone[name]:
+                kept = self.tables[name].join(self.associations.select(key).distinct(), key, "left_semi")
+                self._change(**{name: kept.select(*self.tables[name].columns)})
+        return gone
 
     def clear(self, owner_id: int | None = None, category: str | None = None) -> None:
         """One owner or everything, without the guard for views."""
@@ -397,6 +380,12 @@ class Store:
             raise DuplicateTimeSeries("a family would hold dense and derived forecasts")
         self._change(associations=after)
 
+    def _may_add(self, new: DataFrame) -> None:
+        if sets.duplicates(new, self.associations).limit(1).count():
+            raise DuplicateTimeSeries("two series would have one identity")
+        if sets.family_conflicts(new, self.associations).limit(1).count():
+            raise DuplicateTimeSeries("a family would hold dense and derived forecasts")
+
     def rename(self, f: ListFilter, name: str) -> None:
         row = resolve_one(self.associations, f)
         self._checked(self.associations.withColumn("name", F.when(F.col("assoc_id") == row["assoc_id"], F.lit(name)).otherwise(F.col("name"))))
@@ -406,7 +395,8 @@ class Store:
         row = resolve_one(self.associations, f)
         top = self.associations.agg(F.max("assoc_id")).first()[0] + 1
         new = self.associations.where(F.col("assoc_id") == row["assoc_id"]).withColumns({"assoc_id": F.lit(top).cast("long"), "owner_id": F.lit(owner_id).cast("long"), "owner_type": F.lit(owner_type), "name": F.lit(name or row["name"])})
-        self._checked(self.associations.unionByName(new))
+        self._may_add(new)
+        self._append(associations=new)
 
     def replace_owner(self, old: int, new: int, category: str = "Component") -> None:
         """All series of an owner go to another; their owner_type stays."""
@@ -417,39 +407,23 @@ class Store:
         """Derive views of all single series; how many are new."""
         new = series.transform(self.associations, Period.parse(horizon), Period.parse(interval), **options)
         first = (self.associations.agg(F.max("assoc_id")).first()[0] or 0) + 1
-        new = new.withColumn("assoc_id", F.lit(first) + F.monotonically_increasing_id())
-        n = new.count()
-        if n and not dry_run:
-            self._change(associations=self.associations.unionByName(new.select(*self.associations.columns)))
-        return n
+        if dry_run:
+            return new.count()
+        rows = written(new.withColumn("assoc_id", F.lit(first) + F.monotonically_increasing_id()), "views")
+        self._append(associations=rows.select(*self.associations.columns))
+        return rows.count()
 
     def link(self, rows: list[tuple], table: str = "attribute_links") -> None:
         """rows: (id, type, id, type) of both ends."""
         ends = links.ATTRIBUTES if table == "attribute_links" else links.EDGES
         first = (self.tables[table].agg(F.max("id")).first()[0] or 0) + 1
         new = self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], TABLES[table])
-        self._change(**{table: links.added(self.tables[table], new, ends)})
+        links.check_new(self.tables[table], new, ends)
+        self._append(**{table: new})
 
-    # maintenance
     def verify(self) -> DataFrame:
-        """(data_hash, problem) of arrays that are referred to and missing or changed."""
-        wanted = self.associations.select("data_hash").distinct()
-        held = wanted.join(self.tables["arrays"], "data_hash")
-        changed = held.where(_hash_arrays("dtype", "shape", "values", "exact") != F.col("data_hash")).select("data_hash", F.lit("changed").alias("problem"))
-        missing = wanted.join(self.tables["arrays"], "data_hash", "left_anti").select("data_hash", F.lit("missing").alias("problem"))
-        return changed.union(missing)
-
-    def compact(self) -> dict[str, int]:
-        """Drop arrays and timestamp vectors that no series refers to, and rewrite; how many went."""
-        if self.in_transaction:
-            raise InvalidParameter("not inside a transaction")
-        gone = {k: sets.orphans(self.tables[k], self.associations, key).count() for k, key in (("arrays", "data_hash"), ("timestamp_sets", "timestamps_hash"))}
-        keep = lambda k, key: self.tables[k].join(self.associations.select(key).distinct(), key, "left_semi").select(*self.tables[k].columns)
-        self._change(arrays=keep("arrays", "data_hash"), timestamp_sets=keep("timestamp_sets", "timestamps_hash"))
-        return gone
-
-    def info(self) -> dict:
-        return self._manifest | {"path": self.path, "read_only": self.read_only, "bytes": Folder(self.spark, self.path).size() if self.path else 0}
+        """(assoc_id, problem) of every rule that a row, its array or its timestamps break."""
+        return diagnostics.verified(self.associations, self.tables["arrays"], self.tables["timestamp_sets"])
 
 
 def _stored(v) -> tuple:

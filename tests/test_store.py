@@ -33,8 +33,14 @@ def test_round_trip_on_disk(spark, tmp_path):
     assert store.verify().count() == 0
     with pytest.raises(ReadOnlyStore):
         Store.open(spark, path, read_only=True).clear()
-    copy = Store.open_copy(spark, path, f"{tmp_path}/c")
-    assert copy.info()["stamp"] != store.info()["stamp"] and copy.associations.count() == 4
+    assert Store.open(spark, path).associations.count() == 4
+    with pytest.raises(NotFound):
+        Store.open(spark, f"{tmp_path}/none")
+    kept = len(store.tables["arrays"].inputFiles())
+    store.add(load(44, values=[9.0] * 24))
+    # what was there stays as it is: an addition appends files
+    assert len(store.tables["arrays"].inputFiles()) > kept and Store.open(spark, path).tables["arrays"].count() == 3
+    assert Store.create(spark, path, replace=True).associations.count() == 0
 
 
 @pytest.mark.parametrize("bad", [
@@ -62,21 +68,38 @@ def test_views_transactions_and_guards(spark):
         store.add(dense)
     with pytest.raises(IntegrityError):
         store.remove(ListFilter(time_series_type=0))
-    store.begin()
-    store.rename(ListFilter(owner_id=42, time_series_type=0), "other")
-    store.begin()
-    store.clear()
-    store.rollback()
-    assert store.list(ListFilter(name="other")).count() == 1
-    store.rollback()
-    assert store.list(ListFilter(name="other")).count() == 0
     with pytest.raises(DuplicateTimeSeries):
         store.replace_owner(42, 43)
     with pytest.raises(NotFound):
         store.remove(ListFilter(owner_id=1), at_least=1)
     assert store.remove(ListFilter(owner_id=43)) == 2
     store.copy(ListFilter(owner_id=42, time_series_type=0), 50, "Load")
-    assert store.tables["arrays"].count() == 1
+    with pytest.raises(DuplicateTimeSeries):
+        store.copy(ListFilter(owner_id=42, time_series_type=0), 50, "Load")
+    assert store.sweep() == {"arrays": 0, "timestamp_sets": 0} and store.tables["arrays"].count() == 1
+
+
+def test_merging_a_store_into_another(spark, tmp_path):
+    source, dest = Store.create(spark), Store.create(spark, f"{tmp_path}/d")
+    events = Request(1, "Load", "events", [1.0, 2.0], time_series_type=1, timestamps=[T, T + dt.timedelta(minutes=7)])
+    source.add(load(), load(43, values=[5.0] * 24), events)
+    source.transform("PT6H", "PT6H")
+    dest.add(load(43, values=[7.0] * 24))
+    with pytest.raises(DuplicateTimeSeries):
+        dest.merge(source)
+    assert dest.associations.count() == 1 and dest.merge(source, replace=True) == 5
+    windows = dest.windows(ListFilter(owner_id=42, time_series_type=2), T + dt.timedelta(hours=6), T + dt.timedelta(hours=12))
+    assert [r.v for r in windows.orderBy("h").collect()] == [106.0, 107.0, 108.0, 109.0, 110.0, 111.0]
+    assert dest.get(ListFilter(owner_id=43, time_series_type=0)).first()["values"] == [5.0] * 24
+    assert dest.verify().count() == 0 and dest.sweep()["arrays"] == 1
+    assert dest.associations.where("time_series_type = 3").count() == 0 and dest.associations.select("assoc_id").distinct().count() == 5
+    keys = spark.createDataFrame([(0, 42, 0), (1, 1, 1), (2, 43, 2)], "ordinal long, owner_id long, time_series_type int")
+    got = {r["ordinal"]: r["values"] for r in dest.read_ranges(keys, ["owner_id", "time_series_type"], T, T + dt.timedelta(hours=2)).collect()}
+    assert got == {0: [100.0, 101.0], 1: [1.0, 2.0], 2: [5.0] * 6}
+    hashes = [r["data_hash"] for r in dest.associations.where("owner_id = 1").collect()]
+    assert dest.array(hashes[0]).first()["element_type"] == "f64"
+    with pytest.raises(NotFound):
+        dest.array("0" * 64)
 
 
 def test_large_integers_are_exact(spark):
@@ -153,7 +176,8 @@ def test_all_or_nothing_is_removed_and_replaced(spark):
     with pytest.raises(NotFound):
         store.remove_each([ListFilter(owner_id=1), ListFilter(owner_id=9)])
     assert store.associations.count() == 3
-    assert store.remove_each([ListFilter(owner_id=1), ListFilter(owner_id=2)]) == 2 and store.tables["arrays"].count() == 1
+    assert store.remove_each([ListFilter(owner_id=1), ListFilter(owner_id=2)]) == 2 and store.sweep()["arrays"] == 1
+    assert store.tables["arrays"].count() == 1
     with pytest.raises(DuplicateTimeSeries):
         store.add(load(3, values=[2.0] * 24))
     store.add(load(3, values=[2.0] * 24), load(4), replace=True)
