@@ -29,7 +29,11 @@ from .common import delete, met, width, written
 
 K, REVERSE, TREES, LEAF = 32, 24, 6, 500
 #: The stopping rule: a share of entries or queries, and the most rounds and steps.
-CHANGED, MOST_ROUNDS, MOST_STEPS = 0.001, 8, 8
+CHANGED, MOST_ROUNDS, MOST_STEPS = 0.01, 6, 6
+#: Best nodes of a beam whose change makes another step worth while.
+WATCHED = 21
+#: Groups of nodes that a search deals with, at least; a query asks EXPANDED nodes, so few groups of a small graph would all be asked.
+SEARCH_GROUPS = 256
 #: Best pairs that a bag of neighbours proposes for each of its nodes.
 PROPOSED = 4
 BEAM, EXPANDED = 600, 220
@@ -269,9 +273,9 @@ def _beam(pdf):
         scores = np.concatenate([np.asarray(s, np.float32) for s in g["scores"]])
         done = np.concatenate([np.asarray(d, bool) if d is not None else np.zeros(len(i), bool) for d, i in zip(g["done"], g["ids"], strict=True)])
         at = _best(np.zeros(len(ids), np.int64), ids, scores, BEAM, known=done)
-        before = np.asarray(head["ids"], np.int64)[:RESCORED]
+        before = np.asarray(head["ids"], np.int64)[:WATCHED]
         ids, scores, done = ids[at], scores[at], done[at]
-        moved = not np.array_equal(before, ids[:RESCORED])
+        moved = not np.array_equal(before, ids[:WATCHED])
         next_ = np.flatnonzero(~done)[:EXPANDED]
         done[next_] = True
         rows.append((q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf, moved, _kept(head, scores)))
@@ -293,7 +297,7 @@ def _kept(head, scores: np.ndarray) -> int:
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -> DataFrame:
     """(query, node): the best nodes found for each query (query: nodes of the graph)."""
-    buckets = _buckets(nodes, count)
+    buckets = max(SEARCH_GROUPS, _buckets(nodes, count))
     near = _adjacency(graph, nodes, buckets)
     start = queries.join(nodes, queries["query"] == nodes["node"])
     own = F.array("query")
