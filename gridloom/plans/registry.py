@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, file_queries, read_queries, series_queries, store_queries
+from . import catalog_queries, file_queries, parse_queries, read_queries, series_queries, store_queries
 
-MODULES = (catalog_queries, series_queries, store_queries, read_queries, file_queries)
+MODULES = (catalog_queries, series_queries, store_queries, read_queries, file_queries, parse_queries)
 
 
 def queries() -> dict:

@@ -97,6 +97,21 @@ def forecast_values(rows: DataFrame, steps_: int, count: int, leading: int, widt
     return cell.agg(F.array_sort(F.collect_list(F.struct(place.cast("long").alias("i"), F.col("x").alias("v")))).alias("p")).select(F.col("p.v").alias("values"))
 
 
+def owner_map(spark: SparkSession, path: str) -> DataFrame:
+    """(column, owner_id, owner_type) of a file column,owner_id[,owner_type]; its header is checked, and a column may stand once."""
+    names = header(spark, path)
+    if names not in (["column", "owner_id"], ["column", "owner_id", "owner_type"]):
+        raise InvalidParameter(f"an owner map has the columns column, owner_id and perhaps owner_type, not {', '.join(names)}")
+    rows = lines(spark, path).where("row > 0")
+    column = F.trim(F.element_at("cells", 1))
+    owner = F.trim(F.get("cells", F.lit(1))).try_cast("long")
+    out = rows.select(column.alias("column"), owner.alias("owner_id"), F.nullif(F.trim(F.get("cells", F.lit(2))), F.lit("")).alias("owner_type"))
+    bad = out.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count("owner_id").alias("ids")).where("n > 1 or ids = 0").limit(1).collect()
+    if bad:
+        raise InvalidParameter(f"column {bad[0]['column']!r} stands twice, or has no owner")
+    return out
+
+
 def read_wide(spark: SparkSession, path: str, owners: DataFrame | dict | None = None) -> DataFrame:
     """(owner_id, owner_type, column, values): one series a column. Owners by a table (column, owner_id, owner_type), a mapping, or the header."""
     names = header(spark, path)[1:]

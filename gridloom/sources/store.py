@@ -75,7 +75,7 @@ def _python_features(items) -> dict:
 
 
 @F.pandas_udf(StringType())
-def _hash_features(features: pd.Series) -> pd.Series:
+def hash_features(features: pd.Series) -> pd.Series:
     pairs = [[(x["key"], x["value"]) for x in row] for row in features]
     return pd.Series([features_hash(_python_features(p)) for p in pairs])
 
@@ -89,6 +89,14 @@ def _dtype(element: Column, known: list[str]) -> Column:
     return F.coalesce(*[F.when(element == t, F.lit(ElementType.parse(t).dtype)) for t in known])
 
 
+def _known_types(incoming: DataFrame) -> list[str]:
+    """The element types of a batch, which are few; an unknown one is an error."""
+    known = [r[0] for r in incoming.select("element_type").distinct().collect()]
+    for text in known:
+        ElementType.parse(text)
+    return known
+
+
 class Store:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path, read_only
@@ -163,10 +171,10 @@ class Store:
 
     def add_frame(self, incoming: DataFrame, replace: bool = False) -> None:
         """Rows of INCOMING: checked, hashed (once, then kept) and stored; arrays and timestamp vectors once each."""
-        known = [r[0] for r in incoming.select("element_type").distinct().collect()]
+        known = _known_types(incoming)
         n = F.coalesce(F.size("exact"), F.size("values"))
         rows = incoming.withColumn("dtype", _dtype(F.col("element_type"), known) if known else F.lit("f64"))
-        rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn("features_hash", _hash_features(F.array_sort(F.map_entries("features"))))
+        rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn("features_hash", hash_features(F.array_sort(F.map_entries("features"))))
         rows = rows.withColumn("timestamps_hash", F.when(F.col("timestamps").isNotNull(), timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))))).withColumn("__n", n)
         self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming"), known, replace)
 
@@ -216,6 +224,13 @@ class Store:
             wrong = wrong | ((F.col("element_type") == text) & ~F.coalesce((F.size(step) == 1) & fits, F.lit(False)))
         return F.when(wrong, F.lit("the steps do not have the shape of their element type"))
 
+    @staticmethod
+    def problems(incoming: DataFrame) -> DataFrame:
+        """incoming (rows of INCOMING) with column problem: the first rule that a row breaks, or null. Nothing is hashed or stored."""
+        known = _known_types(incoming)
+        rows = incoming.withColumn("__n", F.coalesce(F.size("exact"), F.size("values")))
+        return rows.withColumn("problem", F.coalesce(Store._problems(rows), Store._misshapen(known))).drop("__n")
+
     @staticmethod
     def _problems(rows: DataFrame) -> Column:
         """The first rule that a row breaks, else null."""
