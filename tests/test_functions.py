@@ -116,3 +116,63 @@ def test_timestamp_vectors_decode_to_what_was_encoded(seconds):
     for bad in (b"", b"\x02" + blob[1:], blob + b"\x00", *([blob[:-1]] if seconds else [])):
         with pytest.raises(IntegrityError):
             timestamps_of(bad)
+
+
+def _values(spark, texts, column):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column.alias("v")).collect()
+    return [r["v"] for r in rows]
+
+
+def _or_none(fn, text):
+    from gridloom.errors import InvalidParameter
+
+    try:
+        return fn(text)
+    except InvalidParameter:
+        return None
+
+
+def test_literals_of_columns_are_those_of_values(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import parse, parse_columns
+    from gridloom.functions.elements import ElementType
+
+    t = F.col("t")
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-01T02:30:00.125+02:30", "2024-06-30 23:59:59-07:00", "1704067200000", "-5", " 2024-01-01T00:00:00Z ", "2024-01-01T05:00", "2024-13-01T00:00:00Z", "now", ""]
+    for offset in (None, "-07:00", "Z"):
+        assert _values(spark, stamps, parse_columns.timestamp(t, offset)) == [_or_none(lambda x: parse.timestamp(x, offset), x) for x in stamps]
+    ranges = ["2024-01-01T00:00:00Z..2024-01-02T00:00:00Z", "0..1000", "2024-01-01T00:00:00Z"]
+    got = [tuple(r) if r else None for r in _values(spark, ranges, parse_columns.time_range(t))]
+    assert got == [_or_none(parse.time_range, x) for x in ranges]
+    types = ["SingleTimeSeries", "single_time_series", "DETERMINISTIC", "Deterministic_Single_Time_Series", "scenarios", "other", ""]
+    assert _values(spark, types, parse_columns.series_type(t)) == [_or_none(parse.series_type, x) for x in types]
+    categories = ["component", "SUPPLEMENTAL_ATTRIBUTE", "Thing"]
+    assert _values(spark, categories, parse_columns.owner_category(t)) == [_or_none(parse.owner_category, x) for x in categories]
+    elements = ["f64", " F32 ", "bool", "tuple(3,f64)", "tuple(03, u64)", "Tuple(0,f64)", "tuple(2,x)", "PiecewiseLinear", "linear_function", "f65", ""]
+    got = [tuple(r) if r else None for r in _values(spark, elements, parse_columns.element_type(t))]
+    want = [_or_none(ElementType.parse, x) for x in elements]
+    assert got == [(e.kind, e.dtype, e.arity) if e else None for e in want]
+    features = ["1", "+7", "-3", "1.5", ".5", "2.", "1e3", "true", "false", "True", "abc", "", "9223372036854775807", "nan", "1_0"]
+    for x, r in zip(features, _values(spark, features, parse_columns.feature(t)), strict=True):
+        want = parse.feature(x)
+        kind = {bool: "bool", int: "int", float: "float", str: "str"}[type(want)]
+        assert (r["kind"], {"int": r["i"], "float": r["f"], "bool": r["b"], "str": r["s"]}[kind]) == (kind, want), x
+
+
+def test_owner_maps(spark, tmp_path):
+    from gridloom.errors import InvalidParameter
+    from gridloom.sources import csv_io
+
+    def read(*lines):
+        (tmp_path / "m").write_text("\n".join(lines) + "\n")
+        return [tuple(r) for r in csv_io.owner_map(spark, str(tmp_path / "m")).orderBy("owner_id").collect()]
+
+    assert read("column,owner_id,owner_type", "a,1,Load", "b,2,") == [("a", 1, "Load"), ("b", 2, None)]
+    assert read("column,owner_id", '"x,y",5') == [("x,y", 5, None)]
+    for lines in (["name,id", "a,1"], ["column,owner_id", "a,1", "a,2"], ["column,owner_id", "a,b"], ["1,2", "a,1"]):
+        try:
+            read(*lines)
+        except InvalidParameter:
+            continue
+        raise AssertionError(lines)
