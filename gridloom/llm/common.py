@@ -61,8 +61,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and the executors share: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/gridloom-tables")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.startswith(("file:", "/")) and not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{warehouse}/gridloom-tables"
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

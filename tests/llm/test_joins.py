@@ -143,6 +143,41 @@ def test_vectors(spark):
     assert nn_descent.op9(df.where("vec_id = 0")).collect() == [] and nn_descent.op9(df.where("vec_id < 0")).collect() == []
 
 
+def test_quality_scores_are_those_of_a_numpy_discriminant(spark):
+    """Class covariances shrunken towards the pooled one, then towards its diagonal; log densities by solving, not by factors."""
+    rng = random.Random(9)
+    good, bad = ["the", "and", "of", "river", "stone", "letter", "morning", "house"], ["$$$", "CLICK", "###", "win", "win", "1000"]
+    rows = []
+    for i in range(160):
+        words = good if i % 2 else bad
+        text = " ".join(rng.choice(words if rng.random() < 0.85 else good + bad) + rng.choice(["", "", ",", ".", "\n"]) for _ in range(rng.randrange(3, 120)))
+        rows.append((i, text))
+    rows += [(200, None), (201, ""), (202, "   "), (203, "word " * 20_000), (7, rows[7][1]), (None, "no id")]
+    table = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 160, 1) if i % 3] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score, r.predicted, r.held_out) for r in quality_model.op5(table, labels).collect())
+    x = sorted((r[0] if r[0] is not None else -1, list(r[1])) for r in table.select("doc_id", quality_model.statistics(common.F.col("text"))).collect())
+    out = lambda i: i >= 0 and zlib.crc32(str(i).encode()) % 4 == 2
+    label = {i: i % 2 for i in range(160) if i % 3}
+    data = {k: np.array([v for i, v in x if i in label and label[i] == k and not out(i)]) for k in (0, 1)}
+    n = {k: len(v) for k, v in data.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in data.items()}
+    pooled = sum(n[k] * cov[k] for k in cov) / sum(n.values())
+    scale = np.diag(np.maximum(np.diag(pooled), 1e-6))
+
+    def density(v, k):
+        s = (1 - quality_model.SHRINK_POOLED) * cov[k] + quality_model.SHRINK_POOLED * pooled
+        s = (1 - quality_model.SHRINK_IDENTITY) * s + quality_model.SHRINK_IDENTITY * scale + 1e-6 * np.eye(len(s))
+        d = np.array(v) - data[k].mean(0)
+        return -0.5 * (d @ np.linalg.solve(s, d) + np.linalg.slogdet(s)[1])
+
+    prior = np.log(n[1] / n[0])
+    for (i, score, predicted, held), (_, v) in zip(got, x, strict=True):
+        want = 1 / (1 + np.exp(-np.clip((density(v, 1) - density(v, 0)) / quality_model.TEMPER + prior, -500, 500)))
+        assert abs(score - want) < 1e-6 and predicted == (score >= 0.7) and held == out(i)
+    assert len(got) == len(rows)
+
+
 def test_recall_in_groups_of_near_copies(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=32) + s * rng.normal(size=(500, 32)) for s in (0.001, 0.003, 0.01)] + [rng.normal(size=(300, 32))])
