@@ -42,6 +42,18 @@ def windows_of_dense(values: Column, count: Column, first: Column, chosen: Colum
     return F.flatten(F.transform(up_to(leading), cut))
 
 
+def axis_slice(arrays: DataFrame, first: int, end: int) -> DataFrame:
+    """arrays (shape, values, ...) cut to the places [first, end) of their first axis, as far as they have them."""
+    if first < 0 or end < first:
+        raise InvalidParameter(f"not a slice: {first} to {end}")
+    n = F.element_at("shape", 1).cast("long")
+    width = F.aggregate(F.slice("shape", 2, 1 << 30), long(1), lambda a, x: a * x)
+    lo, hi = F.least(long(first), n), F.least(long(end), n)
+    values = F.slice("values", (lo * width + 1).cast("int"), ((hi - lo) * width).cast("int"))
+    shape = F.concat(F.array((hi - lo).cast("int")), F.slice("shape", 2, 1 << 30))
+    return arrays.where(F.size("shape") > 0).withColumns({"values": values, "__shape": shape}).drop("shape").withColumnRenamed("__shape", "shape")
+
+
 def step_shape() -> Column:
     """The axes of one step: those of element_shape after the axes that a forecast has besides its first."""
     held = F.coalesce("element_shape", F.expr("cast(array() as array<int>)"))

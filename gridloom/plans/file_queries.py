@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.elements import as_doubles
 from ..functions.period import Period, instant
 from ..functions.tables import shared_folder
-from ..operators import catalog, chunks, diagnostics, feature_sets, grids, series, slots
+from ..operators import catalog, chunks, diagnostics, feature_sets, grids, ranges, series, slots
 from ..operators.filters import ListFilter
 from ..sources import csv_io, link_json, series_files, typed_csv
 from ..schema import ATTRIBUTE_LINKS
@@ -278,6 +278,27 @@ def _between_steps(spark, d):
     return found.select(*_OWNER, F.posexplode("values").alias("i", "v")).select(*_OWNER, (F.col("i") + 250).cast("long").alias("idx"), F.col("v").cast("long").alias("v"))
 
 
+def _axis_slice(spark, d):
+    """Rows 5 to 8 of every array's first axis: steps of series, and horizon steps of dense forecasts."""
+    cut = ranges.axis_slice(fx.arrays(spark, d), 5, 9)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total")
+    rows = fx.associations(spark, d).where("time_series_type in (0, 2)").join(cut, "data_hash")
+    return rows.select("assoc_id", F.size("values").cast("long").alias("n"), F.element_at("shape", 1).cast("long").alias("first_axis"), total)
+
+
+def _pairs_of_totals(spark, d):
+    """Totals of clicks and views as one series of pairs, written as CSV with a column for each element, and read back."""
+    h = series.steps(fx.hourly(spark, d).where("name in ('click', 'view')"), HOUR, ["name"])
+    both = h.groupBy("idx").agg(*[F.sum(F.when(F.col("name") == n, F.col("v")).otherwise(0)).alias(n) for n in ("click", "view")])
+    flat = both.agg(F.array_sort(F.collect_list(F.struct("idx", F.array("click", "view").alias("v")))).alias("p"))
+    pairs = flat.select(F.flatten("p.v").alias("values"), instant(fx.T0).alias("initial_timestamp"))
+    path = _one_file(csv_io.static_rows(pairs, HOUR, 2), _folder(spark, "pairs"))
+    about = {"name": "pairs", "initial_timestamp": "2024-01-01T00:00:00Z", "resolution": "PT1H", "element_type": "tuple(2,f64)", "element_shape": [2]}
+    back = typed_csv.typed_series(spark, path, about)
+    cells = back.select(F.posexplode("values").alias("i", "v"))
+    return cells.select(F.floor(F.col("i") / 2).cast("long").alias("idx"), (F.col("i") % 2).cast("long").alias("e"), F.col("v").cast("long").alias("v"))
+
+
 def _lossy(spark, d):
     """Statistics of 64-bit unsigned series: every value 2 ** 63 larger, exact until they are asked for."""
     large = F.transform("values", lambda x: x.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)"))
@@ -351,6 +372,19 @@ any_value(t) AS target_time FROM hourly WHERE name = 'click' GROUP BY idx""",
     "SRC_23_scenarios_file": (_scenarios_file, f"{_H} SELECT owner_id % 5 AS p, idx // 24 AS w, idx % 24 AS h, sum(v)::BIGINT AS v FROM hourly WHERE name = 'view' GROUP BY ALL"),
     "SRC_9_chunk_at_index": (_at_step, f"{_H} SELECT owner_id, name, v FROM hourly WHERE idx = 267"),
     "SRC_7_chunks_between": (_between_steps, f"{_H} SELECT owner_id, name, idx, v FROM hourly WHERE idx >= 250 AND idx < 310"),
+    "SRC_7_axis_slice": (
+        _axis_slice,
+        f"""{_A}, {fx.SQL_HOURLY}, {fx.SQL_MONTHLY},
+x AS (
+  SELECT assoc_id, CASE time_series_type WHEN 0 THEN idx ELSE idx % 24 END AS place, v FROM assoc JOIN hourly USING (owner_id, name) WHERE time_series_type IN (0, 2)
+  UNION ALL SELECT assoc_id, idx, v FROM assoc JOIN monthly USING (name) WHERE resolution = 'P1M')
+SELECT assoc_id, count(*) AS n, 4::BIGINT AS first_axis, sum(v)::BIGINT AS total FROM x WHERE place BETWEEN 5 AND 8 GROUP BY assoc_id""",
+    ),
+    "SNK_1_element_columns": (
+        _pairs_of_totals,
+        f"""{_H}, h AS (SELECT * FROM hourly WHERE name IN ('click', 'view'))
+SELECT idx, e::BIGINT AS e, coalesce(sum(v) FILTER (WHERE name = CASE e WHEN 0 THEN 'click' ELSE 'view' END), 0)::BIGINT AS v FROM h JOIN range(2) r(e) ON true GROUP BY idx, e""",
+    ),
     "ARR_11_lossy_statistics": (
         _lossy,
         f"""{_H} SELECT owner_id, name, count(*) AS num_elements, 0::BIGINT AS non_finite, arg_min({_BIG}, idx) AS first,

@@ -10,6 +10,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.hashing import array_hash_column, decoded_timestamps, encoded_timestamps, timestamps_hash_column
 from ..functions.period import Period
+from ..functions.tables import shared_folder
 from ..operators import readers, series
 from ..operators.filters import ListFilter
 from ..schema import TABLES
@@ -63,8 +64,7 @@ def _incoming(spark, d):
 
 def _on_disk(spark, d) -> Store:
     """All hourly series added to a store in the shared folder, and the store opened anew."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     Store.create(spark, path).add_frame(_incoming(spark, d))
     return Store.open(spark, path)
 

@@ -139,9 +139,15 @@ def descriptor(text: str, allowed: set[str]) -> list[dict]:
     return items
 
 
-def static_rows(rows: DataFrame, resolution: Period) -> DataFrame:
-    """timestamp and value of single series, in order."""
-    return steps(rows, resolution, []).orderBy("idx").select(wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))
+def static_rows(rows: DataFrame, resolution: Period, width: int = 1) -> DataFrame:
+    """timestamp and value of single series, in order; for steps of several values, a column value_0, value_1, ... each."""
+    if width == 1:
+        return steps(rows, resolution, []).orderBy("idx").select(wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))
+    n = F.floor(F.size("values") / width).cast("int")
+    tuples = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n), lambda i: F.slice("values", i * width + 1, F.lit(width)))
+    out = rows.select("initial_timestamp", F.posexplode(tuples).alias("idx", "v")).orderBy("idx")
+    t = resolution.add(F.col("initial_timestamp"), F.col("idx").cast("long"))
+    return out.select(wire_instant(t).alias("timestamp"), *[F.get("v", F.lit(e)).alias(f"value_{e}") for e in range(width)])
 
 
 def forecast_rows(windows: DataFrame, labels: list[str]) -> DataFrame:
