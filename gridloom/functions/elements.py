@@ -12,7 +12,19 @@ from ..errors import InvalidParameter
 from .hashing import DTYPES
 
 #: Spark types of dtypes, and element types in their order (fixed values).
-SPARK = {"f64": "double", "f32": "float", "i64": "bigint", "i32": "int", "u64": "decimal(20,0)", "bool": "boolean", "i16": "smallint", "i8": "tinyint", "u32": "bigint", "u16": "int", "u8": "smallint"}
+SPARK = {
+    "f64": "double",
+    "f32": "float",
+    "i64": "bigint",
+    "i32": "int",
+    "u64": "decimal(20,0)",
+    "bool": "boolean",
+    "i16": "smallint",
+    "i8": "tinyint",
+    "u32": "bigint",
+    "u16": "int",
+    "u8": "smallint",
+}
 FUNCTIONS = ("linear_function", "quadratic_function", "piecewise_linear", "piecewise_step")
 DIMS = {"linear_function": 2, "quadratic_function": 3}
 
@@ -57,7 +69,9 @@ class ElementType:
             raise InvalidParameter(f"{self} holds {self.dtype}, not {dtype}")
         if self.kind == "scalar":
             return
-        ok = len(dims) == 1 and (dims[0] == self.fixed_dims if not self.ragged else dims[0] % 2 == 1 if self.kind == "piecewise_linear" else dims[0] == 1 or dims[0] >= 2 and dims[0] % 2 == 0)
+        ok = len(dims) == 1 and (
+            dims[0] == self.fixed_dims if not self.ragged else dims[0] % 2 == 1 if self.kind == "piecewise_linear" else dims[0] == 1 or dims[0] >= 2 and dims[0] % 2 == 0
+        )
         if not ok:
             raise InvalidParameter(f"{self} cannot have steps of shape {dims}")
 
@@ -65,7 +79,9 @@ class ElementType:
 def rows_of(values: Column, width: int) -> Column:
     """A flat array as rows of width values."""
     n = F.size(values) / width
-    return F.when(F.size(values) == 0, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda r: F.slice(values, r * width + 1, F.lit(width))))
+    return F.when(F.size(values) == 0, F.array().cast("array<array<double>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda r: F.slice(values, r * width + 1, F.lit(width))),
+    )
 
 
 def valid(values: Column, element: ElementType, width: int) -> Column:
@@ -73,7 +89,10 @@ def valid(values: Column, element: ElementType, width: int) -> Column:
     if not element.ragged:
         return F.lit(True)
     most = (width - 1) // 2 if element.kind == "piecewise_linear" else width // 2
-    return F.forall(rows_of(values, width), lambda r: ~F.isnan(r[0]) & (F.abs(r[0]) < float("inf")) & (r[0] >= 0) & (F.floor(r[0]) == r[0]) & (r[0] <= most))
+    return F.forall(
+        rows_of(values, width),
+        lambda r: ~F.isnan(r[0]) & (F.abs(r[0]) < float("inf")) & (r[0] >= 0) & (F.floor(r[0]) == r[0]) & (r[0] <= most),
+    )
 
 
 def decoded(values: Column, element: ElementType, width: int) -> Column:
@@ -85,9 +104,14 @@ def decoded(values: Column, element: ElementType, width: int) -> Column:
         one = lambda r: F.struct(at(r, 1).alias("quadratic"), at(r, 2).alias("proportional"), at(r, 3).alias("constant"))
     elif element.kind == "piecewise_linear":
         none = F.expr("cast(array() as array<struct<x:double,y:double>>)")
-        one = lambda r: F.when(r[0] == 0, none).otherwise(F.transform(F.sequence(F.lit(1), r[0].cast("int")), lambda i: F.struct(at(r, 2 * i).alias("x"), at(r, 2 * i + 1).alias("y"))))
+        one = lambda r: F.when(r[0] == 0, none).otherwise(
+            F.transform(F.sequence(F.lit(1), r[0].cast("int")), lambda i: F.struct(at(r, 2 * i).alias("x"), at(r, 2 * i + 1).alias("y"))),
+        )
     elif element.kind == "piecewise_step":
-        one = lambda r: F.struct(F.slice(r, 2, r[0].cast("int")).alias("x"), F.slice(r, r[0].cast("int") + 2, F.greatest(r[0].cast("int") - 1, F.lit(0))).alias("y"))
+        one = lambda r: F.struct(
+            F.slice(r, 2, r[0].cast("int")).alias("x"),
+            F.slice(r, r[0].cast("int") + 2, F.greatest(r[0].cast("int") - 1, F.lit(0))).alias("y"),
+        )
     elif element.kind == "tuple":
         one = lambda r: r
     else:
@@ -102,7 +126,10 @@ def encoded(logical: Column, element: ElementType) -> Column:
     if element.kind == "quadratic_function":
         return F.flatten(F.transform(logical, lambda x: F.array(x["quadratic"], x["proportional"], x["constant"])))
     if element.kind == "piecewise_linear":
-        rows = F.transform(logical, lambda x: F.concat(F.array(F.size(x).cast("double")), F.flatten(F.transform(x, lambda p: F.array(p["x"], p["y"])))))
+        rows = F.transform(
+            logical,
+            lambda x: F.concat(F.array(F.size(x).cast("double")), F.flatten(F.transform(x, lambda p: F.array(p["x"], p["y"])))),
+        )
     elif element.kind == "piecewise_step":
         rows = F.transform(logical, lambda x: F.concat(F.array(F.size(x["x"]).cast("double")), x["x"], x["y"]))
     else:

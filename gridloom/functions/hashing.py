@@ -16,7 +16,19 @@ from ..errors import IntegrityError
 from .period import EPOCH
 
 #: numpy types by dtype name, and delta units of the timestamp layout in nanoseconds (fixed values).
-DTYPES = {"f64": "<f8", "f32": "<f4", "i64": "<i8", "i32": "<i4", "u64": "<u8", "bool": "?", "i16": "<i2", "i8": "i1", "u32": "<u4", "u16": "<u2", "u8": "u1"}
+DTYPES = {
+    "f64": "<f8",
+    "f32": "<f4",
+    "i64": "<i8",
+    "i32": "<i4",
+    "u64": "<u8",
+    "bool": "?",
+    "i16": "<i2",
+    "i8": "i1",
+    "u32": "<u4",
+    "u16": "<u2",
+    "u8": "u1",
+}
 UNITS = (1, 10**3, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9)
 
 

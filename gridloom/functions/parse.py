@@ -9,7 +9,14 @@ from ..errors import InvalidParameter
 from .period import EPOCH, Period
 
 #: Type codes and categories (fixed values).
-TYPES = {"SingleTimeSeries": 0, "NonSequentialTimeSeries": 1, "Deterministic": 2, "DeterministicSingleTimeSeries": 3, "Probabilistic": 4, "Scenarios": 5}
+TYPES = {
+    "SingleTimeSeries": 0,
+    "NonSequentialTimeSeries": 1,
+    "Deterministic": 2,
+    "DeterministicSingleTimeSeries": 3,
+    "Probabilistic": 4,
+    "Scenarios": 5,
+}
 CATEGORIES = ("Component", "SupplementalAttribute")
 SINGLE, IRREGULAR, DETERMINISTIC, DERIVED, PROBABILISTIC, SCENARIOS = range(6)
 

@@ -156,7 +156,9 @@ def iso_of(kind: Column, n: Column) -> Column:
     hours, minutes, ms = F.floor(rest / 3_600_000), F.floor(rest % 3_600_000 / 60_000), rest % 60_000
     whole = F.floor(ms / 1000).cast("string")
     fraction = F.rtrim(F.lpad((ms % 1000).cast("string"), 3, "0"), F.lit("0"))
-    seconds = F.when(ms == 0, F.lit("")).when(ms % 1000 == 0, F.concat(whole, F.lit("S"))).otherwise(F.concat(whole, F.lit("."), fraction, F.lit("S")))
+    seconds = F.when(ms == 0, F.lit("")).when(ms % 1000 == 0, F.concat(whole, F.lit("S"))).otherwise(
+        F.concat(whole, F.lit("."), fraction, F.lit("S")),
+    )
     time = F.concat(part(hours, "H"), part(minutes, "M"), seconds)
     fixed = F.concat(sign, part(days, "D"), F.when(time == "", F.lit("")).otherwise(F.concat(F.lit("T"), time)))
     return F.when(n == 0, F.lit("PT0S")).when(kind == "months", months).otherwise(fixed)

@@ -9,7 +9,20 @@ from ..errors import IntegrityError, InvalidParameter, NotFound
 from ..functions.parse import DERIVED, IRREGULAR, SINGLE
 from .filters import ListFilter, type_matches
 
-KEY = ["owner_id", "owner_type", "owner_category", "time_series_type", "name", "resolution", "interval", "features", "initial_timestamp", "length", "horizon", "count"]
+KEY = [
+    "owner_id",
+    "owner_type",
+    "owner_category",
+    "time_series_type",
+    "name",
+    "resolution",
+    "interval",
+    "features",
+    "initial_timestamp",
+    "length",
+    "horizon",
+    "count",
+]
 
 
 def list_series(associations: DataFrame, timestamp_sets: DataFrame | None = None, f: ListFilter = ListFilter()) -> DataFrame:
@@ -105,7 +118,11 @@ def counts_by_type(associations: DataFrame) -> DataFrame:
 
 def store_counts(associations: DataFrame) -> DataFrame:
     static = F.col("time_series_type") <= IRREGULAR
-    return associations.agg(F.countDistinct("owner_id", "owner_category").alias("owners"), F.count_if(static).alias("static"), F.count_if(~static).alias("forecasts"))
+    return associations.agg(
+        F.countDistinct("owner_id", "owner_category").alias("owners"),
+        F.count_if(static).alias("static"),
+        F.count_if(~static).alias("forecasts"),
+    )
 
 
 def detailed_counts(associations: DataFrame) -> DataFrame:
@@ -183,7 +200,10 @@ def statistics(rows: DataFrame, by: list[str], values: str = "values") -> DataFr
         low, high = F.get("__s", F.floor(at).cast("int")), F.get("__s", F.ceil(at).cast("int"))
         return F.when(n > 0, low + (at - F.floor(at)) * (high - low))
 
-    deviation = F.when(n == 1, F.lit(0.0)).when(n > 1, F.sqrt(F.aggregate(F.transform("__s", lambda x: (x - F.col("__mean")) * (x - F.col("__mean"))), F.lit(0.0), lambda a, x: a + x) / (n - 1)))
+    deviation = F.when(n == 1, F.lit(0.0)).when(
+        n > 1,
+        F.sqrt(F.aggregate(F.transform("__s", lambda x: (x - F.col("__mean")) * (x - F.col("__mean"))), F.lit(0.0), lambda a, x: a + x) / (n - 1)),
+    )
     return out.select(
         *by,
         F.size("__v").cast("long").alias("num_elements"),
@@ -219,7 +239,9 @@ def first_listed(associations: DataFrame, n: int) -> DataFrame:
 
 def typed_order() -> list[Column]:
     """The order of exports: identity by type, features by their sorted entries."""
-    return [F.col(c) for c in ("owner_id", "owner_category", "time_series_type", "name")] + [F.coalesce(F.col(c), F.lit("")) for c in ("resolution", "interval")] + [F.array_sort(F.map_entries("features"))]
+    return [
+        F.col(c) for c in ("owner_id", "owner_category", "time_series_type", "name")
+    ] + [F.coalesce(F.col(c), F.lit("")) for c in ("resolution", "interval")] + [F.array_sort(F.map_entries("features"))]
 
 
 def of_type(associations: DataFrame, code: int) -> DataFrame:

@@ -22,16 +22,29 @@ def heatmap(rows: DataFrame, by: list[str], resolution: Period, values: str = "v
     if resolution.kind != "fixed" or resolution.n <= 0 or day % resolution.n:
         raise ValueError("the resolution must divide a day")
     first = F.date_trunc("day", "initial_timestamp").cast("timestamp_ntz")
-    out = rows.select(*by, resolution.floor(first, F.col("initial_timestamp")).alias("__k"), F.posexplode(F.transform(values, lambda x: x.cast("double"))).alias("__i", "v"))
+    out = rows.select(
+        *by,
+        resolution.floor(first, F.col("initial_timestamp")).alias("__k"),
+        F.posexplode(F.transform(values, lambda x: x.cast("double"))).alias("__i", "v"),
+    )
     place = F.col("__k") + F.col("__i")
     each = day // resolution.n
-    return out.where(~F.isnan("v") & (F.abs("v") < float("inf"))).select(*by, (place % each).cast("long").alias("row"), F.floor(place / each).cast("long").alias("col"), "v")
+    return out.where(~F.isnan("v") & (F.abs("v") < float("inf"))).select(
+        *by,
+        (place % each).cast("long").alias("row"),
+        F.floor(place / each).cast("long").alias("col"),
+        "v",
+    )
 
 
 def sparkline(rows: DataFrame, by: list[str], width: int, values: str = "values") -> DataFrame:
     """Of each of width buckets the value furthest from the mean, the last of equals."""
     finite = finite_values(values)
-    out = rows.select(*by, F.transform(values, lambda x: x.cast("double")).alias("__v"), F.try_divide(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x), F.size(finite)).alias("__m"))
+    out = rows.select(
+        *by,
+        F.transform(values, lambda x: x.cast("double")).alias("__v"),
+        F.try_divide(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x), F.size(finite)).alias("__m"),
+    )
     out = out.where(F.size("__v") > 0).withColumn("__b", F.least(F.lit(width), F.size("__v")))
     # bucket b has the places from b * n div buckets up to before (b + 1) * n div buckets
     cut = lambda b: F.floor(b * F.size("__v") / F.col("__b"))
@@ -76,7 +89,14 @@ def overlaid(views: DataFrame, by: list[str], resolution: Period, horizon: Perio
     rows = _beside(views, by, resolution, horizon, interval, shift).select(*by, "w", "issue_time", F.posexplode("pairs").alias("__h", "__x"))
     target = resolution.add(F.col("issue_time"), F.col("__h").cast("long") + shift)
     out = rows.where(F.col("__x.actual").isNotNull())
-    return out.select(*by, "w", F.col("__h").cast("long").alias("h"), target.alias("target_time"), F.col("__x.v").alias("v"), F.col("__x.actual").alias("actual"))
+    return out.select(
+        *by,
+        "w",
+        F.col("__h").cast("long").alias("h"),
+        target.alias("target_time"),
+        F.col("__x.v").alias("v"),
+        F.col("__x.actual").alias("actual"),
+    )
 
 
 def forecast_error(views: DataFrame, by: list[str], resolution: Period, horizon: Period, interval: Period, shift: int) -> DataFrame:

@@ -63,7 +63,12 @@ def reassigned(links: DataFrame, old: int, new: int) -> DataFrame:
     to = [r[0] for r in label.collect()]
     kind = F.lit(to[0]) if to else F.col("component_type")
     moves = F.col("component_id") == old
-    return links.withColumns({"component_type": F.when(moves, kind).otherwise(F.col("component_type")), "component_id": F.when(moves, F.lit(new).cast("long")).otherwise(F.col("component_id"))})
+    return links.withColumns(
+        {
+            "component_type": F.when(moves, kind).otherwise(F.col("component_type")),
+            "component_id": F.when(moves, F.lit(new).cast("long")).otherwise(F.col("component_id")),
+        },
+    )
 
 
 def edges_reassigned(edges: DataFrame, old: int, new: int) -> DataFrame:

@@ -165,7 +165,15 @@ def cut(rows: DataFrame) -> DataFrame:
     return out.drop(*PLANNED)
 
 
-def read_ranges(keys: DataFrame, on: list[str], associations: DataFrame, arrays: DataFrame, timestamp_sets: DataFrame, start: Column, end: Column) -> DataFrame:
+def read_ranges(
+    keys: DataFrame,
+    on: list[str],
+    associations: DataFrame,
+    arrays: DataFrame,
+    timestamp_sets: DataFrame,
+    start: Column,
+    end: Column,
+) -> DataFrame:
     """The series of keys (ordinal, *on) over [start, end), one row a key; a key that no series has is an error.
 
     Arrays meet the planned rows of the keys alone, and only their values are read.

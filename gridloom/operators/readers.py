@@ -69,7 +69,9 @@ def forecast_reader(associations: DataFrame, arrays: DataFrame, f: ListFilter, k
     windows = (k, k + 1) if k is not None else None
     out = None
     for horizon, kind in horizons:
-        rows = chosen.where((F.col("horizon") == horizon) & (F.col("time_series_type") == kind)).join(arrays.select("data_hash", "values"), "data_hash")
+        rows = chosen.where(
+            (F.col("horizon") == horizon) & (F.col("time_series_type") == kind),
+        ).join(arrays.select("data_hash", "values"), "data_hash")
         if kind == DERIVED:
             part = derived_windows(rows, keep, Period.parse(horizon), interval, resolution, windows=windows).withColumn("p", F.lit(0).cast("long"))
         else:

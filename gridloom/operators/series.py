@@ -32,13 +32,20 @@ def slice_irregular(rows: DataFrame, start: dt.datetime, end: dt.datetime) -> Da
     if end < start:
         raise InvalidParameter("end < start")
     kept = F.filter(F.arrays_zip("timestamps", "values"), lambda x: (x["timestamps"] >= instant(start)) & (x["timestamps"] < instant(end)))
-    return rows.withColumn("__kept", kept).withColumns({"timestamps": F.col("__kept.timestamps"), "values": F.col("__kept.values"), "length": F.size("__kept").cast("long")}).drop("__kept")
+    return rows.withColumn("__kept", kept).withColumns(
+        {"timestamps": F.col("__kept.timestamps"), "values": F.col("__kept.values"), "length": F.size("__kept").cast("long")},
+    ).drop("__kept")
 
 
 def steps(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFrame:
     """One row a step: keep, idx, t and v."""
     out = rows.select(*keep, "initial_timestamp", F.posexplode("values").alias("idx", "v"))
-    return out.select(*keep, F.col("idx").cast("long").alias("idx"), resolution.add(F.col("initial_timestamp"), F.col("idx").cast("long")).alias("t"), "v")
+    return out.select(
+        *keep,
+        F.col("idx").cast("long").alias("idx"),
+        resolution.add(F.col("initial_timestamp"), F.col("idx").cast("long")).alias("t"),
+        "v",
+    )
 
 
 def row_window(rows: DataFrame, index: Column, stride: int = 1, tail: int | None = None, limit: int | None = None) -> DataFrame:
@@ -49,7 +56,13 @@ def row_window(rows: DataFrame, index: Column, stride: int = 1, tail: int | None
     return rows.orderBy(index).limit(limit) if limit is not None else rows.orderBy(index)
 
 
-def resolve_windows(initial: dt.datetime, interval: Period, count: int, start: dt.datetime | None = None, end: dt.datetime | None = None) -> tuple[int, int]:
+def resolve_windows(
+    initial: dt.datetime,
+    interval: Period,
+    count: int,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+) -> tuple[int, int]:
     """The windows [w0, w1) that begin in [start, end); start must be a window's, and one that exists."""
     if start is None or end is None:
         return 0, count
@@ -67,13 +80,24 @@ def resolve_windows(initial: dt.datetime, interval: Period, count: int, start: d
     return w0, max(w0, min(count, interval.ceil_steps(initial, end)))
 
 
-def dense_windows(rows: DataFrame, keep: list[str], steps_: int, resolution: Period, interval: Period, width: int = 1, windows: tuple[int, int] | None = None) -> DataFrame:
+def dense_windows(
+    rows: DataFrame,
+    keep: list[str],
+    steps_: int,
+    resolution: Period,
+    interval: Period,
+    width: int = 1,
+    windows: tuple[int, int] | None = None,
+) -> DataFrame:
     """A dense forecast [leading, steps, count, width] as rows: p, w, h, e, issue_time, target_time and v.
 
     leading, the number of percentiles or scenarios, follows from the array's size.
     """
     n = F.col("count").cast("long")
-    w0, w1 = (F.greatest(F.lit(windows[0]).cast("long"), F.lit(0)), F.least(F.lit(windows[1]).cast("long"), n)) if windows else (F.lit(0).cast("long"), n)
+    w0, w1 = (
+        F.greatest(F.lit(windows[0]).cast("long"), F.lit(0)),
+        F.least(F.lit(windows[1]).cast("long"), n),
+    ) if windows else (F.lit(0).cast("long"), n)
     # one slice of the chosen windows for each of leading x steps, so that nothing else is exploded
     wide = F.greatest(w1 - w0, F.lit(0).cast("long"))
     rows = rows.where((n > 0) & (F.size("values") > 0))
@@ -86,17 +110,31 @@ def dense_windows(rows: DataFrame, keep: list[str], steps_: int, resolution: Per
     at = {"e": j % width, "w": F.col("__w") + F.floor(j / width), "h": F.col("__i") % steps_, "p": F.floor(F.col("__i") / steps_)}
     out = out.withColumns({k: c.cast("long") for k, c in at.items()})
     issue = interval.add(F.col("initial_timestamp"), F.col("w")) if not interval.zero else F.col("initial_timestamp")
-    return out.withColumn("issue_time", issue).withColumn("target_time", resolution.add(F.col("issue_time"), F.col("h"))).drop("__i", "__j", "__w", "initial_timestamp")
-
-
-def derived_windows(rows: DataFrame, keep: list[str], horizon: Period, interval: Period, resolution: Period, width: int = 1, windows: tuple[int, int] | None = None) -> DataFrame:
+    return out.withColumn("issue_time", issue).withColumn(
+        "target_time",
+        resolution.add(F.col("issue_time"), F.col("h")),
+    ).drop("__i", "__j", "__w", "initial_timestamp")
+
+
+def derived_windows(
+    rows: DataFrame,
+    keep: list[str],
+    horizon: Period,
+    interval: Period,
+    resolution: Period,
+    width: int = 1,
+    windows: tuple[int, int] | None = None,
+) -> DataFrame:
     """Windows of a view on a single series: window w has the steps from w * (interval / resolution) on.
 
     The windows are exploded, not their values, and each takes its slice of the array.
     """
     h = resolution.divide_into(horizon)
     step = 0 if interval.zero else resolution.divide_into(interval)
-    first, end = (max(0, windows[0]), F.least(F.lit(windows[1]).cast("long"), F.col("count").cast("long"))) if windows else (0, F.col("count").cast("long"))
+    first, end = (
+        max(0, windows[0]),
+        F.least(F.lit(windows[1]).cast("long"), F.col("count").cast("long")),
+    ) if windows else (0, F.col("count").cast("long"))
     rows = rows.where(end > first)
     out = rows.select(*keep, "initial_timestamp", "values", F.explode(F.sequence(F.lit(first).cast("long"), end - 1)).alias("w"))
     cut = F.slice("values", (F.col("w") * step * width + 1).cast("int"), F.lit(h * width))
@@ -106,7 +144,13 @@ def derived_windows(rows: DataFrame, keep: list[str], horizon: Period, interval:
     return out.withColumn("target_time", resolution.add(F.col("issue_time"), F.col("h"))).drop("__i")
 
 
-def transform_plan(grids: list[tuple[str, dt.datetime, int]], horizon: Period, interval: Period, normalize: bool = False, uniform: bool = False) -> dict[str, tuple[Period, int]]:
+def transform_plan(
+    grids: list[tuple[str, dt.datetime, int]],
+    horizon: Period,
+    interval: Period,
+    normalize: bool = False,
+    uniform: bool = False,
+) -> dict[str, tuple[Period, int]]:
     """For each resolution the interval and window count that a transform derives. grids: resolution, initial, length."""
     plan: dict[str, tuple[Period, int]] = {}
     first = None
@@ -133,7 +177,15 @@ def transform_plan(grids: list[tuple[str, dt.datetime, int]], horizon: Period, i
     return plan
 
 
-def transform(associations: DataFrame, horizon: Period, interval: Period, category: str | None = None, resolution: str | None = None, normalize: bool = False, uniform: bool = False) -> DataFrame:
+def transform(
+    associations: DataFrame,
+    horizon: Period,
+    interval: Period,
+    category: str | None = None,
+    resolution: str | None = None,
+    normalize: bool = False,
+    uniform: bool = False,
+) -> DataFrame:
     """The new view rows over all single series: catalog rows only, no array is touched.
 
     Views that exist with this horizon are skipped; one with another horizon is an error, as is a dense
@@ -154,7 +206,9 @@ def transform(associations: DataFrame, horizon: Period, interval: Period, catego
     sources = associations.where(F.col("time_series_type") == SINGLE)
     if category is not None:
         sources = sources.where(F.col("owner_category") == category)
-    new = sources.join(F.broadcast(plans), "resolution").withColumns({"time_series_type": F.lit(DERIVED), "horizon": F.col("__horizon"), "interval": F.col("__interval"), "count": F.col("__count")}).drop("__horizon", "__interval", "__count")
+    new = sources.join(F.broadcast(plans), "resolution").withColumns(
+        {"time_series_type": F.lit(DERIVED), "horizon": F.col("__horizon"), "interval": F.col("__interval"), "count": F.col("__count")},
+    ).drop("__horizon", "__interval", "__count")
     family = ["owner_id", "owner_category", "name", "resolution", "features_hash"]
     dense = associations.where(F.col("time_series_type") == DETERMINISTIC)
     if new.join(dense, family, "left_semi").limit(1).count():

@@ -19,14 +19,20 @@ def _same(a: str, b: str):
 def diff(left: DataFrame, right: DataFrame, everything: bool = False) -> DataFrame:
     """Identities with status added, removed, changed (or same), by their array hashes."""
     j = left.alias("l").join(right.alias("r"), _same("l", "r"), "full_outer")
-    status = F.when(F.col("l.data_hash").isNull(), "added").when(F.col("r.data_hash").isNull(), "removed").when(F.col("l.data_hash") == F.col("r.data_hash"), "same").otherwise("changed")
+    status = F.when(F.col("l.data_hash").isNull(), "added").when(F.col("r.data_hash").isNull(), "removed").when(
+        F.col("l.data_hash") == F.col("r.data_hash"),
+        "same",
+    ).otherwise("changed")
     out = j.select(*[F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in IDENTITY], status.alias("status"))
     return out if everything else out.where(F.col("status") != "same")
 
 
 def merge(into: DataFrame, other: DataFrame, replace: bool = False) -> DataFrame:
     """into with other's series; of equal identities that of other if replace, else that of into. Views land as dense forecasts."""
-    other = other.withColumn("time_series_type", F.when(F.col("time_series_type") == DERIVED, F.lit(DETERMINISTIC)).otherwise(F.col("time_series_type")))
+    other = other.withColumn(
+        "time_series_type",
+        F.when(F.col("time_series_type") == DERIVED, F.lit(DETERMINISTIC)).otherwise(F.col("time_series_type")),
+    )
     first, second = (other, into) if replace else (into, other)
     rest = second.alias("l").join(first.alias("r"), _same("l", "r"), "left_anti").select("l.*")
     return first.unionByName(rest)
@@ -65,7 +71,10 @@ def orphans(shared: DataFrame, associations: DataFrame, key: str) -> DataFrame:
 
 def orphaned_views(associations: DataFrame) -> DataFrame:
     """Arrays that only derived views refer to."""
-    refs = associations.groupBy("data_hash").agg(F.count_if(F.col("time_series_type") == DERIVED).alias("derived"), F.count_if(F.col("time_series_type") == SINGLE).alias("static"))
+    refs = associations.groupBy("data_hash").agg(
+        F.count_if(F.col("time_series_type") == DERIVED).alias("derived"),
+        F.count_if(F.col("time_series_type") == SINGLE).alias("static"),
+    )
     return refs.where("derived > 0 and static = 0").select("data_hash")
 
 

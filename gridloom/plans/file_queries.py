@@ -38,7 +38,11 @@ def _doubled(spark, d):
 def _read_by_slots(spark, d):
     entries = _doubled(spark, d).where("time_series_type > 1 or resolution = 'PT1H'")
     out = slots.read_at(entries, fx.arrays(spark, d), fx.timestamp_sets(spark, d), instant(_AT), ["assoc_id"])
-    return out.select("assoc_id", F.posexplode("values").alias("h", "v")).select("assoc_id", F.col("h").cast("long").alias("h"), F.col("v").cast("long").alias("v"))
+    return out.select("assoc_id", F.posexplode("values").alias("h", "v")).select(
+        "assoc_id",
+        F.col("h").cast("long").alias("h"),
+        F.col("v").cast("long").alias("v"),
+    )
 
 
 def _slot_reads(spark, d):
@@ -72,7 +76,11 @@ def _hydrated(rows, sets):
 # links
 def _exported(spark, d):
     links = fx.attribute_links(spark, d)
-    return links.select("component_id", "attribute_id", F.to_json(F.struct("component_id", "component_type", "attribute_id", "attribute_type")).alias("json"))
+    return links.select(
+        "component_id",
+        "attribute_id",
+        F.to_json(F.struct("component_id", "component_type", "attribute_id", "attribute_type")).alias("json"),
+    )
 
 
 def _imported(spark, d):
@@ -160,10 +168,20 @@ def _element_grid(spark, d):
     h = fx.hourly(spark, d).where("owner_id between 1 and 9 and name in ('click', 'view')")
     pairs = h.groupBy("owner_id", "initial_timestamp").agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("m"))
     zero = F.array_repeat(F.lit(0).cast("long"), fx.HOURS)
-    both = F.arrays_zip(F.coalesce(F.try_element_at("m", F.lit("click")), zero).alias("a"), F.coalesce(F.try_element_at("m", F.lit("view")), zero).alias("b"))
+    both = F.arrays_zip(
+        F.coalesce(F.try_element_at("m", F.lit("click")), zero).alias("a"),
+        F.coalesce(F.try_element_at("m", F.lit("view")), zero).alias("b"),
+    )
     flat = F.flatten(F.transform(both, lambda x: F.array(x["a"], x["b"])))
     names = F.when(F.col("owner_id") % 2 == 0, "even").otherwise("odd")
-    rows = pairs.select("owner_id", names.alias("name"), "initial_timestamp", F.lit(0).alias("time_series_type"), F.array(F.lit(2)).alias("element_shape"), flat.alias("values"))
+    rows = pairs.select(
+        "owner_id",
+        names.alias("name"),
+        "initial_timestamp",
+        F.lit(0).alias("time_series_type"),
+        F.array(F.lit(2)).alias("element_shape"),
+        flat.alias("values"),
+    )
     wide = grids.grid(rows.orderBy("owner_id"), HOUR)
     long = wide.unpivot(["t"], [c for c in wide.columns if c != "t"], "label", "v")
     return long.select("t", "label", "v")
@@ -173,8 +191,17 @@ def _element_grid(spark, d):
 def _files(spark, d):
     path = _folder(spark, "series")
     rows = fx.associations(spark, d).where("time_series_type = 0 and resolution = 'PT1H'").join(fx.arrays(spark, d), "data_hash")
-    names = series_files.write(rows.select("assoc_id", "owner_id", "owner_type", "name", "time_series_type", "resolution", "interval", "initial_timestamp", "values"), HOUR, path)
-    back = series_files.read(spark, path).groupBy("stem").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("rows"), F.sum("v").cast("long").alias("total"), F.max("t").alias("last"))
+    names = series_files.write(
+        rows.select("assoc_id", "owner_id", "owner_type", "name", "time_series_type", "resolution", "interval", "initial_timestamp", "values"),
+        HOUR,
+        path,
+    )
+    back = series_files.read(spark, path).groupBy("stem").agg(
+        F.countDistinct("file").alias("files"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("v").cast("long").alias("total"),
+        F.max("t").alias("last"),
+    )
     return back.join(names, "stem").select("assoc_id", "files", "rows", "total", "last")
 
 
@@ -210,7 +237,13 @@ def _deterministic_file(spark, d):
 
 def _probabilistic_file(spark, d):
     rows = _probabilistic(fx.hourly(spark, d)).where("name = 'view'")
-    back = _forecast_file(spark, rows, "probabilistic", [f"p{int(p)}" for p in _PERCENTILES], {"time_series_type": "Probabilistic", "name": "view", "percentiles": list(_PERCENTILES), **_FORECAST})
+    back = _forecast_file(
+        spark,
+        rows,
+        "probabilistic",
+        [f"p{int(p)}" for p in _PERCENTILES],
+        {"time_series_type": "Probabilistic", "name": "view", "percentiles": list(_PERCENTILES), **_FORECAST},
+    )
     return _windows_of(back).select("p", "w", "h", F.round("v", 4).alias("v"))
 
 
@@ -236,9 +269,16 @@ def _static_file(spark, d, timestamps: bool):
 
 def _irregular_file(spark, d):
     """The first event of each owner, by owner and instant, as one irregular series."""
-    first = fx.irregular(spark, d).select(F.get("timestamps", F.lit(0)).alias("t"), F.get("values", F.lit(0)).alias("v")).groupBy("t").agg(F.sum("v").alias("v"))
+    first = fx.irregular(spark, d).select(
+        F.get("timestamps", F.lit(0)).alias("t"),
+        F.get("values", F.lit(0)).alias("v"),
+    ).groupBy("t").agg(F.sum("v").alias("v"))
     rows = first.orderBy("t").select(csv_io.wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))
-    back = typed_csv.typed_series(spark, _one_file(rows, _folder(spark, "irregular")), {"time_series_type": "NonSequentialTimeSeries", "name": "first"})
+    back = typed_csv.typed_series(
+        spark,
+        _one_file(rows, _folder(spark, "irregular")),
+        {"time_series_type": "NonSequentialTimeSeries", "name": "first"},
+    )
     pairs = back.select(F.explode(F.arrays_zip("timestamps", "values")).alias("x"))
     return pairs.select(F.col("x.timestamps").alias("t"), F.col("x.values").cast("long").alias("v"))
 
@@ -275,7 +315,11 @@ def _at_step(spark, d):
 
 def _between_steps(spark, d):
     found = _keyed(spark, d, chunks.between(_chunked(spark, d), 250, 310))
-    return found.select(*_OWNER, F.posexplode("values").alias("i", "v")).select(*_OWNER, (F.col("i") + 250).cast("long").alias("idx"), F.col("v").cast("long").alias("v"))
+    return found.select(*_OWNER, F.posexplode("values").alias("i", "v")).select(
+        *_OWNER,
+        (F.col("i") + 250).cast("long").alias("idx"),
+        F.col("v").cast("long").alias("v"),
+    )
 
 
 def _axis_slice(spark, d):
@@ -296,7 +340,11 @@ def _pairs_of_totals(spark, d):
     about = {"name": "pairs", "initial_timestamp": "2024-01-01T00:00:00Z", "resolution": "PT1H", "element_type": "tuple(2,f64)", "element_shape": [2]}
     back = typed_csv.typed_series(spark, path, about)
     cells = back.select(F.posexplode("values").alias("i", "v"))
-    return cells.select(F.floor(F.col("i") / 2).cast("long").alias("idx"), (F.col("i") % 2).cast("long").alias("e"), F.col("v").cast("long").alias("v"))
+    return cells.select(
+        F.floor(F.col("i") / 2).cast("long").alias("idx"),
+        (F.col("i") % 2).cast("long").alias("e"),
+        F.col("v").cast("long").alias("v"),
+    )
 
 
 def _lossy(spark, d):
@@ -368,8 +416,14 @@ SELECT t, sum(v)::BIGINT AS v FROM f GROUP BY t""",
         f"""{_H} SELECT idx // 24 AS w, idx % 24 AS h, sum(v)::BIGINT AS v, TIMESTAMP '2024-01-01' + to_days((idx // 24)::INT) AS issue_time,
 any_value(t) AS target_time FROM hourly WHERE name = 'click' GROUP BY idx""",
     ),
-    "SRC_23_probabilistic_file": (_probabilistic_file, f"{_H} SELECT p::BIGINT AS p, idx // 24 AS w, idx % 24 AS h, round(v, 4) AS v {_QUANTILES} WHERE name = 'view'"),
-    "SRC_23_scenarios_file": (_scenarios_file, f"{_H} SELECT owner_id % 5 AS p, idx // 24 AS w, idx % 24 AS h, sum(v)::BIGINT AS v FROM hourly WHERE name = 'view' GROUP BY ALL"),
+    "SRC_23_probabilistic_file": (
+        _probabilistic_file,
+        f"{_H} SELECT p::BIGINT AS p, idx // 24 AS w, idx % 24 AS h, round(v, 4) AS v {_QUANTILES} WHERE name = 'view'",
+    ),
+    "SRC_23_scenarios_file": (
+        _scenarios_file,
+        f"{_H} SELECT owner_id % 5 AS p, idx // 24 AS w, idx % 24 AS h, sum(v)::BIGINT AS v FROM hourly WHERE name = 'view' GROUP BY ALL",
+    ),
     "SRC_9_chunk_at_index": (_at_step, f"{_H} SELECT owner_id, name, v FROM hourly WHERE idx = 267"),
     "SRC_7_chunks_between": (_between_steps, f"{_H} SELECT owner_id, name, idx, v FROM hourly WHERE idx >= 250 AND idx < 310"),
     "SRC_7_axis_slice": (

@@ -40,7 +40,12 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     idx = F.floor((micros(F.col("ts")) - F.lit(int((T0 - EPOCH).total_seconds()) * 1_000_000)) / 3_600_000_000).cast("long")
     cents = F.round(F.col("value") * 100).cast("long")
-    cells = e.select(F.col("user_id").alias("owner_id"), F.col("event_type").alias("name"), idx.alias("idx"), cents.alias("c")).where(F.col("idx").between(0, HOURS - 1))
+    cells = e.select(
+        F.col("user_id").alias("owner_id"),
+        F.col("event_type").alias("name"),
+        idx.alias("idx"),
+        cents.alias("c"),
+    ).where(F.col("idx").between(0, HOURS - 1))
     cells = cells.groupBy("owner_id", "name", "idx").agg(F.sum("c").alias("v"))
     out = cells.groupBy("owner_id", "name").agg(_filled(F.collect_list(F.struct("idx", "v")), HOURS).alias("values"))
     return out.select("owner_id", "name", ntz(T0).alias("initial_timestamp"), F.lit(HOURS).cast("long").alias("length"), "values")
@@ -84,9 +89,28 @@ def associations(spark: SparkSession, d: str) -> DataFrame:
 
     def rows(df, code, **cols):
         merged = users | grid | none | {"data_hash": own} | cols
-        names = ["owner_id", "name", "owner_type", "owner_category", "component_field", "year", "segment", "initial_timestamp", "resolution", "length", "horizon", "interval", "count", "timestamps_hash", "data_hash"]
+        names = [
+            "owner_id",
+            "name",
+            "owner_type",
+            "owner_category",
+            "component_field",
+            "year",
+            "segment",
+            "initial_timestamp",
+            "resolution",
+            "length",
+            "horizon",
+            "interval",
+            "count",
+            "timestamps_hash",
+            "data_hash",
+        ]
         types = {"length": "long", "count": "long", "year": "long", "initial_timestamp": "timestamp_ntz"}
-        return df.select(F.lit(code).alias("time_series_type"), *[(merged[n] if n in merged else F.col(n)).cast(types.get(n, "long" if n == "owner_id" else "string")).alias(n) for n in names])
+        return df.select(
+            F.lit(code).alias("time_series_type"),
+            *[(merged[n] if n in merged else F.col(n)).cast(types.get(n, "long" if n == "owner_id" else "string")).alias(n) for n in names],
+        )
 
     vectors = e.groupBy(F.col("user_id").alias("owner_id")).agg(F.count(F.lit(1)).alias("n"))
     axis = F.sha2(F.concat(F.lit("axis:"), F.col("owner_id").cast("string")), 256)
@@ -94,17 +118,63 @@ def associations(spark: SparkSession, d: str) -> DataFrame:
     dense = {"horizon": F.lit("P1D"), "interval": F.lit("P1D"), "count": F.lit(30), "length": F.lit(24)}
     priorities = table(spark, d, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
     out = rows(single, 0)
-    out = out.union(rows(vectors.withColumn("name", F.lit("activity")), 1, length=F.col("n"), timestamps_hash=axis, resolution=null, initial_timestamp=null))
+    out = out.union(
+        rows(vectors.withColumn("name", F.lit("activity")), 1, length=F.col("n"), timestamps_hash=axis, resolution=null, initial_timestamp=null),
+    )
     out = out.union(rows(single.where("owner_id % 2 = 0"), 3, **view))
-    out = out.union(rows(single.where("owner_id % 14 = 1"), 2, data_hash=F.sha2(F.concat(F.lit("det:"), F.col("owner_id").cast("string"), F.lit(":"), F.col("name")), 256), **dense))
-    months = {"owner_type": F.lit("Market"), "owner_category": F.lit("Component"), "component_field": null, "year": null, "segment": null, "initial_timestamp": ntz(M0), "resolution": F.lit("P1M"), "length": F.lit(MONTHS)}
+    out = out.union(
+        rows(
+            single.where("owner_id % 14 = 1"),
+            2,
+            data_hash=F.sha2(F.concat(F.lit("det:"), F.col("owner_id").cast("string"), F.lit(":"), F.col("name")), 256),
+            **dense,
+        ),
+    )
+    months = {
+        "owner_type": F.lit("Market"),
+        "owner_category": F.lit("Component"),
+        "component_field": null,
+        "year": null,
+        "segment": null,
+        "initial_timestamp": ntz(M0),
+        "resolution": F.lit("P1M"),
+        "length": F.lit(MONTHS),
+    }
     out = out.union(rows(priorities.withColumn("owner_id", 1_000_000 + F.substring("name", 1, 1).try_cast("long")), 0, **months))
-    pair = F.create_map(F.lit("year"), F.struct(F.lit("int").alias("kind"), F.col("year").alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("s")), F.lit("segment"), F.struct(F.lit("str").alias("kind"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("boolean").alias("b"), F.col("segment").alias("s")))
+    pair = F.create_map(
+        F.lit("year"),
+        F.struct(
+            F.lit("int").alias("kind"),
+            F.col("year").alias("i"),
+            F.lit(None).cast("double").alias("f"),
+            F.lit(None).cast("boolean").alias("b"),
+            F.lit(None).cast("string").alias("s"),
+        ),
+        F.lit("segment"),
+        F.struct(
+            F.lit("str").alias("kind"),
+            F.lit(None).cast("long").alias("i"),
+            F.lit(None).cast("double").alias("f"),
+            F.lit(None).cast("boolean").alias("b"),
+            F.col("segment").alias("s"),
+        ),
+    )
     features = F.when(F.col("year").isNull(), F.expr(f"cast(map() as map<string,{FEATURE}>)")).otherwise(pair.cast(f"map<string,{FEATURE}>"))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("year").cast("string"), F.lit("-")), F.coalesce("segment", F.lit("-"))), 256)
     # an id that grows with (type, owner, name) and needs no global order
-    number = F.col("time_series_type") * 100_000_000 + F.col("owner_id") * 10 + F.coalesce(F.array_position(F.array(*map(F.lit, ("activity", "click", "error", "purchase", "signup", "view"))), F.col("name")), F.lit(0))
-    return out.withColumns({"features": features, "features_hash": key, "assoc_id": number.cast("long"), "element_type": F.lit("f64"), "element_shape": F.expr("cast(array() as array<int>)")})
+    number = F.col("time_series_type") * 100_000_000 + F.col("owner_id") * 10 + F.coalesce(
+        F.array_position(F.array(*map(F.lit, ("activity", "click", "error", "purchase", "signup", "view"))), F.col("name")),
+        F.lit(0),
+    )
+    return out.withColumns(
+        {
+            "features": features,
+            "features_hash": key,
+            "assoc_id": number.cast("long"),
+            "element_type": F.lit("f64"),
+            "element_shape": F.expr("cast(array() as array<int>)"),
+        },
+    )
 
 
 def dense(rows: DataFrame) -> DataFrame:
@@ -144,7 +214,13 @@ def attribute_links(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with the parts they deliver."""
     pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("component_id"), F.col("l_partkey").alias("attribute_id")).distinct()
     kind = lambda name, c, n: F.concat(F.lit(name), (F.col(c) % n).cast("string"))
-    return pairs.select((F.col("component_id") * 1_000_000 + F.col("attribute_id")).alias("id"), "component_id", kind("Supplier", "component_id", 2).alias("component_type"), "attribute_id", kind("Part", "attribute_id", 3).alias("attribute_type"))
+    return pairs.select(
+        (F.col("component_id") * 1_000_000 + F.col("attribute_id")).alias("id"),
+        "component_id",
+        kind("Supplier", "component_id", 2).alias("component_type"),
+        "attribute_id",
+        kind("Part", "attribute_id", 3).alias("attribute_type"),
+    )
 
 
 def component_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +228,12 @@ def component_edges(spark: SparkSession, d: str) -> DataFrame:
     n, c, s = (table(spark, d, x) for x in ("nation", "customer", "supplier"))
 
     def edges(df, parent, parent_type, child, child_type):
-        return df.select(parent.cast("long").alias("parent_id"), F.lit(parent_type).alias("parent_type"), child.cast("long").alias("child_id"), F.lit(child_type).alias("child_type"))
+        return df.select(
+            parent.cast("long").alias("parent_id"),
+            F.lit(parent_type).alias("parent_type"),
+            child.cast("long").alias("child_id"),
+            F.lit(child_type).alias("child_type"),
+        )
 
     out = edges(n, F.col("n_regionkey"), "Region", 100 + F.col("n_nationkey"), "Nation")
     out = out.union(edges(c, 100 + F.col("c_nationkey"), "Nation", 10_000_000 + F.col("c_custkey"), "Customer"))

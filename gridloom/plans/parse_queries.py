@@ -54,7 +54,10 @@ def _periods(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey")
     k, n = F.col("o_orderkey") % 5, (F.col("o_orderkey") % 97).cast("string")
     form = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
-    text = F.when(k == 0, form("PT", "H")).when(k == 1, form("P", "M")).when(k == 2, form("P", "DT30M")).when(k == 3, form("-P", "Y")).otherwise(form("P", "H"))
+    text = F.when(k == 0, form("PT", "H")).when(k == 1, form("P", "M")).when(
+        k == 2,
+        form("P", "DT30M"),
+    ).when(k == 3, form("-P", "Y")).otherwise(form("P", "H"))
     rows = o.select("o_orderkey", text.alias("text"))
     p = Periods.of(F.col("text"))
     rows = rows.select("o_orderkey", p.kind.alias("kind"), p.n.alias("n"))
@@ -77,7 +80,10 @@ def _names(spark, d):
     odd = F.col("owner_id") % 2 == 1
     typed = F.when(odd, F.upper(names)).otherwise(F.lower(F.regexp_replace(names, "(?<=[a-z])(?=[A-Z])", "_")))
     owner = F.when(odd, F.upper("owner_category")).otherwise(F.regexp_replace("owner_category", "lA", "l_a"))
-    element = F.element_at(F.array(*map(F.lit, ("F64", "tuple(3, f32)", "PiecewiseLinear", "linear_function", "tuple(0,f64)", "f65"))), (F.col("owner_id") % 6 + 1).cast("int"))
+    element = F.element_at(
+        F.array(*map(F.lit, ("F64", "tuple(3, f32)", "PiecewiseLinear", "linear_function", "tuple(0,f64)", "f65"))),
+        (F.col("owner_id") % 6 + 1).cast("int"),
+    )
     rows = a.select("assoc_id", pc.series_type(typed).alias("type"), pc.owner_category(owner).alias("category"), pc.element_type(element).alias("e"))
     return rows.select("assoc_id", "type", "category", "e.kind", "e.dtype", "e.arity")
 
@@ -94,7 +100,15 @@ def _features(spark, d):
     cents = F.round(F.col("l_discount") * 100).cast("int").cast("string")
     text = F.when(k == 0, F.col("l_quantity").cast("int").cast("string")).when(k == 1, F.concat(F.lit("0."), F.lpad(cents, 2, "0")))
     text = text.when(k == 2, F.when(F.col("l_returnflag") == "N", "true").otherwise("false")).otherwise(F.col("l_returnflag"))
-    return li.select("l_orderkey", "l_linenumber", pc.feature(text).alias("f")).select("l_orderkey", "l_linenumber", "f.kind", "f.i", F.round("f.f", 6).alias("f"), "f.b", "f.s")
+    return li.select("l_orderkey", "l_linenumber", pc.feature(text).alias("f")).select(
+        "l_orderkey",
+        "l_linenumber",
+        "f.kind",
+        "f.i",
+        F.round("f.f", 6).alias("f"),
+        "f.b",
+        "f.s",
+    )
 
 
 _FEATURES = """
@@ -124,13 +138,19 @@ def _refusals(spark, d):
     null = lambda t: F.lit(None).cast(t)
     known = k.isin(*[c for c in forecast if c != 4])
     shape = F.when(k == 2, F.array(F.lit(7))).when(k.isin(4, 5, 8), F.array(F.lit(24), F.lit(30)))
-    shape = shape.when(k == 6, F.array(F.lit(2), F.lit(12), F.lit(30))).when(k.isin(7, 9), F.array(F.lit(2), F.lit(12), F.lit(30))).otherwise(F.col("shape"))
+    shape = shape.when(k == 6, F.array(F.lit(2), F.lit(12), F.lit(30))).when(
+        k.isin(7, 9),
+        F.array(F.lit(2), F.lit(12), F.lit(30)),
+    ).otherwise(F.col("shape"))
     rows = base.withColumns(
         {
             "time_series_type": F.when(k == 1, 3).otherwise(kind),
             "shape": shape.cast("array<int>"),
             "resolution": F.when(k == 3, F.lit("-PT1H")).when(k == 10, null("string")).otherwise(F.col("resolution")),
-            "initial_timestamp": F.when(k == 11, F.timestamp_add("MICROSECOND", F.lit(1), F.col("initial_timestamp"))).otherwise(F.col("initial_timestamp")),
+            "initial_timestamp": F.when(
+                k == 11,
+                F.timestamp_add("MICROSECOND", F.lit(1), F.col("initial_timestamp")),
+            ).otherwise(F.col("initial_timestamp")),
             "horizon": F.when(known, F.lit("P1D")),
             "interval": F.when(known, F.when(k == 8, F.lit("PT0S")).otherwise(F.lit("P1D"))),
             "count": F.when(known, F.when(k.isin(5, 7), 29).otherwise(30)).cast("long"),
@@ -170,7 +190,17 @@ def _empty(spark, d):
 def _with_metadata(spark, d):
     rows = _store(spark, d).read(ListFilter(time_series_type=0, resolution="PT1H", owner_category="Component"))
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total")
-    return rows.select("owner_id", "owner_type", "name", "initial_timestamp", "resolution", F.size("values").cast("long").alias("length"), F.col("features")["year"]["i"].alias("year"), "component_field", total)
+    return rows.select(
+        "owner_id",
+        "owner_type",
+        "name",
+        "initial_timestamp",
+        "resolution",
+        F.size("values").cast("long").alias("length"),
+        F.col("features")["year"]["i"].alias("year"),
+        "component_field",
+        total,
+    )
 
 
 def _described(spark, d):
@@ -179,7 +209,16 @@ def _described(spark, d):
     items, paths = [], {}
     for i, name in enumerate(fx.EVENTS):
         paths[name] = _one_file(totals.where(F.col("name") == name).orderBy("idx").select(F.col("v").alias("value")), _folder(spark, "described"))
-        items.append({"owner_id": i, "owner_type": "Total", "name": name, "initial_timestamp": "2024-01-01T00:00:00Z", "resolution": "PT1H", "length": fx.HOURS})
+        items.append(
+            {
+                "owner_id": i,
+                "owner_type": "Total",
+                "name": name,
+                "initial_timestamp": "2024-01-01T00:00:00Z",
+                "resolution": "PT1H",
+                "length": fx.HOURS,
+            },
+        )
     out = None
     for item in csv_io.descriptor(json.dumps(items), set(typed_csv.KEYS)):
         rows = typed_csv.typed_series(spark, paths[item["name"]], item)
@@ -205,16 +244,34 @@ QUERIES = {
     "PER_9_range_texts": (_ranges, f"SELECT event_id, {_AT} AS start, TIMESTAMP '2030-01-01' AS \"end\" FROM events"),
     "PER_12_names": (_names, _NAMES),
     "PER_13_feature_texts": (_features, _FEATURES),
-    "ARR_2_features_hash_classes": (_feature_classes, f"{_A} SELECT assoc_id, min(assoc_id) OVER (PARTITION BY year, segment) AS first, 64::BIGINT AS digits FROM assoc"),
+    "ARR_2_features_hash_classes": (
+        _feature_classes,
+        f"{_A} SELECT assoc_id, min(assoc_id) OVER (PARTITION BY year, segment) AS first, 64::BIGINT AS digits FROM assoc",
+    ),
     "FCW_10_FCW_11_refusals": (_refusals, f"{_H} {_REFUSALS}"),
-    "ASC_1_add_links": (_added(fx.attribute_links, links.ATTRIBUTES, ATTRIBUTE_LINKS), f"WITH {fx.SQL_LINKS} SELECT id, component_id, component_type, attribute_id, attribute_type FROM links"),
-    "ASC_10_add_edges": (_added(fx.component_edges, links.EDGES, COMPONENT_EDGES), f"WITH {fx.SQL_EDGES} SELECT id, parent_id, parent_type, child_id, child_type FROM edges"),
-    "KEY_4_is_empty": (_empty, f"{_A} SELECT 'all' AS part, count(*) = 0 AS empty FROM assoc UNION ALL SELECT 'scenarios', count(*) = 0 FROM assoc WHERE time_series_type = 5 UNION ALL SELECT 'views', count(*) = 0 FROM assoc WHERE time_series_type = 3"),
+    "ASC_1_add_links": (
+        _added(fx.attribute_links, links.ATTRIBUTES, ATTRIBUTE_LINKS),
+        f"WITH {fx.SQL_LINKS} SELECT id, component_id, component_type, attribute_id, attribute_type FROM links",
+    ),
+    "ASC_10_add_edges": (
+        _added(fx.component_edges, links.EDGES, COMPONENT_EDGES),
+        f"WITH {fx.SQL_EDGES} SELECT id, parent_id, parent_type, child_id, child_type FROM edges",
+    ),
+    "KEY_4_is_empty": (
+        _empty,
+        f"{_A} SELECT 'all' AS part, count(*) = 0 AS empty FROM assoc UNION ALL SELECT 'scenarios', count(*) = 0 FROM assoc WHERE time_series_type = 5 UNION ALL SELECT 'views', count(*) = 0 FROM assoc WHERE time_series_type = 3",
+    ),
     "SLC_4_series_with_metadata": (
         _with_metadata,
         f"""{_A}, {fx.SQL_HOURLY} SELECT owner_id, owner_type, name, initial_timestamp, resolution, count(*) AS length, year, component_field, sum(v)::BIGINT AS total
 FROM assoc JOIN hourly USING (owner_id, name) WHERE time_series_type = 0 AND owner_category = 'Component' GROUP BY ALL""",
     ),
-    "SRC_22_descriptor": (_described, f"{_H} SELECT list_position({fx.EVENTS}, name)::BIGINT - 1 AS owner_id, name, idx, any_value(t) AS t, sum(v)::BIGINT AS v FROM hourly GROUP BY name, idx"),
-    "SRC_21_owner_map": (_owner_map, f"{_H} SELECT 10 * (list_position({fx.EVENTS}, name)::BIGINT - 1) AS owner_id, 'Kind' || name[1] AS owner_type, name AS \"column\", sum(v)::BIGINT AS total FROM hourly GROUP BY name"),
+    "SRC_22_descriptor": (
+        _described,
+        f"{_H} SELECT list_position({fx.EVENTS}, name)::BIGINT - 1 AS owner_id, name, idx, any_value(t) AS t, sum(v)::BIGINT AS v FROM hourly GROUP BY name, idx",
+    ),
+    "SRC_21_owner_map": (
+        _owner_map,
+        f"{_H} SELECT 10 * (list_position({fx.EVENTS}, name)::BIGINT - 1) AS owner_id, 'Kind' || name[1] AS owner_type, name AS \"column\", sum(v)::BIGINT AS total FROM hourly GROUP BY name",
+    ),
 }

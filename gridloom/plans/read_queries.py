@@ -96,7 +96,12 @@ def _merged_replaced(spark, d):
     """All single series with those of owners 1 to 5 merged again with doubled values: the total of each."""
     whole = _catalog(spark, d)
     static = Catalog(whole.associations.where("time_series_type < 2"), whole.arrays)
-    few = _doubled(Catalog(static.associations.where("owner_id between 1 and 5"), static.arrays.join(static.associations.where("owner_id between 1 and 5").select("data_hash"), "data_hash", "left_semi")))
+    few = _doubled(
+        Catalog(
+            static.associations.where("owner_id between 1 and 5"),
+            static.arrays.join(static.associations.where("owner_id between 1 and 5").select("data_hash"), "data_hash", "left_semi"),
+        ),
+    )
     merged = merging.merged(static, few, replace=True)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total")
     return merged.associations.join(merged.arrays, "data_hash").select("owner_id", "name", "time_series_type", total)

@@ -25,7 +25,9 @@ _START, _END = dt.datetime(2024, 1, 5, 6, 30), dt.datetime(2024, 1, 7, 0, 15)
 
 def _as(df, schema: str):
     """df with the columns of a schema, null where it has none."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(schema)])
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(schema)],
+    )
 
 
 def _key(prefix: str, *columns: str):
@@ -34,7 +36,12 @@ def _key(prefix: str, *columns: str):
 
 def _store(spark, d) -> Store:
     """A store in memory of the fixtures' catalog, arrays of its single series and timestamp vectors."""
-    hourly = fx.hourly(spark, d).select(_key("ts:", *_OWNER).alias("data_hash"), F.lit("f64").alias("dtype"), F.array("length").cast("array<int>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+    hourly = fx.hourly(spark, d).select(
+        _key("ts:", *_OWNER).alias("data_hash"),
+        F.lit("f64").alias("dtype"),
+        F.array("length").cast("array<int>").alias("shape"),
+        F.col("values").cast("array<double>").alias("values"),
+    )
     axes = fx.irregular(spark, d).select(_key("axis:", "owner_id").alias("timestamps_hash"), "timestamps")
     empty = {k: spark.createDataFrame([], s) for k, s in TABLES.items()}
     own = {"associations": fx.associations(spark, d), "arrays": hourly, "timestamp_sets": axes}
@@ -58,7 +65,17 @@ def _stored_arrays(spark, d):
 
 
 def _incoming(spark, d):
-    rows = _stored_arrays(spark, d).withColumns({"owner_type": F.lit("Generator"), "owner_category": F.lit("Component"), "time_series_type": F.lit(0), "resolution": F.lit("PT1H"), "element_type": F.lit("f64"), "shape": F.array("length"), "features": F.create_map()})
+    rows = _stored_arrays(spark, d).withColumns(
+        {
+            "owner_type": F.lit("Generator"),
+            "owner_category": F.lit("Component"),
+            "time_series_type": F.lit(0),
+            "resolution": F.lit("PT1H"),
+            "element_type": F.lit("f64"),
+            "shape": F.array("length"),
+            "features": F.create_map(),
+        },
+    )
     return _as(rows.withColumn("values", F.col("values").cast("array<double>")), INCOMING)
 
 
@@ -133,8 +150,37 @@ def _forecasts(spark, d):
 
 
 def _rows_of_json(spark, d):
-    back = csv_io.row_json(csv_io.wire_series(fx.associations(spark, d).withColumns({c: F.lit(None).cast(t) for c, t in (("units", "string"), ("quantity_kind", "string"), ("unit_system", "string"), ("percentiles", "array<double>"), ("application_data", "string"))})))
-    return back.select("owner_id", "owner_type", "name", "initial_timestamp", "resolution", "length", "horizon", "interval", "count", "component_field", "data_hash", F.col("features")["year"].alias("year"), F.col("features")["segment"].alias("segment"))
+    back = csv_io.row_json(
+        csv_io.wire_series(
+            fx.associations(spark, d).withColumns(
+                {
+                    c: F.lit(None).cast(t) for c,
+                    t in (
+                        ("units", "string"),
+                        ("quantity_kind", "string"),
+                        ("unit_system", "string"),
+                        ("percentiles", "array<double>"),
+                        ("application_data", "string"),
+                    )
+                },
+            ),
+        ),
+    )
+    return back.select(
+        "owner_id",
+        "owner_type",
+        "name",
+        "initial_timestamp",
+        "resolution",
+        "length",
+        "horizon",
+        "interval",
+        "count",
+        "component_field",
+        "data_hash",
+        F.col("features")["year"].alias("year"),
+        F.col("features")["segment"].alias("segment"),
+    )
 
 
 def _of(fn):
@@ -149,26 +195,94 @@ _STEPS = "SELECT owner_id, name, idx, t, v FROM hourly"
 
 QUERIES = {
     "DML_2_add_read_back": (_read_back, f"{_H} {_STEPS}"),
-    "DML_7_remove": (_after(lambda s: s.remove(_CLICKS, at_least=0), ["assoc_id"]), f"{_A} SELECT assoc_id FROM assoc WHERE NOT (owner_id = 4 AND time_series_type = 3 AND name = 'click')"),
-    "DML_8_remove_each": (_after(lambda s: s.remove_each([ListFilter(owner_id=5, time_series_type=0, exact_type=True, name="click"), _VIEW_KEY]), ["assoc_id"]), f"{_A} SELECT assoc_id FROM assoc WHERE NOT (time_series_type = 0 AND ((owner_id = 5 AND name = 'click') OR (owner_id = 3 AND name = 'view')))"),
-    "DML_9_remove_by_filter": (_after(lambda s: s.remove(ListFilter(name_glob="*i*", component_field="max_active_power")), ["assoc_id"]), f"{_A} SELECT assoc_id FROM assoc WHERE NOT coalesce(name GLOB '*i*' AND component_field = 'max_active_power', false)"),
-    "DML_11_rename": (_after(lambda s: s.rename(_VIEW_KEY, "seen"), ["assoc_id", "name"]), f"{_A} SELECT assoc_id, CASE WHEN owner_id = 3 AND time_series_type = 0 AND name = 'view' THEN 'seen' ELSE name END AS name FROM assoc"),
-    "DML_12_copy": (_after(lambda s: s.copy(_VIEW_KEY, 888_888, "Load"), ["owner_id", "owner_type", "name", "data_hash"]), f"{_A} SELECT owner_id, owner_type, name, data_hash FROM assoc UNION ALL SELECT 888888, 'Load', name, data_hash FROM assoc WHERE owner_id = 3 AND time_series_type = 0 AND name = 'view'"),
-    "DML_13_replace_owner": (_after(lambda s: s.replace_owner(3, 999_999), ["assoc_id", "owner_id", "owner_type"]), f"{_A} SELECT assoc_id, CASE WHEN owner_id = 3 AND owner_category = 'Component' THEN 999999 ELSE owner_id END AS owner_id, owner_type FROM assoc"),
-    "DML_10_clear_owner": (_after(lambda s: s.clear(3, "Component"), ["assoc_id"]), f"{_A} SELECT assoc_id FROM assoc WHERE NOT (owner_id = 3 AND owner_category = 'Component')"),
+    "DML_7_remove": (
+        _after(lambda s: s.remove(_CLICKS, at_least=0), ["assoc_id"]),
+        f"{_A} SELECT assoc_id FROM assoc WHERE NOT (owner_id = 4 AND time_series_type = 3 AND name = 'click')",
+    ),
+    "DML_8_remove_each": (
+        _after(lambda s: s.remove_each([ListFilter(owner_id=5, time_series_type=0, exact_type=True, name="click"), _VIEW_KEY]), ["assoc_id"]),
+        f"{_A} SELECT assoc_id FROM assoc WHERE NOT (time_series_type = 0 AND ((owner_id = 5 AND name = 'click') OR (owner_id = 3 AND name = 'view')))",
+    ),
+    "DML_9_remove_by_filter": (
+        _after(lambda s: s.remove(ListFilter(name_glob="*i*", component_field="max_active_power")), ["assoc_id"]),
+        f"{_A} SELECT assoc_id FROM assoc WHERE NOT coalesce(name GLOB '*i*' AND component_field = 'max_active_power', false)",
+    ),
+    "DML_11_rename": (
+        _after(lambda s: s.rename(_VIEW_KEY, "seen"), ["assoc_id", "name"]),
+        f"{_A} SELECT assoc_id, CASE WHEN owner_id = 3 AND time_series_type = 0 AND name = 'view' THEN 'seen' ELSE name END AS name FROM assoc",
+    ),
+    "DML_12_copy": (
+        _after(lambda s: s.copy(_VIEW_KEY, 888_888, "Load"), ["owner_id", "owner_type", "name", "data_hash"]),
+        f"{_A} SELECT owner_id, owner_type, name, data_hash FROM assoc UNION ALL SELECT 888888, 'Load', name, data_hash FROM assoc WHERE owner_id = 3 AND time_series_type = 0 AND name = 'view'",
+    ),
+    "DML_13_replace_owner": (
+        _after(lambda s: s.replace_owner(3, 999_999), ["assoc_id", "owner_id", "owner_type"]),
+        f"{_A} SELECT assoc_id, CASE WHEN owner_id = 3 AND owner_category = 'Component' THEN 999999 ELSE owner_id END AS owner_id, owner_type FROM assoc",
+    ),
+    "DML_10_clear_owner": (
+        _after(lambda s: s.clear(3, "Component"), ["assoc_id"]),
+        f"{_A} SELECT assoc_id FROM assoc WHERE NOT (owner_id = 3 AND owner_category = 'Component')",
+    ),
     "SET_3_add_replace": (_replaced, f"{_H} SELECT owner_id, name, idx, t, v + (owner_id = 3)::BIGINT AS v FROM hourly"),
-    "DML_1_arrays_once": (_shared, f"{_H}, g AS (SELECT owner_id, name, list(v ORDER BY idx) AS a FROM hourly GROUP BY ALL) SELECT min((owner_id, name)).owner_id AS owner_id, min((owner_id, name)).name AS name, 2 * count(*) AS series FROM (SELECT {{'owner_id': owner_id, 'name': name}} AS k, * FROM g) GROUP BY a".replace("min((owner_id, name))", "min(k)")),
-    "SRC_14_array_by_hash": (_of(lambda s: s.array(s.spark.range(1).select(F.sha2(F.lit("ts:5:click"), 256)).first()[0]).select(F.posexplode("values").alias("idx", "v")).select(F.col("idx").cast("long").alias("idx"), F.col("v").cast("long").alias("v"))), f"{_H} SELECT idx, v FROM hourly WHERE owner_id = 5 AND name = 'click'"),
-    "SRC_12_array_shapes": (_of(lambda s: s.array_shapes().select("data_hash", "dtype", F.element_at("shape", 1).cast("long").alias("length"))), f"{_H} SELECT sha256('ts:' || owner_id || ':' || name) AS data_hash, 'f64' AS dtype, count(*) AS length FROM hourly GROUP BY owner_id, name"),
-    "LST_12_timestamps": (_of(lambda s: s.timestamps(s.spark.range(1).select(F.sha2(F.lit("axis:5"), 256)).first()[0]).select("t")), f"WITH {fx.SQL_IRREGULAR} SELECT t FROM activity WHERE owner_id = 5"),
-    "JON_2_hydration": (_of(lambda s: s.list(ListFilter(time_series_type=1)).select("owner_id", "name", F.explode("timestamps").alias("t"))), f"WITH {fx.SQL_IRREGULAR} SELECT owner_id, 'activity' AS name, t FROM activity"),
-    "JON_3_arrays": (_of(lambda s: s.read(ListFilter(time_series_type=0, resolution="PT1H")).select("assoc_id", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))), f"{_A}, {fx.SQL_HOURLY} SELECT assoc_id, sum(v)::BIGINT AS total FROM assoc JOIN hourly USING (owner_id, name) WHERE time_series_type = 0 GROUP BY 1"),
-    "SLC_6_bulk_range": (_range, f"{_H} SELECT k.ordinal::BIGINT AS ordinal, owner_id, name, idx - 102 AS idx, t, v FROM hourly JOIN (VALUES (0, 3, 'view'), (1, 5, 'click'), (2, 3, 'view')) k(ordinal, o, n) ON owner_id = o AND name = n WHERE idx >= 102 AND idx < 145"),
+    "DML_1_arrays_once": (
+        _shared,
+        f"{_H}, g AS (SELECT owner_id, name, list(v ORDER BY idx) AS a FROM hourly GROUP BY ALL) SELECT min((owner_id, name)).owner_id AS owner_id, min((owner_id, name)).name AS name, 2 * count(*) AS series FROM (SELECT {{'owner_id': owner_id, 'name': name}} AS k, * FROM g) GROUP BY a".replace(
+            "min((owner_id, name))",
+            "min(k)",
+        ),
+    ),
+    "SRC_14_array_by_hash": (
+        _of(lambda s: s.array(
+            s.spark.range(1).select(F.sha2(F.lit("ts:5:click"), 256)).first()[0],
+        ).select(F.posexplode("values").alias("idx", "v")).select(
+            F.col("idx").cast("long").alias("idx"),
+            F.col("v").cast("long").alias("v"),
+        )),
+        f"{_H} SELECT idx, v FROM hourly WHERE owner_id = 5 AND name = 'click'",
+    ),
+    "SRC_12_array_shapes": (
+        _of(lambda s: s.array_shapes().select("data_hash", "dtype", F.element_at("shape", 1).cast("long").alias("length"))),
+        f"{_H} SELECT sha256('ts:' || owner_id || ':' || name) AS data_hash, 'f64' AS dtype, count(*) AS length FROM hourly GROUP BY owner_id, name",
+    ),
+    "LST_12_timestamps": (
+        _of(lambda s: s.timestamps(s.spark.range(1).select(F.sha2(F.lit("axis:5"), 256)).first()[0]).select("t")),
+        f"WITH {fx.SQL_IRREGULAR} SELECT t FROM activity WHERE owner_id = 5",
+    ),
+    "JON_2_hydration": (
+        _of(lambda s: s.list(ListFilter(time_series_type=1)).select("owner_id", "name", F.explode("timestamps").alias("t"))),
+        f"WITH {fx.SQL_IRREGULAR} SELECT owner_id, 'activity' AS name, t FROM activity",
+    ),
+    "JON_3_arrays": (
+        _of(lambda s: s.read(ListFilter(time_series_type=0, resolution="PT1H")).select(
+            "assoc_id",
+            F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"),
+        )),
+        f"{_A}, {fx.SQL_HOURLY} SELECT assoc_id, sum(v)::BIGINT AS total FROM assoc JOIN hourly USING (owner_id, name) WHERE time_series_type = 0 GROUP BY 1",
+    ),
+    "SLC_6_bulk_range": (
+        _range,
+        f"{_H} SELECT k.ordinal::BIGINT AS ordinal, owner_id, name, idx - 102 AS idx, t, v FROM hourly JOIN (VALUES (0, 3, 'view'), (1, 5, 'click'), (2, 3, 'view')) k(ordinal, o, n) ON owner_id = o AND name = n WHERE idx >= 102 AND idx < 145",
+    ),
     "RDR_1_static_reader": (_static, f"{_H} SELECT t, owner_id, name, v FROM hourly"),
-    "RDR_4_forecast_reader": (_forecasts, f"{_H} SELECT h.owner_id, h.name, 20::BIGINT AS w, (h.idx - 480)::BIGINT AS h, h.v, TIMESTAMP '2024-01-21' AS issue_time, h.t AS target_time FROM hourly h WHERE owner_id % 2 = 0 AND idx >= 480 AND idx < 528"),
-    "SRC_24_row_json": (_rows_of_json, f"{_A} SELECT owner_id, owner_type, name, initial_timestamp, resolution, length::BIGINT AS length, horizon, \"interval\", \"count\"::BIGINT AS \"count\", component_field, data_hash, year::VARCHAR AS year, segment FROM assoc"),
-    "SNK_3_json_lines": ((lambda spark, d: csv_io.json_lines(fx.hourly(spark, d), HOUR, _OWNER)), f"{_H} SELECT owner_id, name, idx, '{{\"timestamp\":\"' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '\",\"value\":' || v || '}}' AS json FROM hourly"),
+    "RDR_4_forecast_reader": (
+        _forecasts,
+        f"{_H} SELECT h.owner_id, h.name, 20::BIGINT AS w, (h.idx - 480)::BIGINT AS h, h.v, TIMESTAMP '2024-01-21' AS issue_time, h.t AS target_time FROM hourly h WHERE owner_id % 2 = 0 AND idx >= 480 AND idx < 528",
+    ),
+    "SRC_24_row_json": (
+        _rows_of_json,
+        f"{_A} SELECT owner_id, owner_type, name, initial_timestamp, resolution, length::BIGINT AS length, horizon, \"interval\", \"count\"::BIGINT AS \"count\", component_field, data_hash, year::VARCHAR AS year, segment FROM assoc",
+    ),
+    "SNK_3_json_lines": (
+        (lambda spark, d: csv_io.json_lines(fx.hourly(spark, d), HOUR, _OWNER)),
+        f"{_H} SELECT owner_id, name, idx, '{{\"timestamp\":\"' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '\",\"value\":' || v || '}}' AS json FROM hourly",
+    ),
     "PER_11_timestamp_codec": (_decoded, f"WITH {fx.SQL_IRREGULAR} SELECT owner_id, t FROM activity"),
-    "ARR_1_hash_classes": (_classes, f"{_H}, g AS (SELECT owner_id, name, list(v ORDER BY idx) AS a FROM hourly GROUP BY ALL), k AS (SELECT *, min({{'o': owner_id, 'n': name}}) OVER (PARTITION BY a) AS f FROM g) SELECT owner_id, name, f.o AS first_owner, f.n AS first_name FROM k"),
-    "ARR_3_hash_classes": (_vector_classes, f"WITH {fx.SQL_IRREGULAR}, g AS (SELECT owner_id, list(t ORDER BY t) AS a FROM activity GROUP BY 1) SELECT owner_id, min(owner_id) OVER (PARTITION BY a) AS first_owner FROM g"),
+    "ARR_1_hash_classes": (
+        _classes,
+        f"{_H}, g AS (SELECT owner_id, name, list(v ORDER BY idx) AS a FROM hourly GROUP BY ALL), k AS (SELECT *, min({{'o': owner_id, 'n': name}}) OVER (PARTITION BY a) AS f FROM g) SELECT owner_id, name, f.o AS first_owner, f.n AS first_name FROM k",
+    ),
+    "ARR_3_hash_classes": (
+        _vector_classes,
+        f"WITH {fx.SQL_IRREGULAR}, g AS (SELECT owner_id, list(t ORDER BY t) AS a FROM activity GROUP BY 1) SELECT owner_id, min(owner_id) OVER (PARTITION BY a) AS first_owner FROM g",
+    ),
 }

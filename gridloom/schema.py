@@ -11,7 +11,13 @@ ARRAYS = "data_hash string, dtype string, shape array<int>, values array<double>
 TIMESTAMP_SETS = "timestamps_hash string, timestamps array<timestamp_ntz>"
 ATTRIBUTE_LINKS = "id bigint, component_id bigint, component_type string, attribute_id bigint, attribute_type string"
 COMPONENT_EDGES = "id bigint, parent_id bigint, parent_type string, child_id bigint, child_type string"
-TABLES = {"associations": ASSOCIATIONS, "arrays": ARRAYS, "timestamp_sets": TIMESTAMP_SETS, "attribute_links": ATTRIBUTE_LINKS, "component_edges": COMPONENT_EDGES}
+TABLES = {
+    "associations": ASSOCIATIONS,
+    "arrays": ARRAYS,
+    "timestamp_sets": TIMESTAMP_SETS,
+    "attribute_links": ATTRIBUTE_LINKS,
+    "component_edges": COMPONENT_EDGES,
+}
 
 #: What makes a series itself; empty text stands for no resolution or interval.
 IDENTITY = ("owner_id", "owner_category", "time_series_type", "name", "resolution", "interval", "features_hash")

@@ -19,7 +19,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     Blocks of the file are read apart; a row's number is that within its block after the rows of the blocks before.
     """
     raw = spark.read.text(path)
-    rows = raw.select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    rows = raw.select(
+        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("__b"),
+        F.monotonically_increasing_id().alias("__m"),
+    )
     blocks = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
     rows = rows.join(F.broadcast(blocks.select("__b", "__first", before.alias("__before"))), "__b")
@@ -94,7 +98,9 @@ def forecast_values(rows: DataFrame, steps_: int, count: int, leading: int, widt
     cell = rows.select("w", "h", F.posexplode("v").alias("k", "x"))
     s, e = F.floor(F.col("k") / width), F.col("k") % width
     place = ((s * steps_ + F.col("h")) * count + F.col("w")) * width + e
-    return cell.agg(F.array_sort(F.collect_list(F.struct(place.cast("long").alias("i"), F.col("x").alias("v")))).alias("p")).select(F.col("p.v").alias("values"))
+    return cell.agg(
+        F.array_sort(F.collect_list(F.struct(place.cast("long").alias("i"), F.col("x").alias("v")))).alias("p"),
+    ).select(F.col("p.v").alias("values"))
 
 
 def owner_map(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +150,10 @@ def static_rows(rows: DataFrame, resolution: Period, width: int = 1) -> DataFram
     if width == 1:
         return steps(rows, resolution, []).orderBy("idx").select(wire_instant(F.col("t")).alias("timestamp"), F.col("v").alias("value"))
     n = F.floor(F.size("values") / width).cast("int")
-    tuples = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n), lambda i: F.slice("values", i * width + 1, F.lit(width)))
+    tuples = F.transform(
+        F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n),
+        lambda i: F.slice("values", i * width + 1, F.lit(width)),
+    )
     out = rows.select("initial_timestamp", F.posexplode(tuples).alias("idx", "v")).orderBy("idx")
     t = resolution.add(F.col("initial_timestamp"), F.col("idx").cast("long"))
     return out.select(wire_instant(t).alias("timestamp"), *[F.get("v", F.lit(e)).alias(f"value_{e}") for e in range(width)])
@@ -160,7 +169,26 @@ def forecast_rows(windows: DataFrame, labels: list[str]) -> DataFrame:
 def wire_series(associations: DataFrame) -> DataFrame:
     """Catalog rows as JSON by typed identity; what is null is left out."""
     plain = F.transform_values("features", lambda k, v: F.coalesce(v["s"], v["i"].cast("string"), v["f"].cast("string"), v["b"].cast("string")))
-    fields = ["owner_id", "owner_type", "owner_category", "name", wire_instant(F.col("initial_timestamp")).alias("initial_timestamp"), "resolution", "length", "horizon", "interval", "count", "units", "quantity_kind", "unit_system", "component_field", "percentiles", "element_type", "application_data", "data_hash"]
+    fields = [
+        "owner_id",
+        "owner_type",
+        "owner_category",
+        "name",
+        wire_instant(F.col("initial_timestamp")).alias("initial_timestamp"),
+        "resolution",
+        "length",
+        "horizon",
+        "interval",
+        "count",
+        "units",
+        "quantity_kind",
+        "unit_system",
+        "component_field",
+        "percentiles",
+        "element_type",
+        "application_data",
+        "data_hash",
+    ]
     return associations.orderBy(*typed_order()).select(F.to_json(F.struct(*fields, plain.alias("features"))).alias("json"))
 
 
@@ -173,13 +201,19 @@ def row_json(rows: DataFrame) -> DataFrame:
     """Catalog columns from JSON rows (json); a row that does not parse, or has no owner or name, is an error when it is read."""
     r = F.from_json("json", WIRE, {"mode": "FAILFAST"})
     out = rows.select(r.alias("r")).select("r.*")
-    checked = F.when(F.col("owner_id").isNull() | F.col("name").isNull(), F.raise_error(F.lit("a row without an owner or a name"))).otherwise(F.col("owner_id"))
+    checked = F.when(
+        F.col("owner_id").isNull() | F.col("name").isNull(),
+        F.raise_error(F.lit("a row without an owner or a name")),
+    ).otherwise(F.col("owner_id"))
     return out.withColumns({"owner_id": checked.cast("long"), "initial_timestamp": F.to_timestamp("initial_timestamp").cast("timestamp_ntz")})
 
 
 def json_series(rows: DataFrame, resolution: Period, keep: list[str]) -> DataFrame:
     """(keep, json): each single series as one JSON array of timestamp and value."""
-    entry = lambda v, i: F.struct(wire_instant(resolution.add(F.col("initial_timestamp"), i.cast("long"))).alias("timestamp"), v.alias("value"))
+    entry = lambda v, i: F.struct(
+        wire_instant(resolution.add(F.col("initial_timestamp"), i.cast("long"))).alias("timestamp"),
+        v.alias("value"),
+    )
     return rows.select(*keep, F.to_json(F.transform("values", entry)).alias("json"))
 
 
@@ -205,7 +239,12 @@ def series_from_csv(spark: SparkSession, path: str, description: dict) -> DataFr
         check_grid(rows, description["initial_timestamp"], Period.parse(description["resolution"]), description.get("length", rows.count()))
     values = read_values(spark, path, leading=int(kind == "timestamped"))
     known = {k: F.lit(v) for k, v in description.items() if k not in ("initial_timestamp", "length")}
-    return values.select(*[c.alias(k) for k, c in known.items()], instant(description["initial_timestamp"]).alias("initial_timestamp"), F.size("values").cast("long").alias("length"), "values")
+    return values.select(
+        *[c.alias(k) for k, c in known.items()],
+        instant(description["initial_timestamp"]).alias("initial_timestamp"),
+        F.size("values").cast("long").alias("length"),
+        "values",
+    )
 
 
 def file_stems(associations: DataFrame) -> DataFrame:
@@ -213,7 +252,15 @@ def file_stems(associations: DataFrame) -> DataFrame:
     clean = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_.-]", "_")
     stem = clean(F.concat_ws("_", F.col("owner_type"), F.col("owner_id").cast("string"), F.col("name")))
     same = Window.partitionBy(F.lower("stem"))
-    rows = associations.select("assoc_id", stem.alias("stem"), "time_series_type", "resolution", "interval").withColumn("n", F.count(F.lit(1)).over(same))
+    rows = associations.select(
+        "assoc_id",
+        stem.alias("stem"),
+        "time_series_type",
+        "resolution",
+        "interval",
+    ).withColumn("n", F.count(F.lit(1)).over(same))
     nth = F.row_number().over(same.orderBy("assoc_id"))
-    tail = clean(F.concat_ws("_", F.col("stem"), F.col("time_series_type").cast("string"), F.col("resolution"), F.col("interval"), nth.cast("string")))
+    tail = clean(
+        F.concat_ws("_", F.col("stem"), F.col("time_series_type").cast("string"), F.col("resolution"), F.col("interval"), nth.cast("string")),
+    )
     return rows.select("assoc_id", F.when(F.col("n") > 1, tail).otherwise(F.col("stem")).alias("stem"))

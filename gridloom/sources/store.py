@@ -166,7 +166,32 @@ class Store:
             text = lambda p: Period.parse(p).iso() if p is not None else None
             values = None if exact is not None else [float(v) for v in r.values]
             shape = r.shape if r.shape is not None else [len(r.values)]
-            rows.append((r.owner_id, r.owner_type, r.owner_category, r.time_series_type, r.name, r.initial_timestamp, text(r.resolution), text(r.horizon), text(r.interval), r.count, r.percentiles, r.timestamps, str(ElementType.parse(r.element_type)), shape, values, exact, feature, r.units, r.quantity_kind, r.unit_system, r.component_field, r.application_data))
+            rows.append(
+                (
+                    r.owner_id,
+                    r.owner_type,
+                    r.owner_category,
+                    r.time_series_type,
+                    r.name,
+                    r.initial_timestamp,
+                    text(r.resolution),
+                    text(r.horizon),
+                    text(r.interval),
+                    r.count,
+                    r.percentiles,
+                    r.timestamps,
+                    str(ElementType.parse(r.element_type)),
+                    shape,
+                    values,
+                    exact,
+                    feature,
+                    r.units,
+                    r.quantity_kind,
+                    r.unit_system,
+                    r.component_field,
+                    r.application_data,
+                ),
+            )
         self.add_frame(self.spark.createDataFrame([tuple(_decimals(x) if i == 15 else x for i, x in enumerate(r)) for r in rows], INCOMING), replace)
 
     def add_frame(self, incoming: DataFrame, replace: bool = False) -> None:
@@ -174,8 +199,17 @@ class Store:
         known = _known_types(incoming)
         n = F.coalesce(F.size("exact"), F.size("values"))
         rows = incoming.withColumn("dtype", _dtype(F.col("element_type"), known) if known else F.lit("f64"))
-        rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn("features_hash", hash_features(F.array_sort(F.map_entries("features"))))
-        rows = rows.withColumn("timestamps_hash", F.when(F.col("timestamps").isNotNull(), timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))))).withColumn("__n", n)
+        rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn(
+            "features_hash",
+            hash_features(F.array_sort(F.map_entries("features"))),
+        )
+        rows = rows.withColumn(
+            "timestamps_hash",
+            F.when(
+                F.col("timestamps").isNotNull(),
+                timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))),
+            ),
+        ).withColumn("__n", n)
         self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming"), known, replace)
 
     def _add_hashed(self, rows: DataFrame, known: list[str], replace: bool) -> None:
@@ -190,9 +224,16 @@ class Store:
         new = rows.select(
             (F.lit(first) + F.col("__row")).alias("assoc_id"),
             "owner_id", "owner_type", "owner_category", "time_series_type", "name", "initial_timestamp", "resolution",
-            F.when(months, "months").when(F.col("resolution").isNotNull(), "fixed").alias("resolution_kind"), _period_n(known_periods).alias("resolution_n"),
+            F.when(months, "months").when(
+                F.col("resolution").isNotNull(),
+                "fixed",
+            ).alias("resolution_kind"), _period_n(known_periods).alias("resolution_n"),
             length.alias("length"), "horizon", "interval", "count", "timestamps_hash", "units", "quantity_kind", "unit_system", "component_field", "percentiles", "element_type",
-            F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0))).alias("element_shape"), "application_data", "features", "features_hash", "data_hash",
+            F.slice(
+                "shape",
+                2,
+                F.greatest(F.size("shape") - 1, F.lit(0)),
+            ).alias("element_shape"), "application_data", "features", "features_hash", "data_hash",
         )
         held = self.associations
         if replace:
@@ -257,7 +298,10 @@ class Store:
             ((t == DETERMINISTIC) & (F.get("shape", F.lit(1)) != F.col("count")), "the second axis is the count"),
             (t.isin(PROBABILISTIC, SCENARIOS) & (F.get("shape", F.lit(2)) != F.col("count")), "the third axis is the count"),
             (forecast & (F.col("interval") == "PT0S") & (F.col("count") > 1), "a zero interval has one window"),
-            ((t == PROBABILISTIC) & (F.col("percentiles").isNull() | (F.size("percentiles") != F.col("shape")[0])), "one percentile for each of the first axis is needed"),
+            (
+                (t == PROBABILISTIC) & (F.col("percentiles").isNull() | (F.size("percentiles") != F.col("shape")[0])),
+                "one percentile for each of the first axis is needed",
+            ),
             ((t == PROBABILISTIC) & (F.size("percentiles") > 1) & ~rising, "percentiles must increase"),
         ]
         return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in rules])
@@ -318,7 +362,18 @@ class Store:
         row = catalog.resolve_forecast(self.associations, f)
         resolution, horizon, interval = (Period.parse(row[c]) for c in ("resolution", "horizon", "interval"))
         chosen = series.resolve_windows(row["initial_timestamp"], interval, row["count"], start, end)
-        rows = self.read(ListFilter(owner_id=row["owner_id"], owner_category=row["owner_category"], name=row["name"], time_series_type=row["time_series_type"], exact_type=True, resolution=row["resolution"], interval=row["interval"], features_hash=row["features_hash"]))
+        rows = self.read(
+            ListFilter(
+                owner_id=row["owner_id"],
+                owner_category=row["owner_category"],
+                name=row["name"],
+                time_series_type=row["time_series_type"],
+                exact_type=True,
+                resolution=row["resolution"],
+                interval=row["interval"],
+                features_hash=row["features_hash"],
+            ),
+        )
         if row["time_series_type"] == DERIVED:
             return series.derived_windows(rows, ["owner_id", "name"], horizon, interval, resolution, windows=chosen)
         return series.dense_windows(rows, ["owner_id", "name"], resolution.divide_into(horizon), resolution, interval, windows=chosen)
@@ -409,7 +464,14 @@ class Store:
         """A new row on the same array."""
         row = resolve_one(self.associations, f)
         top = self.associations.agg(F.max("assoc_id")).first()[0] + 1
-        new = self.associations.where(F.col("assoc_id") == row["assoc_id"]).withColumns({"assoc_id": F.lit(top).cast("long"), "owner_id": F.lit(owner_id).cast("long"), "owner_type": F.lit(owner_type), "name": F.lit(name or row["name"])})
+        new = self.associations.where(F.col("assoc_id") == row["assoc_id"]).withColumns(
+            {
+                "assoc_id": F.lit(top).cast("long"),
+                "owner_id": F.lit(owner_id).cast("long"),
+                "owner_type": F.lit(owner_type),
+                "name": F.lit(name or row["name"]),
+            },
+        )
         self._may_add(new)
         self._append(associations=new)
 

@@ -166,7 +166,12 @@ def typed_series(spark: SparkSession, path: str, description: dict) -> DataFrame
     text = {k: d.period(k).iso() for k in ("resolution", "horizon", "interval") if d.given.get(k) is not None}
     plain = {k: d.given.get(k) for k in ("owner_id", "owner_type", "owner_category", "name", "count", "units")} | text
     types = {"owner_id": "long", "count": "long"}
-    columns = [F.lit(plain.get(k)).cast(types.get(k, "string")).alias(k) for k in [*plain, *[k for k in ("resolution", "horizon", "interval") if k not in plain]]]
+    columns = [
+        F.lit(plain.get(k)).cast(types.get(k, "string")).alias(k) for k in [
+            *plain,
+            *[k for k in ("resolution", "horizon", "interval") if k not in plain],
+        ]
+    ]
     initial = F.lit(None).cast("timestamp_ntz") if d.given.get("initial_timestamp") is None else instant(d.initial)
     return rows.select(
         F.lit(d.time_series_type).alias("time_series_type"),
