@@ -146,7 +146,14 @@ def described(docs: DataFrame, heavy) -> DataFrame:
                     maps.append(parity(s) if new else None)
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in leads]).astype(np.int32))
                 lead = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(leads)))
-                columns = [owners, pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.array([early(len(s)) for s in sets], pa.int64()), lead]
+                columns = [
+                    owners,
+                    pa.array(ids, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(maps, pa.binary()),
+                    pa.array([early(len(s)) for s in sets], pa.int64()),
+                    lead,
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "parity", "n_early", "lead"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -175,7 +182,14 @@ def with_sets(docs: DataFrame, rows: DataFrame, heavy, fine: int | None = None)
                 columns = [part.column(c) for c in names] + [pa.array([len(s) for s in sets], pa.int64()), held]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n", "held"]).filter(same)
 
-    mine = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("text", "block", "sid", "query", "comp", _bucket(rows))
+    mine = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select(
+        "text",
+        "block",
+        "sid",
+        "query",
+        "comp",
+        _bucket(rows),
+    )
     return mine.mapInArrow(emit, "bucket long, block long, sid long, query boolean, comp long, n long, held binary")
 
 
@@ -351,20 +365,27 @@ def components(edges: DataFrame) -> DataFrame:
     component meets its minimum in a join that has no hot key.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = lambda: tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+    state = lambda: tuple(
+        edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first(),
+    )
     before, now = None, state()
     while now != before:
         few = 2 * now[0] <= BROADCAST_ROWS  # no table of minima has more rows
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(met(both.where(F.col("v") > F.col("u")), low, "u", few=few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        large = written(
+            met(both.where(F.col("v") > F.col("u")), low, "u", few=few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "stars",
+        )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = met(large, low, "u", few=few).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         after = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         delete(edges, large)
         edges, before = after, now
         now = state()
-    return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(
+        edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct(),
+    )
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -373,13 +394,21 @@ def blocks(rows: DataFrame) -> DataFrame:
     A frequent shingle may be that of a third of all sets: its minima are pre-aggregated, and as the list of those
     is bounded by HEAVY they are broadcast. Any other has at most 1 / HEAVY of all places, and goes through one shuffle.
     """
-    tokens = rows.select("sid", F.posexplode("lead").alias("at", "token"), "n_early").select("sid", "token", (F.col("at") < F.col("n_early")).alias("early"))
+    tokens = rows.select("sid", F.posexplode("lead").alias("at", "token"), "n_early").select(
+        "sid",
+        "token",
+        (F.col("at") < F.col("n_early")).alias("early"),
+    )
     first = F.min(F.when(F.col("early"), F.col("sid"))).alias("leader")
     often = tokens.where(F.col("token") >= int(HIGH))
     low = often.groupBy("token").agg(first, F.min("sid").alias("low"), F.max("sid").alias("high")).where("leader is not null and low < high")
     often = often.join(F.broadcast(low.select("token", "leader")), "token").select("leader", "sid", "early")
     same = Window.partitionBy("token")
-    spread = [F.min(F.when(F.col("early"), F.col("sid"))).over(same).alias("leader"), F.min("sid").over(same).alias("low"), F.max("sid").over(same).alias("high")]
+    spread = [
+        F.min(F.when(F.col("early"), F.col("sid"))).over(same).alias("leader"),
+        F.min("sid").over(same).alias("low"),
+        F.max("sid").over(same).alias("high"),
+    ]
     rare = tokens.where(F.col("token") < int(HIGH)).select("sid", "early", *spread).where("leader is not null and low < high")
     return often.union(rare.select("leader", "sid", "early")).groupBy("leader", "sid").agg(F.max("early").alias("early"))
 
@@ -408,7 +437,11 @@ def classes(docs: DataFrame) -> DataFrame:
     described_ = written(described(docs, heavy), "sets")
     found = written(blocks(described_), "blocks")
     # one row a set: all its rows have equal maps, and any document of it will do
-    known = described_.where(F.col("parity").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    known = described_.where(F.col("parity").isNotNull()).groupBy("sid").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.max("n").alias("n"),
+        F.max("parity").alias("parity"),
+    )
     known = written(known.join(found.select("sid").distinct(), "sid", "left_semi"), "known")
     pairs = written(met(found, known.select("sid", "n"), "sid"), "blocks")
     rows = written(described_.select("doc_id", "sid", "n"), "rows")
@@ -428,7 +461,9 @@ def classes(docs: DataFrame) -> DataFrame:
     # first each set in one block, that of its smallest leader: this joins most of what belongs together, so
     # that then, over all blocks, few sets are left that may link to another component
     one = pairs.groupBy("sid", "n").agg(F.min("leader").alias("leader")).select("leader", "sid", "n")
-    one = one.union(met(one.select(F.col("leader").alias("sid")).distinct(), known.select("sid", "n"), "sid").select(F.col("sid").alias("leader"), "sid", "n")).distinct()
+    one = one.union(
+        met(one.select(F.col("leader").alias("sid")).distinct(), known.select("sid", "n"), "sid").select(F.col("sid").alias("leader"), "sid", "n"),
+    ).distinct()
     found = links(_dealt(one.withColumn("early", F.lit(True))).select("block", "sid", F.lit(True).alias("query"), F.col("sid").alias("comp")))
     comp = written(components(found), "components")
     dealt = _with_components(_dealt(pairs), comp)
@@ -460,8 +495,18 @@ def _crossed(asking: DataFrame, held: DataFrame) -> DataFrame:
     held, asking = _parts(held, "chunks", BLOCK, "chunk"), _parts(asking, "parts", ASKING, "part")
     chunks, parts = held.select("leader", "chunks").distinct(), asking.select("leader", "parts").distinct()
     block = F.xxhash64("leader", "chunk", "part", F.lit("crossed")).alias("block")
-    left = met(asking, written(chunks, "chunks"), "leader").withColumn("chunk", _everywhere("chunks")).select(block, "sid", F.lit(True).alias("query"), "comp")
-    right = met(held, written(parts, "parts"), "leader").withColumn("part", _everywhere("parts")).select(block, "sid", F.lit(False).alias("query"), "comp")
+    left = met(asking, written(chunks, "chunks"), "leader").withColumn("chunk", _everywhere("chunks")).select(
+        block,
+        "sid",
+        F.lit(True).alias("query"),
+        "comp",
+    )
+    right = met(held, written(parts, "parts"), "leader").withColumn("part", _everywhere("parts")).select(
+        block,
+        "sid",
+        F.lit(False).alias("query"),
+        "comp",
+    )
     return left.union(right)
 
 
@@ -483,9 +528,15 @@ def _remainder(large: DataFrame, comp: DataFrame) -> DataFrame | None:
         return None
     columns = ["leader", "sid", "n", "comp"]
     first = _crossed(members.where(outside & F.col("early")).select(columns), members.select(columns))
-    second = _crossed(members.where(outside & ~F.col("early")).select(columns), members.where(~outside & F.col("early")).select("leader", "sid", "n", "comp"))
+    second = _crossed(
+        members.where(outside & ~F.col("early")).select(columns),
+        members.where(~outside & F.col("early")).select("leader", "sid", "n", "comp"),
+    )
     second = second.withColumn("block", F.xxhash64("block", F.lit("late")))
-    return written(first.union(second).groupBy("block", "sid", "comp").agg(F.max("query").alias("query")).select("block", "sid", "query", "comp"), "asked")
+    return written(
+        first.union(second).groupBy("block", "sid", "comp").agg(F.max("query").alias("query")).select("block", "sid", "query", "comp"),
+        "asked",
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

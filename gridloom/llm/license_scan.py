@@ -91,7 +91,9 @@ this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "cc-by-notice": """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
 http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
 }
-COMMON = frozenset(b"the of and to in a is that for it was on are as with be by this at from or an have not you any all but will can see if one no".split())
+COMMON = frozenset(
+    b"the of and to in a is that for it was on are as with be by this at from or an have not you any all but will can see if one no".split(),
+)
 
 #: Words of a run that counts, words that a chain may skip, and the share of a template that a span needs.
 LEAST, SKIP, COVER = 5, 12, 0.5
@@ -270,7 +272,16 @@ def scanner(templates: dict[str, str] = TEMPLATES):
                     "spans": [{"label": names[k], "start": s, "end": e, "covered": c} for s, e, k, c in spans],
                 })
             kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64())]))
-            types = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", kind)]
+            types = [
+                ("n_words", pa.int64()),
+                ("n_base", pa.int64()),
+                ("first_word", pa.int64()),
+                ("last_word", pa.int64()),
+                ("base_labels", pa.string()),
+                ("labels", pa.string()),
+                ("score", pa.float64()),
+                ("spans", kind),
+            ]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             made = [pa.array([r[n] for r in rows], t) for n, t in types]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + made, names=[n for n, _ in kept] + [n for n, _ in types])

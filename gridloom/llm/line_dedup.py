@@ -34,7 +34,10 @@ def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float
     lines = docs.select(host.alias("host"), F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     lines = lines.where(F.col("n") > SPARE)
     usual = ratio * F.col("pages")
-    over = lines.join(pages.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > usual + MARGIN * F.sqrt(usual) + SPARE)
+    over = lines.join(
+        pages.withColumnRenamed("host", "h"),
+        F.col("host").eqNullSafe(F.col("h")),
+    ).where(F.col("n") > usual + MARGIN * F.sqrt(usual) + SPARE)
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
@@ -50,7 +53,11 @@ def cleaned(docs: DataFrame, host: Column | None = None, text: str = "text", rat
     new = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col(lines).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept))
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long").alias(n_lines), dropped.cast("long").alias(n_dropped))
+    return out.select(
+        *columns,
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long").alias(n_lines),
+        dropped.cast("long").alias(n_dropped),
+    )
 
 
 def op3(docs: DataFrame) -> DataFrame:

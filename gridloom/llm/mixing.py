@@ -62,7 +62,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = left / (F.col("__weights") - F.coalesce(F.sum("__w").over(filled), F.lit(0.0)))
     df = df.withColumn("__level", level)
     # the level at the first source that its share does not fill holds for all from there on
-    open_level = F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), F.col("__level").alias("v")))).over(everything)["v"]
+    open_level = F.min(
+        F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), F.col("__level").alias("v"))),
+    ).over(everything)["v"]
     target = F.least(F.col("__cap"), F.coalesce(open_level * F.col("__w"), F.col("__cap")))
     return df.select("source", "source_size", target.alias("target"))
 
@@ -72,7 +74,10 @@ def cutoffs(rows: DataFrame) -> DataFrame:
     by_bucket = written(rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum")), "mix-buckets")
     plan = written(targets(by_bucket.groupBy("source").agg(F.sum("__sum").alias("source_size"))), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", F.least(epochs, F.lit(int(MOST)))).withColumn("__budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = plan.withColumn("epochs", F.least(epochs, F.lit(int(MOST)))).withColumn(
+        "__budget",
+        F.col("target") - F.col("epochs") * F.col("source_size"),
+    )
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = plan["source"].eqNullSafe(by_bucket["source"])
     ends = by_bucket.withColumn("__before", before).join(F.broadcast(plan) if _few(plan) else plan, same).drop(by_bucket["source"])
@@ -101,7 +106,15 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     # no range in which the budget ends: all that is left of the source fits, which is nothing after whole epochs
     chosen = (F.col("__bucket") < F.col("__end")) | ((F.col("__bucket") == F.col("__end")) & (F.col("__key") <= F.col("__last")))
     copies = F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
-    return out.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", F.least(copies, F.lit(int(MOST)).cast("long")).alias("copies"), "__key")
+    return out.select(
+        "doc_id",
+        "source",
+        F.col("__size").alias("size"),
+        "source_size",
+        "target",
+        F.least(copies, F.lit(int(MOST)).cast("long")).alias("copies"),
+        "__key",
+    )
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -114,7 +114,10 @@ def _flat(pdf):
     sizes = pdf["nbrs"].map(len).to_numpy(np.int64)
     if not sizes.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return np.repeat(pdf["node"].to_numpy(), sizes), np.concatenate(pdf["nbrs"].to_list()).astype(np.int64), np.concatenate(pdf["scores"].to_list()).astype(np.float32)
+    return np.repeat(
+        pdf["node"].to_numpy(),
+        sizes,
+    ), np.concatenate(pdf["nbrs"].to_list()).astype(np.int64), np.concatenate(pdf["scores"].to_list()).astype(np.float32)
 
 
 def merged(lists: DataFrame, buckets: int, k: int) -> DataFrame:
@@ -184,12 +187,24 @@ def _bags(pdf):
 
 def improved(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """One round: neighbours of the same node are compared with each other."""
-    pairs = graph.select("node", F.explode(F.arrays_zip("nbrs", "scores")).alias("x")).select("node", F.col("x.nbrs").alias("nbr"), F.col("x.scores").alias("score"))
+    pairs = graph.select("node", F.explode(F.arrays_zip("nbrs", "scores")).alias("x")).select(
+        "node",
+        F.col("x.nbrs").alias("nbr"),
+        F.col("x.scores").alias("score"),
+    )
     best = Window.partitionBy("nbr").orderBy(F.col("score").desc(), "node")
-    back = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= REVERSE).select(F.col("nbr").alias("center"), F.col("node").alias("member"))
+    back = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= REVERSE).select(
+        F.col("nbr").alias("center"),
+        F.col("node").alias("member"),
+    )
     own = graph.select(F.col("node").alias("center"), F.explode(F.concat("nbrs", F.array("node"))).alias("member"))
     least = F.when(F.size("scores") >= K, F.element_at("scores", K)).otherwise(F.lit(float("-inf"))).cast("float")
-    known = nodes.join(graph.select("node", least.alias("least")), "node", "left").select(F.col("node").alias("member"), "code", "scale", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+    known = nodes.join(graph.select("node", least.alias("least")), "node", "left").select(
+        F.col("node").alias("member"),
+        "code",
+        "scale",
+        F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"),
+    )
     bags = own.union(back).join(known, "member").select("center", "member", "code", "scale", "least", _bucket("center", buckets))
     proposed = bags.groupBy("bucket").applyInPandas(_bags, GRAPH)
     return written(merged(graph.union(proposed), buckets, K), "graph")
@@ -219,7 +234,13 @@ def build(nodes: DataFrame, count: int, dims: int, seed: int = 11, rounds: int =
 
 def _adjacency(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """(bucket, node, nbrs, codes, scales): each node with its neighbours' vectors, kept by bucket."""
-    pairs = graph.select("node", F.explode("nbrs").alias("nbr")).join(nodes.withColumnRenamed("node", "nbr"), "nbr").select("node", "nbr", "code", "scale", _bucket("node", buckets))
+    pairs = graph.select("node", F.explode("nbrs").alias("nbr")).join(nodes.withColumnRenamed("node", "nbr"), "nbr").select(
+        "node",
+        "nbr",
+        "code",
+        "scale",
+        _bucket("node", buckets),
+    )
 
     def gather(pdf):
         import pandas as pd
@@ -228,7 +249,10 @@ def _adjacency(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
         rows = [(b, n, g["nbr"].to_numpy(), b"".join(g["code"]), g["scale"].to_numpy()) for (b, n), g in pdf.groupby(["bucket", "node"], sort=False)]
         return pd.DataFrame(rows, columns=["bucket", "node", "nbrs", "codes", "scales"])
 
-    return written(pairs.groupBy("bucket").applyInPandas(gather, "bucket int, node long, nbrs array<long>, codes binary, scales array<float>"), "adjacency")
+    return written(
+        pairs.groupBy("bucket").applyInPandas(gather, "bucket int, node long, nbrs array<long>, codes binary, scales array<float>"),
+        "adjacency",
+    )
 
 
 #: ask: the nodes to expand next; done: whether a node of the beam has been, or is among those.
@@ -278,7 +302,9 @@ def _beam(pdf):
         moved = not np.array_equal(before, ids[:WATCHED])
         next_ = np.flatnonzero(~done)[:EXPANDED]
         done[next_] = True
-        rows.append((q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf, moved, _kept(head, scores)))
+        rows.append(
+            (q, head["code"], head["scale"], ids, scores, done, ids[next_], scores[-1] if len(ids) >= BEAM else -np.inf, moved, _kept(head, scores)),
+        )
     return pd.DataFrame(rows, columns=["query", "code", "scale", "ids", "scores", "done", "ask", "least", "moved", "keep"])
 
 
@@ -301,13 +327,33 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -
     near = _adjacency(graph, nodes, buckets)
     start = queries.join(nodes, queries["query"] == nodes["node"])
     own = F.array("query")
-    beams = written(start.select("query", "code", "scale", own.alias("ids"), F.array(F.lit(float("inf")).cast("float")).alias("scores"), F.array(F.lit(True)).alias("done"), own.alias("ask"), F.lit(float("-inf")).cast("float").alias("least"), F.lit(True).alias("moved"), F.lit(1).alias("keep")), "beams")
+    beams = written(
+        start.select(
+            "query",
+            "code",
+            "scale",
+            own.alias("ids"),
+            F.array(F.lit(float("inf")).cast("float")).alias("scores"),
+            F.array(F.lit(True)).alias("done"),
+            own.alias("ask"),
+            F.lit(float("-inf")).cast("float").alias("least"),
+            F.lit(True).alias("moved"),
+            F.lit(1).alias("keep"),
+        ),
+        "beams",
+    )
     asking = beams.count()
     none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "binary"), ("scale", "float"))]
     for _ in range(MOST_STEPS):
         asked = beams.select("query", "code", "scale", "least", F.explode("ask").alias("node")).select("*", _bucket("node", buckets))
         found = asked.groupBy("bucket").cogroup(near.groupBy("bucket")).applyInPandas(_expanded, GRAPH)
-        found = found.select(F.col("node").alias("query"), *none, F.col("nbrs").alias("ids"), "scores", F.lit(None).cast("array<boolean>").alias("done"))
+        found = found.select(
+            F.col("node").alias("query"),
+            *none,
+            F.col("nbrs").alias("ids"),
+            "scores",
+            F.lit(None).cast("array<boolean>").alias("done"),
+        )
         old = beams.select("query", "code", "scale", "ids", "scores", "done")
         before = beams
         beams = written(old.union(found).select("*", _bucket("query", buckets)).groupBy("bucket").applyInPandas(_beam, BEAMS), "beams")

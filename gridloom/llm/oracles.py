@@ -36,7 +36,9 @@ def _places(kinds: list[tuple[str, str, str]]) -> str:
 m{k} AS (SELECT doc_id, unnest(regexp_extract_all(t, '{quoted}')) AS v, generate_subscripts(regexp_extract_all(t, '{quoted}'), 1) AS i, string_split_regex(t, '{quoted}') AS gaps FROM d WHERE regexp_matches(t, '{quoted}')),
 n{k} AS (SELECT doc_id, v, i, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) + sum(length(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM m{k}),
 h{k} AS (SELECT doc_id, {k} AS kind, '{name}' AS name, s::BIGINT AS s, (s + length(v))::BIGINT AS e FROM n{k} WHERE {keep})""")
-    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)," + ",".join(parts) + ", hits AS (" + " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(len(kinds))) + ")"
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)," + ",".join(parts) + ", hits AS (" + " UNION ALL ".join(
+        f"SELECT * FROM h{k}" for k in range(len(kinds))
+    ) + ")"
 
 
 def _counted(kinds: list[tuple[str, str, str]]) -> str:
@@ -58,8 +60,16 @@ _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _TWICE = f"list_transform(range(length({_DIGITS})), lambda i: {_DIGITS}[(length({_DIGITS}) - i)::BIGINT]::INT * (1 + i % 2))"
 PERSONAL = _counted([
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"len(list_filter(string_split(v, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0"),
-    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform({_TWICE}, lambda x: x // 10 + x % 10)) % 10 = 0"),
+    (
+        "ip",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"len(list_filter(string_split(v, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0",
+    ),
+    (
+        "card",
+        r"[0-9]([\x20-]?[0-9])+",
+        f"length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform({_TWICE}, lambda x: x // 10 + x % 10)) % 10 = 0",
+    ),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
 ])
 
@@ -87,7 +97,9 @@ def rules() -> str:
     stop = ", ".join(f"'{w}'" for w in all_stop_words())
     failed = []
     for r in quality_rules.RULES:
-        ok = [f"{r.numerator} >= {r.low}::DOUBLE * {r.denominator}"] * (r.low != float("-inf")) + [f"{r.numerator} <= {r.high}::DOUBLE * {r.denominator}"] * (r.high != float("inf"))
+        ok = [f"{r.numerator} >= {r.low}::DOUBLE * {r.denominator}"] * (r.low != float("-inf")) + [
+            f"{r.numerator} <= {r.high}::DOUBLE * {r.denominator}",
+        ] * (r.high != float("inf"))
         failed.append(f"CASE WHEN NOT ({' AND '.join(ok)}) THEN '{r.name}' END")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_words()} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),

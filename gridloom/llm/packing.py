@@ -57,7 +57,10 @@ def _encoder(path: str, ranks: str | None):
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return lambda t: np.asarray(fast.encode_to_numpy(t, disallowed_special=()), np.uint32) if PLAIN.search(t) is None and not any(a in t for a in added) else slow(t)
+    return lambda t: np.asarray(
+        fast.encode_to_numpy(t, disallowed_special=()),
+        np.uint32,
+    ) if PLAIN.search(t) is None and not any(a in t for a in added) else slow(t)
 
 
 def vocabulary() -> tuple[str, str]:
@@ -93,7 +96,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [
+                    batch.column("doc_id").take(pa.array(owner, pa.int64())),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -111,7 +120,9 @@ STEP = "struct<row:int,size:bigint,a:bigint,b:bigint,c:bigint,gaps:bigint>"
 def superstep(state: DataFrame, by_rank: bool, bundle: int, capacity: int) -> DataFrame:
     """The rows after one sweep: runs of pieces and gaps, and what it has placed. bundle: most equal pieces that go at once."""
     gap = F.col("row") == GAP
-    w = F.when(gap, F.lit(1)).otherwise(F.greatest(F.least(F.lit(bundle), F.col("a"), F.floor(F.lit(capacity) / F.col("size"))), F.lit(1))).cast("long")
+    w = F.when(gap, F.lit(1)).otherwise(
+        F.greatest(F.least(F.lit(bundle), F.col("a"), F.floor(F.lit(capacity) / F.col("size"))), F.lit(1)),
+    ).cast("long")
     u = state.where(F.col("row") != PLACED).select("row", "size", "a", "b", gap.alias("gap"), w.alias("w"))
     u = u.withColumn("v", F.col("size") * F.col("w")).withColumn("n", F.floor(F.col("a") / F.col("w")))
     gap, n = F.col("gap"), F.col("n")
@@ -140,15 +151,30 @@ def superstep(state: DataFrame, by_rank: bool, bundle: int, capacity: int) -> Da
     latest = lambda which: F.last(F.when(which & (F.col("take") > 0), run), ignorenulls=True).over(met.rowsBetween(*to_here))
     total = F.sum(F.when(gap, F.col("take"))).over(Window.partitionBy("group"))
     u = u.withColumns({"p": latest(~gap), "g": latest(gap), "m": F.coalesce(F.lead("at").over(met), total) - F.col("at")})
-    row = lambda kind, size, a, b, c=F.lit(None), gaps=F.lit(None): F.struct(F.lit(kind).alias("row"), *[x.cast("long").alias(n) for x, n in ((size, "size"), (a, "a"), (b, "b"), (c, "c"), (gaps, "gaps"))])
-    own = F.when(gap, row(GAP, F.col("size"), n - F.col("take"), F.col("b") + F.col("take"))).otherwise(row(PIECE, F.col("size"), F.col("a") - F.col("take") * F.col("w"), F.col("b") + F.col("take") * F.col("w")))
+    row = lambda kind, size, a, b, c=F.lit(None), gaps=F.lit(None): F.struct(
+        F.lit(kind).alias("row"),
+        *[x.cast("long").alias(n) for x, n in ((size, "size"), (a, "a"), (b, "b"), (c, "c"), (gaps, "gaps"))],
+    )
+    own = F.when(gap, row(GAP, F.col("size"), n - F.col("take"), F.col("b") + F.col("take"))).otherwise(
+        row(PIECE, F.col("size"), F.col("a") - F.col("take") * F.col("w"), F.col("b") + F.col("take") * F.col("w")),
+    )
     first = F.col("g.b") + F.col("at") - F.col("g.at")
     left = row(GAP, F.col("g.size") - F.col("p.size") * F.col("p.w"), F.col("m"), first)
     each = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("p.w") - 1),
-        lambda k: row(PLACED, F.col("p.size"), F.col("p.b") + k * F.col("p.take") + F.col("at") - F.col("p.at"), first, F.lit(capacity) - F.col("g.size") + k * F.col("p.size"), F.when(k == 0, F.col("m"))),
+        lambda k: row(
+            PLACED,
+            F.col("p.size"),
+            F.col("p.b") + k * F.col("p.take") + F.col("at") - F.col("p.at"),
+            first,
+            F.lit(capacity) - F.col("g.size") + k * F.col("p.size"),
+            F.when(k == 0, F.col("m")),
+        ),
     )
-    made = F.when((F.col("m") > 0) & F.col("p").isNotNull() & F.col("g").isNotNull(), F.concat(F.array(left), each)).otherwise(F.expr(f"cast(array() as array<{STEP}>)"))
+    made = F.when(
+        (F.col("m") > 0) & F.col("p").isNotNull() & F.col("g").isNotNull(),
+        F.concat(F.array(left), each),
+    ).otherwise(F.expr(f"cast(array() as array<{STEP}>)"))
     out = u.select(F.explode(F.concat(F.array(own), made)).alias("x")).select("x.*")
     return out.where((F.col("row") == PLACED) | ((F.col("size") > 0) & (F.col("a") > 0)))
 
@@ -160,7 +186,14 @@ def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = counts.sparkSession
     none = F.lit(None).cast("long")
-    state = counts.select(F.lit(PIECE).alias("row"), F.col("length").cast("long").alias("size"), F.col("n").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), none.alias("c"), none.alias("gaps"))
+    state = counts.select(
+        F.lit(PIECE).alias("row"),
+        F.col("length").cast("long").alias("size"),
+        F.col("n").cast("long").alias("a"),
+        F.lit(0).cast("long").alias("b"),
+        none.alias("c"),
+        none.alias("gaps"),
+    )
     tables: list[DataFrame] = []
     sequences, by_rank, dry = 0, False, False
     while True:
@@ -183,7 +216,14 @@ def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         dry = placed == 0 and (dry or by_rank)  # a rank sweep that places nothing is the last that these gaps need
         if not tables or dry or t["widest"] < t["shortest"]:
             new = max(t["large"], -(-t["volume"] // capacity))
-            opened = spark.range(1).select(F.lit(GAP).alias("row"), F.lit(capacity).cast("long").alias("size"), F.lit(new).cast("long").alias("a"), F.lit(sequences).cast("long").alias("b"), none.alias("c"), none.alias("gaps"))
+            opened = spark.range(1).select(
+                F.lit(GAP).alias("row"),
+                F.lit(capacity).cast("long").alias("size"),
+                F.lit(new).cast("long").alias("a"),
+                F.lit(sequences).cast("long").alias("b"),
+                none.alias("c"),
+                none.alias("gaps"),
+            )
             state, sequences, by_rank = state.union(opened), sequences + new, False
             usual = usual or capacity
         else:
@@ -194,7 +234,15 @@ def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = tables[0] if tables else state
     for table in tables[1:]:
         out = out.union(table)
-    plan = written(out.where(F.col("row") == PLACED).select(F.col("size").alias("length"), F.col("a").alias("rank"), F.col("b").alias("first"), F.col("c").alias("offset")), "plan")
+    plan = written(
+        out.where(F.col("row") == PLACED).select(
+            F.col("size").alias("length"),
+            F.col("a").alias("rank"),
+            F.col("b").alias("first"),
+            F.col("c").alias("offset"),
+        ),
+        "plan",
+    )
     delete(*tables)
     return plan
 

@@ -57,7 +57,12 @@ def _starts_many(windows: Column) -> Column:
 
     def of(s: Column) -> Column:
         same = lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])
-        return F.sort_array(F.transform(F.filter(s, lambda x, j: F.coalesce(same(x, j), F.lit(False)) | ((j > 0) & (F.get(s, F.greatest(j - 1, F.lit(0)))["h"] == x["h"]))), lambda x: x["i"]))
+        return F.sort_array(
+            F.transform(
+                F.filter(s, lambda x, j: F.coalesce(same(x, j), F.lit(False)) | ((j > 0) & (F.get(s, F.greatest(j - 1, F.lit(0)))["h"] == x["h"]))),
+                lambda x: x["i"],
+            ),
+        )
 
     return let(F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of)
 
@@ -98,7 +103,12 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     def judged(m: Column) -> Column:
         base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         failed = F.filter(F.array(*[F.when(~_passes(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-        return F.struct(*[m[k].alias(k) for k in NAMES], base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
+        return F.struct(
+            *[m[k].alias(k) for k in NAMES],
+            base.alias("base_failed"),
+            failed.alias("failed_rules"),
+            (~base & (F.size(failed) == 0)).alias("kept"),
+        )
 
     def measured(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
@@ -125,4 +135,7 @@ def _passes(rule: Rule, m: Column) -> Column:
 def op8(docs: DataFrame) -> DataFrame:
     q = F.col("quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept"]
-    return judge(docs.select("doc_id", "text")).select("doc_id", *[(F.array_join(q[n], ",") if n == "failed_rules" else q[n]).alias(n) for n in names])
+    return judge(docs.select("doc_id", "text")).select(
+        "doc_id",
+        *[(F.array_join(q[n], ",") if n == "failed_rules" else q[n]).alias(n) for n in names],
+    )

@@ -40,7 +40,14 @@ def queries() -> dict:
         "base_op1_targets": lambda spark, d: mixing.op1(documents(spark, d)).select("doc_id", "size", "source_size", "target"),
         "base_op2_spans": lambda spark, d: secret_scan.op2(documents(spark, d)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
         "base_op4_spans": lambda spark, d: sanitise.op4(documents(spark, d)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
-        "base_op6_places": lambda spark, d: license_scan.op6(documents(spark, d)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+        "base_op6_places": lambda spark, d: license_scan.op6(documents(spark, d)).select(
+            "doc_id",
+            "n_words",
+            "n_base",
+            "first_word",
+            "last_word",
+            "base_labels",
+        ),
     }
 
 

@@ -60,7 +60,10 @@ def luhn(digits: Column) -> Column:
 def base_spans(text: Column) -> Column:
     octet = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda q: (F.length(q) <= 3) & (F.expr("0") + q.try_cast("int") <= 255))
     ip = F.filter(places(text, IP), lambda x: F.forall(F.split(x["v"], r"\."), octet))
-    card = F.filter(places(text, CARD), lambda x: let(_digits(x["v"]), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(F.lit(False))))
+    card = F.filter(
+        places(text, CARD),
+        lambda x: let(_digits(x["v"]), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(F.lit(False))),
+    )
     phone = F.filter(places(text, PHONE), lambda x: F.length(_digits(x["v"])).between(10, 15))
     return F.sort_array(
         F.concat(
@@ -117,7 +120,10 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(c, t, ratio) of the terms that disclose at least GENERALISE of an entity."""
     n = found.count()
-    held = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x))))).alias("c"), "ctx")
+    held = found.where(F.size("base") > 0).select(
+        F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x))))).alias("c"),
+        "ctx",
+    )
     entities = written(held.groupBy("c").agg(F.count(F.lit(1)).alias("c_df")).where(F.col("c_df") >= SUPPORT), "pii-entities")
     # an entity may stand in a third of all documents, each with its whole context
     both = met(held, entities.select("c"), "c").select("c", F.explode("ctx").alias("t"))
@@ -142,7 +148,10 @@ def term_spans(rows: DataFrame, bad: DataFrame) -> DataFrame:
     # whole words of letters alone, so the pattern needs no quoting and no order
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("ws", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     kind = lambda x: F.when(F.array_contains("removed", x["v"]), F.lit(5)).otherwise(F.lit(4))
-    at = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["s"].alias("s"), kind(x).alias("k"), x["e"].alias("e"), F.lit("").alias("v")))
+    at = F.transform(
+        places(F.col("text"), pattern),
+        lambda x: F.struct(x["s"].alias("s"), kind(x).alias("k"), x["e"].alias("e"), F.lit("").alias("v")),
+    )
     return some.select("__k", at.alias("terms"))
 
 
@@ -154,7 +163,11 @@ def _row(t: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, terms) for each row of docs: base spans and disclosing terms, sorted, as (s, k, e, v)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", _row(t).alias("key"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), context(x, b).alias("ctx")))).alias("f"))
+    found = docs.select(
+        "doc_id",
+        _row(t).alias("key"),
+        let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), context(x, b).alias("ctx")))).alias("f"),
+    )
     found = written(found.select("doc_id", "key", "f.base", "f.ctx"), "pii")
     bad = written(disclosures(docs.select("text"), found).groupBy("t").agg(F.max("ratio").alias("ratio")), "pii-terms")
     terms = term_spans(docs.select(_row(t).alias("__k"), t.alias("text")), bad)
@@ -166,7 +179,10 @@ def scan(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data and disclosing terms in `text` replaced by the names of their kinds, or removed."""
     key, spans = fresh(docs, "key_of_row", "spans_of_row")
-    found = scan(docs.select("doc_id", "text")).select(F.col("key").alias(key), F.sort_array(F.concat("base", "terms")).alias(spans)).where(F.size(spans) > 0).dropDuplicates([key])
+    found = scan(docs.select("doc_id", "text")).select(
+        F.col("key").alias(key),
+        F.sort_array(F.concat("base", "terms")).alias(spans),
+    ).where(F.size(spans) > 0).dropDuplicates([key])
     names = F.array(*[F.lit("" if k == "removed_term" else f"[{k}]") for k in KINDS])
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn(key, _row(t)).join(found, key, "left")

@@ -116,7 +116,10 @@ def _bins(tests: Column) -> tuple[Column, Column]:
     """The bins of a token's two p-values: parts of decades of their negative logarithms; the battery's last bin is below LEAST_P."""
     deep = lambda p, most, each: F.floor(F.least(-F.log10(F.greatest(p, F.lit(1e-300))), F.lit(float(most))) * each).cast("int")
     last = round(-math.log10(LEAST_P))
-    random = F.when(tests["p_random"] >= LEAST_P, F.least(deep(tests["p_random"], last, RANDOM_BINS), F.lit(last * RANDOM_BINS - 1))).otherwise(last * RANDOM_BINS)
+    random = F.when(
+        tests["p_random"] >= LEAST_P,
+        F.least(deep(tests["p_random"], last, RANDOM_BINS), F.lit(last * RANDOM_BINS - 1)),
+    ).otherwise(last * RANDOM_BINS)
     return random, deep(tests["p_plain"], DEEPEST, PLAIN_BINS)
 
 
@@ -131,9 +134,16 @@ def limits(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], list[in
     The histogram on the driver has at most encodings x bands x 25 x 161 rows, for any input.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.select(F.explode(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("v")).select(_band(F.col("v")).alias("band"), battery(F.col("v")).alias("b"))
+    tokens = docs.select(
+        F.explode(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("v"),
+    ).select(_band(F.col("v")).alias("band"), battery(F.col("v")).alias("b"))
     random, plain = _bins(F.col("b"))
-    rows = tokens.select(F.coalesce(F.col("b.encoding"), F.lit("")).alias("encoding"), "band", random.alias("random"), plain.alias("plain")).groupBy("encoding", "band", "random", "plain").count().collect()
+    rows = tokens.select(
+        F.coalesce(F.col("b.encoding"), F.lit("")).alias("encoding"),
+        "band",
+        random.alias("random"),
+        plain.alias("plain"),
+    ).groupBy("encoding", "band", "random", "plain").count().collect()
     return accepted([tuple(r) for r in rows])
 
 
@@ -157,7 +167,12 @@ def accepted(rows: list[tuple[str, int, int, int, int]]) -> dict[tuple[str, int]
         if limit < 0:
             continue
         for encoding in {e for e, b, *_ in rows if b == band and e}:
-            out[encoding, band] = [next((q for q in range(DEEPEST * PLAIN_BINS + 1) if p_of((encoding, band), r, q) <= limit), DEEPEST * PLAIN_BINS + 1) for r in range(last)]
+            out[encoding, band] = [
+                next(
+                    (q for q in range(DEEPEST * PLAIN_BINS + 1) if p_of((encoding, band), r, q) <= limit),
+                    DEEPEST * PLAIN_BINS + 1,
+                ) for r in range(last)
+            ]
     return out
 
 
@@ -175,7 +190,10 @@ def all_spans(text: Column, limit: dict[tuple[str, int], list[int]]) -> Column:
         return let(battery(v), judged) if limit else F.lit(False)
 
     found = tagged(F.filter(places(text, TOKEN), lambda x: accept(x["v"])), 3)
-    return let(base_spans(text), lambda base: let(found, lambda extra: F.when(F.size(extra) == 0, base).otherwise(F.sort_array(F.concat(base, uncovered(extra, base))))))
+    return let(
+        base_spans(text),
+        lambda base: let(found, lambda extra: F.when(F.size(extra) == 0, base).otherwise(F.sort_array(F.concat(base, uncovered(extra, base))))),
+    )
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -187,7 +205,10 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each secret in its text replaced by the kind's name."""
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn(text, let(all_spans(t, limits(docs, text)), lambda x: F.when(F.size(x) == 0, F.col(text)).otherwise(replaced(t, x, names))))
+    return docs.withColumn(
+        text,
+        let(all_spans(t, limits(docs, text)), lambda x: F.when(F.size(x) == 0, F.col(text)).otherwise(replaced(t, x, names))),
+    )
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -117,7 +117,10 @@ def apart(spans: Column, base: Column) -> Column:
             y = F.get(x, n - 1 - i)
             return F.when(y["b"], y["x"]["s"]).otherwise(p), ~y["b"] & (p >= y["x"]["e"])
 
-        free = lambda l, r: F.filter(F.transform(x, lambda y, i: F.when(F.get(l, i) & F.get(r, n - 1 - i), y["x"])), lambda y: y.isNotNull())
+        free = lambda l, r: F.filter(
+            F.transform(x, lambda y, i: F.when(F.get(l, i) & F.get(r, n - 1 - i), y["x"])),
+            lambda y: y.isNotNull(),
+        )
         return let(running(n, F.lit(0), before, "boolean"), lambda l: let(running(n, F.lit((1 << 31) - 1), after, "boolean"), lambda r: free(l, r)))
 
     return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(let(_merged(spans, base), of))
