@@ -9,7 +9,8 @@ subtree goes as soon as the shingles left on either side cannot reach the overla
 all of it is in the same component already. A block gives a spanning forest of its links, not the pairs.
 
 Whole sets are shipped only where two of them may link by their parity maps, which never overstate a difference: first maps
-of about a bit for each shingle, then, of what these leave, maps of FINE times as many. Both are made anew from the texts.
+of about a bit for each shingle, then, of what these leave, maps of FINE times as many. Both are made anew from the texts: candidates'
+ids go to them by broadcast or, where they are too many, texts that a bitmap of those ids lets through are shuffled.
 
 Blocks of more than BLOCK sets are dealt into chunks. What lies outside a block's largest component
 after that meets the rest of the block in groups of a chunk and a bounded part of the asking sets, so no link between different
@@ -38,6 +39,8 @@ FINE = 4
 #: The most frequent shingles that every task orders last (16 bytes each): at most so many, of so many documents.
 HEAVY, HEAVY_FROM, SEEN = 150_000, 8, 3
 HIGH = np.int64(1 << 62)
+#: Bits that mark candidates' ids where these are too many to be broadcast: a table of at most MARKS / 64 rows.
+MARKS = 1 << 25
 
 
 def needed(n: int) -> int:
@@ -182,7 +185,8 @@ def with_sets(docs: DataFrame, rows: DataFrame, heavy, fine: int | None = None)
                 columns = [part.column(c) for c in names] + [pa.array([len(s) for s in sets], pa.int64()), held]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n", "held"]).filter(same)
 
-    mine = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select(
+    texts = docs.select("doc_id", "text")
+    mine = (texts.join(F.broadcast(rows), "doc_id") if few else _marked(texts, rows).join(rows, "doc_id")).select(
         "text",
         "block",
         "sid",
@@ -193,6 +197,17 @@ def with_sets(docs: DataFrame, rows: DataFrame, heavy, fine: int | None = None)
     return mine.mapInArrow(emit, "bucket long, block long, sid long, query boolean, comp long, n long, held binary")
 
 
+def _marked(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts without most of those whose doc_id is not in rows, so that few others are shuffled; none that is goes.
+
+    The bitmap of hashed ids has a fixed size: up to some three million ids it lets a tenth of the others through, and of far more nearly all.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {MARKS}) & 63 as int))")
+    marks = written(rows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+    return texts.join(F.broadcast(marks), (word == marks["word"]) & (marks["bits"].bitwiseAND(bit) != 0), "left_semi")
+
+
 def _repeats(docs: DataFrame) -> bool:
     """Whether an id stands on several rows."""
     return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
