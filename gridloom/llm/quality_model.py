@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, all_stop_words, fresh, let, split_words, written
+from .common import BROADCAST_ROWS, WORD, all_stop_words, fresh, let, split_words, written
 
 SHRINK_POOLED, SHRINK_IDENTITY = 0.1, 0.02
 KEEP_AT = 0.7
@@ -126,13 +126,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _usable(labels: DataFrame) -> DataFrame:
+    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("label"))
+    return own.where(F.col("label").isNotNull() & ~held_out(F.col("__id")))
+
+
 def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    own = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("__id")))
+    own = _usable(labels)
     return stats.join(own, stats["doc_id"] == own["__id"]).select("x", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(_labelled(docs.where(~held_out(F.col("doc_id"))).select("doc_id", statistics(F.col("text")).alias("x")), labels))
+    """From the texts with labels that may be learnt from; only these are measured where so few ids can be broadcast."""
+    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    ids = _usable(labels).select("__id").distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ids), rows["doc_id"] == ids["__id"], "left_semi")
+    return fit(_labelled(rows.select("doc_id", statistics(F.col("text")).alias("x")), labels))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
