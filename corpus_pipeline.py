@@ -1,7 +1,7 @@
 """A pipeline over documents: quality, lines, near duplicates, source weights, sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents.
-run() writes what a stage gives to the shared folder and reads it again as the next one's docs.
+run() writes what a stage gives to the shared folder and reads it again as the next one's docs; what no later stage reads is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard_join, line_dedup, mixing, packing, quality_model
-from gridloom.llm.common import documents, written
+from gridloom.llm.common import delete, documents, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, "stage-" + name.replace(" ", "-"))
+            out = written(out, "stage-" + name.replace(" ", "-"))
+            if i:
+                delete(docs)
+        docs = out
     return docs
