@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let
+from .common import fresh, let, written
 from .spans import count_of, joined, none, places, replaced, tagged, uncovered
 
 #: Patterns and alphabets (fixed values).
@@ -128,34 +128,45 @@ def _fisher(p: float, q: float) -> float:
     return x * (1 - math.log(x))
 
 
-def limits(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], list[int]]:
-    """By encoding and length band, for each bin of the battery the least bin of the changes that is a discovery.
+def tested(text: Column) -> Column:
+    """The candidates of a text with their places, encoding (empty for none), length band and bins."""
+
+    def judged(x: Column) -> Column:
+        def bins(tests: Column) -> Column:
+            random, plain = _bins(tests)
+            encoding = F.coalesce(tests["encoding"], F.lit(""))
+            names = {"encoding": encoding, "band": _band(x["v"]), "random": random, "plain": plain}
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), *[c.alias(n) for n, c in names.items()])
+
+        return let(battery(x["v"]), bins)
+
+    return F.transform(places(text, TOKEN), judged)
+
+
+def limits(tokens: DataFrame) -> dict[tuple[str, int], list[int]]:
+    """By encoding and length band, for each bin of the battery the least bin of the changes that is a discovery; from rows of one column, tested().
 
     The histogram on the driver has at most encodings x bands x 25 x 161 rows, for any input.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.select(
-        F.explode(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("v"),
-    ).select(_band(F.col("v")).alias("band"), battery(F.col("v")).alias("b"))
-    random, plain = _bins(F.col("b"))
-    rows = tokens.select(
-        F.coalesce(F.col("b.encoding"), F.lit("")).alias("encoding"),
-        "band",
-        random.alias("random"),
-        plain.alias("plain"),
-    ).groupBy("encoding", "band", "random", "plain").count().collect()
+    rows = tokens.select(F.explode(tokens.columns[0]).alias("x")).groupBy("x.encoding", "x.band", "x.random", "x.plain").count().collect()
     return accepted([tuple(r) for r in rows])
 
 
 def accepted(rows: list[tuple[str, int, int, int, int]]) -> dict[tuple[str, int], list[int]]:
     """limits() from (encoding, band, random, plain, count)."""
     last = round(-math.log10(LEAST_P)) * RANDOM_BINS
-    ordinary: dict[tuple[str, int], list[int]] = {}
+    ordinary: dict[tuple[str | None, int | None], list[int]] = {}
     for encoding, band, random, plain, n in rows:
         if plain <= -math.log10(ORDINARY_FROM) * PLAIN_BINS:
-            ordinary.setdefault((encoding, band), [0] * (last + 1))[random] += n
+            for k in ((encoding, band), (encoding, None), (None, None)):
+                ordinary.setdefault(k, [0] * (last + 1))[random] += n
     as_random = {k: [(1 + sum(by[: r + 1])) / (1 + sum(by)) for r in range(last + 1)] for k, by in ordinary.items()}
-    p_of = lambda k, random, plain: _fisher(as_random[k][random] if k in as_random else 1.0, 10 ** (-plain / PLAIN_BINS))
+
+    def p_of(k: tuple[str, int], random: int, plain: int) -> float:
+        # without ordinary tokens of the encoding and band, those of the encoding, then all
+        null = next((as_random[x] for x in (k, (k[0], None), (None, None)) if x in as_random), None)
+        return _fisher(null[random] if null else 1.0, 10 ** (-plain / PLAIN_BINS))
+
     out: dict[tuple[str, int], list[int]] = {}
     for band in range(len(BANDS)):
         ps = sorted((1.0 if random == last else p_of((encoding, band), random, plain), n) for encoding, b, random, plain, n in rows if b == band)
@@ -176,29 +187,39 @@ def accepted(rows: list[tuple[str, int, int, int, int]]) -> dict[tuple[str, int]
     return out
 
 
-def all_spans(text: Column, limit: dict[tuple[str, int], list[int]]) -> Column:
-    """Base spans and those of the battery that no base span covers, sorted."""
+def all_spans(base: Column, tokens: Column, limit: dict[tuple[str, int], list[int]]) -> Column:
+    """base_spans() and those of tested() within the limits that no base span covers, sorted."""
 
-    def accept(v: Column) -> Column:
-        def judged(tests: Column) -> Column:
-            need = F.lit(None).cast("array<int>")
-            for (encoding, band), by_random in limit.items():
-                need = F.when((tests["encoding"] == encoding) & (_band(v) == band), F.array(*map(F.lit, by_random))).otherwise(need)
-            random, plain = _bins(tests)
-            return F.coalesce(plain >= F.get(need, random), F.lit(False))
-
-        return let(battery(v), judged) if limit else F.lit(False)
+    def accept(x: Column) -> Column:
+        need = F.lit(None).cast("array<int>")
+        for (encoding, band), by_random in limit.items():
+            need = F.when((x["encoding"] == encoding) & (x["band"] == band), F.array(*map(F.lit, by_random))).otherwise(need)
+        return F.coalesce(x["plain"] >= F.get(need, x["random"]), F.lit(False))
 
-    found = tagged(F.filter(places(text, TOKEN), lambda x: accept(x["v"])), 3)
+    found = tagged(F.filter(tokens, accept if limit else lambda x: F.lit(False)), 3)
     return let(
-        base_spans(text),
-        lambda base: let(found, lambda extra: F.when(F.size(extra) == 0, base).otherwise(F.sort_array(F.concat(base, uncovered(extra, base))))),
+        base,
+        lambda own: let(found, lambda extra: F.when(F.size(extra) == 0, own).otherwise(F.sort_array(F.concat(own, uncovered(extra, own))))),
     )
 
 
+def secrets_of(docs: DataFrame, text: str = "text") -> Column:
+    """Expression of the spans of docs' texts, by limits over all of them."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return all_spans(base_spans(t), tested(t), limits(docs.select(tested(t))))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `secrets`, an array of (s, k, e, v): start, index into KINDS, end and value."""
-    return docs.withColumn(fresh(docs, "secrets")[0], all_spans(F.coalesce(F.col(text), F.lit("")), limits(docs, text)))
+    return docs.withColumn(fresh(docs, "secrets")[0], secrets_of(docs, text))
+
+
+def found(docs: DataFrame, text: str = "text") -> DataFrame:
+    """scan() without the text: that is read once, and what it holds is written before the limits are known."""
+    base, tokens, secrets = fresh(docs, "base", "tokens", "secrets")
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = written(docs.withColumns({base: base_spans(t), tokens: tested(t)}).drop(text), "secrets")
+    return rows.withColumn(secrets, all_spans(F.col(base), F.col(tokens), limits(rows.select(tokens)))).drop(base, tokens)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -207,14 +228,13 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumn(
         text,
-        let(all_spans(t, limits(docs, text)), lambda x: F.when(F.size(x) == 0, F.col(text)).otherwise(replaced(t, x, names))),
+        let(secrets_of(docs, text), lambda x: F.when(F.size(x) == 0, F.col(text)).otherwise(replaced(t, x, names))),
     )
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text"))
     spans = F.col("secrets")
-    return found.select(
+    return found(docs.select("doc_id", "text")).select(
         "doc_id",
         *[count_of(spans, k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(F.filter(spans, lambda x: x["k"] < 3), KINDS), 256).alias("base_sha256"),
