@@ -206,7 +206,7 @@ def all_spans(base: Column, tokens: Column, limit: dict[tuple[str, int], list[in
 def secrets_of(docs: DataFrame, text: str = "text") -> Column:
     """Expression of the spans of docs' texts, by limits over all of them."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return all_spans(base_spans(t), tested(t), limits(docs.select(tested(t))))
+    return all_spans(base_spans(t), tested(t), limits(docs.select(tested(t).alias("tokens"))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
