@@ -297,6 +297,14 @@ def test_links_from_json_are_taken_whole_or_not_at_all(spark):
     assert link_json.imported(make(), stored).count() == 1
 
 
+def test_an_object_is_read_once_a_row(spark):
+    """However often the rules name the parts of an object, what makes its text stands once in the plan, and its keys are listed once."""
+    made = spark.range(1).select(F.to_json(F.struct("id")).alias("json"))
+    plan = link_json.parsed(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("StructsToJson"), plan.count("jsonObjectKeys"), plan.count("json_tuple")) == (1, 1, 1), plan
+    assert link_json.parsed(made).first()["problem"] == "unknown field id"
+
+
 FORECAST = {"initial_timestamp": "2024-01-01T00:00:00Z", "resolution": "PT1H", "horizon": "PT2H", "interval": "P1D", "count": 2, "name": "x"}
 
 
