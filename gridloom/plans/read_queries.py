@@ -37,10 +37,14 @@ def _range(where: str, span):
 def _static_range(spark, d):
     """Every step that is left, with its instant, of hourly, monthly and irregular series alike."""
     cut = _range("time_series_type < 2", _STATIC)(spark, d)
-    steps = cut.select("assoc_id", "resolution", "initial_timestamp", "timestamps", F.posexplode("values").alias("idx", "v"))
+    # the resolution is parsed once a series, before its steps are exploded
+    period = Periods.of(F.col("resolution"))
+    cut = cut.select("assoc_id", "initial_timestamp", "timestamps", "values", period.kind.alias("__kind"), period.n.alias("__n"))
+    stamped = F.transform("values", lambda v, i: F.struct(v.alias("v"), F.get("timestamps", i).alias("t")))
+    steps = cut.select("assoc_id", "initial_timestamp", "__kind", "__n", F.posexplode(stamped).alias("idx", "x"))
     i = F.col("idx").cast("long")
-    t = F.coalesce(F.get("timestamps", F.col("idx")), Periods.of(F.col("resolution")).add(F.col("initial_timestamp"), i))
-    return steps.select("assoc_id", i.alias("idx"), t.alias("t"), F.col("v").cast("long").alias("v"))
+    t = F.coalesce(F.col("x.t"), Periods(F.col("__kind"), F.col("__n")).add(F.col("initial_timestamp"), i))
+    return steps.select("assoc_id", i.alias("idx"), t.alias("t"), F.col("x.v").cast("long").alias("v"))
 
 
 def _window_range(spark, d):
