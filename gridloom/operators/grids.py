@@ -1,6 +1,7 @@
 """Wide tables of static series: a row for each instant, a column for each series, or for each element of its steps.
 
-The arrays of a table's columns are brought into one row and exploded side by side: no step is shuffled.
+The arrays of a table's columns are brought into one row and exploded side by side: no step is shuffled. A table of more
+columns than Spark's plans can name is dealt into blocks of columns, which are arrays; see blocks().
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, NotFound
 from ..functions.period import Period
-from .ranges import step_width
+from ..functions.tables import written
+from .ranges import step_width, up_to
 
-#: A table has at most so many columns.
+#: A table has at most so many columns; wider ones are read by blocks().
 MOST_COLUMNS = 4000
+#: So many series stand side by side in a block.
+BLOCK = 256
 
 
 def side_by_side(rows: DataFrame, by: list[str], label: str, labels: list[str], resolution: Period) -> DataFrame:
@@ -41,7 +45,7 @@ def headers(series: DataFrame, label: str = "auto") -> list[tuple]:
     if not rows:
         raise NotFound("no series matches")
     if sum(r["width"] for r in rows) > MOST_COLUMNS:
-        raise InvalidParameter(f"more than {MOST_COLUMNS} columns")
+        raise InvalidParameter(f"more than {MOST_COLUMNS} columns: read them by blocks")
     bare = label == "owner" or (label == "auto" and len({r["name"] for r in rows}) == 1)
     out = []
     for r in rows:
@@ -53,6 +57,40 @@ def headers(series: DataFrame, label: str = "auto") -> list[tuple]:
     return out
 
 
+def blocks(series: DataFrame, by: list[str], resolution: Period, label: str = "auto") -> DataFrame:
+    """(block, t, columns, cells): the table of grid() with any number of columns, BLOCK series of it a row, in the order of by.
+
+    columns are names as those of headers(), cells their values at t. Names, grids and errors are those of grid().
+    """
+    held = written(series.select(*dict.fromkeys([*by, "owner_id", "name"]), "initial_timestamp", step_width().alias("__width"), "values"), "grid")
+    seen = held.agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("a"), F.max("name").alias("b"), *[
+        f("initial_timestamp").alias(k) for k, f in (("first", F.min), ("last", F.max))
+    ]).first()
+    if not seen["n"]:
+        raise NotFound("no series matches")
+    if seen["first"] != seen["last"]:
+        raise InvalidParameter("the series do not share one grid")
+    bare = label == "owner" or (label == "auto" and seen["a"] == seen["b"])
+    name = F.col("owner_id").cast("string") if bare else F.concat_ws("@", "name", "owner_id")
+    if held.groupBy(name.alias("k")).count().where("count > 1").limit(1).count():
+        raise InvalidParameter("two columns would have one name: choose full labels")
+    # numbers grow with the order, and those of one partition follow each other
+    numbered = held.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__n", F.monotonically_increasing_id())
+    numbered = written(numbered.withColumn("__name", name), "numbered")
+    groups = numbered.groupBy(F.floor(F.col("__n") / BLOCK).alias("block"), "initial_timestamp").agg(
+        F.array_sort(F.collect_list(F.struct("__n", "__name", "__width", "values"))).alias("__held")
+    )
+    element = lambda x, e: F.when(x["__width"] == 1, x["__name"]).otherwise(F.concat(x["__name"], F.lit("["), e.cast("string"), F.lit("]")))
+    of = lambda x, fn: F.transform(F.sequence(F.lit(0).cast("long"), x["__width"] - 1), fn)
+    columns = F.flatten(F.transform("__held", lambda x: of(x, lambda e: element(x, e))))
+    length = F.array_max(F.transform("__held", lambda x: F.floor(F.size(x["values"]) / x["__width"])))
+    # a series that ends early has no further cells
+    row = lambda i: F.flatten(F.transform("__held", lambda x: of(x, lambda e: F.get(x["values"], (i * x["__width"] + e).cast("int")))))
+    rows = F.transform(up_to(length), row)
+    out = groups.select("block", "initial_timestamp", columns.alias("columns"), F.posexplode(rows).alias("__i", "cells"))
+    return out.select("block", resolution.add(F.col("initial_timestamp"), F.col("__i").cast("long")).alias("t"), "columns", "cells")
+
+
 def grid(series: DataFrame, resolution: Period, label: str = "auto", where: Column | None = None) -> DataFrame:
     """(t, columns) of series (owner_id, name, element_shape, time_series_type, initial_timestamp, values) that share one grid."""
     grids = series.select("initial_timestamp").distinct().limit(2).count()

@@ -158,9 +158,9 @@ SELECT assoc_id, unnest(list_filter([
 def _bare_grid(spark, d):
     """Owners' columns of one series name, brought back to rows."""
     rows = fx.associations(spark, d).where("time_series_type = 0 and name = 'view'").join(fx.arrays(spark, d), "data_hash")
-    wide = grids.grid(rows.orderBy("owner_id"), HOUR)
-    long = wide.unpivot(["t"], [c for c in wide.columns if c != "t"], "label", "v")
-    return long.select("t", "label", F.col("v").cast("long").alias("v"))
+    wide = grids.blocks(rows, ["owner_id"], HOUR)
+    long = wide.select("t", F.explode(F.arrays_zip(F.col("columns").alias("label"), F.col("cells").alias("v"))).alias("x"))
+    return long.select("t", "x.label", F.col("x.v").cast("long").alias("v"))
 
 
 def _element_grid(spark, d):

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.period import Period
-from gridloom.operators import series
+from gridloom.errors import InvalidParameter, NotFound
+from gridloom.operators import grids, series
 from gridloom.plans import fixtures, read_queries
 
 SMOKE = "/root/testdata/sf0.001"
@@ -40,3 +42,21 @@ def test_no_window_carries_the_whole_array(spark):
     assert got == [(w, h, 2 * w + h, hour(2 * w), hour(2 * w + h)) for w in (1, 2) for h in range(4)]
     explode = [line for line in optimised(out) if "Generate" in line]
     assert len(explode) == 2 and "slice" in explode[1], explode
+
+
+def test_a_grid_may_have_more_columns_than_a_plan(spark):
+    n = grids.MOST_COLUMNS + 300
+    kinds = F.lit(0).alias("time_series_type"), F.expr("cast(array() as array<int>)").alias("element_shape")
+    values = F.array(F.col("id").cast("double"), -F.col("id").cast("double"))
+    rows = spark.range(n).select(F.col("id").alias("owner_id"), F.lit("load").alias("name"), F.lit(T0).cast("timestamp_ntz").alias("initial_timestamp"), *kinds, values.alias("values"))
+    got = grids.blocks(rows, ["owner_id"], HOUR).orderBy("block", "t").collect()
+    for k, sign in ((0, 1), (1, -1)):
+        at = [r for r in got if r["t"] == T0 + dt.timedelta(hours=k)]
+        assert [c for r in at for c in r["columns"]] == [str(i) for i in range(n)]
+        assert [v for r in at for v in r["cells"]] == [sign * i for i in range(n)]
+    pair = rows.where("owner_id < 3").withColumns({"element_shape": F.array(F.lit(2)), "name": F.concat(F.lit("n"), F.col("owner_id") % 2)})
+    assert [(r["columns"], r["cells"]) for r in grids.blocks(pair, ["owner_id"], HOUR).collect()] == [(["n0@0[0]", "n0@0[1]", "n1@1[0]", "n1@1[1]", "n0@2[0]", "n0@2[1]"], [0, 0, 1, -1, 2, -2])]
+    late = rows.where("owner_id < 3").withColumn("initial_timestamp", F.col("initial_timestamp") + F.make_dt_interval(F.col("owner_id")))
+    for wrong, label, error in ((rows.where("false"), "auto", NotFound), (late, "auto", InvalidParameter), (rows.unionByName(rows), "owner", InvalidParameter)):
+        with pytest.raises(error):
+            grids.blocks(wrong, ["owner_id"], HOUR, label)
