@@ -19,3 +19,10 @@ def delete(spark: SparkSession, path: str) -> None:
     """A folder with all that it holds."""
     fs, where = _at(spark, path)
     fs.delete(where, True)
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """A path as a URI with its file system."""
+    fs, where = _at(spark, path)
+    full = fs.makeQualified(where).toUri().toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full

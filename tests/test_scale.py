@@ -9,6 +9,7 @@ from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
 from gridloom.operators import grids, series
 from gridloom.plans import fixtures, read_queries
+from gridloom.sources import series_files
 
 SMOKE = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -60,3 +61,20 @@ def test_a_grid_may_have_more_columns_than_a_plan(spark):
     for wrong, label, error in ((rows.where("false"), "auto", NotFound), (late, "auto", InvalidParameter), (rows.unionByName(rows), "owner", InvalidParameter)):
         with pytest.raises(error):
             grids.blocks(wrong, ["owner_id"], HOUR, label)
+
+
+def test_files_of_series_are_made_without_their_steps(spark, tmp_path):
+    """One row a series goes to the files, odd values come back, and a path that exists is refused."""
+    odd = [1.5, None, float("inf"), -1e300, 0.1]
+    kinds = "assoc_id long, owner_id long, owner_type string, name string, time_series_type int, resolution string, interval string, initial_timestamp timestamp_ntz, values array<double>"
+    table = spark.createDataFrame([(i, i, "Generator", "é" if i else "x y", 0, "PT1H", None, T0, odd if i < 2 else []) for i in range(3)], kinds)
+    at = str(tmp_path / "f g")
+    names = {r["assoc_id"]: r["stem"] for r in series_files.write(table, HOUR, at).collect()}
+    held = sorted((tmp_path / "f g").rglob("part-*"))
+    assert len(held) == 2 and {p.parent.name for p in held} == {f"stem={names[0]}", f"stem={names[1]}"}
+    assert held[0].read_text().split("\n")[:3] == ["timestamp,value", "2024-01-01T00:00:00Z,1.5", "2024-01-01T01:00:00Z,"]
+    got = sorted((r["stem"], r["t"], r["v"]) for r in series_files.read(spark, at).where("stem like '%x_y'").collect())
+    assert got == [(names[0], T0 + dt.timedelta(hours=i), v) for i, v in enumerate(odd)]
+    with pytest.raises(InvalidParameter):
+        series_files.write(table, HOUR, at)
+    assert not [p for p in (tmp_path / "f g").rglob("*") if p.name.startswith(".")]
