@@ -17,7 +17,7 @@ from ..errors import DuplicateTimeSeries, InvalidParameter, NotFound
 from ..functions.hashing import array_hash
 from ..functions.parse import DERIVED, DETERMINISTIC
 from ..functions.period_columns import Periods
-from ..functions.tables import written
+from ..functions.tables import ARRAY_ROWS, written
 from ..schema import IDENTITY
 from .ranges import long, step_width, windows_of_single
 from .sets import family_conflicts
@@ -75,7 +75,7 @@ def landed(source: Catalog) -> Catalog:
         raise InvalidParameter("a view's horizon or interval is no multiple of its resolution")
     if plans.join(source.arrays.select("data_hash"), "data_hash", "left_anti").limit(1).count():
         raise NotFound("a view's array is not stored")
-    dense = written(dense_arrays(views, source.arrays), "dense")
+    dense = written(dense_arrays(views, source.arrays), "dense", ARRAY_ROWS)
     named = dense.select(*PLAN, "new_hash", F.element_at("shape", 1).cast("long").alias("__steps"))
     changed = {
         "data_hash": F.col("new_hash"),

@@ -110,10 +110,10 @@ def _refused(spark, d):
 def _content(spark, d):
     """The catalog and its arrays under the hashes of their content."""
     arrays = fx.arrays(spark, d)
-    from ..functions.tables import written
+    from ..functions.tables import ARRAY_ROWS, written
     from ..operators.merging import _hashed
 
-    hashed = written(_hashed(arrays), "hashed")
+    hashed = written(_hashed(arrays), "hashed", ARRAY_ROWS)
     rows = fx.associations(spark, d).join(hashed.select("data_hash", "new_hash"), "data_hash")
     rows = rows.withColumn("data_hash", F.col("new_hash")).drop("new_hash").withColumn("percentiles", F.lit(None).cast("array<double>"))
     return rows, hashed

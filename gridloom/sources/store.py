@@ -20,7 +20,7 @@ from ..functions.elements import ElementType
 from ..functions.hashing import array_hash, features_hash, timestamps_hash_column
 from ..functions.parse import DERIVED, DETERMINISTIC, IRREGULAR, PROBABILISTIC, SCENARIOS, SINGLE
 from ..functions.period import Period, instant, whole_millis
-from ..functions.tables import written
+from ..functions.tables import ARRAY_ROWS, written
 from ..operators import catalog, diagnostics, links, merging, ranges, series, sets
 from ..operators.filters import ListFilter, resolve_one
 from ..schema import FEATURE, RESERVED_FEATURES, TABLES
@@ -210,7 +210,7 @@ class Store:
                 timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))),
             ),
         ).withColumn("__n", n)
-        self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming"), known, replace)
+        self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming", ARRAY_ROWS), known, replace)
 
     def _add_hashed(self, rows: DataFrame, known: list[str], replace: bool) -> None:
         problem = F.coalesce(self._problems(rows), self._misshapen(known))

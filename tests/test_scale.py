@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
+from gridloom.functions.tables import ARRAY_ROWS, written
 from gridloom.operators import grids, series
 from gridloom.plans import fixtures, read_queries
 from gridloom.sources import series_files
@@ -78,3 +80,16 @@ def test_files_of_series_are_made_without_their_steps(spark, tmp_path):
     with pytest.raises(InvalidParameter):
         series_files.write(table, HOUR, at)
     assert not [p for p in (tmp_path / "f g").rglob("*") if p.name.startswith(".")]
+
+
+def test_few_arrays_go_to_python_at_once(spark):
+    """What hashes arrays takes them in small batches, and the session keeps its own setting."""
+
+    @F.pandas_udf("long")
+    def size(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 2000, 1, 1).withColumn("n", size("id"))
+    assert written(rows, "few", ARRAY_ROWS).agg(F.max("n")).first()[0] == ARRAY_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
