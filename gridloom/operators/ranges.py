@@ -32,7 +32,12 @@ def windows_of_single(values: Column, steps: Column, first: Column, count: Colum
             up_to(count), lambda c: F.slice(values, (((first + c) * stride + h) * width + 1).cast("int"), width.cast("int"))
         )
     )
-    return F.flatten(F.transform(up_to(steps), row))
+    cut = F.flatten(F.transform(up_to(steps), row))
+    # where no window reaches past the array, a step of one value is taken as it is, without a slice of its own
+    inside = (width == 1) & (steps > 0) & (count > 0) & (((first + count - 1) * stride + steps) <= F.size(values))
+    places = F.sequence(long(0), F.greatest(steps * count, long(1)) - 1)
+    single = F.transform(places, lambda p: F.get(values, ((first + p % count) * stride + F.floor(p / count)).cast("int")))
+    return F.when(inside, single).otherwise(cut)
 
 
 def windows_of_dense(values: Column, count: Column, first: Column, chosen: Column, width: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
 from gridloom.functions.tables import ARRAY_ROWS, written
-from gridloom.operators import grids, series
+from gridloom.operators import grids, ranges, series
 from gridloom.plans import fixtures, read_queries
 from gridloom.sources import series_files
 
@@ -93,3 +93,14 @@ def test_few_arrays_go_to_python_at_once(spark):
     rows = spark.range(0, 2000, 1, 1).withColumn("n", size("id"))
     assert written(rows, "few", ARRAY_ROWS).agg(F.max("n")).first()[0] == ARRAY_ROWS
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_windows_of_one_value_a_step_are_not_sliced(spark):
+    """The dense array of a view, whole, by a later first window, with pairs, and where the array ends too early."""
+    cases = [(10, 4, 0, 3, 2, 1), (10, 4, 1, 3, 2, 1), (8, 2, 0, 2, 1, 2), (10, 4, 0, 4, 3, 1), (4, 4, 0, 1, 0, 1), (4, 2, 0, 0, 1, 1)]
+    rows = spark.createDataFrame([(list(map(float, range(n))), s, f, c, t, w) for n, s, f, c, t, w in cases], "v array<double>, s long, f long, c long, t long, w long")
+    out = rows.select("*", ranges.windows_of_single(*map(F.col, "vsfctw")).alias("got"))
+    for r in out.collect():
+        want = [((r["f"] + c) * r["t"] + h) * r["w"] + e for h in range(r["s"]) for c in range(r["c"]) for e in range(r["w"])]
+        assert r["got"] == [float(p) for p in want if p < len(r["v"])], r
+    assert any("CASE WHEN" in line for line in optimised(out)), optimised(out)
