@@ -17,10 +17,10 @@ from ..errors import DuplicateTimeSeries, InvalidParameter, NotFound
 from ..functions.hashing import array_hash
 from ..functions.parse import DERIVED, DETERMINISTIC
 from ..functions.period_columns import Periods
-from ..functions.tables import ARRAY_ROWS, written
+from ..functions.tables import ARRAY_ROWS, held, written
 from ..schema import IDENTITY
 from .ranges import long, step_width, windows_of_single
-from .sets import family_conflicts
+from .sets import chosen, family_conflicts, first_rows
 
 #: What decides the dense array of a view.
 PLAN = ("data_hash", "resolution", "horizon", "interval", "count")
@@ -52,7 +52,7 @@ def dense_arrays(views: DataFrame, arrays: DataFrame) -> DataFrame:
     steps = resolution.divide_into(Periods.of(F.col("horizon")))
     stride = F.when(interval.n == 0, long(0)).otherwise(resolution.divide_into(interval))
     rows = plans.withColumns({"__steps": steps, "__stride": stride, "__width": step_width(), "__count": F.col("count").cast("long")})
-    rows = rows.join(arrays.select("data_hash", "dtype", "values", "exact"), "data_hash")
+    rows = held(rows).join(arrays.select("data_hash", "dtype", "values", "exact"), "data_hash")
     of = lambda c: windows_of_single(F.col(c), F.col("__steps"), long(0), F.col("__count"), F.col("__stride"), F.col("__width"))
     gathered = {c: F.when(F.col(c).isNotNull(), of(c)) for c in ("values", "exact")}
     shape = F.concat(F.array("__steps", "__count").cast("array<int>"), F.coalesce("element_shape", F.expr("cast(array() as array<int>)")))
@@ -68,6 +68,10 @@ def landed(source: Catalog) -> Catalog:
     """
     is_view = F.col("time_series_type") == DERIVED
     views = source.associations.where(is_view)
+    rest = source.associations.where(~F.coalesce(is_view, F.lit(False)))
+    arrays = source.arrays.join(held(rest.select("data_hash").distinct()), "data_hash", "left_semi").select(*source.arrays.columns)
+    if views.isEmpty():
+        return Catalog(rest, arrays)
     plans = views.select(*PLAN).distinct()
     resolution, horizon, interval = (Periods.of(F.col(c)) for c in ("resolution", "horizon", "interval"))
     whole = resolution.divide_into(horizon).isNotNull() & ((interval.n == 0) | resolution.divide_into(interval).isNotNull())
@@ -75,7 +79,7 @@ def landed(source: Catalog) -> Catalog:
         raise InvalidParameter("a view's horizon or interval is no multiple of its resolution")
     if plans.join(source.arrays.select("data_hash"), "data_hash", "left_anti").limit(1).count():
         raise NotFound("a view's array is not stored")
-    dense = written(dense_arrays(views, source.arrays), "dense", ARRAY_ROWS)
+    dense = written(dense_arrays(views, source.arrays).withColumn("__row", F.monotonically_increasing_id()), "dense", ARRAY_ROWS)
     named = dense.select(*PLAN, "new_hash", F.element_at("shape", 1).cast("long").alias("__steps"))
     changed = {
         "data_hash": F.col("new_hash"),
@@ -84,10 +88,9 @@ def landed(source: Catalog) -> Catalog:
         "time_series_type": F.lit(DETERMINISTIC).cast(source.associations.schema["time_series_type"].dataType),
     }
     moved = views.join(named, list(PLAN)).withColumns(changed).select(*source.associations.columns)
-    new = dense.withColumn("data_hash", F.col("new_hash")).select(*source.arrays.columns)
-    rest = source.associations.where(~F.coalesce(is_view, F.lit(False)))
-    arrays = source.arrays.join(rest.select("data_hash").distinct(), "data_hash", "left_semi").select(*source.arrays.columns)
-    return Catalog(rest.unionByName(moved), arrays.unionByName(new.dropDuplicates(["data_hash"])))
+    new = dense.withColumn("data_hash", F.col("new_hash"))
+    once = first_rows(new).join(arrays.select("data_hash"), "data_hash", "left_anti")
+    return Catalog(rest.unionByName(moved), arrays.unionByName(chosen(new, once).select(*source.arrays.columns)))
 
 
 def _equal(a: str, b: str, columns) -> F.Column:
@@ -130,8 +133,8 @@ def merged(into: Catalog, source: Catalog, replace: bool = False) -> Catalog:
     """into with the series of source; see parts()."""
     kept, new = parts(into, source, replace)
     associations = kept.unionByName(new.associations)
-    arrays = new.arrays.join(into.arrays.select("data_hash"), "data_hash", "left_anti").select(*into.arrays.columns)
-    held = into.arrays
+    arrays = new.arrays.join(held(into.arrays.select("data_hash")), "data_hash", "left_anti").select(*into.arrays.columns)
+    own = into.arrays
     if replace:
-        held = held.join(associations.select("data_hash").distinct(), "data_hash", "left_semi").select(*into.arrays.columns)
-    return Catalog(associations, held.unionByName(arrays))
+        own = own.join(held(associations.select("data_hash").distinct()), "data_hash", "left_semi").select(*into.arrays.columns)
+    return Catalog(associations, own.unionByName(arrays))

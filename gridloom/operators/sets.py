@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import DERIVED, DETERMINISTIC, SINGLE
+from ..functions.tables import held
 from ..schema import IDENTITY
 
 
@@ -78,6 +79,16 @@ def orphaned_views(associations: DataFrame) -> DataFrame:
     return refs.where("derived > 0 and static = 0").select("data_hash")
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """(data_hash, __row): the first row of each hash in a written table whose rows are numbered. Only hashes and numbers are grouped."""
+    return rows.groupBy("data_hash").agg(F.min("__row").alias("__row"))
+
+
+def chosen(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of such a table that numbers (__row) name, with their arrays."""
+    return rows.join(held(numbers.select("__row")), "__row", "left_semi")
+
+
 def deduplicated(arrays: DataFrame, stored: DataFrame) -> DataFrame:
     """New arrays once each, without those that are stored."""
     return arrays.dropDuplicates(["data_hash"]).join(stored.select("data_hash"), "data_hash", "left_anti")

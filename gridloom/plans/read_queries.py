@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.period import Period, instant
 from ..functions.period_columns import Periods
+from ..functions.tables import held
 from ..operators import merging, ranges, series
 from ..operators.merging import Catalog
 from . import fixtures as fx
@@ -103,12 +104,13 @@ def _merged_replaced(spark, d):
     few = _doubled(
         Catalog(
             static.associations.where("owner_id between 1 and 5"),
-            static.arrays.join(static.associations.where("owner_id between 1 and 5").select("data_hash"), "data_hash", "left_semi"),
+            static.arrays.join(held(static.associations.where("owner_id between 1 and 5").select("data_hash")), "data_hash", "left_semi"),
         ),
     )
     merged = merging.merged(static, few, replace=True)
-    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total")
-    return merged.associations.join(merged.arrays, "data_hash").select("owner_id", "name", "time_series_type", total)
+    # an array's total is taken before the join, which then carries no values
+    totals = merged.arrays.select("data_hash", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
+    return merged.associations.join(totals, "data_hash").select("owner_id", "name", "time_series_type", "total")
 
 
 def _clashes(spark, d):

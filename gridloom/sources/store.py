@@ -20,7 +20,7 @@ from ..functions.elements import ElementType
 from ..functions.hashing import array_hash, features_hash, timestamps_hash_column
 from ..functions.parse import DERIVED, DETERMINISTIC, IRREGULAR, PROBABILISTIC, SCENARIOS, SINGLE
 from ..functions.period import Period, instant, whole_millis
-from ..functions.tables import ARRAY_ROWS, written
+from ..functions.tables import ARRAY_ROWS, held, written
 from ..operators import catalog, diagnostics, links, merging, ranges, series, sets
 from ..operators.filters import ListFilter, resolve_one
 from ..schema import FEATURE, RESERVED_FEATURES, TABLES
@@ -386,7 +386,7 @@ class Store:
         kept, new = merging.parts(own, chosen, replace)
         first = (self.associations.agg(F.max("assoc_id")).first()[0] or 0) + 1
         rows = written(new.associations.withColumn("assoc_id", F.lit(first) + F.monotonically_increasing_id()), "merged")
-        arrays = sets.deduplicated(new.arrays, self.tables["arrays"])
+        arrays = new.arrays.join(held(self.tables["arrays"].select("data_hash")), "data_hash", "left_anti")
         vectors = other.tables["timestamp_sets"].join(rows.select("timestamps_hash").distinct(), "timestamps_hash", "left_semi")
         vectors = vectors.join(self.tables["timestamp_sets"].select("timestamps_hash"), "timestamps_hash", "left_anti")
         if replace:

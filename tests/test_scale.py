@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
 from gridloom.functions.tables import ARRAY_ROWS, written
-from gridloom.operators import grids, ranges, series
+from gridloom.operators import grids, merging, ranges, series
 from gridloom.plans import fixtures, read_queries
 from gridloom.sources import series_files
 
+from test_reads import array, catalog_of, single, view
+
 SMOKE = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
 HOUR = Period.parse("PT1H")
@@ -22,6 +24,26 @@ def optimised(df) -> list[str]:
     return df._jdf.queryExecution().optimizedPlan().toString().split("\n")
 
 
+def sorted_arrays(df) -> list[str]:
+    """What sorts rows that hold arrays, in the plan without broadcasts."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    conf, name = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().sparkPlan()
+    finally:
+        conf.set(name, before)
+    sorts = [n for n in nodes(plan) if n.nodeName() in ("Sort", "SortMergeJoin", "SortAggregate")]
+    inputs = [(n.nodeName(), n.children().apply(i).output().mkString(",")) for n in sorts for i in range(n.children().size())]
+    return [name for name, columns in inputs if "values#" in columns]
+
+
 def test_resolutions_are_parsed_before_steps_are_exploded(spark):
     plan = optimised(read_queries._static_range(spark, SMOKE))
     first = next(i for i, line in enumerate(plan) if "Generate" in line)
@@ -104,3 +126,25 @@ def test_windows_of_one_value_a_step_are_not_sliced(spark):
         want = [((r["f"] + c) * r["t"] + h) * r["w"] + e for h in range(r["s"]) for c in range(r["c"]) for e in range(r["w"])]
         assert r["got"] == [float(p) for p in want if p < len(r["v"])], r
     assert any("CASE WHEN" in line for line in optimised(out)), optimised(out)
+
+
+def test_merging_sorts_no_arrays(spark):
+    """Arrays pass by the hashes that they are joined with; a dense array that the source holds already comes once."""
+    values = [float(v) for v in range(8)]
+    cut = [values[c * 2 + h] for h in range(4) for c in range(3)]
+    same = merging.array_hash("f64", [4, 3], cut)
+    rows = [single(1, "a", 8), view(2, "a", 8), view(3, "a", 8), single(4, same, 12)]
+    source = catalog_of(spark, rows, [array("a", values), array(same, cut, [4, 3]), array("unused", [1.0])])
+    into = catalog_of(spark, [single(1, "old", 2), single(5, "kept", 2)], [array("old", [1.0, 2.0]), array("kept", [3.0, 4.0])])
+    got = merging.merged(into, source, replace=True)
+    assert sorted(r["data_hash"] for r in got.arrays.collect()) == sorted(["a", "kept", same])
+    assert {(r["owner_id"], r["time_series_type"]): r["data_hash"] for r in got.associations.collect()} == {
+        (1, 0): "a", (2, 2): same, (3, 2): same, (4, 0): same, (5, 0): "kept",
+    }
+    assert sorted_arrays(got.arrays) == []
+
+
+def test_totals_are_taken_before_the_join(spark):
+    plan = optimised(read_queries._merged_replaced(spark, SMOKE))
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert not any("aggregate(" in line for line in plan[:join]), plan[: join + 1]
