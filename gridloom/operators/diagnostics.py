@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elements import FUNCTIONS
-from ..functions.hashing import DTYPES, array_hash
+from ..functions.hashing import DTYPES, content_hash
 from ..functions.parse import DERIVED, IRREGULAR, PROBABILISTIC, SCENARIOS, SINGLE
 from ..functions.period_columns import Periods
 
@@ -63,13 +63,8 @@ def _named(associations: DataFrame, key: str, hashes: DataFrame, problem: str) -
 
 def changed_arrays(referenced: DataFrame, arrays: DataFrame) -> DataFrame:
     """(data_hash) of arrays whose content has another hash; each is hashed once."""
-
-    @F.pandas_udf("string")
-    def digest(dtype: pd.Series, shape: pd.Series, values: pd.Series, exact: pd.Series) -> pd.Series:
-        rows = zip(dtype, shape, values, exact, strict=True)
-        return pd.Series([array_hash(d, [int(x) for x in s], v if e is None else [int(x) for x in e]) for d, s, v, e in rows])
-
-    held = arrays.join(referenced, "data_hash", "left_semi").withColumn("__now", digest("dtype", "shape", "values", "exact"))
+    now = content_hash(*map(F.col, ("dtype", "shape", "values", "exact")))
+    held = arrays.join(referenced, "data_hash", "left_semi").withColumn("__now", now)
     return held.where(F.col("__now") != F.col("data_hash")).select("data_hash")
 
 

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateTimeSeries, InvalidParameter, NotFound
-from ..functions.hashing import array_hash
+from ..functions.hashing import content_hash
 from ..functions.parse import DERIVED, DETERMINISTIC
 from ..functions.period_columns import Periods
 from ..functions.tables import ARRAY_ROWS, held, written
@@ -37,12 +36,7 @@ class Catalog:
 
 def _hashed(arrays: DataFrame) -> DataFrame:
     """(..., new_hash): the content hash of dtype, shape and values."""
-    @F.pandas_udf("string")
-    def digest(dtype: pd.Series, shape: pd.Series, values: pd.Series, exact: pd.Series) -> pd.Series:
-        rows = zip(dtype, shape, values, exact, strict=True)
-        return pd.Series([array_hash(d, [int(x) for x in s], v if e is None else [int(x) for x in e]) for d, s, v, e in rows])
-
-    return arrays.withColumn("new_hash", digest("dtype", "shape", "values", "exact"))
+    return arrays.withColumn("new_hash", content_hash(*map(F.col, ("dtype", "shape", "values", "exact"))))
 
 
 def dense_arrays(views: DataFrame, arrays: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..errors import DuplicateTimeSeries, IntegrityError, InvalidParameter, NotFound, ReadOnlyStore, StoreExists
 from ..functions.elements import ElementType
-from ..functions.hashing import array_hash, features_hash, timestamps_hash_column
+from ..functions.hashing import content_hash, features_hash, timestamps_hash_column
 from ..functions.parse import DERIVED, DETERMINISTIC, IRREGULAR, PROBABILISTIC, SCENARIOS, SINGLE
 from ..functions.period import Period, instant, whole_millis
 from ..functions.tables import ARRAY_ROWS, held, written
@@ -63,21 +63,15 @@ LEADING = {SINGLE: 1, IRREGULAR: 1, DETERMINISTIC: 2, DERIVED: 1, PROBABILISTIC:
 WRITABLE = (SINGLE, IRREGULAR, DETERMINISTIC, PROBABILISTIC, SCENARIOS)
 
 
-@F.pandas_udf(StringType())
-def _hash_arrays(dtype: pd.Series, shape: pd.Series, values: pd.Series, exact: pd.Series) -> pd.Series:
-    rows = zip(dtype, shape, values, exact, strict=True)
-    return pd.Series([array_hash(d, [int(x) for x in s], [int(x) for x in e] if e is not None else v) for d, s, v, e in rows])
-
-
 def _python_features(items) -> dict:
     of = {"int": lambda x: int(x["i"]), "float": lambda x: float(x["f"]), "bool": lambda x: bool(x["b"]), "str": lambda x: x["s"]}
     return {k: of[v["kind"]](v) for k, v in items}
 
 
-@F.pandas_udf(StringType())
-def hash_features(features: pd.Series) -> pd.Series:
-    pairs = [[(x["key"], x["value"]) for x in row] for row in features]
-    return pd.Series([features_hash(_python_features(p)) for p in pairs])
+@F.arrow_udf(StringType())
+def hash_features(features: pa.Array) -> pa.Array:
+    pairs = [[(x["key"], x["value"]) for x in row] for row in features.to_pylist()]
+    return pa.array([features_hash(_python_features(p)) for p in pairs], pa.string())
 
 
 def _period_n(known: list[str]) -> Column:
@@ -199,17 +193,16 @@ class Store:
         known = _known_types(incoming)
         n = F.coalesce(F.size("exact"), F.size("values"))
         rows = incoming.withColumn("dtype", _dtype(F.col("element_type"), known) if known else F.lit("f64"))
-        rows = rows.withColumn("data_hash", _hash_arrays("dtype", "shape", "values", "exact")).withColumn(
-            "features_hash",
-            hash_features(F.array_sort(F.map_entries("features"))),
+        vector = timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)")))
+        # hashed in one step, so that a row with its array goes by Python once
+        rows = rows.withColumns(
+            {
+                "data_hash": content_hash(*map(F.col, ("dtype", "shape", "values", "exact"))),
+                "features_hash": hash_features(F.array_sort(F.map_entries("features"))),
+                "timestamps_hash": F.when(F.col("timestamps").isNotNull(), vector),
+                "__n": n,
+            }
         )
-        rows = rows.withColumn(
-            "timestamps_hash",
-            F.when(
-                F.col("timestamps").isNotNull(),
-                timestamps_hash_column(F.coalesce("timestamps", F.expr("cast(array() as array<timestamp_ntz>)"))),
-            ),
-        ).withColumn("__n", n)
         self._add_hashed(written(rows.withColumn("__row", F.monotonically_increasing_id()), "incoming", ARRAY_ROWS), known, replace)
 
     def _add_hashed(self, rows: DataFrame, known: list[str], replace: bool) -> None:
@@ -242,7 +235,8 @@ class Store:
             raise DuplicateTimeSeries("a series of this identity exists")
         if sets.family_conflicts(new, held.unionByName(new)).limit(1).count():
             raise DuplicateTimeSeries("a forecast of this family is stored the other way")
-        arrays = sets.deduplicated(rows.select("data_hash", "dtype", "shape", "values", "exact"), self.tables["arrays"])
+        once = sets.first_rows(rows).join(self.tables["arrays"].select("data_hash"), "data_hash", "left_anti")
+        arrays = sets.chosen(rows.select("data_hash", "dtype", "shape", "values", "exact", "__row"), once).drop("__row")
         vectors = rows.where(F.col("timestamps").isNotNull()).select("timestamps_hash", "timestamps").dropDuplicates(["timestamps_hash"])
         vectors = vectors.join(self.tables["timestamp_sets"].select("timestamps_hash"), "timestamps_hash", "left_anti")
         new = written(new, "new")

@@ -6,12 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions.hashing import array_hash
 from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
 from gridloom.functions.tables import ARRAY_ROWS, written
 from gridloom.operators import grids, merging, ranges, series
 from gridloom.plans import fixtures, read_queries
-from gridloom.sources import series_files
+from gridloom.sources import series_files, store
 
 from test_reads import array, catalog_of, single, view
 
@@ -132,7 +133,7 @@ def test_merging_sorts_no_arrays(spark):
     """Arrays pass by the hashes that they are joined with; a dense array that the source holds already comes once."""
     values = [float(v) for v in range(8)]
     cut = [values[c * 2 + h] for h in range(4) for c in range(3)]
-    same = merging.array_hash("f64", [4, 3], cut)
+    same = array_hash("f64", [4, 3], cut)
     rows = [single(1, "a", 8), view(2, "a", 8), view(3, "a", 8), single(4, same, 12)]
     source = catalog_of(spark, rows, [array("a", values), array(same, cut, [4, 3]), array("unused", [1.0])])
     into = catalog_of(spark, [single(1, "old", 2), single(5, "kept", 2)], [array("old", [1.0, 2.0]), array("kept", [3.0, 4.0])])
@@ -148,3 +149,31 @@ def test_totals_are_taken_before_the_join(spark):
     plan = optimised(read_queries._merged_replaced(spark, SMOKE))
     join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
     assert not any("aggregate(" in line for line in plan[:join]), plan[: join + 1]
+
+
+def test_adding_sorts_no_arrays(spark, monkeypatch):
+    """Of a batch each array is stored once, found by its hash and row number; exact integers and features are hashed as before."""
+    kept = {}
+
+    def recorded(df, name, batch=None):
+        kept.setdefault(name, []).append(df)
+        return written(df, name, batch)
+
+    monkeypatch.setattr(store, "written", recorded)
+    held = store.Store.create(spark)
+    of = lambda owner, values, **more: store.Request(owner, "Generator", "load", values, initial_timestamp=T0, resolution="PT1H", **more)
+    big = [2**64 - 1, 0, 5]
+    held.add(of(1, [1.0, float("nan")]), of(2, [1.0, float("nan")]), of(3, [3.0]), of(4, big, element_type="u64"), of(5, [], features={"year": 2024}))
+    held.add(of(3, [1.0, float("nan")]), of(6, [6.0]), replace=True)
+    want = [array_hash("f64", [len(v)], v) for v in ([1.0, float("nan")], [3.0], [], [6.0])] + [array_hash("u64", [3], big)]
+    assert sorted(r["data_hash"] for r in held.tables["arrays"].collect()) == sorted(want)
+    assert {r["owner_id"]: r["data_hash"] for r in held.associations.collect()} == {1: want[0], 2: want[0], 3: want[0], 4: want[4], 5: want[2], 6: want[3]}
+    assert [sorted_arrays(df) for df in kept["arrays"]] == [[], []]
+
+
+def test_steps_are_stamped_by_an_interval(spark):
+    rows = spark.createDataFrame([(1, T0, [1.0, 2.0, 3.0])], "k long, initial_timestamp timestamp_ntz, values array<double>")
+    for text, gap in (("PT1H", dt.timedelta(hours=1)), ("PT0.001S", dt.timedelta(milliseconds=1)), ("P400D", dt.timedelta(days=400)), ("PT0S", dt.timedelta(0))):
+        out = series.steps(rows, Period.parse(text), ["k"])
+        assert [(r["idx"], r["t"], r["v"]) for r in out.orderBy("idx").collect()] == [(i, T0 + i * gap, i + 1.0) for i in range(3)]
+        assert not any("timestampadd(" in line.lower() for line in optimised(out))
