@@ -195,6 +195,7 @@ def _files(spark, d):
         rows.select("assoc_id", "owner_id", "owner_type", "name", "time_series_type", "resolution", "interval", "initial_timestamp", "values"),
         HOUR,
         path,
+        packed=True,
     )
     back = series_files.read(spark, path).groupBy("stem").agg(
         F.countDistinct("file").alias("files"),

@@ -1,12 +1,14 @@
 """One file for each series, and the files read back.
 
 Spark makes the text of each file beside its series, so no step is shuffled; tasks write and read whole files, and neither
-lists nor moves any on the driver. A file lies in a folder named by its stem, in one of FOLDERS numbered ones. Paths are
-those that pyarrow.fs can open (file, hdfs, s3, gs, abfs).
+lists nor moves any on the driver. A file lies in a folder named by its stem, in one of FOLDERS numbered ones; packed, it
+is compressed by gzip and lies in the numbered one itself, as small files take a block of disk each, and folders as well.
+Paths are those that pyarrow.fs can open (file, hdfs, s3, gs, abfs).
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Callable
 
@@ -22,20 +24,22 @@ from .files import exists, uri
 
 STEM = "stem"
 FOLDERS = 1024
+PACKED = ".csv.gz"
 
 
-def _putter(where: str) -> Callable:
+def _putter(where: str, packed: bool) -> Callable:
     """Writes (folder, stem, text) rows; a file is there whole or not at all, and a second attempt replaces it."""
 
     def put(rows) -> None:
         at, root = fs.FileSystem.from_uri(where)
         for row in rows:
-            folder = f"{root}/{row['folder']}/{STEM}={row[STEM]}"
-            at.create_dir(folder)
-            new = f"{root}/{row['folder']}/.{uuid.uuid4().hex}"
+            folder, text = f"{root}/{row['folder']}", row["text"].encode()
+            name = f"{folder}/{row[STEM]}{PACKED}" if packed else f"{folder}/{STEM}={row[STEM]}/part-0.csv"
+            at.create_dir(name.rsplit("/", 1)[0])
+            new = f"{folder}/.{uuid.uuid4().hex}"
             with at.open_output_stream(new) as out:
-                out.write(row["text"].encode())
-            at.move(new, f"{folder}/part-0.csv")
+                out.write(gzip.compress(text, 6, mtime=0) if packed else text)
+            at.move(new, name)
 
     return put
 
@@ -48,19 +52,26 @@ def _getter(where: str) -> Callable:
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 found = at.get_file_info(fs.FileSelector(f"{root}/{folder}", recursive=True, allow_not_found=True))
-                for name in (f.path for f in found if f.is_file and f"/{STEM}=" in f.path):
-                    with at.open_input_stream(name) as held:
-                        text = held.read().decode()
-                    stem = name.rsplit(f"/{STEM}=", 1)[1].split("/")[0]
+                for name in (f.path for f in found if f.is_file):
+                    above, last = name.split("/")[-2:]
+                    if last.endswith(PACKED):
+                        stem = last.removesuffix(PACKED)
+                    elif above.startswith(f"{STEM}="):
+                        stem = above.removeprefix(f"{STEM}=")
+                    else:
+                        continue  # a file that an attempt did not end
+                    with at.open_input_stream(name, compression=None) as held:
+                        data = held.read()
+                    text = (gzip.decompress(data) if last.endswith(PACKED) else data).decode()
                     yield pa.RecordBatch.from_pydict({STEM: [stem], "file": [name], "text": [text]})
 
     return get
 
 
-def write(series: DataFrame, resolution: Period, path: str) -> DataFrame:
+def write(series: DataFrame, resolution: Period, path: str, packed: bool = False) -> DataFrame:
     """Writes timestamp and value of each series (catalog columns and values) as CSV with a header; gives (assoc_id, stem).
 
-    Folders that exist at the path are left alone, and are an error.
+    packed: compressed by gzip, stem.csv.gz without a folder of its own. Folders that exist at the path are left alone, and are an error.
     """
     spark = series.sparkSession
     if exists(spark, path):
@@ -71,7 +82,7 @@ def write(series: DataFrame, resolution: Period, path: str) -> DataFrame:
     t = lambda i: wire_instant(resolution.add(F.col("initial_timestamp"), i.cast("long")))
     lines = F.transform("values", lambda v, i: F.concat(t(i), F.lit(","), F.coalesce(v.cast("string"), F.lit("")), F.lit("\n")))
     text = F.concat(F.lit("timestamp,value\n"), F.array_join(lines, ""))
-    rows.select(F.pmod(F.xxhash64(STEM), F.lit(FOLDERS)).alias("folder"), STEM, text.alias("text")).foreachPartition(_putter(uri(spark, path)))
+    rows.select(F.pmod(F.xxhash64(STEM), F.lit(FOLDERS)).alias("folder"), STEM, text.alias("text")).foreachPartition(_putter(uri(spark, path), packed))
     return names
 
 

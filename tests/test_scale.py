@@ -1,6 +1,8 @@
 """Steps whose cost must not grow faster than the input: what their plans carry, and the whole job where a limit was."""
 
 import datetime as dt
+import gzip
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 from gridloom.functions.hashing import array_hash
 from gridloom.functions.period import Period
 from gridloom.errors import InvalidParameter, NotFound
-from gridloom.functions.tables import ARRAY_ROWS, written
+from gridloom.functions.tables import ARRAY_ROWS, shared_folder, written
 from gridloom.operators import grids, merging, ranges, series
-from gridloom.plans import fixtures, read_queries
+from gridloom.plans import file_queries, fixtures, read_queries
 from gridloom.sources import series_files, store
 
 from test_reads import array, catalog_of, single, view
@@ -105,6 +107,32 @@ def test_files_of_series_are_made_without_their_steps(spark, tmp_path):
     assert not [p for p in (tmp_path / "f g").rglob("*") if p.name.startswith(".")]
 
 
+def test_packed_files_are_whole_and_small(spark, tmp_path):
+    """The query's files lie packed in the numbered folders; unpacked they are those that write() makes without packing."""
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.glob("series-*"))
+    rows = file_queries.QUERIES["SNK_4_file_by_series"][0](spark, SMOKE).collect()
+    (made,) = set(root.glob("series-*")) - before
+    held = [p for p in made.rglob("*") if p.is_file() and p.suffix != ".crc"]
+    texts = [gzip.decompress(p.read_bytes()) for p in held]
+    assert len(held) == len(rows) > 0 and {p.parent.parent for p in held} == {made}
+    assert all(t.count(b"\n") == 721 for t in texts) and 4 * sum(p.stat().st_size for p in held) < sum(map(len, texts))
+
+    kinds = "assoc_id long, owner_id long, owner_type string, name string, time_series_type int, resolution string, interval string, initial_timestamp timestamp_ntz, values array<double>"
+    odd = [1.5, None, float("inf"), -1e300, 0.1]
+    table = spark.createDataFrame([(i, i % 2, "Generator", "é" if i else ".csv.gz", 0, "PT1H", None, T0, odd if i < 4 else []) for i in range(5)], kinds)
+    plain, packed = tmp_path / "plain", tmp_path / "packed"
+    for at, so in ((plain, False), (packed, True)):
+        series_files.write(table, HOUR, str(at), packed=so)
+    want = {p.parent.name.removeprefix("stem="): p.read_bytes() for p in plain.rglob("part-*")}
+    assert len(want) == 4 and {p.name.removesuffix(".csv.gz"): gzip.decompress(p.read_bytes()) for p in packed.rglob("*.gz")} == want
+    (packed / "7").mkdir(exist_ok=True)
+    (packed / "7" / ".0a").write_bytes(b"half")
+    got, same = ([tuple(r)[:3] for r in series_files.read(spark, str(at)).orderBy("stem", "t").collect()] for at in (packed, plain))
+    assert got == same and len(got) == 20
+    assert spark.read.option("header", True).option("recursiveFileLookup", True).csv(f"{packed}/*/*.gz").count() == 20
+
+
 def test_few_arrays_go_to_python_at_once(spark):
     """What hashes arrays takes them in small batches, and the session keeps its own setting."""
 
